@@ -7,14 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat_format, mixing, quality_lines, url_filter
-from lodeworks.llm.common import text_of
+from lodeworks.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_lines, secrets, toxicity, url_filter
+from lodeworks.llm.common import stored, text_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = stored(docs.select("doc_id", pii.proposals(text_of("text")).alias("_found")), "pii")
+    model = pii.fit(pii.pattern_counts(found))
+    base = F.filter("_found", lambda x: x["base"])
+    counted = F.transform(base, lambda x: x["kind"])
+    n = [F.size(F.array_remove(F.transform(counted, lambda k: (k == i).cast("int")), 0)).cast("long").alias(f"n_{name}") for i, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *n, F.sha2(pii.spelled(base), 256).alias("base_sha256"), pii.spelled(pii.accepted(F.col("_found"), model)).alias("spans"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "n_near")
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 MIX_WEIGHTS = (5, 2, 1)
 
 
@@ -22,6 +42,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, max_repeat=3)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -42,6 +66,10 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the contract, then those of our own for hosts of bulk advertising.
 URL_RULES = [
     url_filter.prefix_rule("allow", "com", "/"),
@@ -62,8 +90,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_mix_sources": op5_mix_sources,
-    "op7_chat_format": op7_chat_format,
-    "op8_line_quality": op8_line_quality,
-    "op10_url_filter": op10_url_filter,
+    f.__name__: f
+    for f in (
+        op1_pii, op3_decontaminate, op4_jaccard_join, op5_mix_sources, op6_toxicity,
+        op7_chat_format, op8_line_quality, op9_secret_scan, op10_url_filter,
+    )
 }
