@@ -48,10 +48,11 @@ def water_level(sources: DataFrame, weights: Sequence[float], max_repeat: float)
         .withColumn("_filled", F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_used", F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
     )
-    # The level if all sources before this one are full; the least that leaves its source unfilled holds.
+    # The level if just the sources before this one are full. It holds where it leaves this one unfilled;
+    # filling sources that need not be only lowers it, so the highest such level is the one.
     level = (F.col("_all") - F.col("_filled")) / (F.col("_weights") - F.col("_used"))
     t = t.withColumn("_level", F.when(level <= F.col("_cap") / F.col("_weight"), level))
-    t = t.withColumn("_level", F.min("_level").over(full))
+    t = t.withColumn("_level", F.max("_level").over(full))
     return t.withColumn("target", F.least("_cap", F.col("_level") * F.col("_weight")))
 
 

@@ -13,7 +13,7 @@ w AS (SELECT *, CAST(list_extract([5, 2, 1], nth % 3 + 1) AS DOUBLE) AS weight,
 f AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS every, sum(weight) OVER () AS weights,
              coalesce(sum(cap) OVER q, 0) AS filled, coalesce(sum(weight) OVER q, 0) AS used FROM w
       WINDOW q AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min((every - filled) / (weights - used)) AS level FROM f WHERE (every - filled) / (weights - used) <= cap / weight),
+l AS (SELECT max((every - filled) / (weights - used)) AS level FROM f WHERE (every - filled) / (weights - used) <= cap / weight),
 t AS (SELECT source, source_size, a, b, least(cap, level * weight) AS target FROM f, l),
 p AS (SELECT d.doc_id, d.ord, d.size, t.source_size, t.target, t.a, t.b,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before
