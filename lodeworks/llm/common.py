@@ -60,3 +60,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def within(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: Rows of keys are broadcast up to this many (some 30 bytes each); beyond it both sides are shuffled.
+BROADCAST_KEYS = 500_000
+
+
+def without(docs: DataFrame, rows: DataFrame, key: str, text: str, how: str = "left_anti") -> DataFrame:
+    """``docs`` without the rows (or with ``left_semi`` only the rows) that ``rows`` names by _key and _id.
+
+    ``_id`` is the hash of the text, which tells apart rows that share a key. No
+    column is added on the way, so the columns of ``docs`` may have any names.
+    """
+    named = stored(rows.select(F.col("_key").alias("__key"), F.col("_id").alias("__id")).distinct(), "named")
+    named = F.broadcast(named) if within(named, BROADCAST_KEYS) else named
+    same = docs[key].eqNullSafe(named["__key"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == named["__id"])
+    return docs.join(named, same, how)

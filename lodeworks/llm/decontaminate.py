@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import WORD, ascii_lower, let, stored, text_of, within
+from lodeworks.llm.common import WORD, ascii_lower, let, stored, text_of, within, without
 
 #: Test terms, and keys of candidate documents, are broadcast up to this many (16 bytes each).
 BROADCAST_ROWS = 500_000
@@ -128,5 +128,11 @@ def decontaminate(
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = 10) -> DataFrame:
+    """The documents in which no window of an item stands, as they are."""
+    hit = find(docs, items, key=key, text=text, item=item, item_text=item_text, length=length).filter("n_hit > 0")
+    return without(docs, hit, key, text)
+
+
 #: Words before A-Z are lower-cased; they end at the same places.
 _WORD_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import stored, within
+from lodeworks.llm.common import stored, text_of, within, without
 
 SHINGLE, HASHES, ROWS, STEP = 5, 128, 4, 16
 #: Nodes in a block where signatures are compared, and where texts are.
@@ -167,7 +167,7 @@ def common(sets_a: list[np.ndarray], sets_b: list[np.ndarray]) -> np.ndarray:
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     """_key, _id (hash of the text), node (hash of the shingle set; null if empty), sig (MinHash values as bytes)."""
-    t = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.xxhash64(F.col(text).cast("string")).alias("_id"))
+    t = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), F.xxhash64(text_of(text)).alias("_id"))
     kind = t.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +289,8 @@ def links(member: DataFrame, threshold: float) -> DataFrame:
     return units.groupBy("unit").applyInPandas(verify, "node binary, root binary, links long, texts long")
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row per document: key, class_id, n_links (documents it is linked to, copies too), n_copies and n_texts (different shingle sets linked to)."""
+def joined(docs: DataFrame, *, key: str, text: str, threshold: float) -> DataFrame:
+    """As ``join``, with the key as _key and the hash of the text as _id; class ids as _class."""
     rows = stored(sketch(docs, key, text), "sketch")
     full = rows.filter("node IS NOT NULL")
     nodes = stored(full.groupBy("node").agg(F.first("sig").alias("sig"), F.count("*").alias("_copies"), F.min("_key").alias("_least")), "nodes")
@@ -300,7 +300,7 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold:
     chosen = full.join(families, "node").groupBy("node", "root").agg(F.min(F.struct("_key", "_id")).alias("_r"))
     chosen = stored(chosen.select("node", F.col("root").alias("family"), F.col("_r._key").alias("_k"), F.col("_r._id").alias("_i")), "members")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.xxhash64("_text") == F.col("_i"))
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.xxhash64(text_of("_text")) == F.col("_i"))
     member = texts.join(F.broadcast(chosen) if within(chosen, BROADCAST_MEMBERS) else chosen, same)
     member = member.dropDuplicates(["node"]).join(nodes.select("node", "_copies"), "node").select("node", "family", "_copies", "_text")
     found = stored(links(stored(member, "member-texts"), threshold), "links")
@@ -311,12 +311,32 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold:
     classed = classes.join(least, "root").select("node", "_class")
     facts = nodes.select("node", "_copies", "_least").join(counts, "node", "left").join(classed, "node", "left")
     facts = facts.select("node", "_copies", F.coalesce("_class", "_least").alias("_class"), F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_texts", F.lit(0)).alias("_texts"))
-    out = rows.select("_key", "node").join(facts, "node", "left")
+    out = rows.select("_key", "_id", "node").join(facts, "node", "left")
     zero = F.lit(0)
     return out.select(
-        F.col("_key").alias(key),
-        F.coalesce("_class", "_key").alias("class_id"),
+        "_key", "_id", "node",
+        F.coalesce("_class", "_key").alias("_class"),
         (F.coalesce("_links", zero) + F.coalesce(F.col("_copies") - 1, zero)).cast("long").alias("n_links"),
         F.coalesce("_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("_texts", zero).cast("long").alias("n_texts"),
     )
+
+
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """One row per document: key, class_id, n_links (documents it is linked to, copies too), n_copies and n_texts (different shingle sets linked to)."""
+    out = joined(docs, key=key, text=text, threshold=threshold)
+    return out.select(F.col("_key").alias(key), F.col("_class").alias("class_id"), "n_links", "n_copies", "n_texts")
+
+
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """The document of least key (then least hash) of each class; documents without words stay."""
+    out = stored(joined(docs, key=key, text=text, threshold=threshold).filter("node IS NOT NULL AND n_links > 0").select("_key", "_id", "_class"), "joined")
+    least = out.groupBy("_class").agg(F.min(F.struct("_key", "_id")).alias("_first")).withColumnRenamed("_class", "_of")
+    marked = out.join(least, F.col("_class").eqNullSafe(F.col("_of"))).withColumn("_stays", F.struct("_key", "_id").eqNullSafe(F.col("_first")))
+    left = without(docs, marked.filter("NOT _stays"), key, text)
+    # Rows that repeat a document wholly share key and hash; one of them stays.
+    again = stored(marked.filter("_stays").groupBy("_key", "_id").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated")
+    if again.isEmpty():
+        return left
+    once = without(left, again, key, text, "left_semi")
+    return without(left, again, key, text).union(once.dropDuplicates([key, text]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat_format, decontaminate, jaccard_join, mixing, pii, quality_lines, secrets, toxicity, url_filter
+from lodeworks.llm import chat_format, decontaminate, jaccard_join, maxent_lm, mixing, pii, quality_lines, secrets, toxicity, url_filter
 from lodeworks.llm.common import stored, text_of
 
 
@@ -25,6 +25,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(pii.spelled(base), 256).alias("base_sha256"), pii.spelled(pii.accepted(F.col("_found"), model)).alias("spans"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"), folds=10)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -92,7 +96,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_pii, op3_decontaminate, op4_jaccard_join, op5_mix_sources, op6_toxicity,
+        op1_pii, op2_lm_score, op3_decontaminate, op4_jaccard_join, op5_mix_sources, op6_toxicity,
         op7_chat_format, op8_line_quality, op9_secret_scan, op10_url_filter,
     )
 }
