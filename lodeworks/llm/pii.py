@@ -226,7 +226,10 @@ def pattern_counts(found: DataFrame, column: str = "_found") -> dict[str, int]:
 
 
 def accepted(found: Column, model: Model, least: float = 0.9) -> Column:
-    """Base spans, and the spans that the classifier gives ``least`` or more."""
+    """Base spans, and the spans that the classifier gives ``least`` or more.
+
+    A span of a base pattern that fails its check also needs words before it that speak for it.
+    """
 
     def likely(x: Column) -> Column:
         p, k = x["pattern"], x["kind"]
@@ -242,7 +245,8 @@ def accepted(found: Column, model: Model, least: float = 0.9) -> Column:
             score = F.when(k == kind, own).otherwise(score)
         return score >= math.log(least / (1 - least))
 
-    return F.filter(found, lambda x: x["base"] | likely(x))
+    told = lambda x: ~F.startswith(F.substr(x["pattern"], F.lit(3)), F.lit("-")) | (F.substr(x["pattern"], F.lit(5), F.lit(1)) == "+")
+    return F.filter(found, lambda x: x["base"] | (likely(x) & told(x)))
 
 
 def spelled(spans: Column) -> Column:
