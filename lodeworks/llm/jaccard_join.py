@@ -25,11 +25,10 @@ gives an empty result; other columns are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -83,16 +82,23 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, HASHES, np.uint32)
 
 
-def minhash(s: np.ndarray) -> np.ndarray:
-    """``HASHES`` values of 32 bits; works through long sets in pieces."""
+def minhash(sets: list[np.ndarray]) -> np.ndarray:
+    """``HASHES`` values of 32 bits for each set, none of them empty; works in pieces that stay in the cache."""
     a, b = _permutations()
-    low = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
-    best = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), 4096):
-        part = low[i : i + 4096]
+    out = np.empty((len(sets), HASHES), np.uint32)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(sets):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + 16_384, "right")))
+        s = np.concatenate(sets[at:upto])
+        low = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
+        fold = low >> np.uint32(15)
+        starts = np.cumsum(size[at:upto]) - size[at:upto]
         for j in range(HASHES):
-            best[j] = min(best[j], ((part * a[j] + b[j]) ^ (part >> np.uint32(15))).min())
-    return best
+            out[at:upto, j] = np.minimum.reduceat((low * a[j] + b[j]) ^ fold, starts)
+        at = upto
+    return out
 
 
 @cache
@@ -173,26 +179,23 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
-            nodes, sigs = [], []
-            for x in b.column(1):
-                s = shingles(x.as_py(), words)
-                nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sigs.append(minhash(s).tobytes() if len(s) else None)
+            sets = [shingles(x.as_py(), words) for x in b.column(1)]
+            nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            found = iter(minhash([s for s in sets if len(s)]))
+            sigs = [next(found).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["_key", "_id", "node", "sig"])
 
     return t.mapInArrow(run, f"_key {kind}, _id long, node binary, sig binary")
 
 
-def dealt(members: DataFrame, group: str, payload: list[str], size: DataFrame, block: int) -> DataFrame:
-    """Members of groups of two or more as (unit, first, both, payload): a unit is a pair of blocks of a group.
+def dealt(members: DataFrame, group: str, payload: list[str], block: int) -> DataFrame:
+    """Members of groups of two or more (group, _n, payload) as (unit, side, payload): a unit is a pair of blocks of a group.
 
-    ``size``: (group, _n). A member of block b stands in the units of (b, any) and
-    (any, b); ``side`` is 0 in the first block of the pair, 1 in the second, 2 if
-    the blocks are the same.
+    A member of block b stands in the units of all pairs with b; ``side`` is 0 in
+    the first block of the pair, 1 in the second, 2 if the blocks are the same.
     """
-    t = members.join(size.filter("_n > 1"), group)
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    t = t.withColumn("_blocks", blocks).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    t = members.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    t = t.withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1),
         lambda o: F.struct(
@@ -204,11 +207,41 @@ def dealt(members: DataFrame, group: str, payload: list[str], size: DataFrame, b
     return t.select(F.xxhash64(group, "_p.x", "_p.y").alias("unit"), F.col("_p.side").alias("side"), *payload)
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
-    side = pdf["side"].to_numpy()
-    same = bool((side == 2).any())
-    a = np.flatnonzero(side == 2) if same else np.flatnonzero(side == 0)
-    return a, a if same else np.flatnonzero(side == 1), same
+def by_units(units: DataFrame, answer: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``answer`` of tables that hold whole units, in order of unit and node.
+
+    A partition's units come sorted and in batches, so that thousands of small
+    units cost one call; the last unit of a batch waits for its rest.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            unit = t.column("unit").to_numpy()
+            last = int(np.searchsorted(unit, unit[-1], "left"))
+            if last:
+                yield answer(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield answer(held)
+
+    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, schema)
+
+
+def _runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where units begin, their sizes, and the rows' sides."""
+    unit = t.column("unit").to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    return first, np.diff(np.append(first, len(unit))), t.column("side").to_numpy()
+
+
+def _edges(node: list[bytes], root: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return [node[i] for i in own], [node[i] for i in root[own]]
 
 
 def probable_edges(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -216,21 +249,47 @@ def probable_edges(nodes: DataFrame, threshold: float) -> DataFrame:
     width = 4 * ROWS
     band = lambda i: F.xxhash64(i, F.substr(F.col("sig"), i * width + 1, F.lit(width)))
     rows = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), band)).alias("bucket"))
-    size = stored(rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1"), "buckets")
-    met = rows.join(size.select("bucket"), "bucket", "left_semi").join(nodes.select("node", "sig"), "node")
-    units = dealt(met, "bucket", ["node", "sig"], size, BLOCK_SIGS)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), HASHES)
-        a, b, same = _sides(pdf)
-        if not len(a) or not len(b):
-            return pd.DataFrame({"node": [], "root": []})
-        i, j = np.nonzero(surviving(sig[a], sig[b], threshold))
-        root = roots(len(pdf), (a[i], b[j]))
-        own = np.flatnonzero(root != np.arange(len(pdf)))
-        return pd.DataFrame({"node": pdf["node"].to_numpy()[own], "root": pdf["node"].to_numpy()[root[own]]})
-
-    return units.groupBy("unit").applyInPandas(compare, "node binary, root binary").distinct()
+    size = rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
+    met = stored(rows.join(size, "bucket"), "buckets").join(nodes.select("node", "sig"), "node")
+    least = least_matches(threshold, TOLERANCE)
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        first, size, side = _runs(t)
+        node = t.column("node").to_pylist()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(node), HASHES)
+        left, right = [], []
+        # Small units of one block: all their pairs at once, by size.
+        whole = np.add.reduceat(side == 2, first) == size
+        small = whole & (size <= 64)
+        for n in np.unique(size[small]):
+            x, y = np.triu_indices(n, 1)
+            at = first[small & (size == n)][:, None]
+            left.append((at + x).ravel())
+            right.append((at + y).ravel())
+        i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        kept_i, kept_j = [], []
+        for at in range(0, len(i), 65_536):
+            x, y = i[at : at + 65_536], j[at : at + 65_536]
+            m = np.zeros(len(x), np.int64)
+            for k in range(len(least)):
+                cut = slice(k * STEP, (k + 1) * STEP)
+                m += (sig[x, cut] == sig[y, cut]).sum(1)
+                ok = m >= least[k]
+                x, y, m = x[ok], y[ok], m[ok]
+            kept_i.append(x)
+            kept_j.append(y)
+        for at, n, one in zip(first[~small], size[~small], whole[~small], strict=True):
+            rows = np.arange(at, at + n)
+            a, b = (rows, rows) if one else (rows[side[at : at + n] == 0], rows[side[at : at + n] == 1])
+            if len(a) and len(b):
+                x, y = np.nonzero(surviving(sig[a], sig[b], threshold))
+                kept_i.append(a[x])
+                kept_j.append(b[y])
+        pairs = tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (kept_i, kept_j))
+        edges = _edges(node, roots(len(node), pairs))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in edges], ["node", "root"])
+
+    return by_units(dealt(met, "bucket", ["node", "sig"], BLOCK_SIGS), compare, "node binary, root binary").distinct()
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -258,35 +317,39 @@ def links(member: DataFrame, threshold: float) -> DataFrame:
     ``links`` counts documents, ``texts`` different shingle sets. ``member`` has
     node, family, _copies and _text.
     """
-    size = member.groupBy("family").agg(F.count("*").alias("_n"))
-    units = dealt(member, "family", ["node", "_copies", "_text"], size, BLOCK_TEXTS)
+    size = member.groupBy("family").agg(F.count("*").alias("_n")).filter("_n > 1")
+    units = dealt(member.join(size, "family"), "family", ["node", "_copies", "_text"], BLOCK_TEXTS)
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+    def verify(t: pa.Table) -> pa.RecordBatch:
         words = _Words()
-        sets = [shingles(x, words) for x in pdf["_text"]]
-        a, b, same = _sides(pdf)
-        empty = pd.DataFrame({"node": [], "root": [], "links": [], "texts": []})
-        if not len(a) or not len(b):
-            return empty
-        size = np.array([len(s) for s in sets])
-        inter = common([sets[k] for k in a], [sets[k] for k in b])
-        linked = inter >= threshold * (size[a][:, None] + size[b][None, :] - inter) - 1e-9
-        if same:
-            np.fill_diagonal(linked, False)
-        copies = pdf["_copies"].to_numpy()
-        n, texts = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        n[a] += linked @ copies[b]
-        texts[a] += linked.sum(1)
-        if not same:
-            n[b] += copies[a] @ linked
-            texts[b] += linked.sum(0)
-        i, j = np.nonzero(linked)
-        root = roots(len(pdf), (a[i], b[j]))
+        first, sizes, side = _runs(t)
+        node, copies = t.column("node").to_pylist(), t.column("_copies").to_numpy()
+        n, texts, root = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.arange(len(node))
+        for at, many in zip(first, sizes, strict=True):
+            rows, own = np.arange(at, at + many), side[at : at + many]
+            same = bool((own == 2).any())
+            a, b = (rows, rows) if same else (rows[own == 0], rows[own == 1])
+            if not len(a) or not len(b):
+                continue
+            sets = dict(zip(rows, (shingles(x, words) for x in t.column("_text").slice(at, many).to_pylist()), strict=True))
+            size = {k: len(v) for k, v in sets.items()}
+            size_a, size_b = (np.array([size[k] for k in x]) for x in (a, b))
+            inter = common([sets[k] for k in a], [sets[k] for k in b])
+            linked = inter >= threshold * (size_a[:, None] + size_b[None, :] - inter) - 1e-9
+            if same:
+                np.fill_diagonal(linked, False)
+            else:
+                n[b] += copies[a] @ linked
+                texts[b] += linked.sum(0)
+            n[a] += linked @ copies[b]
+            texts[a] += linked.sum(1)
+            i, j = np.nonzero(linked)
+            root[at : at + many] = at + roots(many, (a[i] - at, b[j] - at))
         own = np.flatnonzero(texts)
-        node = pdf["node"].to_numpy()
-        return pd.DataFrame({"node": node[own], "root": node[root[own]], "links": n[own], "texts": texts[own]})
+        cols = [pa.array([node[k] for k in own], pa.binary()), pa.array([node[k] for k in root[own]], pa.binary()), pa.array(n[own]), pa.array(texts[own])]
+        return pa.RecordBatch.from_arrays(cols, ["node", "root", "links", "texts"])
 
-    return units.groupBy("unit").applyInPandas(verify, "node binary, root binary, links long, texts long")
+    return by_units(units, verify, "node binary, root binary, links long, texts long")
 
 
 def joined(docs: DataFrame, *, key: str, text: str, threshold: float) -> DataFrame:
