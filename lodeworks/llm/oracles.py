@@ -55,7 +55,31 @@ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(hos
 FROM k WHERE nth = 1
 """
 
-#: Lines are normalised by regular expressions that both engines read alike.
-OP8 = None
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPOKEN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP3 = rf"""
+WITH w AS (SELECT doc_id, {_SPOKEN} AS ws FROM documents), b AS (SELECT item_id, {_SPOKEN} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: ws[i:i + n - 1])) AS win FROM (SELECT *, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: struct_pack(i := i, win := ws[i:i + n - 1]))) AS x FROM w, ns WHERE len(ws) >= n),
+h AS (SELECT doc_id, x.i AS i, dw.n AS n, item_id FROM dw JOIN bw ON dw.n = bw.n AND x.win = bw.win),
+p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN p ON w.doc_id = p.doc_id LEFT JOIN t ON w.doc_id = t.doc_id
+"""
+
+OP4 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 5 THEN [w] ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, len(s) AS n, md5(CAST(list_sort(s) AS VARCHAR)) AS node FROM s),
+x AS (SELECT doc_id, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b, y.node AS other, y.node = x.node AS copy FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT d, b FROM r JOIN l ON m = a),
+g AS (SELECT d, min(m) AS class_id FROM r GROUP BY d),
+k AS (SELECT a, count(*) AS n_links, count(*) FILTER (copy) AS twins, count(DISTINCT other) FILTER (NOT copy) AS n_texts FROM l GROUP BY a)
+SELECT d AS doc_id, class_id, coalesce(n_links, 0) AS n_links, 1 + coalesce(twins, 0) AS n_copies, coalesce(n_texts, 0) AS n_texts FROM g LEFT JOIN k ON a = d
+"""
 
-ORACLES: dict[str, str] = {"op5_mix_sources": OP5, "op7_chat_format": OP7, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op10_url_filter": OP10}

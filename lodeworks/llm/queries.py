@@ -32,7 +32,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "n_near")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
