@@ -89,6 +89,9 @@ def routes(ids: DataFrame, members: DataFrame, occurrences: DataFrame, *, depth:
     for _ in range(depth - 1):
         at = at.join(up, (F.col("node") == F.col("_c")) & ~F.array_contains("seen", F.col("_p")))
         at = at.select("origin", F.col("_p").alias("node"), F.array_append("seen", F.col("_p")).alias("seen"), F.concat(F.array("selector"), "selectors").alias("selectors"))
+        at = stored(at, "routes")
+        if at.isEmpty():
+            break
         every = every.union(at)
     files = occurrences.select(F.col("doc_id").cast("string").alias("node"), "path", "available")
     found = every.join(files, "node").withColumnRenamed("origin", "doc_id")
