@@ -101,9 +101,12 @@ class Order:
 
 @dataclass
 class Model:
+    """``told``: the ratios of all counted n-grams, so that only others go through the back-off."""
+
     orders: list[Order]
     rate: float
     curve: np.ndarray
+    told: np.ndarray
 
     @staticmethod
     def of(keys: np.ndarray, c: np.ndarray, rate: float) -> Model:
@@ -116,13 +119,13 @@ class Model:
             n = np.column_stack([np.bincount(at, have[:, j], len(keys)) for j in range(3)]).astype(np.int64)
             have = n > 0
             orders.append(Order.of(keys, n))
-        return Model(orders[::-1], rate, np.zeros(5))
+        model = Model(orders[::-1], rate, np.zeros(5), np.zeros(0))
+        top = model.orders[-1].keys
+        model.told = np.concatenate([model.ratios(top[i : i + 50_000]) for i in range(0, len(top), 50_000)] or [model.told])
+        return model
 
-    def evidence(self, words: list[bytes]) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each word."""
-        if not words or not len(self.orders[0].keys):
-            return np.zeros(len(words))
-        keys, size = spelled(words)
+    def ratios(self, keys: np.ndarray) -> np.ndarray:
+        """Logarithm of the toxic over the ordinary probability of each n-gram's last byte."""
         p = np.full((len(keys), 3), 1 / 256)
         for k, o in enumerate(self.orders, 1):
             g = keys & ((1 << 8 * k) - 1)
@@ -134,8 +137,21 @@ class Model:
             mix = lambda lower, n=n, total=total, follow=follow, each=each, d=o.discount: np.where(total > 0, np.maximum(n - d, 0) / each + np.minimum(1, d * follow / each) * lower, lower)
             pooled = mix(p)[:, 2]
             p = mix(np.column_stack([(p[:, 0] + pooled) / 2, (p[:, 1] + pooled) / 2, p[:, 2]]))
-        first = np.cumsum(size) - size
-        return np.add.reduceat(np.log(np.maximum(p[:, 1], 1e-300)) - np.log(np.maximum(p[:, 0], 1e-300)), first)
+        return np.log(np.maximum(p[:, 1], 1e-300)) - np.log(np.maximum(p[:, 0], 1e-300))
+
+    def evidence(self, words: list[bytes]) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each word."""
+        if not words or not len(self.orders[0].keys):
+            return np.zeros(len(words))
+        keys, size = spelled(words)
+        top = self.orders[-1].keys
+        at = _find(top, keys)
+        out = np.append(self.told, 0)[at]
+        new = at == len(top)
+        if new.any():
+            different, back = np.unique(keys[new], return_inverse=True)
+            out[new] = self.ratios(different)[back]
+        return np.add.reduceat(out, np.cumsum(size) - size)
 
     def features(self, texts: list[str | None], known: dict[bytes, float]) -> np.ndarray:
         """A row for each text; ``known`` remembers evidence between calls."""
@@ -189,9 +205,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, text: str, folds: int,
     # The expected number is max_rows, with a few in a hundred to spare.
     chosen = known.filter(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
     t = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
-    counts = ngram_counts(t.filter("_fold != 1")).toPandas().sort_values("key")
+    found = ngram_counts(t.filter("_fold != 1")).toArrow()
+    keys, counts = found.column("key").to_numpy(), np.column_stack([found.column(f"c{c}").to_numpy() for c in range(2)])
+    order = np.argsort(keys)
     rate = t.agg(F.avg("_toxic").alias("r")).first()["r"]
-    model = Model.of(counts["key"].to_numpy(np.int64), counts[["c0", "c1"]].to_numpy(np.int64), 0.5 if rate is None else float(rate))
+    model = Model.of(keys[order], counts[order], 0.5 if rate is None else float(rate))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +218,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, text: str, folds: int,
             x = sent.value.features(b.column(0).to_pylist(), known).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    held = t.filter("_fold = 1").select("_text", "_toxic").mapInArrow(run, "x array<double>, y int").toPandas()
-    y = held["y"].to_numpy(float)
-    if len(y) and 0 < y.sum() < len(y) and (counts[["c0", "c1"]].sum() > 0).all():
-        model.curve = logistic(np.vstack(held["x"]), y)
+    held = t.filter("_fold = 1").select("_text", "_toxic").mapInArrow(run, "x array<double>, y int").toArrow()
+    y = held.column("y").to_numpy().astype(float)
+    if len(y) and 0 < y.sum() < len(y) and (counts.sum(0) > 0).all():
+        model.curve = logistic(np.array(held.column("x").to_pylist()), y)
     else:
         r = min(max(model.rate, 1e-6), 1 - 1e-6)
         model.curve = np.array([np.log(r / (1 - r)), 0.0, 0.0, 0.0, 0.0])
