@@ -82,4 +82,24 @@ k AS (SELECT a, count(*) AS n_links, count(*) FILTER (copy) AS twins, count(DIST
 SELECT d AS doc_id, class_id, coalesce(n_links, 0) AS n_links, 1 + coalesce(twins, 0) AS n_copies, coalesce(n_texts, 0) AS n_texts FROM g LEFT JOIN k ON a = d
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op10_url_filter": OP10}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+OP8 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t, {_WORDS} AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+x AS (SELECT id, unnest(list_transform(range(1, len(w) - 3), lambda i: struct_pack(i := i, win := w[i:i + 4]))) AS x FROM d WHERE len(w) > 5),
+g AS (SELECT id, unnest(list(x.i)) AS i FROM x GROUP BY id, x.win HAVING count(*) > 1),
+r AS (SELECT id, count(DISTINCT place) AS n FROM (SELECT id, unnest(range(i, i + 5)) AS place FROM g) GROUP BY id),
+s AS (SELECT id, host, list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+l AS (SELECT id, host, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+  substr(md5(trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ')), 1, 16) AS h FROM (SELECT id, host, unnest(ls) AS l FROM s)),
+m AS (SELECT id, min(h) AS doc FROM l GROUP BY id),
+f AS (SELECT host, h FROM l JOIN m USING (id) GROUP BY host, h HAVING count(DISTINCT doc) > 200),
+q AS (SELECT id, sum(n) AS gone FROM l SEMI JOIN f USING (host, h) GROUP BY id),
+a AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(list_sum(list_transform(w, lambda y: length(y))) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(s.ls) - len(list_distinct(s.ls)) AS BIGINT) AS n_dup_lines,
+  coalesce(r.n, 0) AS n_repeat_words, CAST(coalesce(gone, 0) AS BIGINT) AS removed_words FROM d JOIN s USING (id) LEFT JOIN r USING (id) LEFT JOIN q USING (id)),
+b AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed FROM a)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words,
+  NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < n_words * 0.3)) AS kept FROM b
+"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_line_quality": OP8, "op10_url_filter": OP10}
