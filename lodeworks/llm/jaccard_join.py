@@ -356,12 +356,12 @@ def joined(docs: DataFrame, *, key: str, text: str, threshold: float) -> DataFra
     """As ``join``, with the key as _key and the hash of the text as _id; class ids as _class."""
     rows = stored(sketch(docs, key, text), "sketch")
     full = rows.filter("node IS NOT NULL")
-    nodes = stored(full.groupBy("node").agg(F.first("sig").alias("sig"), F.count("*").alias("_copies"), F.min("_key").alias("_least")), "nodes")
+    nodes = stored(full.groupBy("node").agg(F.first("sig").alias("sig"), F.count("*").alias("_copies"), F.min("_key").alias("_least"), F.min(F.struct("_key", "_id")).alias("_row")), "nodes")
     edges = stored(probable_edges(nodes, threshold), "probable")
     families = components(edges, "families")
     # A text for each node in a family: that of the least row with its shingle set.
-    chosen = full.join(families, "node").groupBy("node", "root").agg(F.min(F.struct("_key", "_id")).alias("_r"))
-    chosen = stored(chosen.select("node", F.col("root").alias("family"), F.col("_r._key").alias("_k"), F.col("_r._id").alias("_i")), "members")
+    chosen = families.join(nodes.select("node", "_row"), "node")
+    chosen = stored(chosen.select("node", F.col("root").alias("family"), F.col("_row._key").alias("_k"), F.col("_row._id").alias("_i")), "members")
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.xxhash64(text_of("_text")) == F.col("_i"))
     member = texts.join(F.broadcast(chosen) if within(chosen, BROADCAST_MEMBERS) else chosen, same)
