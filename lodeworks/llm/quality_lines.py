@@ -3,8 +3,8 @@
 Lines are normalised (trimmed, lower-cased, runs of white space and of digits
 made one), hashed, and counted: in how many distinct documents of a host does a
 line stand? Copies must not count as documents of their own, or every copied text
-would be called boilerplate, so documents are told apart by the least of their
-line hashes, which copies and near copies share. Lines above ``line_limit``
+would be called boilerplate, so documents are told apart by the whole set of
+their line hashes, which only copies share. Lines above ``line_limit``
 distinct documents are removed; a document of which less than ``min_left`` of the
 words or fewer than ``min_words`` remain is rejected as depleted.
 
@@ -89,8 +89,9 @@ def judged(
     rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
     rows = stored(rows, "quality-rows")
 
-    # Distinct documents a line: groups of copies share the least hash.
-    spread = rows.select("_host", F.array_min(F.transform("_lined", lambda x: x["h"])).alias("_doc"), F.explode(F.array_distinct(F.transform("_lined", lambda x: x["h"]))).alias("_h"))
+    # Distinct documents a line: groups of copies share the set of hashes.
+    hashes = F.sort_array(F.array_distinct(F.transform("_lined", lambda x: x["h"])))
+    spread = rows.select("_host", F.xxhash64(hashes).alias("_doc"), F.explode(hashes).alias("_h"))
     docs_of = spread.groupBy("_host", "_h", "_doc").agg(F.lit(1).alias("_one")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
     frequent = stored(docs_of.filter(F.col("_n") > line_limit).select("_host", "_h"), "quality-lines")
 
