@@ -2,11 +2,12 @@
 
 A window is ``length`` consecutive words of an item; an item of fewer words is one
 window. The corpus is asked how often each test term stands in it. Every window
-then names its rarest terms as anchors, and the postings (term, document,
-position) of the anchors are stored. Taking an anchor's offset in its item from a
-posting's position gives a diagonal, on which all terms of an occurrence agree;
-intersecting the anchors' lists on (document, item, diagonal) leaves few
-candidates, whose windows are then compared word by word.
+then names as anchors the rarest of its terms that occur, two more than may be
+missing, and the postings (term, document, position) of the anchors are stored.
+Taking an anchor's offset in its item from a posting's position gives a diagonal,
+on which all terms of an occurrence agree. Whatever words are missing, two anchors
+of a match stay in place, so the diagonals (document, item, shift) with two anchors
+are the candidates, whose windows are then compared word by word.
 
 Two kinds of match come back: exact phrases (all words of a window in place) and
 proximity matches (at least ``near`` of a window's words in place).
@@ -48,37 +49,41 @@ def test_items(items: DataFrame, item: str, text: str) -> DataFrame:
     return t.withColumn("_item", F.xxhash64("_terms")).withColumn("_times", F.size("_ids") + F.col("_no_id")).drop("_no_id")
 
 
-def anchors(tests: DataFrame, counts: DataFrame, length: int, rarest: int) -> DataFrame:
-    """_item, _place and _term of the rarest terms of each window that can occur at all."""
+def anchors(tests: DataFrame, counts: DataFrame, length: int, near: int) -> DataFrame:
+    """_item, _place and _term of the anchors of each window that can match, and _need, how many of them any match has in place."""
     placed = tests.select("_item", F.posexplode(F.transform("_terms", lambda w: F.xxhash64(w))).alias("_place", "_term"))
     placed = placed.join(counts, "_term", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     rows = placed.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct("_place", "_term", "_n"))).alias("_t"))
     size = F.least(F.size("_t"), F.lit(length))
     by_count = lambda w: F.sort_array(F.transform(w, lambda x: F.struct(x["_n"].alias("n"), x["_place"].alias("place"), x["_term"].alias("term"))))
-    one = rows.select("_item", F.explode(F.transform(F.sequence(F.lit(1), F.size("_t") - size + 1), lambda s: by_count(F.slice("_t", s, size)))).alias("_w"))
-    one = one.filter(F.col("_w")[0]["n"] > 0)
-    return one.select("_item", F.explode(F.slice("_w", 1, rarest)).alias("_a")).select("_item", F.col("_a.place").alias("_place"), F.col("_a.term").alias("_term")).distinct()
+    one = rows.select("_item", size.alias("_size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("_t") - size + 1), lambda s: by_count(F.slice("_t", s, size)))).alias("_w"))
+    # Terms that the corpus lacks are missing in any case; the rest of what may be missing can be any of the others.
+    one = one.withColumn("_absent", F.size(F.filter("_w", lambda x: x["n"] == 0)))
+    one = one.withColumn("_spare", F.floor(F.col("_size") * (length - near) / length).cast("int") - F.col("_absent")).filter("_spare >= 0 AND _absent < _size")
+    one = one.withColumn("_chosen", F.slice("_w", F.col("_absent") + 1, F.greatest(F.col("_spare") + 2, F.lit(0))))
+    one = one.withColumn("_need", F.size("_chosen") - F.col("_spare"))
+    one = one.select("_item", "_need", F.explode("_chosen").alias("_a")).select("_item", F.col("_a.place").alias("_place"), F.col("_a.term").alias("_term"), "_need")
+    return one.groupBy("_item", "_place", "_term").agg(F.min("_need").alias("_need"))
 
 
-def candidates(docs: DataFrame, tests: DataFrame, length: int, rarest: int) -> DataFrame:
+def candidates(docs: DataFrame, tests: DataFrame, length: int, near: int) -> DataFrame:
     """_key, _id, _item and _shift (document position less item position) on which anchors meet."""
     terms = stored(tests.select(F.explode(F.transform("_terms", lambda w: F.xxhash64(w))).alias("_term")).distinct(), "terms")
     spoken = docs.select(F.explode(F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))).alias("_term"))
     counts = stored(spoken.join(_small(terms), "_term", "left_semi").groupBy("_term").agg(F.count("*").alias("_n")), "term-counts")
-    marks = stored(anchors(tests, counts, length, rarest), "anchors")
+    marks = stored(anchors(tests, counts, length, near), "anchors")
     wanted = marks.select("_term").distinct()
     at = docs.select("_key", "_id", F.posexplode(F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))).alias("_at", "_term"))
     postings = stored(at.join(_small(wanted), "_term", "left_semi"), "postings")
     met = postings.join(_small(marks), "_term").withColumn("_shift", F.col("_at") - F.col("_place"))
-    met = met.groupBy("_key", "_id", "_item", "_shift").agg(F.collect_set("_place").alias("_places"))
-    met = met.join(tests.select("_item", F.size("_terms").alias("_len")), "_item")
-    return met.filter(F.size("_places") >= F.least("_len", F.lit(rarest))).select("_key", "_id", "_item", "_shift")
+    met = met.groupBy("_key", "_id", "_item", "_shift").agg(F.collect_set("_place").alias("_places"), F.min("_need").alias("_need"))
+    return met.filter(F.size("_places") >= F.col("_need")).select("_key", "_id", "_item", "_shift")
 
 
-def find(docs: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, length: int = 10, near: int = 8, rarest: int = 2) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, length: int = 10, near: int = 8) -> DataFrame:
     """_key, _id, n_hit, items (ids of exact matches, sorted), n_items and n_near of the documents with candidates."""
     t, tests = keyed(docs, key, text), stored(test_items(items, item, item_text), "items")
-    found = stored(candidates(t, tests, length, rarest), "candidates")
+    found = stored(candidates(t, tests, length, near), "candidates")
     grouped = found.join(tests, "_item").groupBy("_key", "_id").agg(F.collect_list(F.struct("_item", "_shift", "_terms", "_ids", "_times")).alias("_c"))
     mine = _small(found.select(F.col("_key").alias("_k"), F.col("_id").alias("_i")).distinct())
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i"))
