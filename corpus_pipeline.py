@@ -34,9 +34,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the mix takes, in training order, with the words taken and the position."""
+    """Documents the mix takes, in training order, with the words taken and the position; a row for each pass over a document."""
     own = [c for c in docs.columns if c != "doc_id"]
-    out = mixing.mix(docs.select("doc_id", F.struct(*own).alias("_row"), "text", "source"), weights=MIX_WEIGHTS, keep=("_row",))
+    out = mixing.mix(docs.select("doc_id", F.struct(*own).alias("_row"), "text", "source"), weights=MIX_WEIGHTS, keep=("_row",), by_pass=True)
     taken, position = (_free(name, docs.columns) for name in ("taken", "position"))
     rows = out.filter("taken > 0").select("doc_id", *[F.col("_row")[c].alias(c) for c in own], F.col("taken").alias(taken), F.col("position").alias(position))
     return rows.select(*docs.columns, taken, position)

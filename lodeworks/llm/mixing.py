@@ -7,9 +7,9 @@ level, found by sorting the sources by ``cap / weight``.
 
 Curriculum: each source has a weight schedule over training time 0 to 1, a line
 from ``start`` to ``end``. Its integral is the source's cumulative demand. The
-documents of a source stand in a fixed pseudo-random order; inverting the demand
-at the words before a document gives its position, and the result is range-sorted
-by position.
+documents of a source stand in a fixed pseudo-random order, which is passed over
+up to ``max_repeat`` times; inverting the demand at the words before a document in
+a pass gives its position there, and the result is range-sorted by position.
 
 Prefix sums run within (source, slice of the order) and then over the slices'
 totals, so that a source with a third of all rows is shared by many tasks.
@@ -74,12 +74,16 @@ def mix(
     text: str = "text",
     source: str = "source",
     keep: Sequence[str] = (),
+    by_pass: bool = False,
 ) -> DataFrame:
     """One row per document: key, size, source_size, target, taken, position, source and ``keep``, sorted by position.
 
     ``weights`` and ``schedules`` repeat over the sources in code-point order. The
     words taken from a source are its target rounded down; its last document may
     give only a part. Documents with ``taken`` 0 keep a row with null position.
+    The position is that of the first pass and ``taken`` the sum of all; with
+    ``by_pass`` there is a row for each pass that takes words, with its number in
+    ``nth_pass`` (null where none does), its own words and its own position.
     """
     own = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
     sized = stored(
@@ -119,15 +123,18 @@ def mix(
     placed = placed.withColumn("_before", F.col("_before") + F.col("_offset"))
     passes = int(max_repeat) + (max_repeat != int(max_repeat))
     whole = F.floor("target")
-    taken = sum(
-        (F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("source_size") * p - F.col("_before"))) for p in range(passes)),
-        F.lit(0),
-    )
+    took = [F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("source_size") * p - F.col("_before"))).cast("long") for p in range(passes)]
+    if by_pass:
+        every = F.array(*[F.struct(F.lit(p + 1).alias("nth"), x.alias("taken")) for p, x in enumerate(took)])
+        placed = placed.withColumn("_pass", F.explode_outer(F.filter(every, lambda x: x["taken"] > 0)))
+        placed = placed.withColumn("nth_pass", F.col("_pass.nth")).withColumn("taken", F.coalesce("_pass.taken", F.lit(0).cast("long")))
+        placed = placed.withColumn("_before", F.col("_before") + F.coalesce(F.col("nth_pass") - 1, F.lit(0)) * F.col("source_size"))
+    else:
+        placed = placed.withColumn("taken", sum(took, F.lit(0)).cast("long"))
     share = F.when(F.col("target") > 0, F.col("_before") / F.col("target"))
-    placed = placed.withColumn("taken", taken.cast("long"))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, F.round(position(share, F.col("_line.a"), F.col("_line.b")), 9)))
     ordered = placed.orderBy(F.col("position").asc_nulls_last(), "_order")
     return ordered.select(
         F.col("_key").alias(key), "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "position",
-        *([F.col(f"_own.{c}").alias(c) for c in keep]),
+        *(["nth_pass"] if by_pass else []), *([F.col(f"_own.{c}").alias(c) for c in keep]),
     )

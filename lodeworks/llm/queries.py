@@ -51,6 +51,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, max_repeat=3)
 
 
+def op5_mix_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each pass over a document, which the columns that SQL states for op5 leave out."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=MIX_WEIGHTS, max_repeat=3, by_pass=True)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5)
 
@@ -101,7 +106,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_pii, op2_lm_score, op3_decontaminate, op3_proximity, op4_jaccard_join, op5_mix_sources, op6_toxicity,
+        op1_pii, op2_lm_score, op3_decontaminate, op3_proximity, op4_jaccard_join, op5_mix_sources, op5_mix_passes, op6_toxicity,
         op7_chat_format, op8_line_quality, op9_secret_scan, op10_url_filter,
     )
 }
