@@ -11,8 +11,9 @@ from lodeworks.llm.queries import MIX_WEIGHTS, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others stay as they are."""
-    return quality_lines.accepted(docs)
+    """Rejected documents go, and the frequent lines of the others; ``n_chars`` follows."""
+    out = quality_lines.accepted(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

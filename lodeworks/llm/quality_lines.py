@@ -28,6 +28,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Frequent lines are broadcast up to this many (16 bytes each); beyond it both sides are shuffled.
 BROADCAST_LINES = 200_000
+#: Documents that lose lines are broadcast up to this many, with the hashes of the lines.
+BROADCAST_DOCS = 50_000
 
 
 def repeat_words(words: Column) -> Column:
@@ -67,6 +69,14 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), f"{SPACE}+", " "), "[0-9]+", "0"))
 
 
+def line_hash(line: Column) -> Column:
+    return F.substring(F.md5(normal_line(line)), 1, 16)
+
+
+def host_of(host: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit(""))
+
+
 def judged(
     docs: DataFrame,
     *,
@@ -78,13 +88,13 @@ def judged(
     line_limit: int = 200,
     min_left: float = 0.3,
 ) -> DataFrame:
-    """As ``judge``, with the key as _key and the hash of the text as _id."""
-    host_key = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
+    """As ``judge``, with the key as _key, the hash of the text as _id, the host as _host and the hashes of removed lines as _gone_lines."""
+    host_key = host_of(F.col(host))
     t = docs.select(F.col(key).alias("_key"), text_of(text).alias("_text"), host_key.alias("_host"))
     t = t.withColumn("_words", F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0))).withColumn("_lines", F.split("_text", "\n", -1))
     m = measures(F.col("_text"), F.col("_words"), F.col("_lines"))
     spoken = F.filter("_lines", lambda x: F.rlike(x, F.lit(TOKEN)))
-    hashed = F.transform(spoken, lambda x: F.struct(F.substring(F.md5(normal_line(x)), 1, 16).alias("h"), F.regexp_count(x, F.lit(TOKEN)).alias("n")))
+    hashed = F.transform(spoken, lambda x: F.struct(line_hash(x).alias("h"), F.regexp_count(x, F.lit(TOKEN)).alias("n")))
     rows = t.select("_key", F.xxhash64("_text").alias("_id"), "_host", *[c.cast("long").alias(k) for k, c in m.items()], hashed.alias("_lined"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent))
     rows = stored(rows, "quality-rows")
@@ -99,20 +109,31 @@ def judged(
     lines = lines.select("_key", "_id", "_host", "_at", F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
     hit = lines.join(F.broadcast(frequent) if within(frequent, BROADCAST_LINES) else frequent, ["_host", "_h"])
     # Repeated rows have the same lines at the same places, which count once.
-    hit = hit.groupBy("_key", "_id", "_host", "_at").agg(F.max("_n").alias("_n"))
-    removed = hit.groupBy(F.col("_key").alias("_k"), F.col("_id").alias("_i"), F.col("_host").alias("_o")).agg(F.sum("_n").alias("_gone"))
+    hit = hit.groupBy("_key", "_id", "_host", "_at").agg(F.max("_n").alias("_n"), F.max("_h").alias("_h"))
+    removed = hit.groupBy(F.col("_key").alias("_k"), F.col("_id").alias("_i"), F.col("_host").alias("_o")).agg(F.sum("_n").alias("_gone"), F.collect_set("_h").alias("_gone_lines"))
     own = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i")) & (F.col("_host") == F.col("_o"))
     out = rows.join(removed, own, "left").withColumn("removed_words", F.coalesce("_gone", F.lit(0)).cast("long"))
     left = F.col("n_words") - F.col("removed_words")
     depleted = (F.col("removed_words") > 0) & ((left < min_words) | (left < F.col("n_words") * min_left))
-    return out.select("_key", "_id", *m, "base_failed", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
+    return out.select("_key", "_id", "_host", "_gone_lines", *m, "base_failed", "removed_words", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **rules: object) -> DataFrame:
     """One row per document: key, the measures, base_failed, removed_words and kept."""
-    return judged(docs, key=key, text=text, **rules).drop("_id").withColumnRenamed("_key", key)
-
-
-def accepted(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **rules: object) -> DataFrame:
-    """The documents that the rules keep, as they are."""
-    return without(docs, judged(docs, key=key, text=text, **rules).filter("NOT kept"), key, text)
+    return judged(docs, key=key, text=text, **rules).drop("_id", "_host", "_gone_lines").withColumnRenamed("_key", key)
+
+
+def accepted(docs: DataFrame, *, key: str = "doc_id", text: str = "text", host: str = "source", **rules: object) -> DataFrame:
+    """The documents that the rules keep, without their frequent lines; other columns as they are."""
+    rows = judged(docs, key=key, text=text, host=host, **rules).filter("NOT kept OR removed_words > 0")
+    rows = stored(rows.select("_key", "_id", "_host", "_gone_lines", "kept"), "judged")
+    left = without(docs, rows.filter("NOT kept"), key, text)
+    # Repeated rows have the same lines, so one of them tells.
+    gone = rows.filter("kept").groupBy(F.col("_key").alias("__key"), F.col("_id").alias("__id"), F.col("_host").alias("__host")).agg(F.first("_gone_lines").alias("__gone"))
+    gone = stored(gone, "gone-lines")
+    gone = F.broadcast(gone) if within(gone, BROADCAST_DOCS) else gone
+    old = left[text].cast("string")
+    same = left[key].eqNullSafe(gone["__key"]) & (F.xxhash64(F.coalesce(old, F.lit(""))) == gone["__id"]) & (host_of(left[host]) == gone["__host"])
+    rest = F.filter(F.split(old, "\n", -1), lambda x: ~(F.rlike(x, F.lit(TOKEN)) & F.array_contains(gone["__gone"], line_hash(x))))
+    new = F.when(gone["__gone"].isNull(), left[text]).otherwise(F.array_join(rest, "\n")).alias(text)
+    return left.join(gone, same, "left").select(*[new if c == text else left[c] for c in left.columns])
