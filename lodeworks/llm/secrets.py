@@ -3,15 +3,18 @@
 A text is the first layer. A worklist holds layers; each is scanned for secrets,
 and every part of it that decodes (percent escapes, backslash and HTML character
 escapes, base64, and gzip, zlib, bzip2 or xz data inside base64) makes a new
-layer, until no new one comes. A layer whose content was seen before in the
-document is not worked on again, so no cycle is followed. Each layer carries the
-span of the original text behind every one of its characters: by character for
-escapes, by the whole encoded part for base64 and compressed data.
+layer, until no new one comes. Each layer carries the span of the original text
+behind every one of its characters: by character for escapes, by the whole encoded
+part for base64 and compressed data. All that lies below an encoded part has the
+part's span, so a part gives a set of kinds, which is worked out once and told at
+every place where the part stands; below a part no content is worked on twice, so
+no cycle is followed.
 
 Defined results: null text is the empty text; an empty table gives an empty
 result; repeated rows are answered alike; other columns are neither read nor
-returned. Data that unpacks to over ``MAX_UNPACKED`` bytes is read up to there,
-so that a small text cannot fill an executor's memory; this is the only limit.
+returned. Compressed data may have several members. Data that unpacks to over
+``MAX_UNPACKED`` bytes is read up to there, so that a small text cannot fill an
+executor's memory; this is the only limit.
 """
 
 from __future__ import annotations
@@ -128,22 +131,33 @@ def _kept(layer: Layer, start: int, end: int, runs: list, n: int) -> None:
         n, start, i = n + stop - start, stop, i + 1
 
 
-def unpacked(raw: bytes) -> bytes | None:
-    """Decompressed data; null if ``raw`` is in no known form. Truncated data gives what it holds."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_UNPACKED)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MAX_UNPACKED)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_UNPACKED)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=MAX_UNPACKED * 2).decompress(raw, MAX_UNPACKED)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None
+def _opened(raw: bytes):  # noqa: ANN202
+    """A decompressor for the member that ``raw`` starts with; null if it is in no known form."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=MAX_UNPACKED * 2)
     return None
 
 
+def unpacked(raw: bytes) -> bytes | None:
+    """Decompressed data of all members; null if ``raw`` is in no known form. Truncated data gives what it holds."""
+    out, left = [], MAX_UNPACKED
+    while left > 0 and (d := _opened(raw)) is not None:
+        try:
+            out.append(d.decompress(raw, left))
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            break
+        left -= len(out[-1])
+        # Zeros may stand behind a member.
+        raw = d.unused_data.lstrip(b"\0") if d.eof else b""
+    return b"".join(out) if out else None
+
+
 def _readable(raw: bytes) -> str | None:
     if not raw:
         return None
@@ -172,29 +186,41 @@ def decoded(s: str) -> str | None:
     return _readable(raw)
 
 
+def _words(text: str) -> Iterator[re.Match]:
+    """The base64 words of a text that may decode."""
+    if any(len(w) >= 16 and MIXED.search(w) for w in text.split()):
+        yield from (m for m in BASE64.finditer(text) if MIXED.search(m.group()))
+
+
+def hidden(word: str) -> frozenset[int]:
+    """The kinds of the secrets in all layers below a base64 word."""
+    kinds, seen, todo = set(), set(), [decoded(word)]
+    while todo:
+        text = todo.pop()
+        if not text or (mark := hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()) in seen:
+            continue
+        seen.add(mark)
+        kinds |= {k for k, _, _ in scan(text)}
+        if (plain := unescaped(Layer(text, [(0, 0, len(text), True)]))) is not None:
+            todo.append(plain.text)
+        todo += (decoded(m.group()) for m in _words(text))
+    return frozenset(kinds)
+
+
 def worklist(text: str) -> list[Span]:
     """(kind, start, end) in the original of all secrets of all layers, without repeats, in order."""
-    found = set(scan(text))
-    seen = {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
-    todo = [Layer(text, [(0, 0, len(text), True)])]
-    while todo:
-        layer = todo.pop()
-        new = []
-        if (plain := unescaped(layer)) is not None:
-            new.append(plain)
-        for m in BASE64.finditer(layer.text) if any(len(w) >= 16 and MIXED.search(w) for w in layer.text.split()) else ():
-            if MIXED.search(m.group()) and (inner := decoded(m.group())) is not None:
-                new.append(Layer(inner, [(0, *layer.origin(m.start(), m.end()), False)]))
-        for x in new:
-            mark = hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest()
-            # The same content at another place is scanned for its own span but leads to nothing new below.
-            if mark in seen and not x.runs[0][3] and len(x.runs) == 1:
-                found |= {(k, *x.origin(s, e)) for k, s, e in scan(x.text)}
-            if mark in seen or not x.text:
-                continue
-            seen.add(mark)
-            found |= {(k, *x.origin(s, e)) for k, s, e in scan(x.text)}
-            todo.append(x)
+    found, known = set(), {}
+    layer = Layer(text, [(0, 0, len(text), True)])
+    # Undoing escapes shortens a text, so this ends.
+    while layer is not None and layer.text:
+        found |= {(k, *layer.origin(s, e)) for k, s, e in scan(layer.text)}
+        for m in _words(layer.text):
+            if (word := m.group()) not in known:
+                known[word] = hidden(word)
+            if known[word]:
+                span = layer.origin(m.start(), m.end())
+                found |= {(k, *span) for k in known[word]}
+        layer = unescaped(layer)
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
