@@ -186,6 +186,14 @@ def byte_slice(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", text.byte_slice(F.col("text"), F.lit(0), F.least(F.lit(64), F.octet_length("text"))).alias("slice"))
 
 
+@query()
+def byte_slice_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of every passage's range, over the whole text of all documents."""
+    docs = table(spark, d, "documents")
+    c = chunking.chunk(docs).select("doc_id", "start_byte", "end_byte").join(docs.select("doc_id", "text"), "doc_id")
+    return c.select("doc_id", "start_byte", "end_byte", text.byte_slice(F.col("text"), F.col("start_byte"), F.col("end_byte")).alias("slice"))
+
+
 @query()
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.strip_html("html").alias("text"))
