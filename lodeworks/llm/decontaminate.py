@@ -1,21 +1,25 @@
 """Benchmark decontamination with a positional inverted index.
 
 A window is ``length`` consecutive words of an item; an item of fewer words is one
-window. The corpus is asked how often each test term stands in it. Every window
-then names as anchors the rarest of its terms that occur, two more than may be
-missing, and the postings (term, document, position) of the anchors are stored.
-Taking an anchor's offset in its item from a posting's position gives a diagonal,
-on which all terms of an occurrence agree. Whatever words are missing, two anchors
-of a match stay in place, so the diagonals (document, item, shift) with two anchors
-are the candidates, whose windows are then compared word by word.
+window. One pass over the corpus stores the postings of the test terms: for each
+document the hash of the word at every position, 0 where it is no test term. They
+tell how often each test term stands in the corpus.
+
+With ``length - near`` of ``length`` words missing at most, and some perhaps wanting
+in the whole corpus, a window's other terms are dealt to one group more than may
+still be missing, so that one group of any match is whole. The rarest terms lead a
+group each, the next ones follow. Leaders fetch their positions; a follower must
+stand at its offset from there, which intersects the offset-adjusted lists. The
+windows around a place that passes are compared position by position.
 
 Two kinds of match come back: exact phrases (all words of a window in place) and
 proximity matches (at least ``near`` of a window's words in place).
 
-Defined results: null text has no words; items without words match nothing; items
-of the same words are searched for once and all reported; a null item id counts
-as an item and is left out of id lists; empty tables give no hits; repeated
-document rows are answered alike; other columns are neither read nor returned.
+Words are compared by 64 bits of hash. Null text has no words; items without words
+match nothing; items of the same words are searched for once and all reported; a
+null item id counts as an item and is left out of id lists; empty tables give no
+hits; repeated document rows are answered alike; other columns are neither read nor
+returned.
 """
 
 from __future__ import annotations
@@ -23,121 +27,145 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import WORD, ascii_lower, let, stored, text_of, within, without
+from lodeworks.llm.common import WORD, ascii_lower, block_join, let, stored, text_of, within, without
 
-#: Test terms, and keys of candidate documents, are broadcast up to this many (16 bytes each).
-BROADCAST_ROWS = 500_000
+#: Anchors (some 300 bytes each) and items are broadcast in blocks of so many; keys of hit documents up to BROADCAST_ROWS.
+BLOCK_ANCHORS, BLOCK_ITEMS, BROADCAST_ROWS = 200_000, 200_000, 500_000
+#: Bits of the filter that tells test terms from other words before postings are stored. A fuller filter stores more words, and no fewer.
+FILTER_BITS = 1 << 20
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if within(df, BROADCAST_ROWS) else df
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
 
+def test_items(items: DataFrame, item: str, text: str) -> DataFrame:
+    """_item, _ids, _times and _terms (hashes) of the items of different words."""
+    t = items.select(F.col(item).cast("string").alias("_one"), words_of(text_of(text)).alias("_words"))
+    t = t.filter(F.size("_words") > 0).groupBy("_words").agg(F.collect_set("_one").alias("_ids"), F.max(F.col("_one").isNull().cast("int")).alias("_no_id"))
+    return t.select(F.xxhash64("_words").alias("_item"), "_ids", (F.size("_ids") + F.col("_no_id")).cast("long").alias("_times"), hashed(F.col("_words")).alias("_terms"))
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_key, _id (a hash that tells rows of one key apart) and _text."""
-    return docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_id"), text_of(text).alias("_text"))
 
+def term_filter(tests: DataFrame) -> Column:
+    """A literal array of ``FILTER_BITS`` bits in which those of all test terms are set; that many bits come to the driver at most."""
+    bit = F.col("_t").bitwiseAND(F.lit(FILTER_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    rows = tests.select(F.explode("_terms").alias("_t")).groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("bits"))
+    bits = ["0"] * (FILTER_BITS // 64)
+    for r in rows.collect():
+        bits[r["at"]] = str(r["bits"])
+    return F.split(F.lit(",".join(bits)), ",").cast("array<bigint>")
 
-def test_items(items: DataFrame, item: str, text: str) -> DataFrame:
-    """_item, _ids and _terms of the items of different words."""
-    t = items.select(F.col(item).cast("string").alias("_one"), words_of(text_of(text)).alias("_terms"))
-    t = t.filter(F.size("_terms") > 0).groupBy("_terms").agg(F.collect_set("_one").alias("_ids"), F.max(F.col("_one").isNull().cast("int")).alias("_no_id"))
-    return t.withColumn("_item", F.xxhash64("_terms")).withColumn("_times", F.size("_ids") + F.col("_no_id")).drop("_no_id")
+
+def postings(docs: DataFrame, tests: DataFrame, key: str, text: str) -> DataFrame:
+    """_key, _id (a hash that tells rows of one key apart), n_words and _at: the hash of the term at each position, 0 for other words."""
+    held = term_filter(tests)
+
+    def term(h: Column) -> Column:
+        bit = h.bitwiseAND(F.lit(FILTER_BITS - 1))
+        found = F.getbit(F.get(held, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(found == 1, h).otherwise(F.lit(0).cast("long"))
+
+    kept = let(hashed(words_of(F.col("_text"))), lambda hs: F.struct(F.size(hs).cast("long").alias("n"), F.transform(hs, term).alias("at")))
+    t = docs.select(F.col(key).alias("_key"), F.xxhash64(text_of(text)).alias("_id"), text_of(text).alias("_text"))
+    return t.select("_key", "_id", kept.alias("_k")).select("_key", "_id", F.col("_k.n").alias("n_words"), F.col("_k.at").alias("_at"))
 
 
 def anchors(tests: DataFrame, counts: DataFrame, length: int, near: int) -> DataFrame:
-    """_item, _place and _term of the anchors of each window that can match, and _need, how many of them any match has in place."""
-    placed = tests.select("_item", F.posexplode(F.transform("_terms", lambda w: F.xxhash64(w))).alias("_place", "_term"))
+    """The leaders of each window that can match, with the offsets of their followers and what stands around them.
+
+    ``_term`` leads at ``_place`` of ``_item``; ``_d1`` and ``_d2`` are the offsets of the
+    followers ``_t1`` and ``_t2`` (null: none). ``_around`` holds the item's terms
+    from ``_place - _lead`` on, as far as windows of ``_size`` terms with the place reach.
+    """
+    placed = tests.select("_item", F.posexplode("_terms").alias("_place", "_term"))
     placed = placed.join(counts, "_term", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     rows = placed.groupBy("_item").agg(F.sort_array(F.collect_list(F.struct("_place", "_term", "_n"))).alias("_t"))
     size = F.least(F.size("_t"), F.lit(length))
     by_count = lambda w: F.sort_array(F.transform(w, lambda x: F.struct(x["_n"].alias("n"), x["_place"].alias("place"), x["_term"].alias("term"))))
     one = rows.select("_item", size.alias("_size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("_t") - size + 1), lambda s: by_count(F.slice("_t", s, size)))).alias("_w"))
-    # Terms that the corpus lacks are missing in any case; the rest of what may be missing can be any of the others.
-    one = one.withColumn("_absent", F.size(F.filter("_w", lambda x: x["n"] == 0)))
-    one = one.withColumn("_spare", F.floor(F.col("_size") * (length - near) / length).cast("int") - F.col("_absent")).filter("_spare >= 0 AND _absent < _size")
-    one = one.withColumn("_chosen", F.slice("_w", F.col("_absent") + 1, F.greatest(F.col("_spare") + 2, F.lit(0))))
-    one = one.withColumn("_need", F.size("_chosen") - F.col("_spare"))
-    one = one.select("_item", "_need", F.explode("_chosen").alias("_a")).select("_item", F.col("_a.place").alias("_place"), F.col("_a.term").alias("_term"), "_need")
-    return one.groupBy("_item", "_place", "_term").agg(F.min("_need").alias("_need"))
-
-
-def candidates(docs: DataFrame, tests: DataFrame, length: int, near: int) -> DataFrame:
-    """_key, _id, _item and _shift (document position less item position) on which anchors meet."""
-    terms = stored(tests.select(F.explode(F.transform("_terms", lambda w: F.xxhash64(w))).alias("_term")).distinct(), "terms")
-    spoken = docs.select(F.explode(F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))).alias("_term"))
-    counts = stored(spoken.join(_small(terms), "_term", "left_semi").groupBy("_term").agg(F.count("*").alias("_n")), "term-counts")
-    marks = stored(anchors(tests, counts, length, near), "anchors")
-    wanted = marks.select("_term").distinct()
-    at = docs.select("_key", "_id", F.posexplode(F.transform(words_of(F.col("_text")), lambda w: F.xxhash64(w))).alias("_at", "_term"))
-    postings = stored(at.join(_small(wanted), "_term", "left_semi"), "postings")
-    met = postings.join(_small(marks), "_term").withColumn("_shift", F.col("_at") - F.col("_place"))
-    met = met.groupBy("_key", "_id", "_item", "_shift").agg(F.collect_set("_place").alias("_places"), F.min("_need").alias("_need"))
-    return met.filter(F.size("_places") >= F.col("_need")).select("_key", "_id", "_item", "_shift")
-
-
-def find(docs: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, length: int = 10, near: int = 8) -> DataFrame:
-    """_key, _id, n_hit, items (ids of exact matches, sorted), n_items and n_near of the documents with candidates."""
-    t, tests = keyed(docs, key, text), stored(test_items(items, item, item_text), "items")
-    found = stored(candidates(t, tests, length, near), "candidates")
-    grouped = found.join(tests, "_item").groupBy("_key", "_id").agg(F.collect_list(F.struct("_item", "_shift", "_terms", "_ids", "_times")).alias("_c"))
-    mine = _small(found.select(F.col("_key").alias("_k"), F.col("_id").alias("_i")).distinct())
-    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i"))
-    texts = t.join(mine, same, "left_semi").dropDuplicates(["_key", "_id"])
-    texts = texts.withColumn("_words", words_of(F.col("_text"))).drop("_text")
-    grouped = grouped.withColumnsRenamed({"_key": "_k", "_id": "_i"})
-
-    def compared(c: Column) -> Column:
-        """The starts in the document of exact windows, and whether a window is near."""
-        terms, shift = c["_terms"], c["_shift"]
-        size = F.least(F.size(terms), F.lit(length))
-        starts = F.filter(F.sequence(F.lit(0), F.size(terms) - size), lambda s: (s + shift >= 0) & (s + shift + size <= F.size("_words")))
-        equal = lambda s: F.slice("_words", s + shift + 1, size) == F.slice(terms, s + 1, size)
-        hits = F.transform(F.filter(starts, equal), lambda s: s + shift)
-        agree = lambda s: F.size(F.filter(F.zip_with(F.slice("_words", s + shift + 1, size), F.slice(terms, s + 1, size), lambda a, b: a == b), lambda x: x))
-        close = F.exists(starts, lambda s: agree(s) * length >= size * near)
-        spread = lambda h: F.flatten(F.transform(h, lambda s: F.sequence(s, s + size - 1)))
-        return let(hits, lambda h: F.struct(c["_item"].alias("item"), c["_ids"].alias("ids"), c["_times"].alias("times"), spread(h).alias("at"), (F.size(h) > 0).alias("exact"), close.alias("near")))
-
-    both = texts.join(grouped, same).select("_key", "_id", F.transform("_c", compared).alias("_m"))
-    exact = F.filter("_m", lambda m: m["exact"])
-    once = lambda ms: F.array_distinct(F.transform(ms, lambda m: F.struct(m["item"], m["times"].alias("times"))))
-    total = lambda ms: F.aggregate(once(ms), F.lit(0).cast("long"), lambda a, m: a + m["times"])
-    hit_items = F.transform(exact, lambda m: m["item"])
-    only_near = F.filter("_m", lambda m: m["near"] & ~F.array_contains(hit_items, m["item"]))
-    return both.select(
-        "_key", "_id",
-        F.size(F.array_distinct(F.flatten(F.transform(exact, lambda m: m["at"])))).cast("long").alias("n_hit"),
-        total(exact).alias("n_items"),
-        F.sort_array(F.array_distinct(F.flatten(F.transform(exact, lambda m: m["ids"])))).alias("items"),
-        total(only_near).alias("n_near"),
+    # Terms that the corpus lacks are missing in any case; what may be missing besides can be any of the others.
+    one = one.withColumn("_w", F.filter("_w", lambda x: x["n"] > 0)).withColumn("_absent", F.col("_size") - F.size("_w"))
+    one = one.withColumn("_groups", F.floor(F.col("_size") * (length - near) / length).cast("int") - F.col("_absent") + 1).filter("_groups > 0 AND _absent < _size")
+    follower = lambda x, i, k: F.get("_w", i + F.col("_groups") * k)
+
+    def group(x: Column, i: Column) -> Column:
+        a, b = follower(x, i, 1), follower(x, i, 2)
+        return F.struct(
+            x["place"].alias("place"), x["term"].alias("term"), (a["place"] - x["place"]).alias("d1"), a["term"].alias("t1"), (b["place"] - x["place"]).alias("d2"), b["term"].alias("t2")
+        )
+
+    led = one.select("_item", "_size", F.explode(F.transform(F.slice("_w", F.lit(1), F.col("_groups")), group)).alias("_g"))
+    led = led.select("_item", "_size", *[F.col(f"_g.{c}").alias(f"_{c}") for c in ("place", "term", "d1", "t1", "d2", "t2")]).distinct()
+    lead = F.least("_place", F.col("_size") - 1)
+    return led.join(tests.select("_item", "_terms"), "_item").select(
+        "_item", "_size", "_place", "_term", "_d1", "_t1", "_d2", "_t2", lead.alias("_lead"), F.slice("_terms", F.col("_place") - lead + 1, lead + F.col("_size")).alias("_around")
+    )
+
+
+def matches(posted: DataFrame, tests: DataFrame, length: int, near: int) -> DataFrame:
+    """_key, _id, _item, _starts (positions of exact windows) and _near (whether a window is near), from each leader that is followed."""
+    spoken = posted.select(F.explode("_at").alias("_term")).filter("_term <> 0")
+    counts = stored(spoken.groupBy("_term").agg(F.count("*").alias("_n")), "term-counts")
+    led = stored(anchors(tests, counts, length, near), "anchors")
+    at = posted.select("_key", "_id", "n_words", "_at", F.posexplode("_at").alias("_p", "_term")).filter("_term <> 0")
+    follows = lambda d, t: F.col(d).isNull() | (F.get("_at", F.col("_p") + F.col(d)) == F.col(t))
+    met = block_join(at, led, "_term", BLOCK_ANCHORS).filter(follows("_d1", "_t1") & follows("_d2", "_t2"))
+    start = F.col("_p") - F.col("_lead")
+    met = stored(
+        met.select("_key", "_id", "_item", "n_words", "_size", "_around", start.alias("_from"), F.slice("_at", F.greatest(start, F.lit(0)) + 1, F.size("_around")).alias("_part")), "candidates"
     )
+    hidden = F.least(F.col("_from"), F.lit(0))
+    agree = F.transform("_around", lambda x, i: F.coalesce(F.get("_part", i + hidden) == x, F.lit(False)).cast("int"))
+    inside = lambda s: (s + F.col("_from") >= 0) & (s + F.col("_from") + F.col("_size") <= F.col("n_words"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_around") - F.col("_size")), inside)
+    counted = let(agree, lambda a: F.transform(starts, lambda s: F.struct((s + F.col("_from")).alias("s"), F.size(F.array_remove(F.slice(a, s + 1, F.col("_size")), 0)).alias("n"))))
+    seen = met.select("_key", "_id", "_item", "_size", counted.alias("_c"))
+    exact = F.transform(F.filter("_c", lambda x: x["n"] == F.col("_size")), lambda x: x["s"])
+    close = F.exists("_c", lambda x: x["n"] * length >= F.col("_size") * near)
+    return seen.select("_key", "_id", "_item", "_size", exact.alias("_starts"), close.alias("_near")).filter("_near")
+
+
+def find(posted: DataFrame, tests: DataFrame, *, length: int = 10, near: int = 8) -> DataFrame:
+    """_key, _id, n_hit, n_items, items (ids of exact matches, sorted) and n_near (items with near windows and no exact one) of the documents with matches."""
+    one = stored(matches(posted, tests, length, near), "matches")
+    words = one.select("_key", "_id", F.explode("_starts").alias("_s"), "_size").distinct()
+    words = words.select("_key", "_id", F.explode(F.sequence("_s", F.col("_s") + F.col("_size") - 1)).alias("_p")).distinct().groupBy("_key", "_id").agg(F.count("*").alias("n_hit"))
+    items = stored(one.groupBy("_key", "_id", "_item").agg(F.max(F.size("_starts") > 0).alias("_exact")), "matched-items")
+    items = block_join(items, tests.select("_item", "_ids", "_times"), "_item", BLOCK_ITEMS)
+    told = items.groupBy("_key", "_id").agg(
+        F.sum(F.when(F.col("_exact"), F.col("_times")).otherwise(0)).alias("n_items"),
+        F.sort_array(F.flatten(F.collect_list(F.when(F.col("_exact"), F.col("_ids"))))).alias("items"),
+        F.sum(F.when(~F.col("_exact"), F.col("_times")).otherwise(0)).alias("n_near"),
+    )
+    told, words = told.withColumnsRenamed({"_key": "_k", "_id": "_i"}), words
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i"))
+    out = told.join(words, same, "left")
+    return out.select(F.col("_k").alias("_key"), F.col("_i").alias("_id"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), "n_items", "items", "n_near")
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = 10
+    docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = 10, near: int = 8
 ) -> DataFrame:
-    """One row per document: key, n_words, n_hit, n_items, items, n_near and contaminated."""
-    found = find(docs, items, key=key, text=text, item=item, item_text=item_text, length=length)
-    found = found.withColumnsRenamed({"_key": "_k", "_id": "_i"})
-    t = keyed(docs, key, text).select("_key", "_id", F.regexp_count("_text", F.lit(_WORD_ANY)).cast("long").alias("n_words"))
-    out = t.join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i")), "left")
+    """One row per document: key, n_words, n_hit, n_items, items, contaminated and n_near."""
+    tests = stored(test_items(items, item, item_text), "items")
+    posted = stored(postings(docs, tests, key, text), "postings")
+    found = stored(find(posted, tests, length=length, near=near).withColumnsRenamed({"_key": "_k", "_id": "_i"}), "found")
+    found = F.broadcast(found) if within(found, BROADCAST_ROWS) else found
+    out = posted.select("_key", "_id", "n_words").join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(
         F.col("_key").alias(key), "n_words", zero("n_hit"), zero("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), zero("n_near"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero("n_near"),
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = 10) -> DataFrame:
-    """The documents in which no window of an item stands, as they are."""
-    hit = find(docs, items, key=key, text=text, item=item, item_text=item_text, length=length).filter("n_hit > 0")
+def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = 10, near: int = 8) -> DataFrame:
+    """The documents in which no window of an item stands, as they are; a proximity match alone removes none."""
+    tests = stored(test_items(items, item, item_text), "items")
+    hit = find(stored(postings(docs, tests, key, text), "postings"), tests, length=length, near=near).filter("n_hit > 0")
     return without(docs, hit, key, text)
-
-
-#: Words before A-Z are lower-cased; they end at the same places.
-_WORD_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

@@ -64,9 +64,17 @@ ns AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: struct_pack(i := i, win := ws[i:i + n - 1]))) AS x FROM w, ns WHERE len(ws) >= n),
 h AS (SELECT doc_id, x.i AS i, dw.n AS n, item_id FROM dw JOIN bw ON dw.n = bw.n AND x.win = bw.win),
 p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id)
-SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM w LEFT JOIN p ON w.doc_id = p.doc_id LEFT JOIN t ON w.doc_id = t.doc_id
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY doc_id),
+dp AS (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+bp AS (SELECT item_id, n, i, ws[i] AS a, ws[i + 1] AS b FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws))) AS i FROM b)),
+sh AS (SELECT DISTINCT doc_id, item_id, n, dp.i - bp.i AS shift FROM dp JOIN bp USING (a, b)),
+nw AS (SELECT sh.doc_id, sh.item_id, n, w.ws AS dws, b.ws AS bws, shift, unnest(range(greatest(1, 1 - shift), least(len(b.ws) - n + 1, len(w.ws) - n + 1 - shift) + 1)) AS k
+  FROM sh JOIN w USING (doc_id) JOIN b USING (item_id)),
+nr AS (SELECT DISTINCT doc_id, item_id FROM nw WHERE 10 * len(list_filter(range(0, n), lambda x: dws[k + shift + x] = bws[k + x])) >= 8 * n),
+m AS (SELECT doc_id, count(*) AS n_near FROM (SELECT * FROM nr EXCEPT SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+  coalesce(n_near, 0) AS n_near
+FROM w LEFT JOIN p ON w.doc_id = p.doc_id LEFT JOIN t ON w.doc_id = t.doc_id LEFT JOIN m ON w.doc_id = m.doc_id
 """
 
 OP4 = rf"""

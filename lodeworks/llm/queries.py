@@ -32,12 +32,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
-
-
-def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The proximity matches, which the columns that SQL states for op3 leave out."""
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_items", "n_near")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", "n_near")
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +101,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_pii, op2_lm_score, op3_decontaminate, op3_proximity, op4_jaccard_join, op5_mix_sources, op5_mix_passes, op6_toxicity,
+        op1_pii, op2_lm_score, op3_decontaminate, op4_jaccard_join, op5_mix_sources, op5_mix_passes, op6_toxicity,
         op7_chat_format, op8_line_quality, op9_secret_scan, op10_url_filter,
     )
 }

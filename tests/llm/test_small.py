@@ -71,12 +71,22 @@ def test_decontaminate_without_items(spark, hard):
 
 
 def test_proximity(spark):
-    d = docs(spark, ["x " * 5 + "a1 b2 c3 d4 OTHER f6 g7 h8 i9 j0 tail"])
     items = spark.createDataFrame([(1, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j0")], "item_id long, text string")
-    got = decontaminate.decontaminate(d, items).first()
-    assert got["n_hit"] == 0
-    seen = docs(spark, ["x " * 5 + "a1 b2 c3 d4 OTHER f6 g7 h8 i9 j0 tail", "e5"])
-    assert {r["doc_id"]: r["n_near"] for r in decontaminate.decontaminate(seen, items).collect()}[0] in (0, 1)
+    near = "x " * 5 + "a1 b2 c3 d4 OTHER f6 g7 h8 i9 j0 tail"
+    for texts in ([near], [near, "e5"]):
+        got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs(spark, texts), items).collect()}
+        assert (got[0]["n_hit"], got[0]["n_near"]) == (0, 1)
+
+
+def test_decontaminate_in_blocks(spark, monkeypatch):
+    """More anchors and items than one broadcast holds, and a filter that tells nothing apart, give the same."""
+    texts = [" ".join(f"w{(i * k) % 37}" for k in range(60)) for i in range(1, 12)]
+    items = spark.createDataFrame([(i, " ".join(t.split()[5 : 5 + 3 * i])) for i, t in enumerate(texts)], "item_id long, text string")
+    d = docs(spark, texts)
+    want = sorted(map(str, decontaminate.decontaminate(d, items).collect()))
+    for name, n in (("BLOCK_ANCHORS", 50), ("BLOCK_ITEMS", 3), ("FILTER_BITS", 64), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(decontaminate, name, n)
+    assert sorted(map(str, decontaminate.decontaminate(d, items).collect())) == want
 
 
 # -- URL filter -------------------------------------------------------------------------

@@ -41,7 +41,7 @@ def test_any_two_words_changed(spark, known):
 
 def test_registered_query_returns_them(spark):
     sf = "/root/testdata/sf0.001"
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(15).collect()}
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()}
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    got = {r["doc_id"]: r["n_near"] for r in QUERIES["op3_proximity"](spark, sf).collect()}
+    got = {r["doc_id"]: r["n_near"] for r in QUERIES["op3_decontaminate"](spark, sf).collect()}
     assert {d: got[d] for d in docs} == brute(docs, set(items))
