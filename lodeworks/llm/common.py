@@ -28,15 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder, in a folder for each value of ``by``, and read back.
 
     Cuts lineage: a lost executor rereads the files instead of recomputing, and
     plans that use the table several times do not run it again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,11 +7,18 @@ three. The word factor is the class's smoothed unigram. The commonest words and
 end of a text are classes of their own; all other words, seen or not, fall to the
 nearest of ``CLUSTERS`` centres of spelling, so every string has a probability.
 
-Counts of all training tokens are a distributed table. The commonest
-tokens, at most ``HEAD``, travel to the workers; the counts of all others come by a join on the token,
-so the vocabulary may grow with the corpus. Training is one pass over all training
-texts: shards take mini-batch gradient steps on their own copy of the weights, and
-the shards' weights are averaged by how often each touched a row.
+Counts of all training tokens are a distributed table. The commonest ``HEAD`` tokens
+(ties by hash) travel to the workers; the counts of all others come by a join on the
+token, so the vocabulary may grow with the corpus. As context every token is itself:
+its place in the head, or its own hash.
+
+Training is one pass over all training texts in ``ROUNDS`` synchronised rounds. A hash
+of the row deals it to a round and a shard; in a round each shard takes mini-batch
+gradient steps from the common weights, and the new common weights are the shards'
+own, averaged by how often each touched a row. Rounds, shards and the order in them
+depend on the rows alone, so any cluster gives the same model. The shards and the
+table of weights grow with the corpus, up to ``MAX_SHARDS`` and ``MAX_ROWS``, which a
+worker can hold.
 
 Defined results: null and empty texts are one end token; an empty table gives an
 empty result; without training tokens every word has base probability 1; a null id
@@ -21,12 +28,12 @@ columns are neither read nor returned.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -34,21 +41,31 @@ from pyspark.sql import functions as F
 
 from lodeworks.llm.common import stored
 
-#: What workers hold at once: words counted, words remembered, texts.
-#: The only bounds of the model: tokens that travel to workers (17 bytes each), and words that shape the clusters.
+#: Bounds of the model: tokens that travel to workers (17 bytes each), and words that shape the clusters.
 HEAD, SHAPED = 1 << 20, 20_000
 SINGLES, CLUSTERS = 31, 32
 CLASSES = 1 + SINGLES + CLUSTERS
-DIMS, ROWS, BATCH = 256, 1 << 15, 4096
-COUNTED_WORDS, CACHE_WORDS, TEXTS = 250_000, 300_000, 512
+DIMS, BATCH = 256, 4096
+#: Rows of weights (256 bytes each): ``ROWS`` up to ``ROW_TOKENS`` training tokens, twice as many for four times the tokens.
+ROWS, ROW_TOKENS, MAX_ROWS = 1 << 15, 1 << 25, 1 << 19
+ROUNDS, SHARD_TOKENS, SHARDS, MAX_SHARDS = 4, 1 << 24, 8, 4096
+#: What workers hold at once: tokens counted, texts.
+COUNTED_TOKENS, TEXTS = 2_000_000, 512
 RATE, CALM = 2.0, 16.0
 #: The end of a text as a token; no word is empty.
 END = b""
 SMOOTH = 0.1
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    words, size = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not real.all():
+        at = np.repeat(np.arange(len(size)), size)
+        words, size = words.filter(pa.array(real)), np.bincount(at[real], minlength=len(size))
+    return words, size
 
 
 def hash_of(tokens: list[bytes]) -> np.ndarray:
@@ -115,21 +132,24 @@ def token_counts(train: DataFrame) -> DataFrame:
     """(token, c) of all training tokens, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        held: list[pa.Array] = []
+        ends = 0
 
         def told() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["token", "c"])
-            seen.clear()
-            return b
+            found = pa.chunked_array(held, pa.string()).value_counts()
+            held.clear()
+            return pa.RecordBatch.from_arrays([found.field("values").cast(pa.binary()), found.field("counts")], ["token", "c"])
 
         for b in batches:
-            for x in b.column(0):
-                seen.update(tokens_of(x.as_py()))
-                if len(seen) > COUNTED_WORDS:
+            for at in range(0, b.num_rows, TEXTS):
+                held.append(words_of(b.column(0).slice(at, TEXTS))[0])
+                if sum(map(len, held)) > COUNTED_TOKENS:
                     yield told()
-            seen[END] += b.num_rows
-        if seen:
+            ends += b.num_rows
+        if held:
             yield told()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends])], ["token", "c"])
 
     return train.select("_text").mapInArrow(run, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
@@ -147,15 +167,22 @@ def classed(counts: DataFrame, classes: Classes) -> DataFrame:
 
 
 def commonest(counts: DataFrame, most: int) -> pa.Table:
-    """(hash, c, cls) of all tokens above the least count at which they are at most ``most``."""
-    cap = 1 << 16
-    tally = counts.groupBy(F.least("c", F.lit(cap)).alias("c")).agg(F.count("*").alias("n")).toArrow().to_pydict()
-    least, held = cap + 1, 0
+    """(hash, c, cls) of the ``most`` commonest tokens, ties by hash.
+
+    A histogram of counts with 11 leading bits finds the step in which the last of
+    them stands; only that step is sorted.
+    """
+    shift = F.greatest(F.lit(0), F.floor(F.log2(F.col("c").cast("double"))).cast("int") - 10)
+    step = F.call_function("shiftleft", F.call_function("shiftright", F.col("c"), shift), shift)
+    tally = counts.groupBy(step.alias("c")).agg(F.count("*").alias("n")).toArrow().to_pydict()
+    whole, held = None, 0
+    cols = counts.select("hash", "c", "cls")
     for c, n in sorted(zip(tally["c"], tally["n"], strict=True), reverse=True):
         if held + n > most:
-            break
-        least, held = c, held + n
-    return counts.filter(F.col("c") >= least).select("hash", "c", "cls").toArrow()
+            rest = cols.filter(step == c).orderBy(F.col("c").desc(), "hash").limit(most - held).toArrow()
+            return rest if whole is None else pa.concat_tables([cols.filter(step >= whole).toArrow(), rest])
+        whole, held = c, held + n
+    return cols.toArrow()
 
 
 class Head:
@@ -166,9 +193,8 @@ class Head:
         order = np.argsort(h)
         self.hash, self.log, self.cls = h[order], np.log10(t.column("c").to_numpy()[order] + SMOOTH), t.column("cls").to_numpy()[order].astype(np.uint8)
 
-    def find(self, tokens: list[bytes]) -> np.ndarray:
+    def find(self, h: np.ndarray) -> np.ndarray:
         """Places, or -1."""
-        h = hash_of(tokens)
         if not len(self.hash):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
@@ -178,70 +204,82 @@ class Head:
 # -- encoding ---------------------------------------------------------------------------
 
 
+def codes_of(tokens: list[bytes], head: Head, classes: Classes) -> np.ndarray:
+    """Places in the head; for others ``HEAD`` and more: 25 bits of hash, then 6 of class."""
+    h = hash_of(tokens)
+    at = head.find(h)
+    tail = np.flatnonzero(at < 0)
+    if len(tail):
+        c = classes.of([tokens[i] for i in tail]).astype(np.int64)
+        at[tail] = HEAD + ((h[tail] >> np.uint64(39)).astype(np.int64) << 6 | c)
+    return at.astype(np.uint32)
+
+
 def encoded(docs: DataFrame, head: Head, classes: Classes) -> DataFrame:
-    """Rows of documents with tokens as places in the head (tail: ``HEAD`` + class) and classes; tail tokens apart."""
+    """Rows of documents with their tokens' codes; tail tokens apart."""
     sent = docs.sparkSession.sparkContext.broadcast((head, classes))
     kind = docs.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, classes = sent.value
         row = TaskContext.get().partitionId() << 33
-        known: dict[bytes, int] = {}  # place, class and tail mark in one integer
+        end = codes_of([END], head, classes)[0]
+        log = np.append(head.log, 0.0)
         for b in (x.slice(at, TEXTS) for x in batches for at in range(0, x.num_rows, TEXTS)):
-            ids, cls, tails, tail_n, sums, n = [], [], [], [], [], []
-            told = [tokens_of(x.as_py()) for x in b.column(1)]
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            new = list({t for ts in told for t in ts if t not in known} | ({END} - known.keys()))
-            at, c = head.find(new), classes.of(new).astype(np.int64)
-            known.update(zip(new, (np.where(at < 0, HEAD + c, at) << 8 | c).tolist(), strict=True))
-            for ts in told:
-                ts.append(END)
-                x = np.fromiter(map(known.__getitem__, ts), np.int64, len(ts))
-                place = x >> 8
-                inside = place < HEAD
-                ids.append(place.astype(np.int32).tobytes())
-                cls.append((x & 255).astype(np.uint8).tobytes())
-                rest = Counter(ts[i] for i in np.flatnonzero(~inside))
-                tails.append(list(rest))
-                tail_n.append(list(rest.values()))
-                sums.append(float(head.log[place[inside]].sum()) if inside.any() else 0.0)
-                n.append((len(ts), int(inside.sum())))
-            size, inside = zip(*n, strict=True) if n else ((), ())
+            if not b.num_rows:
+                continue
+            words, size = words_of(b.column(1))
+            d = words.dictionary_encode()
+            tokens = d.dictionary.cast(pa.binary())
+            index = d.indices.to_numpy(zero_copy_only=False)
+            text = np.repeat(np.arange(len(size)), size)
+            code = np.full(len(index) + len(size), end, np.uint32)
+            code[np.arange(len(index)) + text] = codes_of(tokens.to_pylist(), head, classes)[index]
+            ends = np.cumsum(size + 1)
+            first = ends - size - 1
+            inside = code < HEAD
+            tail = np.flatnonzero(~inside[np.arange(len(index)) + text])
+            pair, n = np.unique(text[tail] * max(1, len(tokens)) + index[tail], return_counts=True)
+            cut = np.searchsorted(pair, np.arange(len(size) + 1) * max(1, len(tokens))).astype(np.int32)
+            raw = code.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(range(row, row + b.num_rows), pa.int64()), b.column(0), b.column(2), pa.array(size, pa.int64()), pa.array(inside, pa.int64()), pa.array(sums, pa.float64()),
-                    pa.array(ids, pa.binary()), pa.array(cls, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(tail_n, pa.list_(pa.int64())),
+                    pa.array(np.arange(row, row + b.num_rows)), b.column(0), *b.columns[2:], pa.array(size + 1), pa.array(np.add.reduceat(inside.astype(np.int64), first)),
+                    pa.array(np.add.reduceat(log[np.where(inside, code, len(log) - 1)], first)), pa.array([raw[4 * x : 4 * y] for x, y in zip(first, ends, strict=True)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(cut), tokens.take(pa.array(pair % max(1, len(tokens))))), pa.ListArray.from_arrays(pa.array(cut), pa.array(n.astype(np.int64))),
                 ],
-                ["row", "_key", "held_out", "n_tokens", "inside", "log_head", "ids", "cls", "tail", "tail_n"],
+                ["row", "_key", "held_out", "_mark", "_shard", "_round", "n_tokens", "inside", "log_head", "ids", "tail", "tail_n"],
             )
             row += b.num_rows
 
-    return docs.select("_key", "_text", "held_out").mapInArrow(
-        run, f"row long, _key {kind}, held_out boolean, n_tokens long, inside long, log_head double, ids binary, cls binary, tail array<binary>, tail_n array<long>"
+    return docs.select("_key", "_text", "held_out", "_mark", "_shard", "_round").mapInArrow(
+        run,
+        f"row long, _key {kind}, held_out boolean, _mark long, _shard int, _round int, n_tokens long, inside long, log_head double, ids binary, tail array<binary>, tail_n array<long>",
     )
 
 
 # -- the model --------------------------------------------------------------------------
 
 
-def contexts(ids: list[bytes], cls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def contexts(ids: list[bytes], head_cls: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature rows (tokens x 5), classes and sizes of the texts' tokens."""
-    size = np.array([len(x) for x in cls])
-    word, c = np.frombuffer(b"".join(ids), np.int32).astype(np.uint64), np.frombuffer(b"".join(cls), np.uint8)
+    size = np.array([len(x) // 4 for x in ids])
+    code = np.frombuffer(b"".join(ids), np.uint32)
+    word, inside = code.astype(np.uint64), code < HEAD
+    c = ((code - np.uint32(HEAD)) & np.uint32(63)).astype(np.uint8)
+    c[inside] = head_cls[code[inside]]
     first = np.repeat(np.cumsum(size) - size, size)
     at = np.arange(len(c))
-    start = np.uint64(HEAD + 2 * CLASSES)
+    start = np.uint64(1 << 33)
 
     def back(x: np.ndarray, k: int, none: np.uint64) -> np.ndarray:
         return np.where(at - k >= first, np.concatenate([np.full(k, none, np.uint64), x[: len(x) - k]])[: len(x)], none)
 
     w1, w2, w3 = (back(word, k, start) for k in (1, 2, 3))
     c1, c2, c3 = (back(c.astype(np.uint64), k, np.uint64(255)) for k in (1, 2, 3))
-    s = np.uint64(24)
-    keys = [w1, (w1 << s) ^ w2, w2, w3, (((c1 << np.uint64(8)) | c2) << np.uint64(8)) | c3]
-    rows = [(mixed(k ^ (np.uint64(j + 1) << np.uint64(56))) % np.uint64(ROWS)).astype(np.uint16) for j, k in enumerate(keys)]
-    return np.stack(rows, 1), c, size
+    keys = [w1, mixed(w1) ^ w2, w2, w3, (((c1 << np.uint64(8)) | c2) << np.uint64(8)) | c3]
+    found = [(mixed(k ^ (np.uint64(j + 1) << np.uint64(56))) % np.uint64(rows)).astype(np.int64) for j, k in enumerate(keys)]
+    return np.stack(found, 1), c, size
 
 
 def exponents(w: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,73 +306,107 @@ def step(w: np.ndarray, seen: np.ndarray, bias: np.ndarray, rows: np.ndarray, c:
     _, g, total = exponents(w, bias, rows)
     g *= (1 / np.maximum(total, np.float32(1e-37)))[:, None]
     g[np.arange(len(c)), c] -= 1
+    # Sums over equal rows: indexed addition is fast in one dimension.
+    flat, each = w.reshape(-1), np.arange(CLASSES)
+    np.add.at(seen, rows.ravel(), 1)
     for j in range(rows.shape[1]):
-        order = np.argsort(rows[:, j], kind="stable")
-        keys = np.take(rows[:, j], order)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        own = keys[first]
-        seen[own] += np.diff(np.append(first, len(keys)))
-        w[own] -= np.add.reduceat(np.take(g, order, axis=0), first, axis=0) * (RATE / (CALM + seen[own]))[:, None].astype(np.float32)
-
-
-def train(rows: DataFrame, bias: np.ndarray, shards: int) -> np.ndarray:
-    """Weights (ROWS x CLASSES) after one distributed pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, seen = np.zeros((ROWS, CLASSES), np.float32), np.zeros(ROWS, np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                x, c, _ = contexts(part.column(0).to_pylist(), part.column(1).to_pylist())
-                for i in range(0, len(c), BATCH):
-                    step(w, seen, bias, x[i : i + BATCH], c[i : i + BATCH])
-        for at in range(0, ROWS, 128):
-            if (n := seen[at : at + 128]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([n.tobytes()], pa.binary()), pa.array([(w[at : at + 128] * n[:, None]).astype(np.float32).tobytes()], pa.binary())], ["at", "n", "w"])
-
-    def averaged(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        n, w, at = np.zeros(128), np.zeros((128, CLASSES)), 0
-        for p in parts:
-            for a, x, y in zip(p["at"], p["n"], p["w"], strict=True):
-                at = a
-                n += np.frombuffer(x, np.int64)
-                w += np.frombuffer(y, np.float32).reshape(128, CLASSES)
-        return pd.DataFrame({"at": [at], "w": [(w / np.maximum(n, 1)[:, None]).astype(np.float32).tobytes()]})
-
-    parts = rows.select("ids", "cls").coalesce(shards).mapInArrow(run, "at long, n binary, w binary")
-    out = np.zeros((ROWS, CLASSES), np.float32)
-    for r in parts.groupBy("at").applyInPandas(lambda p: averaged(iter([p])), "at long, w binary").toLocalIterator():
-        out[r["at"] : r["at"] + 128] = np.frombuffer(r["w"], np.float32).reshape(128, CLASSES)
-    return out
-
-
-def class_scores(rows: DataFrame, w: np.ndarray, bias: np.ndarray, within: np.ndarray) -> DataFrame:
-    """(row, class_score): log10 probability of the classes less the log10 sizes of the classes' words."""
-    sent = rows.sparkSession.sparkContext.broadcast((w, bias, within))
+        own = rows[:, j]
+        np.add.at(flat, (own[:, None] * CLASSES + each).ravel(), (g * (-RATE / (CALM + seen[own])).astype(np.float32)[:, None]).ravel())
+
+
+def train(rows: DataFrame, bias: np.ndarray, head_cls: np.ndarray, many: int, shards: int) -> np.ndarray:
+    """Weights (``many`` x CLASSES) after ``ROUNDS`` rounds over ``rows``, each of which stands in one of them."""
+    spark = rows.sparkSession
+    block = 128
+    w, seen = np.zeros((many, CLASSES), np.float32), np.zeros(many, np.int64)
+    for k in range(ROUNDS):
+        sent = spark.sparkContext.broadcast((w, seen))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            shard, w, seen = None, None, None
+
+            def told() -> Iterator[pa.RecordBatch]:
+                new = seen - sent.value[1]
+                for at in range(0, many, block):
+                    if (n := new[at : at + block]).any():
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([at]), pa.array([shard]), pa.array([n.tobytes()], pa.binary()), pa.array([w[at : at + block].tobytes()], pa.binary())], ["at", "shard", "n", "w"]
+                        )
+
+            for b in batches:
+                own = b.column(0).to_numpy()
+                cuts = np.flatnonzero(np.diff(own, prepend=own[:1])) if len(own) else []
+                for lo, hi in zip([0, *cuts], [*cuts, len(own)], strict=True):
+                    if lo == hi:
+                        continue
+                    if own[lo] != shard:
+                        if shard is not None:
+                            yield from told()
+                        shard, w, seen = int(own[lo]), sent.value[0].copy(), sent.value[1].copy()
+                    for at in range(lo, hi, TEXTS):
+                        x, c, _ = contexts(b.column(1).slice(at, min(TEXTS, hi - at)).to_pylist(), head_cls, many)
+                        for i in range(0, len(c), BATCH):
+                            step(w, seen, bias, x[i : i + BATCH], c[i : i + BATCH])
+            if shard is not None:
+                yield from told()
+
+        def averaged(p: pd.DataFrame) -> pd.DataFrame:
+            """Of one block of rows, of which a shard sends at most one."""
+            n, w, by = np.zeros(block), np.zeros((block, CLASSES)), np.zeros(block)
+            for _, x, y in sorted(zip(p["shard"], p["n"], p["w"], strict=True)):
+                own = np.frombuffer(x, np.int64)
+                n, by = n + own, by + (own > 0)
+                w += np.frombuffer(y, np.float32).reshape(block, CLASSES) * own[:, None]
+            w = (w / np.maximum(n, 1)[:, None]).astype(np.float32)
+            return pd.DataFrame({"at": p["at"].iloc[:1], "n": [(n / np.maximum(by, 1)).astype(np.int64).tobytes()], "w": [w.tobytes()]})
+
+        own = rows.filter(F.col("_round") == k).select("_shard", "ids", "_mark").repartition(shards, "_shard").sortWithinPartitions("_shard", "_mark").select("_shard", "ids")
+        found = own.mapInArrow(run, "at long, shard long, n binary, w binary").groupBy("at").applyInPandas(averaged, "at long, n binary, w binary")
+        w, seen = w.copy(), seen.copy()
+        for r in found.toLocalIterator():
+            at, n = r["at"], np.frombuffer(r["n"], np.int64)
+            new = np.frombuffer(r["w"], np.float32).reshape(block, CLASSES)
+            w[at : at + block] = np.where(n[:, None] > 0, new, w[at : at + block])
+            seen[at : at + block] += n
+        sent.destroy()
+    return w
+
+
+def scores(rows: DataFrame, w: np.ndarray, bias: np.ndarray, within: np.ndarray, head_cls: np.ndarray) -> DataFrame:
+    """``rows`` without tokens and with class_score: log10 probability of the classes less the log10 sizes of the classes' words."""
+    sent = rows.sparkSession.sparkContext.broadcast((w, bias, within, head_cls))
+    t = rows.select("ids", "row", "_key", "held_out", "n_tokens", "inside", "log_head")
+    names = t.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias, within = sent.value
+        w, bias, within, head_cls = sent.value
         for b in batches:
             out = []
             for at in range(0, b.num_rows, TEXTS):
-                part = b.slice(at, TEXTS)
-                x, c, size = contexts(part.column(1).to_pylist(), part.column(2).to_pylist())
+                x, c, size = contexts(b.column(0).slice(at, TEXTS).to_pylist(), head_cls, len(w))
                 p = np.empty(len(c))
                 for i in range(0, len(c), BATCH):
-                    ci = c[i : i + BATCH]
-                    p[i : i + BATCH] = log_softmax(w, bias, x[i : i + BATCH], ci)
+                    p[i : i + BATCH] = log_softmax(w, bias, x[i : i + BATCH], c[i : i + BATCH])
                 p = p / np.log(10) - within[c]
                 out.append(np.add.reduceat(p, np.cumsum(size) - size))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], ["row", "class_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(out) if out else np.empty(0))], [*names, "class_score"])
+
+    kind = t.schema["_key"].dataType.simpleString()
+    return t.mapInArrow(run, f"row long, _key {kind}, held_out boolean, n_tokens long, inside long, log_head double, class_score double")
+
 
-    return rows.select("row", "ids", "cls").mapInArrow(run, "row long, class_score double")
+def grown(tokens: int) -> tuple[int, int]:
+    """Rows of weights and shards for so many training tokens."""
+    rows = ROWS
+    while rows < MAX_ROWS and tokens >= ROW_TOKENS * (2 * rows // ROWS) ** 2:
+        rows *= 2
+    return rows, min(MAX_SHARDS, max(SHARDS, -(-tokens // SHARD_TOKENS)))
 
 
 def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = docs.sparkSession
     fold = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
-    t = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), (fold == 0).alias("held_out"))
+    t = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), (fold == 0).alias("held_out"), F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")).alias("_mark"))
     counts = stored(token_counts(t.filter("NOT held_out")), "counts")
     common = counts.orderBy(F.col("c").desc(), "token").limit(SHAPED).toArrow().to_pydict()
     words = [x for x in zip(common["token"], common["c"], strict=True) if x[0] != END]
@@ -348,13 +420,15 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: in
     within = np.log10(n + SMOOTH * (v + 1))
     total, kinds = int(n.sum()), int(v.sum())
     head = Head(commonest(counts, HEAD))
-    rows = stored(encoded(t, head, classes), "encoded")
-    w = train(rows.filter("NOT held_out"), bias, max(32, 4 * spark.sparkContext.defaultParallelism))
+    many, shards = grown(total)
+    part = F.pmod("_mark", F.lit(ROUNDS * shards)).cast("int")
+    t = t.withColumn("_shard", (part / ROUNDS).cast("int")).withColumn("_round", F.when(F.col("held_out"), -1).otherwise(part % ROUNDS))
+    rows = stored(encoded(t, head, classes), "encoded", by="_round")
+    w = train(rows, bias, head.cls, many, shards)
     tail = rows.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("_t")).select("row", F.col("_t.tail").alias("token"), F.col("_t.tail_n").alias("_n"))
     found = tail.join(counts.select("token", "c"), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     found = found.groupBy("row").agg(F.sum(F.col("_n") * F.log10(F.col("c") + SMOOTH)).alias("_log"), F.sum(F.when(F.col("c") > 0, F.col("_n")).otherwise(0)).alias("_known"))
-    scored = class_scores(rows, w, bias, within)
-    out = rows.select("row", "_key", "held_out", "n_tokens", "inside", "log_head").join(scored, "row").join(found, "row", "left")
+    out = scores(rows, w, bias, within, head.cls).join(found, "row", "left")
     logs = F.col("log_head") + F.coalesce("_log", F.lit(0.0))
     size = float(np.log10(total + SMOOTH * (kinds + 1)))
     return out.select(
