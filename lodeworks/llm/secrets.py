@@ -2,27 +2,33 @@
 
 A text is the first layer. A worklist holds layers; each is scanned for secrets,
 and every part of it that decodes (percent escapes, backslash and HTML character
-escapes, base64, and gzip, zlib, bzip2 or xz data inside base64) makes a new
-layer, until no new one comes. Each layer carries the span of the original text
-behind every one of its characters: by character for escapes, by the whole encoded
-part for base64 and compressed data. All that lies below an encoded part has the
-part's span, so a part gives a set of kinds, which is worked out once and told at
-every place where the part stands; below a part no content is worked on twice, so
-no cycle is followed.
+escapes, base64 on one line or wrapped over lines of one length, and gzip, zlib,
+bzip2 or xz data of any depth inside base64) makes a new layer, until no new one
+comes. Each layer carries the span of the original text behind every one of its
+characters: by character for escapes, by the whole encoded part for base64 and
+compressed data. All that lies below an encoded part has the part's span, so a part
+gives a set of kinds, which is worked out once and told at every place where the part
+stands; below a part no content is worked on twice, so no cycle is followed.
+
+Compressed data is unpacked as a stream, so a small text cannot fill an executor:
+content of over ``PIECE`` bytes is scanned in pieces that overlap by ``OVERLAP``
+characters, so that beyond ``PIECE`` a secret or an inner encoded part is sure to be
+seen whole only if it is no longer than that.
 
 Defined results: null text is the empty text; an empty table gives an empty
 result; repeated rows are answered alike; other columns are neither read nor
-returned. Compressed data may have several members. Data that unpacks to over
-``MAX_UNPACKED`` bytes is read up to there, so that a small text cannot fill an
-executor's memory; this is the only limit.
+returned. Compressed data may have several members; broken or cut data gives what it
+holds; xz data that asks for over ``XZ_MEMORY`` bytes of memory is not opened.
 """
 
 from __future__ import annotations
 
 import binascii
 import bz2
+import codecs
 import hashlib
 import html
+import itertools
 import lzma
 import re
 import zlib
@@ -34,7 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-MAX_UNPACKED = 64 << 20
+PIECE, OVERLAP, XZ_MEMORY = 16 << 20, 1 << 20, 256 << 20
+#: Base64 on several lines: all but the last have one length, of at least this.
+WRAP = 40
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -46,6 +54,9 @@ ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-F
 #: A base64 word: 16 characters or more, of which some are capitals or digits.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MIXED = re.compile(r"[A-Z0-9]")
+BREAK = re.compile(r"\r?\n[\x20\t]*")
+#: What may end wrapped base64 on a line of its own, too short to be a word.
+REST = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]{1,15}={0,2})(?![^\s\"'<,;)])")
 PRINTABLE = frozenset(range(32, 127)) | {9, 10, 13}
 
 Span = tuple[int, int, int]
@@ -81,31 +92,37 @@ class Layer:
         return first, lo + end - a if each else hi
 
 
+def meant(s: str) -> str | None:
+    """What a run of character escapes stands for; null if it decodes to nothing else."""
+    if s[0] == "%":
+        raw = bytes.fromhex(s.replace("%", ""))
+        try:
+            new = raw.decode()
+        except UnicodeDecodeError:
+            new = raw.decode("latin-1")
+    elif s[0] == "&":
+        new = html.unescape(s)
+    elif s.startswith("\\u{"):
+        code = int(s[3:-1], 16)
+        new = chr(code) if code < 0x110000 else s
+    elif s[1] == "u":
+        new = b"".join(int(x, 16).to_bytes(2, "big") for x in s.split("\\u")[1:]).decode("utf-16-be", "replace")
+    else:
+        new = bytes.fromhex(s.replace("\\x", "")).decode("latin-1")
+    if new == s or not new:
+        return None
+    return "".join("\ufffd" if 0xD800 <= ord(c) < 0xE000 else c for c in new)
+
+
 def unescaped(layer: Layer) -> Layer | None:
     """The layer with its character escapes undone; null if it has none that decode."""
     out, runs, at, n = [], [], 0, 0
     if not any(x in layer.text for x in "%\\&"):
         return None
     for m in ESCAPES.finditer(layer.text):
-        s = m.group()
-        if s[0] == "%":
-            raw = bytes.fromhex(s.replace("%", ""))
-            try:
-                new = raw.decode()
-            except UnicodeDecodeError:
-                new = raw.decode("latin-1")
-        elif s[0] == "&":
-            new = html.unescape(s)
-        elif s.startswith("\\u{"):
-            code = int(s[3:-1], 16)
-            new = chr(code) if code < 0x110000 else s
-        elif s[1] == "u":
-            new = b"".join(int(x, 16).to_bytes(2, "big") for x in s.split("\\u")[1:]).decode("utf-16-be", "replace")
-        else:
-            new = bytes.fromhex(s.replace("\\x", "")).decode("latin-1")
-        if new == s or not new:
+        new = meant(m.group())
+        if new is None:
             continue
-        new = "".join("�" if 0xD800 <= ord(c) < 0xE000 else c for c in new)
         _kept(layer, at, m.start(), runs, n)
         out.append(layer.text[at : m.start()])
         n += m.start() - at
@@ -140,70 +157,115 @@ def _opened(raw: bytes):  # noqa: ANN202
     if raw[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if raw[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=MAX_UNPACKED * 2)
+        return lzma.LZMADecompressor(memlimit=XZ_MEMORY)
     return None
 
 
-def unpacked(raw: bytes) -> bytes | None:
-    """Decompressed data of all members; null if ``raw`` is in no known form. Truncated data gives what it holds."""
-    out, left = [], MAX_UNPACKED
-    while left > 0 and (d := _opened(raw)) is not None:
+def members(raw: bytes, more: Iterator[bytes]) -> Iterator[bytes]:
+    """The data of all members of a stream that starts with ``raw``, in pieces of ``PIECE`` bytes at most."""
+    while (d := _opened(raw)) is not None:
+        while not d.eof:
+            try:
+                out = d.decompress(raw, PIECE)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                return
+            if out:
+                yield out
+            # zlib hands back what it did not read, the others keep it.
+            raw = getattr(d, "unconsumed_tail", b"")
+            if not raw and not d.eof and getattr(d, "needs_input", len(out) < PIECE):
+                raw = next(more, b"")
+                if not raw:
+                    return
+        # Zeros may stand behind a member, and the next one's mark may come in parts.
+        raw = d.unused_data.lstrip(b"\0")
+        while len(raw) < 6 and (new := next(more, b"")):
+            raw = (raw + new).lstrip(b"\0")
+
+
+def content(raw: bytes) -> Iterator[bytes]:
+    """``raw`` through all its layers of compression, in pieces; a layer that is its own ancestor ends the way down."""
+    first, more, seen = raw, iter(()), set()
+    while True:
+        mark = hashlib.sha256(first).digest()
+        if mark in seen or _opened(first) is None:
+            return itertools.chain([first], more)
+        seen.add(mark)
+        more = members(first, more)
+        # As much as a piece, so that the mark is that of the whole content where it is small.
+        got = [next(more, b"")]
+        while got[-1] and sum(map(len, got)) < PIECE:
+            got.append(next(more, b""))
+        first = b"".join(got)
+        if not first:
+            return iter(())
+
+
+def readable(pieces: Iterator[bytes]) -> Iterator[str]:
+    """Pieces of UTF-8 text of which nearly all is printable, each after the end of the one before; stops where it is not."""
+    decoder, tail = codecs.getincrementaldecoder("utf-8")(), ""
+    piece = next(pieces, b"")
+    while piece:
+        after = next(pieces, b"")
         try:
-            out.append(d.decompress(raw, left))
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            break
-        left -= len(out[-1])
-        # Zeros may stand behind a member.
-        raw = d.unused_data.lstrip(b"\0") if d.eof else b""
-    return b"".join(out) if out else None
+            text = decoder.decode(piece, final=not after)
+        except UnicodeDecodeError:
+            return
+        if sum(1 for c in piece if c in PRINTABLE or c >= 128) < 0.95 * len(piece):
+            return
+        yield tail + text
+        tail, piece = text[-OVERLAP:], after
 
 
-def _readable(raw: bytes) -> str | None:
-    if not raw:
-        return None
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    plain = sum(1 for c in raw if c in PRINTABLE or c >= 128)
-    return text if plain >= 0.95 * len(raw) else None
-
-
-def decoded(s: str) -> str | None:
-    """The text in a base64 word, through any compression; null if there is none."""
+def decoded(s: str) -> Iterator[str]:
+    """The text in a base64 word, through any compression, in pieces; none if it does not decode."""
     body = s.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1:
-        return None
+        return iter(())
     try:
         raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
-        return None
-    for _ in range(16):
-        more = unpacked(raw)
-        if more is None:
-            break
-        raw = more
-    return _readable(raw)
-
-
-def _words(text: str) -> Iterator[re.Match]:
-    """The base64 words of a text that may decode."""
-    if any(len(w) >= 16 and MIXED.search(w) for w in text.split()):
-        yield from (m for m in BASE64.finditer(text) if MIXED.search(m.group()))
+        return iter(())
+    return readable(content(raw))
+
+
+def _words(text: str) -> Iterator[tuple[int, int, str]]:
+    """The base64 words of a text that may decode, as (start, end, word); of the readings of wrapped lines the first that decodes counts."""
+    if not any(len(w) >= 16 and MIXED.search(w) for w in text.split()):
+        return
+    found = [(m.start(), m.end(), m.group()) for m in BASE64.finditer(text)]
+    at = 0
+    while at < len(found):
+        size, last = len(found[at][2]), at
+        while size >= WRAP and last + 1 < len(found) and len(found[last][2]) == size >= len(found[last + 1][2]) and found[last][2][-1] != "=" and BREAK.fullmatch(text, found[last][1], found[last + 1][0]):
+            last += 1
+        block = found[at : last + 1]
+        word = "".join(w for _, _, w in block)
+        ways = [(block[0][0], block[-1][1], word)] if last > at else []
+        if size >= WRAP and len(block[-1][2]) == size and word[-1] != "=" and (rest := REST.match(text, block[-1][1])):
+            ways.insert(0, (block[0][0], rest.end(1), word + rest[1]))
+        if ways and (way := next((x for x in ways if any(True for _ in decoded(x[2]))), None)):
+            yield way
+        else:
+            yield from (x for x in block if MIXED.search(x[2]))
+        at = last + 1
 
 
 def hidden(word: str) -> frozenset[int]:
     """The kinds of the secrets in all layers below a base64 word."""
     kinds, seen, todo = set(), set(), [decoded(word)]
     while todo:
-        text = todo.pop()
+        text = next(todo[-1], None)
+        if text is None:
+            todo.pop()
+            continue
         if not text or (mark := hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()) in seen:
             continue
         seen.add(mark)
         kinds |= {k for k, _, _ in scan(text)}
-        if (plain := unescaped(Layer(text, [(0, 0, len(text), True)]))) is not None:
-            todo.append(plain.text)
-        todo += (decoded(m.group()) for m in _words(text))
+        if any(x in text for x in "%\\&") and (plain := ESCAPES.sub(lambda m: meant(m[0]) or m[0], text)) != text:
+            todo.append(iter([plain]))
+        todo.append(itertools.chain.from_iterable(decoded(w) for _, _, w in _words(text)))
     return frozenset(kinds)
 
 
@@ -214,11 +276,11 @@ def worklist(text: str) -> list[Span]:
     # Undoing escapes shortens a text, so this ends.
     while layer is not None and layer.text:
         found |= {(k, *layer.origin(s, e)) for k, s, e in scan(layer.text)}
-        for m in _words(layer.text):
-            if (word := m.group()) not in known:
+        for start, end, word in _words(layer.text):
+            if word not in known:
                 known[word] = hidden(word)
             if known[word]:
-                span = layer.origin(m.start(), m.end())
+                span = layer.origin(start, end)
                 found |= {(k, *span) for k in known[word]}
         layer = unescaped(layer)
     return sorted(found, key=lambda x: (x[1], x[0], x[2]))
