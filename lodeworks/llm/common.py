@@ -65,7 +65,7 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def block_join(rows: DataFrame, facts: DataFrame, on: str, most: int) -> DataFrame:
+def block_join(rows: DataFrame, facts: DataFrame, on: str | list[str], most: int) -> DataFrame:
     """The inner join of ``rows`` with a table of any size: broadcast in blocks of about ``most`` rows.
 
     ``rows`` are never dealt by the key, so a hot key costs no task more than another;
@@ -74,7 +74,7 @@ def block_join(rows: DataFrame, facts: DataFrame, on: str, most: int) -> DataFra
     blocks = max(1, -(-facts.count() // most))
     if blocks == 1:
         return rows.join(F.broadcast(facts), on)
-    own = F.pmod(F.xxhash64(*facts.columns), F.lit(blocks))
+    own = F.pmod(F.xxhash64(*facts.columns, F.lit(17)), F.lit(blocks))
     out = [rows.join(F.broadcast(facts.filter(own == i)), on) for i in range(blocks)]
     while len(out) > 1:
         out = [out[i].union(out[i + 1]) if i + 1 < len(out) else out[i] for i in range(0, len(out), 2)]

@@ -99,8 +99,9 @@ r AS (SELECT id, count(DISTINCT place) AS n FROM (SELECT id, unnest(range(i, i +
 s AS (SELECT id, host, list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
 l AS (SELECT id, host, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
   substr(md5(trim(regexp_replace(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ')), 1, 16) AS h FROM (SELECT id, host, unnest(ls) AS l FROM s)),
-m AS (SELECT id, min(h) AS doc FROM l GROUP BY id),
-f AS (SELECT host, h FROM l JOIN m USING (id) GROUP BY host, h HAVING count(DISTINCT doc) > 200),
+m AS (SELECT id, host, md5(CAST(list_sort(list(DISTINCT h)) AS VARCHAR)) AS doc FROM l GROUP BY id, host),
+e AS (SELECT host, count(DISTINCT doc) AS docs FROM m GROUP BY host),
+f AS (SELECT l.host, h FROM l JOIN m USING (id) JOIN e ON e.host = l.host GROUP BY l.host, h HAVING count(DISTINCT doc) > 5 AND count(DISTINCT doc) * 100 > any_value(docs) * 10),
 q AS (SELECT id, sum(n) AS gone FROM l SEMI JOIN f USING (host, h) GROUP BY id),
 a AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(list_sum(list_transform(w, lambda y: length(y))) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(s.ls) - len(list_distinct(s.ls)) AS BIGINT) AS n_dup_lines,

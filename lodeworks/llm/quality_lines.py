@@ -4,8 +4,9 @@ Lines are normalised (trimmed, lower-cased, runs of white space and of digits
 made one), hashed, and counted: in how many distinct documents of a host does a
 line stand? Copies must not count as documents of their own, or every copied text
 would be called boilerplate, so documents are told apart by the whole set of
-their line hashes, which only copies share. Lines above ``line_limit``
-distinct documents are removed; a document of which less than ``min_left`` of the
+their line hashes, which only copies share. A line is frequent in a host, and
+removed there, where it stands in over ``line_limit`` distinct documents and in over
+``host_percent`` of a hundred of the host's; a document of which less than ``min_left`` of the
 words or fewer than ``min_words`` remain is rejected as depleted.
 
 Base rules reject documents under ``min_words`` words or with over
@@ -21,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import TOKEN, let, stored, text_of, within, without
+from lodeworks.llm.common import TOKEN, block_join, let, stored, text_of, within, without
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Frequent lines are broadcast up to this many (16 bytes each); beyond it both sides are shuffled.
+#: Frequent lines are broadcast in blocks of so many (50 bytes each).
 BROADCAST_LINES = 200_000
 #: Documents that lose lines are broadcast up to this many, with the hashes of the lines.
 BROADCAST_DOCS = 50_000
@@ -85,7 +86,8 @@ def judged(
     host: str = "source",
     min_words: int = 10,
     max_repeat_percent: int = 20,
-    line_limit: int = 200,
+    line_limit: int = 5,
+    host_percent: int = 10,
     min_left: float = 0.3,
 ) -> DataFrame:
     """As ``judge``, with the key as _key, the hash of the text as _id, the host as _host and the hashes of removed lines as _gone_lines."""
@@ -103,11 +105,15 @@ def judged(
     hashes = F.sort_array(F.array_distinct(F.transform("_lined", lambda x: x["h"])))
     spread = rows.select("_host", F.xxhash64(hashes).alias("_doc"), F.explode(hashes).alias("_h"))
     docs_of = spread.groupBy("_host", "_h", "_doc").agg(F.lit(1).alias("_one")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
-    frequent = stored(docs_of.filter(F.col("_n") > line_limit).select("_host", "_h"), "quality-lines")
+    often = stored(docs_of.filter(F.col("_n") > line_limit), "quality-counts")
+    different = rows.filter(F.size("_lined") > 0).groupBy("_host", F.xxhash64(hashes).alias("_doc")).agg(F.lit(1).alias("_one"))
+    hosts = stored(different.groupBy("_host").agg(F.count("*").alias("_docs")), "quality-hosts")
+    frequent = block_join(often, hosts, "_host", BROADCAST_LINES).filter(F.col("_n") * 100 > F.col("_docs") * host_percent)
+    frequent = stored(frequent.select("_host", "_h"), "quality-lines")
 
     lines = rows.select("_key", "_id", "_host", F.posexplode("_lined").alias("_at", "_l"))
     lines = lines.select("_key", "_id", "_host", "_at", F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
-    hit = lines.join(F.broadcast(frequent) if within(frequent, BROADCAST_LINES) else frequent, ["_host", "_h"])
+    hit = block_join(lines, frequent, ["_host", "_h"], BROADCAST_LINES)
     # Repeated rows have the same lines at the same places, which count once.
     hit = hit.groupBy("_key", "_id", "_host", "_at").agg(F.max("_n").alias("_n"), F.max("_h").alias("_h"))
     removed = hit.groupBy(F.col("_key").alias("_k"), F.col("_id").alias("_i"), F.col("_host").alias("_o")).agg(F.sum("_n").alias("_gone"), F.collect_set("_h").alias("_gone_lines"))
