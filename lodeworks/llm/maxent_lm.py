@@ -15,7 +15,7 @@ its place in the head, or its own hash.
 Training is one pass over all training texts in ``ROUNDS`` synchronised rounds. A hash
 of the row deals it to a round and a shard; in a round each shard takes mini-batch
 gradient steps from the common weights, and the new common weights are the shards'
-own, averaged by how often each touched a row. Rounds, shards and the order in them
+own, averaged by how often each touched a row (their changes travel at half precision). Rounds, shards and the order in them
 depend on the rows alone, so any cluster gives the same model. The shards and the
 table of weights grow with the corpus, up to ``MAX_SHARDS`` and ``MAX_ROWS``, which a
 worker can hold.
@@ -48,10 +48,10 @@ CLASSES = 1 + SINGLES + CLUSTERS
 DIMS, BATCH = 256, 4096
 #: Rows of weights (256 bytes each): ``ROWS`` up to ``ROW_TOKENS`` training tokens, twice as many for four times the tokens.
 ROWS, ROW_TOKENS, MAX_ROWS = 1 << 15, 1 << 25, 1 << 19
-ROUNDS, SHARD_TOKENS, SHARDS, MAX_SHARDS = 4, 1 << 24, 8, 4096
+ROUNDS, SHARD_TOKENS, MAX_SHARDS = 4, 1 << 22, 4096
 #: What workers hold at once: tokens counted, texts.
 COUNTED_TOKENS, TEXTS = 2_000_000, 512
-RATE, CALM = 2.0, 16.0
+RATE, CALM = 4.0, 32.0
 #: The end of a text as a token; no word is empty.
 END = b""
 SMOOTH = 0.1
@@ -166,8 +166,8 @@ def classed(counts: DataFrame, classes: Classes) -> DataFrame:
     return counts.mapInArrow(run, "token binary, c long, cls int, hash long")
 
 
-def commonest(counts: DataFrame, most: int) -> pa.Table:
-    """(hash, c, cls) of the ``most`` commonest tokens, ties by hash.
+def commonest(counts: DataFrame, most: int, tie: str) -> pa.Table:
+    """The ``most`` rows of greatest ``c``, ties by ``tie``.
 
     A histogram of counts with 11 leading bits finds the step in which the last of
     them stands; only that step is sorted.
@@ -176,13 +176,12 @@ def commonest(counts: DataFrame, most: int) -> pa.Table:
     step = F.call_function("shiftleft", F.call_function("shiftright", F.col("c"), shift), shift)
     tally = counts.groupBy(step.alias("c")).agg(F.count("*").alias("n")).toArrow().to_pydict()
     whole, held = None, 0
-    cols = counts.select("hash", "c", "cls")
     for c, n in sorted(zip(tally["c"], tally["n"], strict=True), reverse=True):
         if held + n > most:
-            rest = cols.filter(step == c).orderBy(F.col("c").desc(), "hash").limit(most - held).toArrow()
-            return rest if whole is None else pa.concat_tables([cols.filter(step >= whole).toArrow(), rest])
+            rest = counts.filter(step == c).orderBy(F.col("c").desc(), tie).limit(most - held).toArrow()
+            return rest if whole is None else pa.concat_tables([counts.filter(step >= whole).toArrow(), rest])
         whole, held = c, held + n
-    return cols.toArrow()
+    return counts.toArrow()
 
 
 class Head:
@@ -326,11 +325,11 @@ def train(rows: DataFrame, bias: np.ndarray, head_cls: np.ndarray, many: int, sh
             shard, w, seen = None, None, None
 
             def told() -> Iterator[pa.RecordBatch]:
-                new = seen - sent.value[1]
+                new, change = seen - sent.value[1], (w - sent.value[0]).astype(np.float16)
                 for at in range(0, many, block):
                     if (n := new[at : at + block]).any():
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([at]), pa.array([shard]), pa.array([n.tobytes()], pa.binary()), pa.array([w[at : at + block].tobytes()], pa.binary())], ["at", "shard", "n", "w"]
+                            [pa.array([at]), pa.array([shard]), pa.array([n.tobytes()], pa.binary()), pa.array([change[at : at + block].tobytes()], pa.binary())], ["at", "shard", "n", "w"]
                         )
 
             for b in batches:
@@ -351,12 +350,12 @@ def train(rows: DataFrame, bias: np.ndarray, head_cls: np.ndarray, many: int, sh
                 yield from told()
 
         def averaged(p: pd.DataFrame) -> pd.DataFrame:
-            """Of one block of rows, of which a shard sends at most one."""
+            """The change of one block of rows, of which a shard sends at most one."""
             n, w, by = np.zeros(block), np.zeros((block, CLASSES)), np.zeros(block)
             for _, x, y in sorted(zip(p["shard"], p["n"], p["w"], strict=True)):
                 own = np.frombuffer(x, np.int64)
                 n, by = n + own, by + (own > 0)
-                w += np.frombuffer(y, np.float32).reshape(block, CLASSES) * own[:, None]
+                w += np.frombuffer(y, np.float16).reshape(block, CLASSES) * own[:, None]
             w = (w / np.maximum(n, 1)[:, None]).astype(np.float32)
             return pd.DataFrame({"at": p["at"].iloc[:1], "n": [(n / np.maximum(by, 1)).astype(np.int64).tobytes()], "w": [w.tobytes()]})
 
@@ -365,8 +364,7 @@ def train(rows: DataFrame, bias: np.ndarray, head_cls: np.ndarray, many: int, sh
         w, seen = w.copy(), seen.copy()
         for r in found.toLocalIterator():
             at, n = r["at"], np.frombuffer(r["n"], np.int64)
-            new = np.frombuffer(r["w"], np.float32).reshape(block, CLASSES)
-            w[at : at + block] = np.where(n[:, None] > 0, new, w[at : at + block])
+            w[at : at + block] += np.frombuffer(r["w"], np.float32).reshape(block, CLASSES)
             seen[at : at + block] += n
         sent.destroy()
     return w
@@ -400,7 +398,7 @@ def grown(tokens: int) -> tuple[int, int]:
     rows = ROWS
     while rows < MAX_ROWS and tokens >= ROW_TOKENS * (2 * rows // ROWS) ** 2:
         rows *= 2
-    return rows, min(MAX_SHARDS, max(SHARDS, -(-tokens // SHARD_TOKENS)))
+    return rows, min(MAX_SHARDS, max(1, -(-tokens // SHARD_TOKENS)))
 
 
 def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
@@ -408,10 +406,10 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: in
     fold = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
     t = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), (fold == 0).alias("held_out"), F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")).alias("_mark"))
     counts = stored(token_counts(t.filter("NOT held_out")), "counts")
-    common = counts.orderBy(F.col("c").desc(), "token").limit(SHAPED).toArrow().to_pydict()
-    words = [x for x in zip(common["token"], common["c"], strict=True) if x[0] != END]
+    common = commonest(counts, SHAPED, "token").to_pydict()
+    words = sorted((-c, t) for t, c in zip(common["token"], common["c"], strict=True) if t != END)
     shaped = words[SINGLES:]
-    classes = Classes([a for a, _ in words[:SINGLES]], centres([a for a, _ in shaped], np.log1p(np.array([b for _, b in shaped], float))))
+    classes = Classes([t for _, t in words[:SINGLES]], centres([t for _, t in shaped], np.log1p(np.array([-c for c, _ in shaped], float))))
     counts = stored(classed(counts, classes), "classed")
     per = {r["cls"]: r for r in counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     n = np.array([per[k]["n"] if k in per else 0 for k in range(CLASSES)], float)
@@ -419,7 +417,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: in
     bias = np.log((n + SMOOTH) / (n.sum() + SMOOTH * CLASSES)).astype(np.float32)
     within = np.log10(n + SMOOTH * (v + 1))
     total, kinds = int(n.sum()), int(v.sum())
-    head = Head(commonest(counts, HEAD))
+    head = Head(commonest(counts.select("hash", "c", "cls"), HEAD, "hash"))
     many, shards = grown(total)
     part = F.pmod("_mark", F.lit(ROUNDS * shards)).cast("int")
     t = t.withColumn("_shard", (part / ROUNDS).cast("int")).withColumn("_round", F.when(F.col("held_out"), -1).otherwise(part % ROUNDS))
