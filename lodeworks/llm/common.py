@@ -60,6 +60,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(x: Column, add: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of an array, ``add`` over all before it; ``add`` must be associative.
+
+    Appending within ``aggregate`` copies what stands there already, so this runs
+    through blocks of about the root of the size, and then over the blocks.
+    """
+    grow = lambda a, v: F.concat(a, F.array(add(F.element_at(a, -1), v)))
+    each = F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / each).cast("int") - 1), lambda k: F.aggregate(F.slice(x, k * each + 1, each), F.array(zero), grow))
+    starts = lambda blocks: F.aggregate(blocks, F.array(zero), lambda a, b: grow(a, F.element_at(b, -1)))
+    moved = lambda blocks, at: F.transform(blocks, lambda b, k: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda v: add(F.get(at, k), v)))
+    found = let(cut, lambda blocks: let(starts(blocks), lambda at: F.flatten(moved(blocks, at))))
+    return F.when(F.size(x) > 0, found).otherwise(F.slice(F.array(zero), 1, 0))
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to."""
     return df.limit(rows + 1).count() <= rows

@@ -10,7 +10,7 @@ its check, a gazetteer (top-level domains, country codes, issuer prefixes, route
 networks), the words before the span, and the span's form. Expectation-
 maximisation over the vote patterns estimates how reliable each labeler is and how
 likely each pattern is personal data; a logistic model per kind is then trained on
-those probabilities and classifies spans. The votes and forms have a fixed number
+those probabilities and alone decides on spans beyond the base ones. The votes and forms have a fixed number
 of values, so the counts that both are fitted on have at most ``MAX_PATTERNS``
 rows, whatever the corpus.
 
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import let, text_of
+from lodeworks.llm.common import let, running, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive quantifiers and the look-behind (or the end of the
@@ -86,19 +86,26 @@ def base_check(kind: str, m: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, m) of the leftmost non-overlapping matches, in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("found"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m")))
-        return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
-
+    """Array of (start, end, m, before) of the leftmost non-overlapping matches, in code points; ``before`` is the ``CONTEXT`` characters before."""
     gaps = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = let(matches, lambda ms: F.zip_with(F.slice(gaps, F.lit(1), F.size(ms)), ms, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))))
-    return F.aggregate(both, start, add)["found"]
+    both = let(matches, lambda ms: F.zip_with(F.slice(gaps, F.lit(1), F.size(ms)), ms, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))))
+    last = lambda c: F.right(c, F.lit(CONTEXT))
+
+    def placed(pairs: Column) -> Column:
+        starts = running(F.transform(pairs, lambda x: F.length(x["gap"]) + F.length(x["m"])), lambda a, b: a + b, F.lit(0))
+        # A match has five characters or more, so as many pairs hold the context.
+        parts = F.transform(pairs, lambda x, i: F.concat(F.coalesce(last(F.get(pairs, i - 1)["m"]), F.lit("")), last(x["gap"])))
+        many = CONTEXT // 5 + 1
+        before = lambda p, i: last(F.array_join(F.slice(p, F.greatest(i - many + 2, F.lit(1)), F.least(i + 1, F.lit(many))), ""))
+
+        def span(x: Column, at: Column, p: Column, i: Column) -> Column:
+            start = at + F.length(x["gap"])
+            return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("m"), before(p, i).alias("before"))
+
+        return let(starts, lambda at: let(parts, lambda p: F.transform(pairs, lambda x, i: span(x, F.get(at, i), p, i))))
+
+    return let(both, placed)
 
 
 def _vote(positive: Column, negative: Column | None = None) -> Column:
@@ -106,7 +113,7 @@ def _vote(positive: Column, negative: Column | None = None) -> Column:
     return v.otherwise("-") if negative is None else v.when(negative, F.lit("-")).otherwise("0")
 
 
-def votes(kind: str, text: Column, x: Column, strict: bool) -> Column:
+def votes(kind: str, x: Column, strict: bool) -> Column:
     m = x["m"]
     digits = _digits(m)
     regex = _vote(base_check(kind, m)) if strict else F.lit("0")
@@ -121,13 +128,11 @@ def votes(kind: str, text: Column, x: Column, strict: bool) -> Column:
         plus = F.startswith(m, F.lit("+"))
         gazetteer = F.when(~plus, F.lit("0")).otherwise(_vote(F.rlike(digits, F.lit(COUNTRY_CODES.replace(r"\+", "")))))
         form = _vote(F.length(digits).between(10, 13))
-    start = x["start"]
-    before = F.lower(F.substr(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
-    context = let(before, lambda b: _vote(F.rlike(b, F.lit(BEFORE[kind])), F.rlike(b, F.lit(AGAINST))))
+    context = let(F.lower(x["before"]), lambda b: _vote(F.rlike(b, F.lit(BEFORE[kind])), F.rlike(b, F.lit(AGAINST))))
     return F.concat(regex, gazetteer, context, form)
 
 
-def _proposal(text: Column, kind: str, strict: bool) -> Callable[[Column], Column]:
+def _proposal(kind: str, strict: bool) -> Callable[[Column], Column]:
     k = KINDS.index(kind)
 
     def one(x: Column) -> Column:
@@ -135,7 +140,7 @@ def _proposal(text: Column, kind: str, strict: bool) -> Callable[[Column], Colum
         base = base_check(kind, x["m"]) if strict else F.lit(False)
         return F.struct(
             x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"), base.alias("base"),
-            F.concat(F.lit(f"{k}{int(strict)}"), votes(kind, text, x, strict), size).alias("pattern"),
+            F.concat(F.lit(f"{k}{int(strict)}"), votes(kind, x, strict), size).alias("pattern"),
         )
 
     return one
@@ -151,13 +156,16 @@ def proposals(text: Column) -> Column:
         ("email", EMAIL, True, at), ("ip", IP, True, F.rlike(text, F.lit(IP))), ("card", CARD, True, long_number), ("phone", PHONE, True, plus),
         ("email", LOOSE_EMAIL, False, F.rlike(text, F.lit(r"[\[({](?:at|AT)[\])}]"))), ("phone", LOOSE_PHONE, False, F.rlike(text, F.lit(LOOSE_PHONE))),
     ):
-        parts.append(F.when(may, F.transform(located(text, pattern), _proposal(text, kind, strict))).otherwise(none))
+        parts.append(F.when(may, F.transform(located(text, pattern), _proposal(kind, strict))).otherwise(none))
 
     def apart(every: Column) -> Column:
         """Without looser spans that overlap a base span: they say nothing of their own."""
         base = F.filter(every, lambda x: x["base"])
-        free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.filter(every, lambda x: x["base"] | free(x))
+        ends = running(F.transform(every, lambda x: F.when(x["base"], x["end"]).otherwise(0)), F.greatest, F.lit(0))
+        nth = running(F.transform(every, lambda x: x["base"].cast("int")), lambda a, b: a + b, F.lit(0))
+        # Of the base spans that start later the next one starts first.
+        free = lambda x, i, b, e, n: (F.get(e, i) <= x["start"]) & F.coalesce(F.get(b, F.get(n, i))["start"] >= x["end"], F.lit(True))
+        return let(base, lambda b: let(ends, lambda e: let(nth, lambda n: F.filter(every, lambda x, i: x["base"] | free(x, i, b, e, n)))))
 
     return let(F.sort_array(F.concat(*parts)), lambda every: F.when(F.forall(every, lambda x: x["base"]), every).otherwise(apart(every)))
 
@@ -226,10 +234,7 @@ def pattern_counts(found: DataFrame, column: str = "_found") -> dict[str, int]:
 
 
 def accepted(found: Column, model: Model, least: float = 0.9) -> Column:
-    """Base spans, and the spans that the classifier gives ``least`` or more.
-
-    A span of a base pattern that fails its check also needs words before it that speak for it.
-    """
+    """Base spans, and the spans that the classifier gives ``least`` or more."""
 
     def likely(x: Column) -> Column:
         p, k = x["pattern"], x["kind"]
@@ -245,8 +250,7 @@ def accepted(found: Column, model: Model, least: float = 0.9) -> Column:
             score = F.when(k == kind, own).otherwise(score)
         return score >= math.log(least / (1 - least))
 
-    told = lambda x: ~F.startswith(F.substr(x["pattern"], F.lit(3)), F.lit("-")) | (F.substr(x["pattern"], F.lit(5), F.lit(1)) == "+")
-    return F.filter(found, lambda x: x["base"] | (likely(x) & told(x)))
+    return F.filter(found, lambda x: x["base"] | likely(x))
 
 
 def spelled(spans: Column) -> Column:
@@ -257,22 +261,40 @@ def spelled(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """``text`` with spans replaced by their kind in brackets; of overlapping spans the first stays."""
+    """``text`` with spans, which stand in order, replaced by their kind in brackets; spans that overlap go together, by the kind of the first."""
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int>>").alias("kept"))
 
-    def add(acc: Column, x: Column) -> Column:
-        one = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-        fits = x["start"] >= acc["at"]
-        return F.struct(F.when(fits, x["end"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.concat(acc["kept"], one)).otherwise(acc["kept"]).alias("kept"))
+    def regions(xs: Column) -> Column:
+        """(start, end of the region before, kind) of the runs of overlapping spans, then the end of the last."""
+        ends = running(F.transform(xs, lambda x: x["end"]), F.greatest, F.lit(0))
+        first = lambda e: F.filter(F.transform(xs, lambda x, i: F.struct(x["start"].alias("start"), F.get(e, i).alias("upto"), x["kind"].alias("kind"))), lambda r: r["start"] >= r["upto"])
+        return let(ends, first)
+
+    def rebuilt(rs: Column, end: Column) -> Column:
+        # Cutting from the whole text counts its characters anew, so cut parts of some regions first.
+        each = F.ceil(F.sqrt(F.size(rs))).cast("int")
 
-    def rebuilt(kept: Column) -> Column:
-        upto = lambda i: F.coalesce(F.get(kept, i - 1)["end"], F.lit(0))
-        pieces = F.transform(kept, lambda x, i: F.concat(F.substr(text, upto(i) + 1, x["start"] - upto(i)), F.element_at(tags, x["kind"] + 1)))
-        return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(kept, -1)["end"] + 1))
+        def part(own: Column) -> Column:
+            lo, hi = F.get(own, 0)["upto"], F.element_at(own, -1)["start"]
+            cut = lambda t: F.transform(own, lambda r: F.concat(F.substr(t, r["upto"] - lo + 1, r["start"] - r["upto"]), F.element_at(tags, r["kind"] + 1)))
+            return F.array_join(let(F.substr(text, lo + 1, hi - lo), cut), "")
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(F.aggregate(spans, none, add)["kept"], rebuilt))
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(rs) / each).cast("int") - 1), lambda k: let(F.slice(rs, k * each + 1, each), part))
+        return F.concat(F.array_join(blocks, ""), F.substr(text, end + 1))
+
+    last = F.array_max(F.transform(spans, lambda x: x["end"]))
+    return F.when(F.size(spans) == 0, text).otherwise(let(regions(spans), lambda rs: rebuilt(rs, last)))
 
 
 def fit_documents(docs: DataFrame, *, text: str = "text") -> Model:
     return fit(pattern_counts(docs.select(proposals(text_of(text)).alias("_found"))))
+
+
+def redact(docs: DataFrame, *, text: str = "text", least: float = 0.9) -> DataFrame:
+    """The documents with the spans found in their texts replaced; null texts stay null, other columns as they are."""
+    model = fit_documents(docs, text=text)
+    # In steps, so that each is a plan of bearable depth.
+    t = docs.select(F.struct(*docs.columns).alias("row"), text_of(text).alias("text")).withColumn("found", proposals(F.col("text")))
+    t = t.withColumn("spans", accepted(F.col("found"), model, least))
+    new = F.when(F.col("row")[text].isNotNull(), redacted(F.col("text"), F.col("spans")))
+    return t.select(*[(new if c == text else F.col("row")[c]).alias(c) for c in docs.columns])

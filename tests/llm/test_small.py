@@ -225,7 +225,8 @@ def test_redaction_and_overlaps(spark):
     d = docs(spark, ["mail joe@example.com, call +1 (555) 123-4567; ip 10.0.0.1 card 4111 1111 1111 1111 end", "nothing here", "256.1.1.1 and 1.2.3.4.5", None])
     m = pii.fit_documents(d)
     spans = pii.accepted(pii.proposals(F.coalesce("text", F.lit(""))), m)
-    got = [tuple(r) for r in d.orderBy("doc_id").select(pii.redacted(F.coalesce("text", F.lit("")), spans), pii.spelled(spans)).collect()]
+    t = d.orderBy("doc_id").select(F.coalesce("text", F.lit("")).alias("t"), spans.alias("s"))
+    got = [tuple(r) for r in t.select(pii.redacted(F.col("t"), F.col("s")), pii.spelled(F.col("s"))).collect()]
     assert got[0][0] == "mail [EMAIL], call [PHONE]; ip [IP] card [CARD] end"
     assert got[1] == ("nothing here", "") and got[2][1] == "ip:14:21" and got[3] == ("", "")
     assert pii.fit({}).prior and hashlib.sha256(b"").hexdigest()
