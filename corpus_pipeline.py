@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.llm import decontaminate, jaccard_join, mixing, pii, quality_lines
-from lodeworks.llm.common import stored, text_of
+from lodeworks.llm.common import stored
 from lodeworks.llm.queries import MIX_WEIGHTS, table
 
 
+def counted(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """``out`` with ``n_chars``, where ``docs`` has it, as the length of the text."""
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and the frequent lines of the others; ``n_chars`` follows."""
-    out = quality_lines.accepted(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return counted(docs, quality_lines.accepted(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +34,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Found spans are replaced by their kind; ``n_chars`` follows. Null texts stay null."""
-    model = pii.fit_documents(docs)
-    spans = pii.accepted(pii.proposals(text_of("text")), model)
-    text = F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), spans))
-    return docs.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return counted(docs, pii.redact(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
