@@ -61,8 +61,8 @@ def em(counts, rounds=40):
     out = {}
     for k in "0123":
         own = {p: n for p, n in counts.items() if p[0] == k}
-        start = {"+": (8, 2), "-": (2, 8), "0": (5, 5)}
-        pi, rel = 0.5, {(j, v): (a / 10, b / 10) for j in range(4) for v, (a, b) in start.items()}
+        start = [{"+": (x, 10 - x), "-": (10 - x, x), "0": (5, 5)} for x in (9.5, 8, 8, 8)]
+        pi, rel = 0.5, {(j, v): (a / 10, b / 10) for j in range(4) for v, (a, b) in start[j].items()}
         post = {}
         for _ in range(rounds):
             for p in own:
@@ -76,7 +76,7 @@ def em(counts, rounds=40):
             for j, v in itertools.product(range(4), "+-0"):
                 yes = sum(own[p] * post[p] for p in own if p[2 + j] == v)
                 no = sum(own[p] * (1 - post[p]) for p in own if p[2 + j] == v)
-                rel[j, v] = ((yes + start[v][0]) / (good + 15), (no + start[v][1]) / (n - good + 15))
+                rel[j, v] = ((yes + start[j][v][0]) / (good + 15), (no + start[j][v][1]) / (n - good + 15))
         out[k] = (pi, rel)
     return out
 
