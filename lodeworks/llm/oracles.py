@@ -5,7 +5,7 @@ from __future__ import annotations
 OP5 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(CAST(coalesce(CAST(doc_id AS VARCHAR), '') AS VARCHAR)) AS ord FROM documents),
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || md5(coalesce(text, ''))) AS ord FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s),
 w AS (SELECT *, CAST(list_extract([5, 2, 1], nth % 3 + 1) AS DOUBLE) AS weight, source_size * CAST(3 AS DOUBLE) AS cap,
@@ -15,16 +15,17 @@ f AS (SELECT *, CAST(sum(source_size) OVER () AS BIGINT) AS every, sum(weight) O
       WINDOW q AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT max((every - filled) / (weights - used)) AS level FROM f WHERE (every - filled) / (weights - used) <= cap / weight),
 t AS (SELECT source, source_size, a, b, least(cap, level * weight) AS target FROM f, l),
-p AS (SELECT d.doc_id, d.ord, d.size, t.source_size, t.target, t.a, t.b,
+c AS (SELECT sum(target * (a * 2) / (a + b)) / sum(target) AS even, sum(target * (b - a) / (a + b)) / sum(target) AS tilt FROM t),
+p AS (SELECT d.doc_id, d.ord, d.size, t.source_size, t.target, t.a, t.b, (t.b - t.a) / 2 AS slope, c.even, c.tilt,
              CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.ord, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size AS before
-      FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT *, greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - source_size - before))
-             + greatest(0, least(size, floor(target) - 2 * source_size - before)) AS took,
-             CASE WHEN target > 0 THEN before / target END AS share, (b - a) / 2 AS slope FROM p)
-SELECT doc_id, size, source_size, target, CAST(took AS BIGINT) AS taken,
-  CASE WHEN took > 0 THEN round(CASE WHEN slope = 0 THEN share
-    ELSE share * (a + slope) * 2 / (a + sqrt(greatest(a * a + slope * (share * (a + slope)) * 4, 0.0))) END, 9) END AS position
-FROM k
+      FROM sized d JOIN t ON d.source IS NOT DISTINCT FROM t.source, c),
+k AS (SELECT *, unnest([0, 1, 2]) AS pass FROM p),
+s1 AS (SELECT *, greatest(0, least(size, floor(target) - source_size * pass - before)) AS took, (before + source_size * pass) / target AS share FROM k),
+s2 AS (SELECT *, CASE WHEN slope = 0 THEN share ELSE share * (a + slope) * 2 / (a + sqrt(greatest(a * a + slope * (share * (a + slope)) * 4, 0.0))) END AS time FROM s1),
+s3 AS (SELECT *, CASE WHEN took > 0 THEN round(even * time + tilt * time * time, 9) END AS pos FROM s2)
+SELECT doc_id, size, source_size, target, CAST(sum(took) AS BIGINT) AS taken, max(pos) FILTER (pass = 0) AS position,
+  coalesce(string_agg(CAST(took AS BIGINT) || ':' || CAST(round(pos * 1e9) AS BIGINT), ',' ORDER BY pass) FILTER (took > 0), '') AS passes
+FROM s3 GROUP BY doc_id, ord, size, source_size, target, before
 """
 
 _CLEAN = " AND ".join(f"NOT contains({{0}}, '{x}')" for x in ("<s>", "</s>", "[INST]", "[/INST]", "&lt;", "&#91;", "&amp;"))

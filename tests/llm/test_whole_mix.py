@@ -16,8 +16,29 @@ def test_passes_fill_the_whole_schedule(spark):
     for i, r in once.items():
         mine = [x for x in got if x["doc_id"] == i]
         assert sum(x["taken"] for x in mine) == r["taken"] and min((x["position"] for x in mine if x["taken"]), default=None) == r["position"]
-    # The words before a row of the source are its schedule's integral up to the row's position.
+    # At a row's position all sources together have met that share of their demand.
+    ends = {"big": ((1.0, 1.0), 4300 - 900), "small": ((1.5, 0.5), 900)}
     for n, r in enumerate(sorted(small, key=lambda x: x["position"])):
-        p = r["position"]
-        assert 1.5 * p - 0.5 * p * p == pytest.approx(n / 90, abs=1e-6)
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            t = (lo + hi) / 2
+            lo, hi = (t, hi) if 1.5 * t - 0.5 * t * t < n / 90 else (lo, t)
+        asked = sum(words * (a * lo + (b - a) * lo * lo / 2) / ((a + b) / 2) for (a, b), words in ends.values())
+        assert r["position"] == pytest.approx(asked / 4300, abs=1e-6)
     assert [r["position"] for r in got if r["taken"]] == sorted(r["position"] for r in got if r["taken"])
+
+
+def test_words_come_in_order_of_position(spark):
+    """Of all words the mix takes, as many stand before a row as its position says, but for a document of each source."""
+    rows = [(n, "w " * (n % 7 + 1), f"s{n % 3}") for n in range(3000)]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), by_pass=True).collect() if r["taken"]]
+    total, before = sum(r["taken"] for r in got), 0
+    for r in got:
+        assert abs(before / total - r["position"]) < 30 / total
+        before += r["taken"]
+
+
+def test_rows_without_ids_are_spread(spark):
+    t = spark.createDataFrame([(None, f"{n} words", "s") for n in range(500)], "doc_id long, text string, source string")
+    got = mixing.mix(t).collect()
+    assert len({r["position"] for r in got}) == 500 and all(r["taken"] == 2 and r["passes"].startswith("2:") for r in got)
