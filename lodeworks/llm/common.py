@@ -96,6 +96,43 @@ def block_join(rows: DataFrame, facts: DataFrame, on: str | list[str], most: int
     return out[0]
 
 
+#: A key with more rows than this is dealt to several tasks.
+HOT_ROWS = 512
+
+
+class Spread:
+    """Joins on a key with known numbers of rows, in which the rows of hot keys are dealt to several tasks.
+
+    ``sizes`` has the key and ``n``, how many rows it has on the larger side. The hot
+    keys travel with the plan; where over ``BROADCAST_KEYS`` keys are hot, only hotter
+    ones count as such.
+    """
+
+    def __init__(self, sizes: DataFrame, key: str, n: str, name: str):
+        self.key, most = key, HOT_ROWS
+        hot = stored(sizes.filter(F.col(n) > most).select(F.col(key).alias("_hot"), F.col(n).alias("_rows")), name)
+        while not within(hot.filter(F.col("_rows") > most), BROADCAST_KEYS):
+            most *= 4
+        self.hot = hot.filter(F.col("_rows") > most).select("_hot", F.ceil(F.col("_rows") / most).cast("int").alias("_parts"))
+        self.any = not self.hot.isEmpty()
+
+    def _with(self, df: DataFrame, part: Column) -> DataFrame:
+        return df.join(F.broadcast(self.hot), df[self.key] == self.hot["_hot"], "left").withColumn("_part", part).drop("_hot", "_parts")
+
+    def rows(self, df: DataFrame) -> DataFrame:
+        """The larger side, with the part that each row is dealt to."""
+        return self._with(df, F.coalesce(F.pmod(F.xxhash64(*df.columns, F.lit(5)), F.col("_parts")), F.lit(0)).cast("int")) if self.any else df.withColumn("_part", F.lit(0))
+
+    def facts(self, df: DataFrame) -> DataFrame:
+        """The side with a row for each key, in every part."""
+        return self._with(df, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))) if self.any else df.withColumn("_part", F.lit(0))
+
+    def join(self, rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+        if not self.any:
+            return rows.join(facts, self.key, how)
+        return self.rows(rows).join(self.facts(facts), [self.key, "_part"], how).drop("_part")
+
+
 #: Rows of keys are broadcast up to this many (some 30 bytes each); beyond it both sides are shuffled.
 BROADCAST_KEYS = 500_000
 

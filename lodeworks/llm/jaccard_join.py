@@ -15,7 +15,8 @@ shingle). Documents with the same set are one node, whatever their number.
 
 No pair leaves its task: blocks of a bucket or family answer with a count of
 links and one root for each node, so a family of thousands costs counts, not
-rows. Large buckets and families are dealt out as pairs of blocks.
+rows. Large buckets and families are dealt out as pairs of blocks, and joins on sets,
+buckets and families deal the rows of hot keys to several tasks.
 
 Defined results: null text and texts without words have no shingles, no links and
 a class of their own rows; repeated rows are copies of each other; the class id is
@@ -34,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import stored, text_of, within, without
+from lodeworks.llm.common import Spread, stored, text_of, within, without
 
 SHINGLE, HASHES, ROWS, STEP = 5, 128, 4, 16
-#: Nodes in a block where signatures are compared, and where texts are.
-BLOCK_SIGS, BLOCK_TEXTS = 1024, 128
+#: Nodes in a block where signatures are compared, and where texts are; bytes of texts in a block.
+BLOCK_SIGS, BLOCK_TEXTS, BLOCK_BYTES = 1024, 1024, 4 << 20
 #: Family members are broadcast to fetch their texts up to this many (50 bytes each); beyond it both sides are shuffled.
 BROADCAST_MEMBERS = 500_000
 TOLERANCE = 1e-5
@@ -189,12 +190,12 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def dealt(members: DataFrame, group: str, payload: list[str], block: int) -> DataFrame:
-    """Members of groups of two or more (group, _n, payload) as (unit, side, payload): a unit is a pair of blocks of a group.
+    """Members of groups of two or more (group, _n, _bytes, payload) as (unit, side, payload): a unit is a pair of blocks of a group.
 
     A member of block b stands in the units of all pairs with b; ``side`` is 0 in
     the first block of the pair, 1 in the second, 2 if the blocks are the same.
     """
-    t = members.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    t = members.withColumn("_blocks", F.ceil(F.greatest(F.col("_n") / block, F.col("_bytes") / BLOCK_BYTES)).cast("int"))
     t = t.withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1),
@@ -250,7 +251,8 @@ def probable_edges(nodes: DataFrame, threshold: float) -> DataFrame:
     band = lambda i: F.xxhash64(i, F.substr(F.col("sig"), i * width + 1, F.lit(width)))
     rows = nodes.select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(HASHES // ROWS - 1)), band)).alias("bucket"))
     size = rows.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1")
-    met = stored(rows.join(size, "bucket"), "buckets").join(nodes.select("node", "sig"), "node")
+    size = stored(size.withColumn("_bytes", F.lit(0)), "bucket-sizes")
+    met = stored(Spread(size, "bucket", "_n", "hot-buckets").join(rows, size), "buckets").join(nodes.select("node", "sig"), "node")
     least = least_matches(threshold, TOLERANCE)
 
     def compare(t: pa.Table) -> pa.RecordBatch:
@@ -299,9 +301,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     ends when nothing changes; every round is a table in the shared folder.
     """
     both = stored(edges.select("node", "root").union(edges.select("root", "node")).toDF("node", "other").distinct(), f"{name}-edges")
+    spread = Spread(both.groupBy("other").agg(F.count("*").alias("n")), "other", "n", f"{name}-hubs")
+    dealt_out = stored(spread.rows(both), f"{name}-dealt") if spread.any else both
     state = stored(both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")), f"{name}-roots")
     while True:
-        near = both.join(state.withColumnsRenamed({"node": "other", "root": "far"}), "other").groupBy("node").agg(F.min("far").alias("far"))
+        far = state.withColumnsRenamed({"node": "other", "root": "far"})
+        near = (dealt_out.join(spread.facts(far), ["other", "_part"]) if spread.any else both.join(far, "other")).groupBy("node").agg(F.min("far").alias("far"))
         step = state.join(near, "node").select("node", F.least("root", "far").alias("new"), "root")
         hop = step.select(F.col("node").alias("_n"), F.col("new").alias("_f"))
         step = step.join(hop, F.col("new") == F.col("_n")).select("node", F.least("new", "_f").alias("new"), "root")
@@ -317,8 +322,8 @@ def links(member: DataFrame, threshold: float) -> DataFrame:
     ``links`` counts documents, ``texts`` different shingle sets. ``member`` has
     node, family, _copies and _text.
     """
-    size = member.groupBy("family").agg(F.count("*").alias("_n")).filter("_n > 1")
-    units = dealt(member.join(size, "family"), "family", ["node", "_copies", "_text"], BLOCK_TEXTS)
+    size = stored(member.groupBy("family").agg(F.count("*").alias("_n"), F.sum(F.octet_length("_text")).alias("_bytes")).filter("_n > 1"), "family-sizes")
+    units = dealt(Spread(size, "family", "_n", "hot-families").join(member, size), "family", ["node", "_copies", "_text"], BLOCK_TEXTS)
 
     def verify(t: pa.Table) -> pa.RecordBatch:
         words = _Words()
@@ -374,7 +379,10 @@ def joined(docs: DataFrame, *, key: str, text: str, threshold: float) -> DataFra
     classed = classes.join(least, "root").select("node", "_class")
     facts = nodes.select("node", "_copies", "_least").join(counts, "node", "left").join(classed, "node", "left")
     facts = facts.select("node", "_copies", F.coalesce("_class", "_least").alias("_class"), F.coalesce("_links", F.lit(0)).alias("_links"), F.coalesce("_texts", F.lit(0)).alias("_texts"))
-    out = rows.select("_key", "_id", "node").join(facts, "node", "left")
+    # Rows without shingles have no node and need no facts.
+    named, bare = rows.select("_key", "_id", "node").filter("node IS NOT NULL"), rows.select("_key", "_id", "node").filter("node IS NULL")
+    found = Spread(nodes, "node", "_copies", "hot-nodes").join(named, facts)
+    out = found.unionByName(bare, allowMissingColumns=True)
     zero = F.lit(0)
     return out.select(
         "_key", "_id", "node",
