@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lodeworks.llm.queries import OFFERED, SOLD
+
 OP5 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -41,7 +43,8 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(said) AS turns_sha256
   sha256(lost) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
 """
 
-OP10 = r"""
+_SOLD, _OFFERED = "|".join(SOLD), "|".join(OFFERED)
+OP10 = rf"""
 WITH h AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 g AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM h),
 p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -52,7 +55,7 @@ k AS (SELECT page_id, host, path, rhost || rpath AS rule, verdict,
              row_number() OVER (PARTITION BY page_id, host, path ORDER BY (rhost IS NULL), length(rhost || rpath) DESC) AS nth
       FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host,
-  '^(.*\.)?(cheap-pills|free-bets|online-casino|payday-loans|replica-watches)\.') THEN 'block' ELSE 'allow' END) AS verdict
+  '^(.*\.)?(({_SOLD})-({_OFFERED})|({_OFFERED})-({_SOLD}))\.') THEN 'block' ELSE 'allow' END) AS verdict
 FROM k WHERE nth = 1
 """
 

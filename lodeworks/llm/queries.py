@@ -74,18 +74,17 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-#: The rules of the contract, then those of our own for hosts of bulk advertising.
+#: What hosts of bulk advertising sell, and how they offer it.
+SOLD = tuple("ads affiliate backlinks bets bingo bitcoin bonus casino cialis clicks coupons credit crypto dating deals diet essays escorts followers forex gambling jackpot keno lenders loans lottery meds mortgage payday pharmacy pills poker replica roulette rolex slots sportsbook steroids sweepstakes tramadol viagra vouchers watches xxx".split())
+OFFERED = tuple("4u 24h adult best big buy cash cheap click club daily deal direct easy express fast free get hot hub instant live lucky mega money now offer official online order play premium price pro promo quick sale shop spin store super top track vip win zone".split())
+#: The rules of the contract, then one for each way to join a thing and an offer in a label of a host.
 URL_RULES = [
     url_filter.prefix_rule("allow", "com", "/"),
     url_filter.prefix_rule("block", "example.com", "/en/"),
     url_filter.prefix_rule("allow", "www.example.com", "/en/"),
     url_filter.prefix_rule("block", "net", "/es/"),
     url_filter.prefix_rule("block", "net", "/fr/"),
-    url_filter.pattern_rule("block", "cheap", "pills"),
-    url_filter.pattern_rule("block", "free", "bets"),
-    url_filter.pattern_rule("block", "online", "casino"),
-    url_filter.pattern_rule("block", "payday", "loans"),
-    url_filter.pattern_rule("block", "replica", "watches"),
+    *(url_filter.pattern_rule("block", *pair) for a in SOLD for b in OFFERED for pair in ((a, b), (b, a))),
 ]
 
 

@@ -1,11 +1,14 @@
 """Edge cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat_format, decontaminate, jaccard_join, maxent_lm, mixing, pii, quality_lines, secrets, toxicity, url_filter
+from lodeworks.llm import chat_format, common, decontaminate, jaccard_join, maxent_lm, mixing, pii, quality_lines, secrets, toxicity, url_filter
+from lodeworks.llm.queries import URL_RULES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, size int, node string, unit int, term string"
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -98,8 +101,7 @@ def test_url_rules_in_line_and_joined_agree(spark, monkeypatch):
         "no scheme", None, "", "http://com", "http://com/", "http://notcom/", "http://cheap-pills.x.org/?a#b", "http://a.b/é?://x", "ftp://user@EXAMPLE.com:80/en/", "http://fr.net/FR/",
     ]
     t = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls + urls)], "page_id long, url string, token string")
-    from lodeworks.llm.queries import URL_RULES as rules
-
+    rules = [*URL_RULES[:5], *(url_filter.pattern_rule("block", *w.split("-")) for w in ("cheap-pills", "free-bets", "online-casino"))]
     got = sorted(map(tuple, url_filter.filter_urls(t, rules).collect()), key=str)
     monkeypatch.setattr(url_filter, "INLINE_RULES", 0)
     assert got == sorted(map(tuple, url_filter.filter_urls(t, rules).collect()), key=str) and len(got) == 2 * len(urls)
@@ -109,6 +111,26 @@ def test_url_rules_in_line_and_joined_agree(spark, monkeypatch):
     assert url_filter.filter_urls(t.limit(0), rules).count() == 0 and url_filter.filter_urls(t, []).filter("verdict <> 'allow'").count() == 0
 
 
+def test_thousands_of_rules_against_each_rule_run_on_each_url(spark, monkeypatch):
+    rng = random.Random(4)
+    labels = ["win", "casino", "casino-win", "win-casino", "ads-track", "www", "a", "cheap-pills", "cheap-pills-x", "example", "com", "net"]
+    urls = [f"http://{'.'.join(rng.choices(labels, k=rng.randrange(1, 4)))}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['en', 'es', 'fr', ''])}/{rng.choice(['x', 'casino-win.', ''])}" for _ in range(150)]
+    t = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:1] * 40)], "page_id long, url string")
+    extra = [url_filter.Rule("any", "block", "(?s)^[^/]*/fr/x$", (), (0, 0))]
+    rules = sorted(URL_RULES + extra, key=lambda r: r.rank)
+    assert len(rules) > 3000
+    want = []
+    for i, u in enumerate(urls + urls[:1] * 40):
+        whole = u.split("://", 1)[1]
+        hit = next((r for r in rules if re.search(r.pattern, whole)), None)
+        want.append((i, hit and hit.label, hit.verdict if hit else "allow"))
+    ask = lambda: sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(t, rules).collect())
+    assert ask() == want and {v for _, label, v in want if label is None} == {"allow", "block"}
+    monkeypatch.setattr(url_filter, "BLOCK_RULES", 500)
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    assert ask() == want
+
+
 # -- chat -------------------------------------------------------------------------------
 
 
