@@ -307,9 +307,9 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     while True:
         far = state.withColumnsRenamed({"node": "other", "root": "far"})
         near = (dealt_out.join(spread.facts(far), ["other", "_part"]) if spread.any else both.join(far, "other")).groupBy("node").agg(F.min("far").alias("far"))
-        step = state.join(near, "node").select("node", F.least("root", "far").alias("new"), "root")
-        hop = step.select(F.col("node").alias("_n"), F.col("new").alias("_f"))
-        step = step.join(hop, F.col("new") == F.col("_n")).select("node", F.least("new", "_f").alias("new"), "root")
+        step = stored(state.join(near, "node").select("node", F.least("root", "far").alias("new"), "root"), f"{name}-steps")
+        hop = step.select(F.col("node").alias("new"), F.col("new").alias("_f"))
+        step = Spread(step.groupBy("new").agg(F.count("*").alias("n")), "new", "n", f"{name}-hot").join(step, hop).select("node", F.least("new", "_f").alias("new"), "root")
         step = stored(step, f"{name}-roots")
         state = step.select("node", F.col("new").alias("root"))
         if step.filter("new != root").isEmpty():
