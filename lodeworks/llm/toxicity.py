@@ -1,19 +1,21 @@
-"""Toxicity by two class-conditional Kneser-Ney models of spelling.
+"""Toxicity by class-conditional Kneser-Ney models of words in sequence and of their spelling.
 
-Words are sequences of bytes between word marks; n-grams of ``ORDER`` bytes are
-counted by class in labelled training texts. Each class has an interpolated
-Kneser-Ney model (token counts at the highest order, numbers of left contexts
-below) which backs off half to its own lower order and half to a model of the
-pooled counts of both classes, so that a rare expression weighs little unless one
-class really prefers it, and a word never seen is judged by its parts.
+Two pairs of models, one for each class: over pairs of words, so that an expression
+counts as a whole, and over the bytes of a word between word marks, so that a word
+never seen is judged by its parts. N-grams are counted by class in labelled training
+texts. Each class has an interpolated Kneser-Ney model (token counts at the highest
+order, numbers of left contexts below) which backs off half to its own lower order
+and half to a model of the pooled counts of both classes, so that a rare expression
+weighs little unless one class really prefers it.
 
-A text's evidence is the difference of the toxic and the ordinary log-likelihood:
-per word, per square root of the words, and over its ``TOP`` strongest words. A
-logistic curve fitted on training rows whose texts were not counted turns these
-into a score.
+A text's evidence is the difference of the toxic and the ordinary log-likelihood, of
+spelling per word and per square root of the words and over its ``TOP`` strongest
+words (against the logarithm of its length, with which the strongest grow), and of
+words in sequence per square root of the words. A logistic curve fitted on training rows whose texts
+were not counted turns these into a score.
 
-Fitted on at most about ``max_rows`` labelled rows, chosen by a hash of the id;
-all rows are scored, on their whole texts.
+Fitted on at most about ``max_rows`` labelled rows of ``max_chars`` characters in
+all, chosen by a hash of the id; all rows are scored, on their whole texts.
 
 Defined results: null and empty texts get the score of no evidence; documents with
 several labels count as toxic if any says so; null labels and null ids are no
@@ -31,14 +33,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.llm.common import stored
 
-MAX_ROWS, ORDER, TOP = 20_000, 6, 5
+MAX_ROWS, MAX_CHARS, ORDER, TOP = 20_000, 200_000_000, 6, 5
+#: Bits of a word's hash in a pair.
+WORD_BITS = 31
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Words whose evidence a worker remembers.
+FEATURES = 6
+#: Words whose evidence and hash a worker remembers.
 CACHE_WORDS = 400_000
 
 
@@ -58,26 +65,38 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[at], size
 
 
+def hash_of(word: bytes) -> int:
+    """Not 0, which stands before the first word."""
+    return xxhash.xxh3_64_intdigest(word) % ((1 << WORD_BITS) - 1) + 1
+
+
+def paired(hashes: np.ndarray) -> np.ndarray:
+    """Each word's hash after that of the word before."""
+    return np.concatenate([[0], hashes[:-1]]) << WORD_BITS | hashes
+
+
 def ngram_counts(train: DataFrame) -> DataFrame:
-    """(key, c0, c1): how often an n-gram stands in ordinary and in toxic training texts."""
+    """(words, key, c0, c1): how often an n-gram of spelling, or a pair of words, stands in ordinary and in toxic training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in range(2):
-                seen: Counter = Counter()
+                seen, pairs = Counter(), []
                 for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                    if toxic == c:
-                        seen.update(words_of(text.as_py()))
+                    if toxic == c and (words := words_of(text.as_py())):
+                        seen.update(words)
+                        pairs.append(paired(np.fromiter(map(hash_of, words), np.int64, len(words))))
                 if not seen:
                     continue
                 keys, size = spelled(list(seen))
                 keys, at = np.unique(keys, return_inverse=True)
                 n = np.bincount(at, np.repeat(np.fromiter(seen.values(), float, len(seen)), size)).astype(np.int64)
-                none = np.zeros_like(n)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, none if c else n, n if c else none)], ["key", "c0", "c1"])
+                for words, (k, m) in enumerate(((keys, n), np.unique(np.concatenate(pairs), return_counts=True))):
+                    none = np.zeros_like(m)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), words)), *(pa.array(x) for x in (k, none if c else m, m if c else none))], ["words", "key", "c0", "c1"])
 
-    part = train.select("_text", "_toxic").mapInArrow(run, "key long, c0 long, c1 long")
-    return part.groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    part = train.select("_text", "_toxic").mapInArrow(run, "words long, key long, c0 long, c1 long")
+    return part.groupBy("words", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 @dataclass
@@ -92,45 +111,48 @@ class Order:
     discount: np.ndarray
 
     @staticmethod
-    def of(keys: np.ndarray, n: np.ndarray) -> Order:
-        contexts, first = np.unique(keys >> 8, return_index=True)
+    def of(keys: np.ndarray, n: np.ndarray, bits: int) -> Order:
+        contexts, first = np.unique(keys >> bits, return_index=True)
         add = lambda x: np.add.reduceat(x, first, axis=0) if len(first) else np.zeros((0, 3))
         one, two = (n == 1).sum(0), (n == 2).sum(0)
         return Order(keys, n, contexts, add(n), add((n > 0).astype(np.int64)), (one + 1) / (one + 2 * two + 2))
 
 
 @dataclass
-class Model:
-    """``told``: the ratios of all counted n-grams, so that only others go through the back-off."""
+class Grams:
+    """The class-conditional models of n-grams of symbols of ``bits`` bits.
+
+    ``told``: the ratios of all counted n-grams, so that only others go through the back-off.
+    """
 
     orders: list[Order]
-    rate: float
-    curve: np.ndarray
+    bits: int
+    even: float
     told: np.ndarray
 
     @staticmethod
-    def of(keys: np.ndarray, c: np.ndarray, rate: float) -> Model:
+    def of(keys: np.ndarray, c: np.ndarray, bits: int, order: int) -> Grams:
         """``keys`` sorted, ``c`` (ordinary, toxic) counts of the highest order."""
-        orders = [Order.of(keys, np.column_stack([c, c.sum(1)]))]
+        orders = [Order.of(keys, np.column_stack([c, c.sum(1)]), bits)]
         have = np.column_stack([c > 0, c.sum(1) > 0])
-        for k in range(ORDER - 1, 0, -1):
-            keys, at = np.unique(keys & ((1 << 8 * k) - 1), return_inverse=True)
-            # In how many contexts one byte longer each n-gram stands, by class.
+        for k in range(order - 1, 0, -1):
+            keys, at = np.unique(keys & ((1 << bits * k) - 1), return_inverse=True)
+            # In how many contexts one symbol longer each n-gram stands, by class.
             n = np.column_stack([np.bincount(at, have[:, j], len(keys)) for j in range(3)]).astype(np.int64)
             have = n > 0
-            orders.append(Order.of(keys, n))
-        model = Model(orders[::-1], rate, np.zeros(5), np.zeros(0))
+            orders.append(Order.of(keys, n, bits))
+        model = Grams(orders[::-1], bits, 1 / max(256, len(keys) + 1), np.zeros(0))
         top = model.orders[-1].keys
         model.told = np.concatenate([model.ratios(top[i : i + 50_000]) for i in range(0, len(top), 50_000)] or [model.told])
         return model
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
-        """Logarithm of the toxic over the ordinary probability of each n-gram's last byte."""
-        p = np.full((len(keys), 3), 1 / 256)
+        """Logarithm of the toxic over the ordinary probability of each n-gram's last symbol."""
+        p = np.full((len(keys), 3), self.even)
         for k, o in enumerate(self.orders, 1):
-            g = keys & ((1 << 8 * k) - 1)
+            g = keys & ((1 << self.bits * k) - 1)
             n = np.vstack([o.n, np.zeros((1, 3), np.int64)])[_find(o.keys, g)]
-            at = _find(o.contexts, g >> 8)
+            at = _find(o.contexts, g >> self.bits)
             total = np.vstack([o.totals, np.zeros((1, 3))])[at]
             follow = np.vstack([o.follows, np.zeros((1, 3))])[at]
             each = np.maximum(total, 1)
@@ -139,38 +161,63 @@ class Model:
             p = mix(np.column_stack([(p[:, 0] + pooled) / 2, (p[:, 1] + pooled) / 2, p[:, 2]]))
         return np.log(np.maximum(p[:, 1], 1e-300)) - np.log(np.maximum(p[:, 0], 1e-300))
 
-    def evidence(self, words: list[bytes]) -> np.ndarray:
-        """Toxic less ordinary log-likelihood of each word."""
-        if not words or not len(self.orders[0].keys):
-            return np.zeros(len(words))
-        keys, size = spelled(words)
+    def evidence(self, keys: np.ndarray) -> np.ndarray:
+        """As ``ratios``, looked up for n-grams that were counted."""
         top = self.orders[-1].keys
+        if not len(top):
+            return np.zeros(len(keys))
         at = _find(top, keys)
         out = np.append(self.told, 0)[at]
         new = at == len(top)
         if new.any():
             different, back = np.unique(keys[new], return_inverse=True)
             out[new] = self.ratios(different)[back]
-        return np.add.reduceat(out, np.cumsum(size) - size)
+        return out
+
+
+@dataclass
+class Model:
+    spelling: Grams
+    pairs: Grams
+    rate: float
+    curve: np.ndarray
+
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        """Toxic less ordinary log-likelihood of each word's spelling."""
+        if not words:
+            return np.zeros(0)
+        keys, size = spelled(words)
+        return np.add.reduceat(self.spelling.evidence(keys), np.cumsum(size) - size)
 
-    def features(self, texts: list[str | None], known: dict[bytes, float]) -> np.ndarray:
-        """A row for each text; ``known`` remembers evidence between calls."""
+    def features(self, texts: list[str | None], known: dict[bytes, tuple[float, int]]) -> np.ndarray:
+        """A row for each text; ``known`` remembers evidence and hashes between calls."""
         if len(known) > CACHE_WORDS:
             known.clear()
         told = [words_of(t) for t in texts]
         new = list({w for ws in told for w in ws if w not in known})
         for i in range(0, len(new), 50_000):
-            known.update(zip(new[i : i + 50_000], self.evidence(new[i : i + 50_000]).tolist(), strict=True))
-        out = np.zeros((len(texts), 5))
+            part = new[i : i + 50_000]
+            known.update(zip(part, zip(self.of_words(part).tolist(), map(hash_of, part), strict=True), strict=True))
+        out = np.zeros((len(texts), FEATURES))
         out[:, 0] = 1
-        for row, ws in zip(out, told, strict=True):
-            if ws:
-                e = np.fromiter(map(known.__getitem__, ws), float, len(ws))
-                top = np.sort(np.partition(e, max(0, len(e) - TOP))[-TOP:])
-                row[1:] = e.sum() / len(e), e.sum() / np.sqrt(len(e)), top.sum() / TOP, np.log1p(len(e)) / 10
+        rows = [i for i, ws in enumerate(told) if ws]
+        if not rows:
+            return out
+        size = np.array([len(told[i]) for i in rows])
+        found = np.array([known[w] for i in rows for w in told[i]])
+        first = np.cumsum(size) - size
+        hashes = found[:, 1].astype(np.int64)
+        keys = paired(hashes)
+        keys[first] = hashes[first]
+        keys, back = np.unique(keys, return_inverse=True)
+        pairs = self.pairs.evidence(keys)[back]
+        for i, at, n in zip(rows, first, size, strict=True):
+            e = found[at : at + n, 0]
+            s, p = e.sum(), pairs[at : at + n].sum()
+            out[i, 1:] = s / n, s / np.sqrt(n), np.partition(e, max(0, n - TOP))[-TOP:].sum() / TOP, p / np.sqrt(n), np.log1p(n) / 10
         return out
 
-    def score(self, texts: list[str | None], known: dict[bytes, float]) -> np.ndarray:
+    def score(self, texts: list[str | None], known: dict[bytes, tuple[float, int]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(texts, known) @ self.curve, -35, 35)))
 
 
@@ -194,26 +241,34 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w / scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str, text: str, folds: int, max_rows: int) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str, label_key: str, label: str, text: str, folds: int, max_rows: int, max_chars: int) -> Model:
     """Learns from labelled rows of folds other than 0; fold 1 fits the curve, the others the counts."""
     spark = docs.sparkSession
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("_toxic"))
+    known = labels.select(F.col(label_key).alias("_id"), F.col(label).alias("_label")).filter("_id IS NOT NULL AND _label IS NOT NULL")
+    known = known.groupBy("_id").agg((F.max("_label") > 0).cast("int").alias("_toxic"))
     known = known.withColumn("_fold", F.crc32(F.col("_id").cast("string").cast("binary")) % folds).filter("_fold != 0")
     known = stored(known, "labels")
     total = known.count()
-    share = min(1.0, max_rows / max(1, total))
     # The expected number is max_rows, with a few in a hundred to spare.
-    chosen = known.filter(F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chance = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 20))
+    chosen = known.filter(chance < int(min(1.0, max_rows / max(1, total)) * (1 << 20)))
     t = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text")).join(F.broadcast(chosen), "_id")
+    t = stored(t, "labelled-texts")
+    chars = t.agg(F.sum(F.length("_text"))).first()[0] or 0
+    if chars > max_chars:
+        t = t.filter(chance < int(min(1.0, max_rows / max(1, total)) * max_chars / chars * (1 << 20)))
     found = ngram_counts(t.filter("_fold != 1")).toArrow()
-    keys, counts = found.column("key").to_numpy(), np.column_stack([found.column(f"c{c}").to_numpy() for c in range(2)])
-    order = np.argsort(keys)
+    parts = []
+    for words, (bits, order) in enumerate(((8, ORDER), (WORD_BITS, 2))):
+        own = found.filter(pc.equal(found.column("words"), words)).sort_by("key")
+        counts = np.column_stack([own.column(f"c{c}").to_numpy() for c in range(2)])
+        parts.append(Grams.of(own.column("key").to_numpy(), counts, bits, order))
     rate = t.agg(F.avg("_toxic").alias("r")).first()["r"]
-    model = Model.of(keys[order], counts[order], 0.5 if rate is None else float(rate))
+    model = Model(*parts, 0.5 if rate is None else float(rate), np.zeros(FEATURES))
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[float, int]] = {}
         for b in batches:
             x = sent.value.features(b.column(0).to_pylist(), known).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
@@ -224,19 +279,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, text: str, folds: int,
         model.curve = logistic(np.array(held.column("x").to_pylist()), y)
     else:
         r = min(max(model.rate, 1e-6), 1 - 1e-6)
-        model.curve = np.array([np.log(r / (1 - r)), 0.0, 0.0, 0.0, 0.0])
+        model.curve = np.array([np.log(r / (1 - r))] + [0.0] * (FEATURES - 1))
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 5, max_rows: int = MAX_ROWS) -> DataFrame:
+def score(
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label_key: str = "doc_id", label: str = "toxic", text: str = "text", folds: int = 5, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS
+) -> DataFrame:
     """One row per document: key, held_out, score and predicted."""
-    model = fit(docs, labels, key=key, text=text, folds=folds, max_rows=max_rows)
+    model = fit(docs, labels, key=key, label_key=label_key, label=label, text=text, folds=folds, max_rows=max_rows, max_chars=max_chars)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     t = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     kind = t.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[float, int]] = {}
         for b in batches:
             x = sent.value.score(b.column(1).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.float64())], ["k", "score"])
