@@ -8,8 +8,8 @@ makes the parse fail.
 
 Rendering starts without escapes. The rendered conversation is parsed again and
 compared with its source; turns that do not come back are escaped, and if the
-conversation still differs, all its turns are. Every output is known to parse
-into its source; ``rounds`` says how many renderings that took.
+conversation still differs, all its turns are, and the last rendering is parsed again
+too: the job fails rather than give an output that does not parse into its source; ``rounds`` says how many renderings that took.
 
 The loss mask marks the texts of one role; ``loss_spans`` are its code-point
 spans in the formatted text, end exclusive.
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import let
+from lodeworks.llm.common import let, running
 
 BEGIN, MID, END = "<s>[INST]", "[/INST]", "</s>"
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
@@ -100,21 +100,21 @@ def format_conversations(
     c = c.withColumn("_first", join(F.col("_source"))).withColumn("_ok", same(F.col("_first")))
     some = F.transform("_source", lambda x: F.when(alone(x), x).otherwise(shield(x)))
     c = c.withColumn("_second", F.when(~F.col("_ok"), join(some))).withColumn("_ok2", F.col("_ok") | same(F.col("_second")))
-    every = join(F.transform("_source", shield))
+    c = c.withColumn("_third", F.when(~F.col("_ok2"), join(F.transform("_source", shield))))
+    every = F.when(same(F.col("_third")), F.col("_third")).otherwise(F.raise_error(F.lit("a conversation does not come back from its template")).cast("string"))
     c = c.withColumn("formatted", F.when(F.col("_ok"), F.col("_first")).when(F.col("_ok2"), F.col("_second")).otherwise(every))
     c = c.withColumn("rounds", F.when(F.col("_ok"), 1).when(F.col("_ok2"), 2).otherwise(3))
     c = c.withColumn("_pieces", pieces(F.col("formatted"))).withColumn("turns", F.transform("_pieces", parse_turn))
-    # Spans of masked texts: running ends of the pieces, then each text's own length back from its end mark.
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    # Spans of masked texts: from the mark in the middle of a piece to its end.
+    ends = running(F.transform("_pieces", lambda p: F.length(p) + len(END)), lambda a, b: a + b, F.lit(0))
 
-    def add(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        start = acc["at"] + F.instr(piece, MID) - 1 + len(MID)
-        marked = parse_turn(piece)["role"] == loss_role
-        own = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct((end + len(END)).alias("at"), F.when(marked, F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
+    def marked(at: Column) -> Column:
+        every = F.transform(
+            "_pieces", lambda p, i: F.struct((F.get(at, i) + F.instr(p, MID) - 1 + len(MID)).cast("long").alias("start"), (F.get(at, i) + F.length(p)).cast("long").alias("end"))
+        )
+        return F.filter(every, lambda x, i: F.get("turns", i)["role"] == loss_role)
 
-    spans = F.aggregate("_pieces", zero, add)["spans"]
+    spans = let(ends, marked)
     lost = F.filter("turns", lambda x: x["role"] == loss_role)
     return c.select(
         F.col("_conv").alias(conv), "formatted", spans.alias("loss_spans"), "turns",

@@ -149,6 +149,27 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(t.limit(0)).count() == 0
 
 
+def test_chat_every_string_of_marks(spark, monkeypatch):
+    """Random texts of marks and parts of marks come back, and a rendering that would not is refused."""
+    rng = random.Random(9)
+    parts = ["<s>", "</s>", "[INST]", "[/INST]", "<", "/s>", "s>", "&", "&lt;", "&amp;", "lt;", "#91;", "[", "x", "\n", "é"]
+    rows = [(c, n, rng.choice(["user", "assistant", "".join(rng.choices(parts, k=2))]), "".join(rng.choices(parts, k=rng.randrange(8)))) for c in range(80) for n in range(rng.randrange(1, 5))]
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.format_conversations(t).collect()}
+    for c, r in got.items():
+        want = [(role, text) for k, _, role, text in rows if k == c]
+        assert [(x["role"], x["text"]) for x in r["turns"]] == want and r["loss_text"] == "".join(text for role, text in want if role == "assistant")
+        assert len(r["loss_spans"]) == sum(role == "assistant" for role, _ in want)
+    assert {r["rounds"] for r in got.values()} >= {1, 2}
+    long = spark.createDataFrame([(1, n, "assistant" if n % 2 else "user", f"text <s> {n}") for n in range(20_000)], "conv_id long, turn long, role string, text string")
+    r = chat_format.format_conversations(long).first()
+    f = r["formatted"]
+    assert len(r["turns"]) == 20_000 and [f[s["start"] : s["end"]] for s in r["loss_spans"][:2]] == ["text &lt;s> 1", "text &lt;s> 3"]
+    monkeypatch.setattr(chat_format, "escaped", lambda c: c)
+    with pytest.raises(Exception, match="does not come back"):
+        chat_format.format_conversations(t).collect()
+
+
 # -- mixing -----------------------------------------------------------------------------
 
 
