@@ -22,12 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the session's ``spark.checkpoint.dir``; a folder of our own stands in
-    only where that is unset, as in local tests.
+    only where that is unset and all runs on one machine, as in tests.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
+#: The tables stored within each open ``Scratch``, innermost last.
+_open: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder, in a folder for each value of ``by``, and read back.
 
@@ -37,7 +43,43 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeworks/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+class Scratch:
+    """A stretch of work whose stored tables are deleted at its end, but for its ``result``.
+
+    A job that fails leaves its tables to whoever looks into it.
+    """
+
+    def __enter__(self) -> Scratch:
+        self.kept: list[DataFrame] = []
+        _open.append([])
+        return self
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        self.kept.append(out)
+        return out
+
+    def __exit__(self, kind: object, *_: object) -> None:
+        tables = _open.pop()
+        if kind is None:
+            discard(*(t for t in tables if not any(t is k for k in self.kept)))
+            if _open:
+                _open[-1].extend(self.kept)
 
 
 def text_of(name: str = "text") -> Column:

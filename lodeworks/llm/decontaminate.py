@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import WORD, ascii_lower, block_join, let, stored, text_of, within, without
+from lodeworks.llm.common import WORD, Scratch, ascii_lower, block_join, let, stored, text_of, within, without
 
 #: Anchors (some 300 bytes each) and items are broadcast in blocks of so many; keys of hit documents up to BROADCAST_ROWS.
 BLOCK_ANCHORS, BLOCK_ITEMS, BROADCAST_ROWS = 200_000, 200_000, 500_000
@@ -152,20 +152,23 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = 10, near: int = 8
 ) -> DataFrame:
     """One row per document: key, n_words, n_hit, n_items, items, contaminated and n_near."""
-    tests = stored(test_items(items, item, item_text), "items")
-    posted = stored(postings(docs, tests, key, text), "postings")
-    found = stored(find(posted, tests, length=length, near=near).withColumnsRenamed({"_key": "_k", "_id": "_i"}), "found")
-    found = F.broadcast(found) if within(found, BROADCAST_ROWS) else found
-    out = posted.select("_key", "_id", "n_words").join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i")), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return out.select(
-        F.col("_key").alias(key), "n_words", zero("n_hit"), zero("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero("n_near"),
-    )
+    with Scratch() as scratch:
+        tests = stored(test_items(items, item, item_text), "items")
+        posted = stored(postings(docs, tests, key, text), "postings")
+        found = stored(find(posted, tests, length=length, near=near).withColumnsRenamed({"_key": "_k", "_id": "_i"}), "found")
+        found = F.broadcast(found) if within(found, BROADCAST_ROWS) else found
+        out = posted.select("_key", "_id", "n_words").join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_id") == F.col("_i")), "left")
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+        out = out.select(
+            F.col("_key").alias(key), "n_words", zero("n_hit"), zero("n_items"),
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero("n_near"),
+        )
+        return scratch.result(out, "decontaminated")
 
 
 def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", length: int = 10, near: int = 8) -> DataFrame:
     """The documents in which no window of an item stands, as they are; a proximity match alone removes none."""
-    tests = stored(test_items(items, item, item_text), "items")
-    hit = find(stored(postings(docs, tests, key, text), "postings"), tests, length=length, near=near).filter("n_hit > 0")
+    with Scratch() as scratch:
+        tests = stored(test_items(items, item, item_text), "items")
+        hit = scratch.result(find(stored(postings(docs, tests, key, text), "postings"), tests, length=length, near=near).filter("n_hit > 0"), "hit")
     return without(docs, hit, key, text)

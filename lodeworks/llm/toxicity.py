@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import stored
+from lodeworks.llm.common import Scratch, stored
 
 MAX_ROWS, MAX_CHARS, ORDER, TOP = 20_000, 200_000_000, 6, 5
 #: Bits of a word's hash in a pair.
@@ -287,7 +287,8 @@ def score(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", label_key: str = "doc_id", label: str = "toxic", text: str = "text", folds: int = 5, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS
 ) -> DataFrame:
     """One row per document: key, held_out, score and predicted."""
-    model = fit(docs, labels, key=key, label_key=label_key, label=label, text=text, folds=folds, max_rows=max_rows, max_chars=max_chars)
+    with Scratch():
+        model = fit(docs, labels, key=key, label_key=label_key, label=label, text=text, folds=folds, max_rows=max_rows, max_chars=max_chars)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     t = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     kind = t.schema["_key"].dataType.simpleString()

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import LOWER, UPPER, Spread, block_join, stored
+from lodeworks.llm.common import LOWER, UPPER, Scratch, Spread, block_join, stored
 
 #: Up to this many rules the index is a literal in the plan; more are broadcast in blocks of so many (some 200 bytes each).
 INLINE_RULES, BLOCK_RULES = 256, 200_000
@@ -115,12 +115,13 @@ def _joined(urls: DataFrame, rules: list[Rule], filed: list[str | None]) -> Data
     """For rule sets of any size: the tokens of each different URL fetch their rules."""
     spark = urls.sparkSession
     rows = [(t or "", i, r.pattern, r.label, r.verdict) for i, (t, r) in enumerate(zip(filed, rules, strict=True))]
-    index = stored(spark.createDataFrame(rows, "token string, rank long, pattern string, label string, verdict string"), "url-rules")
     urls = urls.withColumn("_url", F.concat("host", "path"))
     different = urls.groupBy("_url").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("_n"))
     tokens = url_tokens(F.col("host"), F.col("path"))
     tokens = tokens if all(filed) else F.concat(F.array(F.lit("")), tokens)
-    asked = stored(different.select("_url", "_n", F.explode(tokens).alias("token")), "url-tokens")
-    run = block_join(asked, index, "token", BLOCK_RULES).filter(F.regexp_like("_url", F.col("pattern")))
-    best = stored(run.groupBy("_url").agg(F.min(F.struct("rank", "label", "verdict")).alias("_hit"), F.max("_n").alias("_n")), "url-hits")
+    with Scratch() as scratch:
+        index = stored(spark.createDataFrame(rows, "token string, rank long, pattern string, label string, verdict string"), "url-rules")
+        asked = stored(different.select("_url", "_n", F.explode(tokens).alias("token")), "url-tokens")
+        run = block_join(asked, index, "token", BLOCK_RULES).filter(F.regexp_like("_url", F.col("pattern")))
+        best = scratch.result(run.groupBy("_url").agg(F.min(F.struct("rank", "label", "verdict")).alias("_hit"), F.max("_n").alias("_n")), "url-hits")
     return Spread(best, "_url", "_n", "hot-urls").join(urls, best.drop("_n"), "left")
