@@ -3,7 +3,8 @@
 Two pairs of models, one for each class: over pairs of words, so that an expression
 counts as a whole, and over the bytes of a word between word marks, so that a word
 never seen is judged by its parts. N-grams are counted by class in labelled training
-texts. Each class has an interpolated Kneser-Ney model (token counts at the highest
+texts; pairs that stand there once are left out, which tell nothing that their words
+do not. Each class has an interpolated Kneser-Ney model (token counts at the highest
 order, numbers of left contexts below) which backs off half to its own lower order
 and half to a model of the pooled counts of both classes, so that a rare expression
 weighs little unless one class really prefers it.
@@ -76,7 +77,7 @@ def paired(hashes: np.ndarray) -> np.ndarray:
 
 
 def ngram_counts(train: DataFrame) -> DataFrame:
-    """(words, key, c0, c1): how often an n-gram of spelling, or a pair of words, stands in ordinary and in toxic training texts."""
+    """(words, key, c0, c1): how often an n-gram of spelling, or a pair of words seen twice or more, stands in ordinary and in toxic training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,7 +97,7 @@ def ngram_counts(train: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), words)), *(pa.array(x) for x in (k, none if c else m, m if c else none))], ["words", "key", "c0", "c1"])
 
     part = train.select("_text", "_toxic").mapInArrow(run, "words long, key long, c0 long, c1 long")
-    return part.groupBy("words", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return part.groupBy("words", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter("words = 0 OR c0 + c1 > 1")
 
 
 @dataclass
