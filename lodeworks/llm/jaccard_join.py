@@ -39,7 +39,7 @@ from lodeworks.llm.common import Scratch, Spread, stored, text_of, within, witho
 
 SHINGLE, HASHES, ROWS, STEP = 5, 128, 4, 16
 #: Nodes in a block where signatures are compared, and where texts are; bytes of texts in a block.
-BLOCK_SIGS, BLOCK_TEXTS, BLOCK_BYTES = 1024, 1024, 4 << 20
+BLOCK_SIGS, BLOCK_TEXTS, BLOCK_BYTES = 1024, 256, 1 << 20
 #: Family members are broadcast to fetch their texts up to this many (50 bytes each); beyond it both sides are shuffled.
 BROADCAST_MEMBERS = 500_000
 TOLERANCE = 1e-5
