@@ -18,6 +18,22 @@ def _starts(raw: bytes, at: int) -> int:
     return min(at, len(raw))
 
 
+def _forward(raw: bytes, at: int, chars: int) -> int:
+    """Where ``chars`` characters from ``at`` end; characters have four bytes at most."""
+    part = raw[at : at + 4 * chars]
+    if part.isascii():
+        return min(len(raw), at + chars)
+    return at + len(part.decode(errors="ignore")[:chars].encode())
+
+
+def _back(raw: bytes, at: int, chars: int) -> int:
+    """Where the ``chars`` characters before ``at`` begin."""
+    part = raw[max(0, at - 4 * chars) : at]
+    if part.isascii():
+        return max(0, at - chars)
+    return at - len(part[_starts(part, 0) :].decode()[-chars:].encode())
+
+
 def _break(raw: bytes, start: int, end: int) -> int:
     """The best place to end a window: after a paragraph, a line, a sentence or a word in its last part."""
     low = start + int((end - start) * (1 - BOUNDARY_PART))
@@ -39,15 +55,10 @@ def split(text: str | None) -> Iterator[tuple[int, int, int, str]]:
         return
     base = len(text[: len(text) - len(text.lstrip())].encode())
     raw = whole.encode()
-    # Byte offset of every character, so that a window is found by counting characters.
-    offsets = [0]
-    for ch in whole:
-        offsets.append(offsets[-1] + len(ch.encode()))
-    place = dict(zip(offsets, range(len(offsets)), strict=True))
     start = index = 0
     while start < len(raw):
-        last = min(place[start] + CHUNK_CHARS, len(whole))
-        end = offsets[last] if last == len(whole) else _break(raw, start, offsets[last])
+        last = _forward(raw, start, CHUNK_CHARS)
+        end = last if last == len(raw) else _break(raw, start, last)
         window = raw[start:end].decode()
         passage = window.strip()
         if passage:
@@ -57,7 +68,7 @@ def split(text: str | None) -> Iterator[tuple[int, int, int, str]]:
             index += 1
         if end >= len(raw):
             return
-        back = offsets[max(0, place[end] - OVERLAP_CHARS)]
+        back = _back(raw, end, OVERLAP_CHARS)
         start = back if back > start else end
 
 

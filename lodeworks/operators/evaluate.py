@@ -53,15 +53,24 @@ def delivery(runs: DataFrame, expected: DataFrame) -> DataFrame:
     return t.groupBy("case_id").agg(share(own_).alias("delivered"), share(rel_).alias("supplementary"), share(own_ | rel_).alias("together"))
 
 
-def summary(per_case: DataFrame, empty: DataFrame | None = None) -> DataFrame:
-    """One row of means over the cases that expect something, and whether the thresholds hold."""
+def summary(per_case: DataFrame, empty: DataFrame | None = None, overlaps: DataFrame | None = None) -> DataFrame:
+    """One row of means over the cases that expect something, and whether all thresholds hold.
+
+    ``empty``: passed of each case that expects nothing. ``overlaps``: overlap of
+    each query's approximate neighbours with the exact ones. What was not measured
+    does not fail.
+    """
     some = F.col("n_expected") > 0
     t = per_case.agg(
         F.count("*").alias("cases"), F.count_if(some).alias("ranked"), F.avg(F.when(some, F.col("recall"))).alias("recall"),
         F.avg(F.when(some, F.col("rr"))).alias("mrr"), F.avg(F.when(some, F.col("ndcg"))).alias("ndcg"),
     )
+    nothing = per_case.sparkSession.range(1).select(F.lit(None).cast("double").alias("x"))
+    one = lambda df, c, name: (nothing.select(F.col("x").alias(name)) if df is None else df.agg(F.avg(F.col(c).cast("double")).alias(name)))
+    # Rows of one each.
+    t = t.crossJoin(F.broadcast(one(empty, "passed", "empty"))).crossJoin(F.broadcast(one(overlaps, "overlap", "ann")))
     ok = F.lit(True)
-    for c in ("recall", "mrr", "ndcg"):
+    for c in ("recall", "mrr", "ndcg", "empty", "ann"):
         ok = ok & (F.coalesce(F.col(c), F.lit(1.0)) >= THRESHOLDS[c])
     return t.withColumn("passed", ok)
 

@@ -12,8 +12,10 @@ from lodeworks.vocabulary import MAX_DEPTH, MAX_ROUTES
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``, or one of our own where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -36,7 +38,8 @@ def closure(seeds: DataFrame, edges: DataFrame, *, stop: DataFrame | None = None
     def open_(df: DataFrame) -> DataFrame:
         return df.join(barred, "node", "left_anti") if barred is not None else df
 
-    edges = edges.select("src", "dst").distinct()
+    # Read anew in every round, so its own lineage ends here.
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
     reached = stored(open_(seeds.distinct()), "closure")
     frontier = reached
     while not frontier.isEmpty():

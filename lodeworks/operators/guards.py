@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import date, datetime
 from email.utils import parseaddr
@@ -70,18 +72,48 @@ def readiness(tables: dict[str, DataFrame], wanted: dict[str, tuple[str, ...]])
 
 
 @contextmanager
-def exclusive(spark: SparkSession, name: str) -> Iterator[None]:
-    """Holds a workspace against other maintenance: a file in the shared folder that only one driver can create."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodeworks/locks/{name}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        fs.create(path, False).close()
-    except Exception as e:
-        raise RuntimeError(f"{name} is under maintenance") from e
+def exclusive(spark: SparkSession, name: str, *, owner: str = "", hours: float = 12.0, now: Callable[[], float] = time.time) -> Iterator[None]:
+    """Holds a workspace against other maintenance: a file in the shared folder that only one driver can create.
+
+    The file tells its owner and when it expires, so that what a driver left that
+    died is taken over after that.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodeworks/locks/{name}")
+    fs = path.getFileSystem(conf)
+    token = uuid.uuid4().hex
+
+    def held() -> list[str]:
+        try:
+            stream = fs.open(path)
+        except Exception:  # gone, or not whole yet
+            return []
+        try:
+            return str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")).split("\n")
+        finally:
+            stream.close()
+
+    def take() -> bool:
+        try:
+            out = fs.create(path, False)
+        except Exception:
+            return False
+        out.write(bytearray(f"{token}\n{owner}\n{now() + hours * 3600}".encode()))
+        out.close()
+        return True
+
+    if not take():
+        old = held()
+        if len(old) != 3 or float(old[2]) > now():
+            raise RuntimeError(f"{name} is under maintenance" + (f" by {old[1]}" if len(old) == 3 and old[1] else ""))
+        fs.delete(path, False)
+        if not take():
+            raise RuntimeError(f"{name} is under maintenance")
     try:
         yield
     finally:
-        fs.delete(path, False)
+        if held()[:1] == [token]:
+            fs.delete(path, False)
 
 
 def counted(df: DataFrame, name: str, **counts: object) -> tuple[DataFrame, Observation]:

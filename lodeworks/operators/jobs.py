@@ -30,13 +30,18 @@ def publish(jobs: DataFrame, new: DataFrame) -> DataFrame:
     return jobs.unionByName(new.dropDuplicates(key).join(jobs, key, "left_anti"), allowMissingColumns=True)
 
 
-def claimable(jobs: DataFrame, subject: str, limit: int, now: datetime) -> DataFrame:
-    """The jobs that a claim takes: one whose lease expired first (if there is room for two or more), then ready ones by age."""
+def claimable(jobs: DataFrame, subject: str, limit: int, now: datetime, turn: int = 0) -> DataFrame:
+    """The jobs that a claim takes: one whose lease expired first, then ready ones by age.
+
+    A claim of one job would never come to the other kind, so with ``limit`` 1 odd
+    values of ``turn``, the claimer's count, look for an expired job first and even
+    ones for a ready job first.
+    """
     ready = (F.col("state") == "READY") & (F.col("available_at") <= F.lit(now))
     own = jobs.filter(F.col("subject") == subject)
-    old = own.filter(expired(now)).orderBy("lease_until", "job_id").limit(1 if limit > 1 else 0)
+    old = own.filter(expired(now)).orderBy("lease_until", "job_id").limit(1)
     due = own.filter(ready).orderBy("available_at", "created_at", "job_id").limit(limit)
-    both = old.withColumn("_first", F.lit(0)).unionByName(due.withColumn("_first", F.lit(1)))
+    both = old.withColumn("_first", F.lit(0 if limit > 1 or turn % 2 else 2)).unionByName(due.withColumn("_first", F.lit(1)))
     return both.orderBy("_first", "available_at", "created_at", "job_id").limit(limit).drop("_first")
 
 
@@ -79,10 +84,12 @@ def verdict(outcome: Column, reason: Column, attempts: Column) -> Column:
 def settle(jobs: DataFrame, outcomes: DataFrame, now: datetime) -> DataFrame:
     """``jobs`` after ``outcomes`` (job_id, generation, outcome, reason). Outcomes of a lost lease or an older claim change nothing.
 
-    Returning a job without a verdict refunds the attempt its claim charged.
+    Returning a job without a verdict refunds the attempt its claim charged. Of
+    several outcomes of one claim the least by name and reason counts.
     """
-    o = outcomes.select("job_id", F.col("generation").alias("_g"), F.col("outcome").alias("_o"), F.col("reason").alias("_r"))
-    t = jobs.join(o, "job_id", "left").withColumn("_v", verdict(F.col("_o"), F.col("_r"), F.col("attempts")))
+    one = outcomes.groupBy("job_id", F.col("generation").alias("_g")).agg(F.min(F.struct("outcome", "reason")).alias("_m"))
+    o = one.select(F.col("job_id").alias("_j"), "_g", F.col("_m.outcome").alias("_o"), F.col("_m.reason").alias("_r"))
+    t = jobs.join(o, (F.col("job_id") == F.col("_j")) & (F.col("generation") == F.col("_g")), "left").withColumn("_v", verdict(F.col("_o"), F.col("_r"), F.col("attempts")))
     fenced = F.coalesce(live(now) & (F.col("generation") == F.col("_g")), F.lit(False))
     action = F.when(fenced, F.col("_v.action")).otherwise("none")
     state = (

@@ -14,7 +14,10 @@ HIDDEN = (".DS_Store", "Thumbs.db")
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, relative_path, filename, size, modified_at, sha256, content) of the regular files below ``root``."""
     t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("/")[-1]) + "/", "")
+    # Paths come qualified, so the root is told from its own name further down by its whole path.
+    path = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/") + "/"
+    rel = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1))).otherwise(F.element_at(F.split("path", "/"), -1))
     name = F.element_at(F.split("path", "/"), -1)
     t = t.select("path", rel.alias("relative_path"), name.alias("filename"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("sha256"), "content")
     return t.filter(~F.col("filename").isin(*HIDDEN) & ~F.startswith("filename", F.lit("._")))
