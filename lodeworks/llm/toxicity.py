@@ -46,8 +46,8 @@ MAX_ROWS, MAX_CHARS, ORDER, TOP = 20_000, 200_000_000, 6, 5
 WORD_BITS = 31
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 FEATURES = 6
-#: Words whose evidence and hash a worker remembers.
-CACHE_WORDS = 400_000
+#: Texts a worker has in hand, and words whose evidence and hash it remembers.
+TEXTS, CACHE_WORDS = 256, 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -80,7 +80,7 @@ def ngram_counts(train: DataFrame) -> DataFrame:
     """(words, key, c0, c1): how often an n-gram of spelling, or a pair of words seen twice or more, stands in ordinary and in toxic training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, 4 * TEXTS) for x in batches for at in range(0, x.num_rows, 4 * TEXTS)):
             for c in range(2):
                 seen, pairs = Counter(), []
                 for text, toxic in zip(b.column(0), b.column(1).to_pylist(), strict=True):
@@ -134,17 +134,17 @@ class Grams:
     @staticmethod
     def of(keys: np.ndarray, c: np.ndarray, bits: int, order: int) -> Grams:
         """``keys`` sorted, ``c`` (ordinary, toxic) counts of the highest order."""
-        orders = [Order.of(keys, np.column_stack([c, c.sum(1)]), bits)]
+        orders = [Order.of(keys, np.column_stack([c, c.sum(1)]).astype(np.int32), bits)]
         have = np.column_stack([c > 0, c.sum(1) > 0])
         for k in range(order - 1, 0, -1):
             keys, at = np.unique(keys & ((1 << bits * k) - 1), return_inverse=True)
             # In how many contexts one symbol longer each n-gram stands, by class.
-            n = np.column_stack([np.bincount(at, have[:, j], len(keys)) for j in range(3)]).astype(np.int64)
+            n = np.column_stack([np.bincount(at, have[:, j], len(keys)) for j in range(3)]).astype(np.int32)
             have = n > 0
             orders.append(Order.of(keys, n, bits))
         model = Grams(orders[::-1], bits, 1 / max(256, len(keys) + 1), np.zeros(0))
         top = model.orders[-1].keys
-        model.told = np.concatenate([model.ratios(top[i : i + 50_000]) for i in range(0, len(top), 50_000)] or [model.told])
+        model.told = np.concatenate([model.ratios(top[i : i + 50_000]) for i in range(0, len(top), 50_000)] or [model.told]).astype(np.float32)
         return model
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
@@ -192,6 +192,10 @@ class Model:
 
     def features(self, texts: list[str | None], known: dict[bytes, tuple[float, int]]) -> np.ndarray:
         """A row for each text; ``known`` remembers evidence and hashes between calls."""
+        parts = [self._features(texts[i : i + TEXTS], known) for i in range(0, len(texts), TEXTS)]
+        return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
+
+    def _features(self, texts: list[str | None], known: dict[bytes, tuple[float, int]]) -> np.ndarray:
         if len(known) > CACHE_WORDS:
             known.clear()
         told = [words_of(t) for t in texts]
@@ -205,15 +209,16 @@ class Model:
         if not rows:
             return out
         size = np.array([len(told[i]) for i in rows])
-        found = np.array([known[w] for i in rows for w in told[i]])
+        seen = [known[w] for i in rows for w in told[i]]
+        every = np.fromiter((x[0] for x in seen), float, len(seen))
+        hashes = np.fromiter((x[1] for x in seen), np.int64, len(seen))
         first = np.cumsum(size) - size
-        hashes = found[:, 1].astype(np.int64)
         keys = paired(hashes)
         keys[first] = hashes[first]
         keys, back = np.unique(keys, return_inverse=True)
         pairs = self.pairs.evidence(keys)[back]
         for i, at, n in zip(rows, first, size, strict=True):
-            e = found[at : at + n, 0]
+            e = every[at : at + n]
             s, p = e.sum(), pairs[at : at + n].sum()
             out[i, 1:] = s / n, s / np.sqrt(n), np.partition(e, max(0, n - TOP))[-TOP:].sum() / TOP, p / np.sqrt(n), np.log1p(n) / 10
         return out
