@@ -7,17 +7,29 @@ there the rows are collected and folded in order.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import content_key, cosine_distance, terms
+from lodeworks.operators.graph import stored
 from lodeworks.vocabulary import BM25_B, BM25_K1, BUDGET_BYTES, DENSE_K, FUSED_K, LEXICAL_K, POOL_DENSE_ONLY, POOL_PER_QUERY, RRF_K, SNIPPET_BYTES, TOP_K
 
 
+#: What is asked is broadcast up to this many rows (some 50 bytes each); queries and vectors are measured in blocks of so many.
+BROADCAST_ROWS, QUERY_BLOCK, ROW_BLOCK = 500_000, 4096, 1024
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 # -- index ----------------------------------------------------------------------------
 
 
@@ -32,18 +44,43 @@ def corpus_stats(passages: DataFrame, *, text: str) -> DataFrame:
     return passages.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avgdl"))
 
 
-def bm25(post: DataFrame, stats: DataFrame, queries: DataFrame, *, key: str, query: str = "query_id", text: str = "query") -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Stored postings (term, key, tf, dl) in order of term, numbers of passages by term (term, df), and totals (n, avgdl)."""
+
+    post: DataFrame
+    df: DataFrame
+    stats: DataFrame
+    key: str
+
+    @staticmethod
+    def build(passages: DataFrame, *, key: str, text: str) -> Index:
+        """Cuts the texts into terms once; every search reads the tables."""
+        post = stored(postings(passages, key=key, text=text).sortWithinPartitions("term"), "postings")
+        df = stored(post.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term"), "terms")
+        words, n = post.agg(F.sum("tf")).first()[0] or 0, passages.count()
+        stats = passages.sparkSession.createDataFrame([(n, words / n if n else None)], "n long, avgdl double")
+        return Index(post, df, stats, key)
+
+    def scores(self, queries: DataFrame, *, query: str = "query_id", text: str = "query") -> DataFrame:
+        return bm25(self.post, self.stats, queries, key=self.key, query=query, text=text, df=self.df)
+
+
+def bm25(post: DataFrame, stats: DataFrame, queries: DataFrame, *, key: str, query: str = "query_id", text: str = "query", df: DataFrame | None = None) -> DataFrame:
     """(query, key, score) of the passages that hold a term of the query; each different term counts once.
 
-    The query side is small and meets the postings on the term, so only the lists
-    of asked terms are read beyond the join.
+    What is asked meets the postings on the term, so only the lists of asked terms go
+    further; up to ``BROADCAST_ROWS`` asked terms they are not even shuffled.
     """
     asked = queries.select(query, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    df = post.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hit = post.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if df is None:
+        df = post.join(_small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # Totals are one row.
+    told = df.join(_small(asked), "term").crossJoin(F.broadcast(stats))
+    told = told.select("term", query, F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("_idf"), "avgdl")
+    hit = post.join(_small(told), "term")
     tf = F.col("tf").cast("double")
-    part = idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
+    part = F.col("_idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
     return hit.groupBy(query, key).agg(F.sum(part).alias("score"))
 
 
@@ -66,11 +103,59 @@ def dense_leg(vectors: DataFrame, query: Sequence[float], *, key: str, vector: s
 
 
 def dense_many(vectors: DataFrame, queries: DataFrame, *, key: str, query: str, vector: str = "embedding", k: int = DENSE_K) -> DataFrame:
-    """As ``dense_leg`` for a stated set of queries, which is broadcast; each partition keeps its best before the shuffle."""
-    q = queries.select(F.col(query).alias("_q"), F.col(vector).alias("_v"))
-    d = vectors.select(key, vector).join(F.broadcast(q), F.lit(True))
-    d = d.select(F.col("_q").alias(query), key, F.round(cosine_distance(F.col(vector), F.col("_v")), 9).alias("distance"))
-    return ranked(d, [F.col("distance").asc(), F.col(key).asc()], k, by=query, name="dense_rank")
+    """As ``dense_leg`` for a stated set of queries, in blocks: each batch of vectors is measured against a block at once and hands on its best ``k`` for each query.
+
+    Vectors without length have no distance and are not returned.
+    """
+    found = [_block(vectors, ids, rows, key, query, vector, k, queries.schema[query].dataType.simpleString()) for ids, rows in _blocks(queries, query, vector)]
+    if not found:
+        found = [_block(vectors.limit(0), [], np.zeros((0, 1)), key, query, vector, k, queries.schema[query].dataType.simpleString())]
+    return ranked(reduce(DataFrame.union, found), [F.col("distance").asc(), F.col(key).asc()], k, by=query, name="dense_rank")
+
+
+def _blocks(queries: DataFrame, query: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
+    """The queries' ids and unit vectors, ``QUERY_BLOCK`` at a time."""
+    ids, rows = [], []
+    for r in queries.select(F.col(query).alias("i"), F.col(vector).alias("v")).toLocalIterator():
+        ids.append(r["i"])
+        rows.append(r["v"])
+        if len(ids) == QUERY_BLOCK:
+            yield ids, unit(np.array(rows, float))
+            ids, rows = [], []
+    if ids:
+        yield ids, unit(np.array(rows, float))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; rows without length become not-a-number."""
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, np.nan)
+
+
+def nearest_rows(v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``q`` and ``v`` and the distances of each query's ``k`` nearest rows, with all ties of the last."""
+    d = np.round(np.maximum(0.0, 1 - q @ v.T), 9)
+    last = np.partition(np.where(np.isnan(d), np.inf, d), min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
+    at = np.nonzero(d <= last)
+    return at[0], at[1], d[at]
+
+
+def _block(vectors: DataFrame, ids: list, q: np.ndarray, key: str, query: str, vector: str, k: int, kind: str) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+    t = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    own = t.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        names = pa.array(ids)
+        for b in (x.slice(at, ROW_BLOCK) for x in batches for at in range(0, x.num_rows, ROW_BLOCK)):
+            if b.num_rows and len(ids):
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                i, j, d = nearest_rows(unit(v), q, k)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(d)], ["q", "k", "d"])
+
+    out = t.mapInArrow(run, f"q {kind}, k {own}, d double")
+    return out.select(F.col("q").alias(query), F.col("k").alias(key), F.col("d").alias("distance"))
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, *, key: str, by: Sequence[str] = (), k: int = FUSED_K, rrf_k: int = RRF_K) -> DataFrame:
@@ -245,7 +330,7 @@ def neighbours(containment: DataFrame, documents: DataFrame, matched: DataFrame)
     dated. ``matched``: doc_id. Only completed documents that are not matched
     themselves; each once, by its closest relation and least anchor.
     """
-    e, m = containment, F.broadcast(matched.select(F.col("doc_id").alias("anchor_id")).distinct())
+    e, m = containment, _small(matched.select(F.col("doc_id").alias("anchor_id")).distinct())
     up = e.join(m, e.contained_id == m.anchor_id).select(F.col("container_id").alias("doc_id"), "anchor_id", F.lit(1).alias("r"))
     down = e.join(m, e.container_id == m.anchor_id).select(F.col("contained_id").alias("doc_id"), "anchor_id", F.lit(2).alias("r"))
     side = e.join(up.select(F.col("doc_id").alias("container_id"), "anchor_id").distinct(), "container_id")

@@ -18,12 +18,16 @@ from lodeworks.vocabulary import BUDGET_BYTES, DENSE_K, FUSED_K, TOP_K
 
 @dataclass
 class Tables:
-    """``placements``: placement_id, chunk_id, doc_id. ``chunks``: chunk_id, chunk_text, embedding. ``documents``: doc_id, text, status. ``containment``: container_id, contained_id."""
+    """``placements``: placement_id, chunk_id, doc_id. ``chunks``: chunk_id, chunk_text, embedding. ``documents``: doc_id, text, status. ``containment``: container_id, contained_id.
+
+    ``index``: the stored index of the chunks by chunk_id; a search without it builds one for itself.
+    """
 
     placements: DataFrame
     chunks: DataFrame
     documents: DataFrame
     containment: DataFrame
+    index: R.Index | None = None
 
 
 @dataclass
@@ -47,19 +51,20 @@ def search(
     asked, warning = R.decompose(question, planner)
     warnings = [warning] if warning else []
     placed = t.placements.join(t.chunks.select("chunk_id", "chunk_text", "embedding"), "chunk_id")
-    post = R.postings(t.chunks.select("chunk_id", "chunk_text"), key="chunk_id", text="chunk_text")
-    stats = R.corpus_stats(t.chunks, text="chunk_text")
+    index = t.index or R.Index.build(t.chunks.select("chunk_id", "chunk_text"), key="chunk_id", text="chunk_text")
+    # All sub-queries in one plan.
+    one = spark.createDataFrame([(n, q, list(map(float, v))) for n, (q, v) in enumerate(zip(asked, embed(asked), strict=True))], "query_id int, query string, embedding array<double>")
+    dense = R.dense_many(placed, one, key="placement_id", query="query_id")
+    scores = index.scores(one).join(t.placements, "chunk_id").withColumn("score", F.round("score", 9))
+    fused = R.fuse(dense, R.lexical_leg(scores, key="placement_id", by="query_id"), key="placement_id", by=["query_id"])
+    # Texts are fetched for the few that are left.
+    rows = placed.select("placement_id", "doc_id", "chunk_text").join(F.broadcast(fused), "placement_id").orderBy("query_id", "fused_rank").collect()
     groups: list[list[R.Candidate]] = []
-    for n, (q, v) in enumerate(zip(asked, embed(asked), strict=True)):
-        dense = R.dense_leg(placed, v, key="placement_id")
-        one = spark.createDataFrame([(n, q)], "query_id int, query string")
-        scores = R.bm25(post, stats, one, key="chunk_id").join(t.placements, "chunk_id").withColumn("score", F.round("score", 9))
-        fused = R.fuse(dense, R.lexical_leg(scores, key="placement_id"), key="placement_id")
-        # Texts are fetched for the few that are left.
-        rows = placed.select("placement_id", "doc_id", "chunk_text").join(F.broadcast(fused), "placement_id").orderBy("fused_rank").collect()
-        if len(rows) < FUSED_K and sum(r["dense_rank"] is not None for r in rows) < DENSE_K:
+    for n in range(len(asked)):
+        own = [r for r in rows if r["query_id"] == n]
+        if len(own) < FUSED_K and sum(r["dense_rank"] is not None for r in own) < DENSE_K:
             warnings.append("dense_leg_underfill")
-        groups.append([R.Candidate(str(r["placement_id"]), str(r["doc_id"]), r["chunk_text"], r["rrf"], r["dense_rank"], r["lex_rank"], n) for r in rows])
+        groups.append([R.Candidate(str(r["placement_id"]), str(r["doc_id"]), r["chunk_text"], r["rrf"], r["dense_rank"], r["lex_rank"], n) for r in own])
     pooled, reserved = R.pool(groups)
     if reserved:
         warnings.append("pool_floor_applied")

@@ -28,12 +28,22 @@ dn AS (SELECT q, vec_id, round(greatest(0.0, 1 - list_cosine_similarity(x.embedd
 dr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS dense_rank FROM dn)"""
 
 
+_BUILT: dict[tuple[str, str, str], object] = {}
+
+
+def _built(spark: SparkSession, d: str, name: str, build):  # noqa: ANN001, ANN202
+    """What was built once for these tables in this session, as an ingest does, and is read by every search."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _BUILT:
+        _BUILT[at] = build()
+    return _BUILT[at]
+
+
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    post = retrieval.postings(docs, key="doc_id", text="text")
+    index = _built(spark, d, "terms", lambda: retrieval.Index.build(docs, key="doc_id", text="text"))
     asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
-    scores = retrieval.bm25(post, retrieval.corpus_stats(docs, text="text"), asked, key="doc_id", query="item_id")
-    return scores.withColumn("score", F.round("score", 6))
+    return index.scores(asked, query="item_id").withColumn("score", F.round("score", 6))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +90,9 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ann_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the approximate index against the exact search, by query."""
-    near = ann.nearest(table(spark, d, "embeddings"), _queries(spark, d), key="vec_id", query="q", dim=64)
+    v = table(spark, d, "embeddings")
+    cells = _built(spark, d, "cells", lambda: ann.Cells.build(v, key="vec_id"))
+    near = cells.nearest(_queries(spark, d), query="q")
     return evaluate.overlap(_dense(spark, d), near, by="q", key="vec_id")
 
 
@@ -153,37 +165,48 @@ def passage_identity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.passage_hash(t).alias("passage_hash"), F.sha2(t, 256).alias("extraction_hash"), F.octet_length(t).cast("long").alias("bytes"), F.length(t).cast("long").alias("chars"))
 
 
-@query(rf"""WITH c AS (SELECT doc_id, {NORM} AS t FROM documents), b AS (SELECT doc_id, t, octet_length(encode(t)) AS n FROM c)
-SELECT doc_id, t AS snippet FROM b WHERE n <= 240""")
-def short_snippets(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet")).filter(~F.endswith("snippet", F.lit("…")))
-
-
-@query()
+@query(rf"""WITH c AS (SELECT doc_id, {NORM} AS t FROM documents), b AS (SELECT doc_id, t, octet_length(encode(t)) AS n FROM c),
+k AS (SELECT doc_id, t, n, unnest(range(0, CAST(least(length(t), 240) AS BIGINT) + 1)) AS chars FROM b WHERE n > 240),
+f AS (SELECT doc_id, t, max(chars) AS chars FROM k WHERE octet_length(encode(substr(t, 1, chars))) <= 240 GROUP BY ALL),
+h AS (SELECT doc_id, substr(t, 1, chars) AS cut, regexp_extract(substr(t, 1, chars), '^(.*) [^ ]*$', 1) AS head FROM f)
+SELECT doc_id, t AS snippet FROM b WHERE n <= 240
+UNION ALL SELECT doc_id, CASE WHEN octet_length(encode(head)) > 120 THEN head ELSE cut END || '…' FROM h""")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The cut between characters, and between words where that keeps more than half."""
     return table(spark, d, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
 
-@query()
+#: The end of the window that begins at ``start``: all that is left, or the last break in the window's last part.
+_WINDOW = """SELECT doc_id, w, lead, n, start, CASE WHEN length(w) - start <= 2048 THEN length(w) WHEN ok1 THEN start + length(b1) + 2 WHEN ok2 THEN start + length(b2) + 1
+  WHEN ok3 AND length(b3) < length(x) - 1 THEN start + length(b3) + 1 WHEN ok4 THEN start + length(b4) + 1 ELSE start + length(x) END AS fin
+FROM (SELECT *, regexp_matches(x, '\n\n') AND octet_length(encode(b1)) >= low AS ok1, regexp_matches(x, '\n') AND octet_length(encode(b2)) >= low AS ok2,
+    regexp_matches(x, '[.!?]') AND octet_length(encode(b3)) >= low AS ok3, regexp_matches(x, ' ') AND octet_length(encode(b4)) >= low AS ok4
+  FROM (SELECT *, regexp_extract(x, '(?s)^(.*)\n\n', 1) AS b1, regexp_extract(x, '(?s)^(.*)\n', 1) AS b2, regexp_extract(x, '(?s)^(.*)[.!?]', 1) AS b3, regexp_extract(x, '(?s)^(.*) ', 1) AS b4,
+      floor(octet_length(encode(x)) * 0.6::DOUBLE) AS low FROM (SELECT *, substr(w, start + 1, 2048) AS x FROM ({0}))))"""
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract(text, '^{WS}*', 0) AS lead, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS w FROM documents),
+c AS ({_WINDOW.format("SELECT doc_id, w, length(lead) AS lead, 0 AS n, CAST(0 AS BIGINT) AS start FROM t WHERE w <> ''")}
+  UNION ALL {_WINDOW.format("SELECT doc_id, w, lead, n + 1 AS n, CASE WHEN fin - 256 > start THEN fin - 256 ELSE fin END AS start FROM c WHERE fin < length(w)")}),
+p AS (SELECT doc_id, n, lead, start, substr(w, start + 1, fin - start) AS x FROM c),
+q AS (SELECT doc_id, n, lead + start + length(regexp_extract(x, '^{WS}*', 0)) AS at_, regexp_replace(x, '^{WS}+|{WS}+$', '', 'g') AS passage FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i FROM q WHERE passage <> '')
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(octet_length(encode(substr(text, 1, at_))) AS INTEGER) AS start_byte,
+  CAST(octet_length(encode(substr(text, 1, at_ + length(passage)))) AS INTEGER) AS end_byte, sha256(passage) AS slice_sha256 FROM r JOIN documents USING (doc_id)""")
 def chunk_split(spark: SparkSession, d: str) -> DataFrame:
     """All passages with their byte ranges and the hash of each slice."""
     out = chunking.chunk(table(spark, d, "documents"))
     return out.select("doc_id", "chunk_index", "start_byte", "end_byte", F.sha2("chunk_text", 256).alias("slice_sha256"))
 
 
-@query("SELECT doc_id, TRUE AS equal, count(*) OVER () AS n FROM documents WHERE FALSE")
-def chunk_slices_differ(spark: SparkSession, d: str) -> DataFrame:
-    """Passages that differ from the bytes they name: none."""
-    docs = table(spark, d, "documents")
-    c = chunking.chunk(docs).join(docs.select("doc_id", "text"), "doc_id")
-    same = text.byte_slice(F.col("text"), F.col("start_byte"), F.col("end_byte")) == F.col("chunk_text")
-    return c.select("doc_id", same.alias("equal"), F.lit(0).cast("long").alias("n")).filter("NOT equal")
-
-
-@query("""SELECT doc_id, decode(encode(text)[1:least(64, octet_length(encode(text)))]) AS slice FROM documents WHERE length(text) = octet_length(encode(text))""")
+@query("""WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS a FROM documents)
+SELECT doc_id, octet_length(encode(substr(text, 1, a))) AS start_byte, substr(text, a + 1, 500) AS slice FROM w""")
 def byte_slice(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").filter(F.length("text") == F.octet_length("text"))
-    return t.select("doc_id", text.byte_slice(F.col("text"), F.lit(0), F.least(F.lit(64), F.octet_length("text"))).alias("slice"))
+    """Every document in windows of 500 characters, each taken by its bytes."""
+    t = table(spark, d, "documents").filter("text <> ''").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(500))).alias("a"))
+    upto = lambda n: F.octet_length(F.substr("text", F.lit(1), n))
+    t = t.select("doc_id", "text", upto(F.col("a")).alias("start_byte"), upto(F.col("a") + 500).alias("end_byte"))
+    return t.select("doc_id", F.col("start_byte").cast("long").alias("start_byte"), text.byte_slice(F.col("text"), F.col("start_byte"), F.col("end_byte")).alias("slice"))
 
 
 @query()
