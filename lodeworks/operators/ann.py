@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeworks.operators.graph import stored
 from lodeworks.operators.retrieval import _blocks, nearest_rows, ranked, unit
@@ -93,15 +94,14 @@ class Cells:
 
     def nearest(self, queries: DataFrame, *, query: str, vector: str = "embedding", k: int = 50) -> DataFrame:
         """(query, key, distance, dense_rank) of the best ``k`` in the cells that each query asks."""
-        kind, own = queries.schema[query].dataType.simpleString(), self.rows.schema["k"].dataType.simpleString()
+        kind, own = queries.schema[query].dataType, self.rows.schema["k"].dataType.simpleString()
         found = []
         for ids, q in _blocks(queries, query, vector):
             asked = np.argsort(-(q @ self.centre.T), axis=1)[:, : self.asked]
-            sent = self.rows.sparkSession.sparkContext.broadcast((ids, q, asked))
+            sent = self.rows.sparkSession.sparkContext.broadcast((pa.array(ids, to_arrow_type(kind)), q, asked))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-                ids, q, asked = sent.value
-                names = pa.array(ids)
+                names, q, asked = sent.value
                 for b in batches:
                     cell = b.column(0).to_numpy()
                     for c in np.unique(cell):
@@ -111,7 +111,7 @@ class Cells:
                             i, j, d = nearest_rows(unit(v), q[who], k)
                             yield pa.RecordBatch.from_arrays([names.take(pa.array(who[i])), b.column(1).take(pa.array(rows[j])), pa.array(d)], ["q", "k", "d"])
 
-            found.append(self.rows.mapInArrow(run, f"q {kind}, k {own}, d double"))
+            found.append(self.rows.mapInArrow(run, f"q {kind.simpleString()}, k {own}, d double"))
         if not found:
             found = [queries.limit(0).select(F.col(query).alias("q"), F.lit(None).cast(own).alias("k"), F.lit(None).cast("double").alias("d"))]
         d = reduce(DataFrame.union, found).select(F.col("q").alias(query), F.col("k").alias(self.key), F.col("d").alias("distance"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeworks.functions.text import content_key, cosine_distance, terms
 from lodeworks.operators.graph import stored
@@ -107,9 +109,9 @@ def dense_many(vectors: DataFrame, queries: DataFrame, *, key: str, query: str,
 
     Vectors without length have no distance and are not returned.
     """
-    found = [_block(vectors, ids, rows, key, query, vector, k, queries.schema[query].dataType.simpleString()) for ids, rows in _blocks(queries, query, vector)]
+    found = [_block(vectors, ids, rows, key, query, vector, k, queries.schema[query].dataType) for ids, rows in _blocks(queries, query, vector)]
     if not found:
-        found = [_block(vectors.limit(0), [], np.zeros((0, 1)), key, query, vector, k, queries.schema[query].dataType.simpleString())]
+        found = [_block(vectors.limit(0), [], np.zeros((0, 1)), key, query, vector, k, queries.schema[query].dataType)]
     return ranked(reduce(DataFrame.union, found), [F.col("distance").asc(), F.col(key).asc()], k, by=query, name="dense_rank")
 
 
@@ -140,21 +142,20 @@ def nearest_rows(v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return at[0], at[1], d[at]
 
 
-def _block(vectors: DataFrame, ids: list, q: np.ndarray, key: str, query: str, vector: str, k: int, kind: str) -> DataFrame:
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, q))
+def _block(vectors: DataFrame, ids: list, q: np.ndarray, key: str, query: str, vector: str, k: int, kind: T.DataType) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast((pa.array(ids, to_arrow_type(kind)), q))
     t = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     own = t.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        names = pa.array(ids)
+        names, q = sent.value
         for b in (x.slice(at, ROW_BLOCK) for x in batches for at in range(0, x.num_rows, ROW_BLOCK)):
-            if b.num_rows and len(ids):
+            if b.num_rows and len(names):
                 v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 i, j, d = nearest_rows(unit(v), q, k)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(d)], ["q", "k", "d"])
 
-    out = t.mapInArrow(run, f"q {kind}, k {own}, d double")
+    out = t.mapInArrow(run, f"q {kind.simpleString()}, k {own}, d double")
     return out.select(F.col("q").alias(query), F.col("k").alias(key), F.col("d").alias("distance"))
 
 
