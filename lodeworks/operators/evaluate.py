@@ -53,6 +53,37 @@ def delivery(runs: DataFrame, expected: DataFrame) -> DataFrame:
     return t.groupBy("case_id").agg(share(own_).alias("delivered"), share(rel_).alias("supplementary"), share(own_ | rel_).alias("together"))
 
 
+def delivered_ranks(cases: DataFrame, runs: DataFrame, expected: DataFrame) -> DataFrame:
+    """(case_id, first_expected, first_delivered, rr_delivered): the ranks at which an expected document came first, and first with its text (0: never).
+
+    Cases that expect nothing have a reciprocal rank of 1.
+    """
+    e = expected.select("case_id", "doc_id").distinct()
+    hit = runs.join(e, ["case_id", "doc_id"], "left_semi").groupBy("case_id").agg(F.min("rank").alias("_e"), F.min(F.when(F.col("own_text"), F.col("rank"))).alias("_d"))
+    t = cases.select("case_id").distinct().join(e.groupBy("case_id").agg(F.count("*").alias("_n")), "case_id", "left").join(hit, "case_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    rr = F.when(F.col("_d").isNotNull(), F.lit(1.0) / F.col("_d")).otherwise(F.when(F.col("_n").isNull(), 1.0).otherwise(0.0))
+    return t.select("case_id", zero("_e").alias("first_expected"), zero("_d").alias("first_delivered"), rr.alias("rr_delivered"))
+
+
+def verdicts(cases: DataFrame) -> DataFrame:
+    """(case_id, passed, failures) by each case's own contract, without any threshold of quality.
+
+    ``cases``: case_id, expected_empty, require_all, packets, n_expected, recall and
+    delivered (the parts of the expected documents found, and found with their text).
+    """
+    found = F.round(F.col("recall") * F.col("n_expected")).cast("long")
+    failures = F.array_compact(
+        F.array(
+            F.when(F.col("expected_empty") & (F.col("packets") > 0), F.concat(F.lit("expected nothing, got "), F.col("packets"), F.lit(" packets"))),
+            F.when(~F.col("expected_empty") & F.col("require_all") & (F.col("recall") < 1), F.concat(F.lit("found "), found, F.lit(" of "), F.col("n_expected"), F.lit(" expected documents"))),
+            F.when(~F.col("expected_empty") & ~F.col("require_all") & (F.col("recall") == 0), F.lit("found no expected document")),
+            F.when(~F.col("expected_empty") & (F.col("recall") > 0) & (F.col("delivered") == 0), F.lit("found an expected document without its text")),
+        )
+    )
+    return cases.select("case_id", (F.size(failures) == 0).alias("passed"), failures.alias("failures"))
+
+
 def summary(per_case: DataFrame, empty: DataFrame | None = None, overlaps: DataFrame | None = None) -> DataFrame:
     """One row of means over the cases that expect something, and whether all thresholds hold.
 
@@ -89,6 +120,19 @@ def overlap(exact: DataFrame, approximate: DataFrame, *, by: str, key: str) -> D
     return both.groupBy(by).agg((F.count("_f") / F.count("*")).alias("overlap"))
 
 
+def comparable(before: dict[str, str], after: dict[str, str]) -> None:
+    """Refuses to compare runs over other cases (``digest``) or other measures (``version``)."""
+    for name in ("digest", "version"):
+        if before[name] != after[name]:
+            raise ValueError(f"the runs differ in {name}: {before[name]} and {after[name]}")
+
+
+def case_digest(cases: DataFrame) -> str:
+    """One digest of the cases' ids, questions and expectations, in whatever order they stand: 64 bits of each case added up."""
+    r = cases.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(cases.columns)).cast("decimal(38,0)")).alias("h")).first()
+    return f"{r['n']}:{r['h'] or 0}"
+
+
 def compared(before: DataFrame, after: DataFrame) -> DataFrame:
     """(case_id, change) of two runs with a passed flag: fixed, regressed, same, added or removed."""
     a, b = before.select("case_id", F.col("passed").alias("_a")), after.select("case_id", F.col("passed").alias("_b"))

@@ -57,6 +57,46 @@ def unreachable(documents: DataFrame, edges: DataFrame, staged: DataFrame, ignor
     return documents.join(held.withColumnRenamed("node", "doc_id"), "doc_id", "left_anti")
 
 
+def resumable(occurrences: DataFrame, edges: DataFrame, documents: DataFrame, jobs: DataFrame, scan: str) -> DataFrame:
+    """Documents (doc_id, status) without a job that were left unfinished and are reachable from what one scan found available.
+
+    ``occurrences``: doc_id, scan_id, available. Documents whose originals are gone
+    are not taken up: they could only fail.
+    """
+    seeds = occurrences.filter((F.col("scan_id") == scan) & F.col("available")).select(F.col("doc_id").alias("node"))
+    held = closure(seeds, edges).withColumnRenamed("node", "doc_id")
+    open_ = documents.filter(F.col("status").isin("PENDING", "PROCESSING"))
+    return open_.join(held, "doc_id", "left_semi").join(jobs, "doc_id", "left_anti").select("doc_id", "status")
+
+
+def unreached(occurrences: DataFrame, members: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: how many documents no available source leads to, over member routes (parent_id, child_id)."""
+    seeds = occurrences.filter("available").select(F.col("doc_id").alias("node"))
+    held = closure(seeds, members.select(F.col("parent_id").alias("src"), F.col("child_id").alias("dst"))).withColumnRenamed("node", "doc_id")
+    return documents.join(held, "doc_id", "left_anti").agg(F.count("*").alias("n"))
+
+
+def split_plan(plan: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: how many documents of a deletion plan (doc_id) stand alone, and how many inside another of the plan."""
+    own = edges.join(plan.select(F.col("doc_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("doc_id"), F.lit(True).alias("_in")).distinct()
+    return plan.select("doc_id").distinct().join(own, "doc_id", "left").agg(F.count_if(F.col("_in").isNull()).alias("roots"), F.count_if(F.col("_in")).alias("contained"))
+
+
+def backfilled(found: DataFrame, documents: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Containment derived anew from originals: (edges, completeness of one row).
+
+    ``found``: parent_sha, child_sha of what the originals hold. ``documents``:
+    doc_id, sha. ``reads``: sha, readable, parsed, had_children of each container. It
+    is complete only if every original could be read, and none that has children
+    stayed unparsed.
+    """
+    by = lambda name, sha: documents.select(F.col("sha").alias(sha), F.col("doc_id").alias(name))
+    edges = found.join(by("container_id", "parent_sha"), "parent_sha").join(by("contained_id", "child_sha"), "child_sha")
+    edges = edges.filter("container_id <> contained_id").select("container_id", "contained_id").distinct()
+    bad = ~F.col("readable") | (~F.col("parsed") & F.col("had_children"))
+    return edges, reads.agg(F.count("*").alias("containers"), F.count_if(bad).alias("incomplete")).withColumn("complete", F.col("incomplete") == 0)
+
+
 def forget_plan(documents: DataFrame, edges: DataFrame, target: DataFrame) -> DataFrame:
     """Documents to delete with ``target`` (doc_id): what it holds, save what others or an own source still hold.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeworks.functions.text import backoff_seconds, reason_class
+from lodeworks.functions.text import backoff_seconds, bare_mime, extension, reason_class
 from lodeworks.vocabulary import BUSY_S, HANDLER_S, LEASE_S, MAX_ATTEMPTS
 
 
@@ -232,3 +232,60 @@ def examples(documents: DataFrame, group: str, most: int) -> DataFrame:
     return documents.withColumn("nth", nth).filter(F.col("nth") <= most)
 
 
+
+
+OPEN = ("READY", "RUNNING", "WAITING_SOURCE")
+
+
+def open_jobs(jobs: DataFrame) -> DataFrame:
+    """(doc_id, open): each document's jobs that are not finished, as (job_id, state, generation) by id."""
+    own = jobs.filter(F.col("state").isin(*OPEN))
+    return own.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("job_id", "state", "generation"))).alias("open"))
+
+
+def recovery_tally(plan: DataFrame) -> DataFrame:
+    """(class, action, n) of a recovery plan."""
+    return plan.groupBy("class", "action").agg(F.count("*").alias("n"))
+
+
+def containers_after(documents: DataFrame, after: str | None, most: int) -> DataFrame:
+    """The next ``most`` documents that can hold others (doc_id, doc_type), by id."""
+    own = documents.filter(F.col("doc_type").isin("email", "archive"))
+    return (own if after is None else own.filter(F.col("doc_id") > after)).orderBy("doc_id").limit(most)
+
+
+def rerouted(documents: DataFrame, jobs: DataFrame, routes: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(documents, jobs) after documents were routed anew: open jobs of another stage go, the new stage's job is published.
+
+    ``routes``: doc_id, doc_type, subject (null: declined, which skips the document).
+    Fails if one of them has a running job.
+    """
+    chosen = jobs.join(routes.select("doc_id"), "doc_id", "left_semi")
+    if not chosen.filter("state = 'RUNNING'").isEmpty():
+        raise RuntimeError("a document to be routed anew has a running job")
+    r = routes.select("doc_id", F.col("doc_type").alias("_t"), F.col("subject").alias("_s"), F.lit(True).alias("_c"))
+    put = lambda c, v: F.when(F.col("_c"), v).otherwise(F.col(c)).alias(c)
+    new = {
+        "doc_type": F.col("_t"), "status": F.when(F.col("_s").isNull(), "SKIPPED").otherwise("PENDING"),
+        "reason": F.when(F.col("_s").isNull(), "UNSUPPORTED_FORMAT"), "updated_at": F.lit(now),
+    }
+    docs = documents.join(r, "doc_id", "left").select(*[put(c, new[c]) if c in new else F.col(c) for c in documents.columns])
+    left = jobs.join(r.select("doc_id", "_c"), "doc_id", "left").filter(F.col("_c").isNull() | ~F.col("state").isin(*OPEN)).select(*jobs.columns)
+    due = r.filter("_s IS NOT NULL").select(
+        F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), "_s", F.lit("reroute"), F.lit(now.isoformat())), 256).alias("job_id"), "doc_id", F.col("_s").alias("subject"),
+        F.lit(f"reroute:{now.isoformat()}").alias("revision"), F.lit("READY").alias("state"), F.lit(0).cast("long").alias("generation"), F.lit(0).alias("attempts"),
+        F.lit(now).alias("available_at"), F.lit(now).alias("created_at"),
+    )
+    return docs, publish(left.withColumn("job_id", F.col("job_id").cast("string")), due)
+
+
+def touched_tallies(documents: DataFrame, jobs: DataFrame, since: datetime, created: datetime) -> DataFrame:
+    """(status, reason, n) of the documents with a job that finished since ``since`` or was made since ``created``."""
+    ended = jobs.filter(F.col("finished_at") >= F.lit(since)).select("doc_id")
+    t = documents.join(ended.union(jobs.filter(F.col("created_at") >= F.lit(created)).select("doc_id")).distinct(), "doc_id", "left_semi")
+    return t.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def unsupported_by_kind(files: DataFrame) -> DataFrame:
+    """(mime, ext, n) of files (mime, filename)."""
+    return files.groupBy(bare_mime(F.col("mime")).alias("mime"), extension(F.col("filename")).alias("ext")).agg(F.count("*").alias("n"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
@@ -20,6 +21,10 @@ from lodeworks.functions.text import around, collapsed, sender_domain
 from lodeworks.vocabulary import PAGE_DEFAULT, PAGE_MAX
 
 
+#: Literal searches in one request.
+MAX_NEEDLES = 10_000
+
+
 def from_sender(messages: DataFrame, addresses: DataFrame, sender: str) -> DataFrame:
     own = addresses.filter(F.col("valid") & (F.col("kind") == "from") & (F.col("address") == sender))
     return messages.join(own.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -65,6 +70,28 @@ def page_order(newest: bool = True) -> list[Column]:
     return [F.col("sent_at").asc_nulls_first(), F.col("doc_id").asc()]
 
 
+def reading_order() -> list[Column]:
+    """A conversation as it is read: oldest first, undated messages last, where they are visibly without a place."""
+    return [F.col("sent_at").asc_nulls_last(), F.col("doc_id").asc()]
+
+
+def comes_before(a: tuple[datetime | None, object], b: tuple[datetime | None, object], newest: bool = True) -> bool:
+    """Whether key (sent_at, doc_id) ``a`` stands before ``b`` in the page order."""
+    if not newest:
+        a, b = b, a
+    if (a[0] is None) != (b[0] is None):
+        return b[0] is None
+    return a[1] > b[1] if a[0] == b[0] else a[0] > b[0]
+
+
+def verified(rows: Sequence, newest: bool = True, after: tuple[datetime | None, object] | None = None) -> None:
+    """Refuses a page that repeats its boundary or is out of order: pages would skip or repeat messages unseen."""
+    keys = ([] if after is None else [after]) + [(r["sent_at"], r["doc_id"]) for r in rows]
+    for a, b in itertools.pairwise(keys):
+        if not comes_before(a, b, newest):
+            raise RuntimeError(f"{b[1]!r} does not come after {a[1]!r} in the page order")
+
+
 def past(sent_at: datetime | None, doc_id: object, newest: bool = True) -> Column:
     """Rows after the keyset position in the page order."""
     at, own = F.col("sent_at"), F.col("doc_id")
@@ -131,6 +158,24 @@ class Listing:
     more: bool
     cursor: str | None
     warnings: list[str] = field(default_factory=list)
+    #: Makes the cursor after a row of this request.
+    after: Callable[[object], str] | None = None
+
+    def truncated(self, n: int) -> Listing:
+        """The first ``n`` rows with a cursor after the last of them: what is dropped begins the next page."""
+        if not 1 <= n < len(self.rows):
+            raise ValueError(f"a page of {len(self.rows)} rows cannot be cut to {n}")
+        return Listing(self.rows[:n], True, self.after(self.rows[n - 1]), self.warnings, self.after)
+
+    def within(self, size: int, measure: Callable[[object], int]) -> Listing:
+        """As many of the first rows as have ``size`` bytes together, one at least."""
+        total, n = 0, 0
+        for r in self.rows:
+            total += measure(r)
+            if n and total > size:
+                return self.truncated(n)
+            n += 1
+        return self
 
 
 def list_messages(
@@ -159,8 +204,32 @@ def list_messages(
     found = page(window(rows, after, before), newest=newest, after=position, limit=size)
     got = found.collect()
     more, got = len(got) > size, got[:size]
-    last = got[-1] if got else None
-    return Listing(got, more, cursor(filters, newest, last["sent_at"], last["doc_id"], snapshot) if more and last else None, warnings)
+    verified(got, newest, position)
+    after_row = lambda r: cursor(filters, newest, r["sent_at"], r["doc_id"], snapshot)
+    return Listing(got, more, after_row(got[-1]) if more and got else None, warnings, after_row)
+
+
+#: What a reading of a document goes through, in order.
+PHASES = ("text", "related")
+
+
+def document_cursor(request: dict[str, object], doc_id: str, text: str, phase: str, offset: int) -> str:
+    """Where the reading of a document goes on; it holds for this request and this text only."""
+    body = {"v": 1, "f": fingerprint(request), "d": doc_id, "h": hashlib.sha256(text.encode()).hexdigest(), "p": PHASES.index(phase), "o": offset}
+    return base64.urlsafe_b64encode(json.dumps(body, separators=(",", ":")).encode()).decode().rstrip("=")
+
+
+def read_document_cursor(at: str, request: dict[str, object], doc_id: str, text: str) -> tuple[str, int]:
+    """Phase and byte offset; a cursor of another request, document or text, or beyond its end, is refused."""
+    try:
+        body = json.loads(base64.urlsafe_b64decode(at + "=" * (-len(at) % 4)))
+        same = (body["v"], body["f"], body["d"], body["h"]) == (1, fingerprint(request), doc_id, hashlib.sha256(text.encode()).hexdigest())
+        phase, offset = PHASES[body["p"]], body["o"]
+        if not same or not isinstance(offset, int) or not 0 <= offset <= len(text.encode()) or body["p"] < 0:
+            raise ValueError
+        return phase, offset
+    except (ValueError, KeyError, TypeError, IndexError) as e:
+        raise ValueError("the cursor does not belong to this document") from e
 
 
 def find_documents(documents: DataFrame, *, filename: str | None = None, sender: str | None = None, subject: str | None = None, day: datetime | None = None, most: int = 20) -> DataFrame:
@@ -187,8 +256,11 @@ def page_bytes(text: str, most: int, at: int = 0) -> tuple[str, int | None]:
 def needles_in(documents: DataFrame, needles: DataFrame, *, text: Column, key: Sequence[str], fold: bool = False, context: int = 240) -> DataFrame:
     """(needle_id, keys, position, context) of the first literal occurrence of each needle, white space collapsed on both sides.
 
-    All needles in one pass over the texts: the needles, a request's parameters, are broadcast.
+    All needles in one pass over the texts: the needles, a request's parameters, are
+    broadcast, at most ``MAX_NEEDLES`` of them.
     """
+    if needles.limit(MAX_NEEDLES + 1).count() > MAX_NEEDLES:
+        raise ValueError(f"at most {MAX_NEEDLES} needles in one request")
     t = documents.select(*key, collapsed(text).alias("_t"))
     n = F.broadcast(needles.select("needle_id", F.trim(collapsed(F.col("needle"))).alias("_n")).filter("_n != ''"))
     hay, pin = (F.lower("_t"), F.lower("_n")) if fold else (F.col("_t"), F.col("_n"))

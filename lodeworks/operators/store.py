@@ -74,3 +74,43 @@ def link(edges: DataFrame, new: DataFrame) -> DataFrame:
     """Containment with new edges; each stays as first seen, and nothing contains itself."""
     both = edges.unionByName(new.filter("container_id <> contained_id"))
     return both.groupBy("container_id", "contained_id").agg(F.min("first_seen_at").alias("first_seen_at"))
+
+
+def orphans(chunks: DataFrame, placements: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Passages that nothing places any more."""
+    return chunks.join(placements.select(key), key, "left_anti")
+
+
+def last_writer(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """One row of each key: the last by ``order``."""
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order]))
+    return rows.withColumn("_n", nth).filter("_n = 1").drop("_n")
+
+
+def forgotten(tables: dict[str, DataFrame], deleted: DataFrame, *, kept: tuple[str, ...] = ("metadata",)) -> dict[str, DataFrame]:
+    """All ``tables`` without the rows of ``deleted`` (doc_id), by doc_id or as either end of containment; ``kept`` ones stay whole."""
+    gone, out = deleted.select("doc_id").distinct(), {}
+    for name, t in tables.items():
+        for c in ("doc_id", "container_id", "contained_id") if name not in kept else ():
+            t = t.join(gone.withColumnRenamed("doc_id", c), c, "left_anti").select(*t.columns) if c in t.columns else t
+        out[name] = t
+    return out
+
+
+def by_hash(documents: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The documents (doc_id) with one of ``hashes`` (sha)."""
+    return documents.join(hashes.select("sha").distinct(), "sha", "left_semi").select("doc_id")
+
+
+def wiped(tables: dict[str, DataFrame], *, kept: tuple[str, ...] = ("metadata",)) -> dict[str, DataFrame]:
+    """Empty tables of the same columns; ``kept`` ones stay as they are."""
+    return {name: t if name in kept else t.limit(0) for name, t in tables.items()}
+
+
+def source_records(documents: DataFrame, occurrences: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, files, routes): each document's own files and the containers' members that lead to it, in order."""
+    files = occurrences.groupBy("doc_id").agg(F.sort_array(F.collect_set("path")).alias("files"))
+    routes = members.groupBy(F.col("child_id").alias("doc_id")).agg(F.sort_array(F.collect_set(F.struct("parent_id", "selector"))).alias("routes"))
+    none = lambda c, like: F.coalesce(F.col(c), F.array().cast(like))
+    t = documents.select("doc_id").join(files, "doc_id", "left").join(routes, "doc_id", "left")
+    return t.select("doc_id", none("files", "array<string>").alias("files"), none("routes", routes.schema["routes"].dataType).alias("routes"))

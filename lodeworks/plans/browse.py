@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text
-from lodeworks.operators import graph, mailbox
+from lodeworks.operators import graph, mailbox, store
 from lodeworks.plans.registry import query, table
 
 #: Events as messages: every 17th is undated; ids repeat.
@@ -232,11 +232,11 @@ def survivors_parent(spark: SparkSession, d: str) -> DataFrame:
     return graph.survivors_parent(li, gone)
 
 
-@query("""SELECT DISTINCT p_partkey FROM part ANTI JOIN (SELECT l_partkey AS p_partkey FROM lineitem WHERE l_returnflag <> 'R' AND l_orderkey % 2 = 0) USING (p_partkey)""")
+@query("""SELECT DISTINCT p_partkey FROM part ANTI JOIN (SELECT l_partkey AS p_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey % 16 = 0) USING (p_partkey)""")
 def orphan_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Parts that no placement carries any more."""
-    held = table(spark, d, "lineitem").filter("l_returnflag <> 'R' AND l_orderkey % 2 = 0").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").select("p_partkey").join(held, "p_partkey", "left_anti")
+    held = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_orderkey % 16 = 0").select(F.col("l_partkey").alias("p_partkey"))
+    return store.orphans(table(spark, d, "part").select("p_partkey"), held, "p_partkey")
 
 
 @query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority WHEN c_mktsegment <> 'BUILDING' THEN 'o' || o_orderkey || ' in ' || c_mktsegment ELSE 'o' || o_orderkey || ' in ' || c_name END AS location,

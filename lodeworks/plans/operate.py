@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text
 from lodeworks.operators import jobs as J
+from lodeworks.operators import store
 from lodeworks.operators.graph import shared_dir
 from lodeworks.plans.registry import query, table
 from lodeworks.streaming import ingest
@@ -182,10 +183,7 @@ def examples_per_group(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {JOBS}, {DOCS}, t AS (SELECT doc_id FROM j WHERE finished_at >= TIMESTAMP '1997-01-01' UNION SELECT doc_id FROM j WHERE created_at >= TIMESTAMP '1998-01-01')
 SELECT status, coalesce(reason, '') AS reason, count(*) AS n FROM d SEMI JOIN t USING (doc_id) GROUP BY ALL""")
 def settled_tallies(spark: SparkSession, d: str) -> DataFrame:
-    j = jobs(spark, d)
-    touched = j.filter(F.col("finished_at") >= F.lit(datetime(1997, 1, 1))).select("doc_id").union(j.filter(F.col("created_at") >= F.lit(datetime(1998, 1, 1))).select("doc_id")).distinct()
-    t = documents(spark, d).join(touched, "doc_id", "left_semi")
-    return t.groupBy("status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"))
+    return J.touched_tallies(documents(spark, d), jobs(spark, d), datetime(1997, 1, 1), datetime(1998, 1, 1))
 
 
 @query(f"""WITH {DOCS} SELECT doc_id, n FROM (SELECT doc_id, updated_at, count(*) OVER () AS n FROM d WHERE status = 'SKIPPED') ORDER BY updated_at, doc_id LIMIT 10""")
@@ -210,16 +208,21 @@ def scan_incomplete(spark: SparkSession, d: str) -> DataFrame:
     return J.observed(k, k.filter("doc_id % 3 <> 0"), complete=False)
 
 
-@query("""SELECT root_id, path, arg_max(doc_id, (t, doc_id)) AS doc_id FROM (SELECT o_custkey % 50 AS root_id, o_orderpriority AS path, o_orderkey AS doc_id, o_orderdate AS t FROM orders) GROUP BY ALL""")
+@query("""WITH o AS (SELECT o_custkey % 50 AS root_id, o_orderpriority AS path, o_orderkey AS doc_id, o_orderdate AS t FROM orders),
+a AS (SELECT root_id, path, arg_max(doc_id, (t, doc_id)) AS doc_id, max(t) AS t FROM o WHERE doc_id % 3 = 0 GROUP BY ALL), b AS (SELECT root_id, path, arg_max(doc_id, (t, doc_id)) AS doc_id FROM o WHERE doc_id % 3 = 1 AND root_id < 30 GROUP BY ALL)
+SELECT root_id, path, coalesce(b.doc_id, a.doc_id) AS doc_id, a.t AS first_seen FROM a FULL JOIN b USING (root_id, path)""")
 def upsert_last_writer(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("root_id"), F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("doc_id"), "o_orderdate")
-    return t.groupBy("root_id", "path").agg(F.max(F.struct("o_orderdate", "doc_id")).alias("m")).select("root_id", "path", F.col("m.doc_id").alias("doc_id"))
+    """Member routes over those stored before; when a route was first seen stays."""
+    t = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("root_id"), F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("first_seen"))
+    key = ["root_id", "path"]
+    old = store.last_writer(t.filter("doc_id % 3 = 0"), key, ["first_seen", "doc_id"])
+    new = store.last_writer(t.filter("doc_id % 3 = 1 AND root_id < 30"), key, ["first_seen", "doc_id"]).withColumn("first_seen", F.lit(None).cast(t.schema["first_seen"].dataType))
+    return store.upsert(old, new, key, keep=("first_seen",))
 
 
 @query("""SELECT split_part(t, ';', 1) AS mime, ext, count(*) AS n FROM (SELECT p_type || '; charset=x' AS t, lower(regexp_extract(replace(p_name, ' ', '.'), '(\\.[A-Za-z0-9_+-]{1,10})$', 1)) AS ext FROM part) GROUP BY ALL""".replace("\\\\", "\\"))
 def extension_groups(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "part").select(text.bare_mime(F.concat("p_type", F.lit("; charset=x"))).alias("mime"), text.extension(F.replace("p_name", F.lit(" "), F.lit("."))).alias("ext"))
-    return t.groupBy("mime", "ext").agg(F.count("*").alias("n"))
+    return J.unsupported_by_kind(table(spark, d, "part").select(F.concat("p_type", F.lit("; charset=x")).alias("mime"), F.replace("p_name", F.lit(" "), F.lit(".")).alias("filename")))
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'delivery_status' WHEN 1 THEN 'mailing_list' WHEN 2 THEN 'auto_submitted' WHEN 3 THEN 'bulk' WHEN 4 THEN 'human' ELSE 'delivery_status' END AS class FROM events""")

@@ -12,6 +12,7 @@ import email.policy
 import hashlib
 import io
 import re
+import struct
 import tarfile
 import zipfile
 import zlib
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import html_text
 from lodeworks.operators.graph import stored
+from lodeworks.sources.names import decode_names
 from lodeworks.vocabulary import MAX_DEPTH
 
 MAX_MEMBERS, MAX_RATIO, MAX_BYTES = 2000, 100, 512 << 20
@@ -157,6 +159,33 @@ def sent_at(value: str | None) -> pd.Timestamp | None:
         return None
 
 
+#: The zip flag of names in UTF-8, and the extra field that repeats a name in UTF-8 with a checksum of the plain one (fixed values).
+UTF8_FLAG, UNICODE_PATH = 0x800, 0x7075
+
+
+def zip_name(info: zipfile.ZipInfo) -> bytes | str:
+    """A member's name as text where the archive says how to read it, else its bytes."""
+    if info.flag_bits & UTF8_FLAG:
+        return info.orig_filename
+    raw, extra = info.orig_filename.encode("cp437"), info.extra
+    while len(extra) >= 4:
+        kind, size = struct.unpack_from("<HH", extra)
+        field, extra = extra[4 : 4 + size], extra[4 + size :]
+        # A name changed by a tool that left the field alone has another checksum.
+        if kind == UNICODE_PATH and len(field) == size > 5 and field[0] == 1 and struct.unpack_from("<I", field, 1)[0] == zlib.crc32(raw):
+            try:
+                return field[5:].decode()
+            except UnicodeDecodeError:
+                return raw
+    return raw
+
+
+def member_names(names: list[bytes | str]) -> list[str]:
+    """Texts as they are; the others are decoded together, for a container has one charset."""
+    found = iter(decode_names([n for n in names if isinstance(n, bytes)])[0])
+    return [next(found) if isinstance(n, bytes) else n for n in names]
+
+
 def unroll(raw: bytes) -> list[Member]:
     """Regular members of a zip, a tar or a gzipped tar, within bounds on number and expansion."""
     bound = min(MAX_BYTES, MAX_RATIO * max(1, len(raw)))
@@ -168,7 +197,8 @@ def unroll(raw: bytes) -> list[Member]:
                     raise Declined("ARCHIVE_TOO_LARGE")
                 if any(i.flag_bits & 1 for i in infos):
                     raise Declined("ARCHIVE_ENCRYPTED")
-                return [Member(f"zip-v1:{n}", last_part(i.filename), z.read(i)) for n, i in enumerate(infos, 1)]
+                names = member_names([zip_name(i) for i in infos])
+                return [Member(f"zip-v1:{n}", last_part(name), z.read(i)) for n, (name, i) in enumerate(zip(names, infos, strict=True), 1)]
         except NotImplementedError as e:
             raise Declined("UNSUPPORTED_FORMAT") from e
         except (zipfile.BadZipFile, zlib.error, EOFError) as e:
@@ -183,15 +213,16 @@ def unroll(raw: bytes) -> list[Member]:
                 raise Declined("ARCHIVE_TOO_LARGE")
             if raw[257:262] != b"ustar":
                 raise Declined("UNSUPPORTED_FORMAT")
-        out, total = [], 0
-        with tarfile.open(fileobj=io.BytesIO(raw), mode="r:") as t:
+        found, total = [], 0
+        with tarfile.open(fileobj=io.BytesIO(raw), mode="r:", errors="surrogateescape", encoding="utf-8") as t:
             for n, i in enumerate(t, 1):
                 total += i.size
                 if n > MAX_MEMBERS or total > bound:
                     raise Declined("ARCHIVE_TOO_LARGE")
                 if i.isreg():
-                    out.append(Member(f"tar-v1:{n}", last_part(i.name), t.extractfile(i).read()))
-        return out
+                    found.append((n, i.name.encode("utf-8", "surrogateescape"), t.extractfile(i).read()))
+        names = member_names([name for _, name, _ in found])
+        return [Member(f"tar-v1:{n}", last_part(name), data) for name, (n, _, data) in zip(names, found, strict=True)]
     except (tarfile.TarError, zlib.error, EOFError) as e:
         raise Declined("ARCHIVE_DAMAGED") from e
 
