@@ -1,4 +1,11 @@
-"""From raw documents to a training mix: five operators, each on what the one before kept."""
+"""From raw documents to a training mix: five operators, each on what the one before kept.
+
+Defined for every stage: a null text is an empty one to the rules and stays null
+where its document stays; rows may share an id or have none (their text tells them
+apart); rows that repeat a document wholly are copies of each other, of which the
+join keeps one; an empty table gives an empty one; other columns, whatever their
+names, go through as they are, and ``n_chars`` follows the text where it is there.
+"""
 
 from __future__ import annotations
 
@@ -18,27 +25,31 @@ def counted(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and the frequent lines of the others; ``n_chars`` follows."""
+    """Rejected documents go, null and empty texts among them, and the frequent lines of the others."""
     return counted(docs, quality_lines.accepted(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
+    """One document of each class stays: that of the least id (null first), then the least hash of its text. Documents without words stay all."""
     return jaccard_join.deduplicated(docs, threshold=0.8)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; without items none does. A document without words holds none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Found spans are replaced by their kind; ``n_chars`` follows. Null texts stay null."""
+    """Found spans are replaced by their kind. Null texts stay null."""
     return counted(docs, pii.redact(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the mix takes, in training order, with the words taken and the position; a row for each pass over a document."""
+    """Documents the mix takes, in training order, with the words taken and the position; a row for each pass over a document.
+
+    Documents without words are not taken. The two columns get an underscore more
+    where ``docs`` has their names; equal positions stand by a hash of id and text.
+    """
     own = [c for c in docs.columns if c != "doc_id"]
     out = mixing.mix(docs.select("doc_id", F.struct(*own).alias("_row"), "text", "source"), weights=MIX_WEIGHTS, keep=("_row",), by_pass=True)
     taken, position = (_free(name, docs.columns) for name in ("taken", "position"))

@@ -192,25 +192,15 @@ def subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
     return graph.subtree_sizes(e.filter(F.rlike("src", F.lit("^[nr]"))).select(F.col("src").alias("node")).distinct(), e)
 
 
-@query(f"""WITH RECURSIVE {_TREE}, u AS (SELECT dst AS origin, dst AS node, CAST([] AS VARCHAR[]) AS sel FROM e WHERE dst LIKE 'o%' AND CAST(substr(dst, 2) AS BIGINT) % 40 = 0
+@query(f"""WITH RECURSIVE {_TREE}, u AS (SELECT dst AS origin, dst AS node, CAST([] AS VARCHAR[]) AS sel FROM e WHERE dst LIKE 'o%'
   UNION ALL SELECT origin, src, list_prepend('s:' || node, sel) FROM u JOIN e ON dst = node)
 SELECT origin AS doc_id, node AS path, array_to_string(sel, '/') AS selectors, row_number() OVER (PARTITION BY origin ORDER BY len(sel), node) AS nth FROM u WHERE node LIKE 'r%' OR node LIKE 'n%'""")
 def routes_to_files(spark: SparkSession, d: str) -> DataFrame:
-    """Routes from the orders that the SQL names up to the nations and regions that stand for source files."""
-    return _routes(spark, d, F.substr("dst", F.lit(2)).cast("long") % 40 == 0)
-
-
-@query()
-def routes_to_files_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Routes from all orders."""
-    return _routes(spark, d, F.lit(True))
-
-
-def _routes(spark: SparkSession, d: str, asked: Column) -> DataFrame:
+    """Routes from all orders up to the nations and regions that stand for source files."""
     e = _tree(spark, d)
     members = e.select(F.col("src").alias("parent_id"), F.concat(F.lit("s:"), "dst").alias("selector"), F.col("dst").alias("child_id"))
     files = e.select(F.col("src").alias("doc_id")).filter(F.rlike("src", F.lit("^[nr]"))).distinct().select("doc_id", F.col("doc_id").alias("path"), F.lit(True).alias("available"))
-    ids = e.filter(F.startswith("dst", F.lit("o")) & asked).select(F.col("dst").alias("doc_id"))
+    ids = e.filter(F.startswith("dst", F.lit("o"))).select(F.col("dst").alias("doc_id"))
     out = graph.routes(ids, members, files)
     return out.select("doc_id", "path", F.array_join("selectors", "/").alias("selectors"), F.col("nth").cast("long").alias("nth"))
 
