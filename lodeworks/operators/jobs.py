@@ -226,9 +226,9 @@ def latest_by_job(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("_n", nth).filter("_n = 1").drop("_n")
 
 
-def examples(documents: DataFrame, group: str, most: int) -> DataFrame:
+def examples(documents: DataFrame, group: str | list[str], most: int) -> DataFrame:
     """The newest ``most`` documents of each group, numbered."""
-    nth = F.row_number().over(W.partitionBy(group).orderBy(F.col("updated_at").desc(), F.col("doc_id").asc()))
+    nth = F.row_number().over(W.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(F.col("updated_at").desc(), F.col("doc_id").asc()))
     return documents.withColumn("nth", nth).filter(F.col("nth") <= most)
 
 
@@ -289,3 +289,18 @@ def touched_tallies(documents: DataFrame, jobs: DataFrame, since: datetime, crea
 def unsupported_by_kind(files: DataFrame) -> DataFrame:
     """(mime, ext, n) of files (mime, filename)."""
     return files.groupBy(bare_mime(F.col("mime")).alias("mime"), extension(F.col("filename")).alias("ext")).agg(F.count("*").alias("n"))
+
+
+def run_report(documents: DataFrame, jobs: DataFrame, since: datetime) -> DataFrame:
+    """(section, name, n): one table of all that a run since ``since`` left behind: documents by status, failures and skips by reason, open jobs by subject, and what is unsettled."""
+    def part(section: str, df: DataFrame, name: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), F.col("n").cast("long").alias("n"))
+
+    touched = touched_tallies(documents, jobs, since, since)
+    by_status = touched.groupBy("status").agg(F.sum("n").alias("n"))
+    why = touched.filter("status IN ('FAILED', 'SKIPPED')").groupBy("status", "reason").agg(F.sum("n").alias("n"))
+    left = resolution(jobs, since).select(F.explode(F.create_map(*[x for c in ("unfinished", "waiting", "failed") for x in (F.lit(c), F.col(c))])).alias("name", "n"))
+    return (
+        part("documents", by_status, F.col("status")).union(part("reasons", why, F.concat_ws(":", "status", F.when(F.col("reason") == "", "UNKNOWN").otherwise(F.col("reason")))))
+        .union(part("queues", depths(jobs), F.col("subject"))).union(part("unsettled", left, F.col("name")))
+    )

@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import around, collapsed, sender_domain
@@ -253,6 +253,29 @@ def page_bytes(text: str, most: int, at: int = 0) -> tuple[str, int | None]:
     return raw[at:end].decode(), end if end < len(raw) else None
 
 
+def asked(spark: SparkSession, schema: str, *arrays: Sequence) -> DataFrame:
+    """Parameters that come as arrays of one length, as rows with their place ``nth``; at most ``MAX_NEEDLES``."""
+    rows = [(n, *x) for n, x in enumerate(zip(*arrays, strict=True), 1)]
+    if len(rows) > MAX_NEEDLES:
+        raise ValueError(f"at most {MAX_NEEDLES} rows in one request")
+    return spark.createDataFrame(rows, f"nth int, {schema}")
+
+
+def optional(c: Column, values: Sequence) -> Column:
+    """One of ``values``; an empty set asks for nothing and takes all."""
+    return c.isin(*values) if values else F.lit(True)
+
+
+def excluded(c: Column, values: Sequence) -> Column:
+    """None of ``values``."""
+    return ~c.isin(*values) if values else F.lit(True)
+
+
+def display_paths(occurrences: DataFrame) -> DataFrame:
+    """(doc_id, path): of each document's available files the first by path."""
+    return occurrences.filter("available").groupBy("doc_id").agg(F.min("path").alias("path"))
+
+
 def needles_in(documents: DataFrame, needles: DataFrame, *, text: Column, key: Sequence[str], fold: bool = False, context: int = 240) -> DataFrame:
     """(needle_id, keys, position, context) of the first literal occurrence of each needle, white space collapsed on both sides.
 

@@ -12,7 +12,7 @@ from lodeworks.functions import text
 from lodeworks.operators import jobs as J
 from lodeworks.operators import store
 from lodeworks.operators.graph import shared_dir
-from lodeworks.plans.registry import query, table
+from lodeworks.plans.registry import ORACLES, query, table
 from lodeworks.streaming import ingest
 from lodeworks.vocabulary import DECLINE_REASONS, RETRYABLE_REASONS, TERMINAL_REASONS
 
@@ -149,6 +149,11 @@ def recovery_classify(spark: SparkSession, d: str) -> DataFrame:
     return J.recovery(documents(spark, d), jobs(spark, d), NOW)
 
 
+@query("SELECT class, action, count(*) AS n FROM (" + ORACLES["recovery_classify"] + ") GROUP BY ALL")
+def recovery_tally(spark: SparkSession, d: str) -> DataFrame:
+    return J.recovery_tally(J.recovery(documents(spark, d), jobs(spark, d), NOW))
+
+
 @query(f"""WITH {JOBS}, {DOCS} SELECT doc_id, reason FROM (SELECT d.*, {_CLASS} AS k, doc_id NOT IN (SELECT doc_id FROM j) AS jobless FROM d WHERE status = 'FAILED')
 WHERE jobless OR k IN ('retryable', 'expected_decline') ORDER BY updated_at, doc_id LIMIT 500""")
 def redrivable(spark: SparkSession, d: str) -> DataFrame:
@@ -180,6 +185,23 @@ def examples_per_group(spark: SparkSession, d: str) -> DataFrame:
     return J.examples(documents(spark, d).filter("status = 'FAILED'"), "reason", 3).select("reason", "doc_id", F.col("nth").cast("long").alias("nth"))
 
 
+@query("""WITH p AS (SELECT p_partkey, split_part(p_type, ' ', 1) AS mime, p_brand AS ext, DATE '1998-01-01' + CAST(p_size AS INTEGER) AS t FROM part)
+SELECT mime, ext, p_partkey AS doc_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY mime, ext ORDER BY t DESC, p_partkey) AS nth FROM p) WHERE nth <= 2""")
+def examples_by_kind(spark: SparkSession, d: str) -> DataFrame:
+    """The newest two of every pair of type and extension."""
+    when = F.date_add(F.lit(datetime(1998, 1, 1)).cast("date"), F.col("p_size").cast("int"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("mime"), F.col("p_brand").alias("ext"), when.alias("updated_at"))
+    return J.examples(p, ["mime", "ext"], 2).select("mime", "ext", "doc_id", F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"""WITH {JOBS}, {DOCS}, t AS (SELECT DISTINCT doc_id FROM j WHERE finished_at >= TIMESTAMP '1997-01-01' OR created_at >= TIMESTAMP '1997-01-01'), x AS (SELECT d.* FROM d SEMI JOIN t USING (doc_id))
+SELECT 'documents' AS section, status AS name, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT 'reasons', status || ':' || coalesce(reason, 'UNKNOWN'), count(*) FROM x WHERE status IN ('FAILED', 'SKIPPED') GROUP BY ALL
+UNION ALL SELECT 'queues', subject, count(*) FROM j WHERE state IN ('READY', 'RUNNING', 'WAITING_SOURCE') GROUP BY ALL
+UNION ALL SELECT 'unsettled', unnest(['unfinished', 'waiting', 'failed']), unnest([count(*) FILTER (state IN ('READY', 'RUNNING')), count(*) FILTER (state = 'WAITING_SOURCE'), count(*) FILTER (state = 'FAILED' AND finished_at >= TIMESTAMP '1997-01-01')]) FROM j""")
+def run_report(spark: SparkSession, d: str) -> DataFrame:
+    return J.run_report(documents(spark, d), jobs(spark, d), datetime(1997, 1, 1))
+
+
 @query(f"""WITH {JOBS}, {DOCS}, t AS (SELECT doc_id FROM j WHERE finished_at >= TIMESTAMP '1997-01-01' UNION SELECT doc_id FROM j WHERE created_at >= TIMESTAMP '1998-01-01')
 SELECT status, coalesce(reason, '') AS reason, count(*) AS n FROM d SEMI JOIN t USING (doc_id) GROUP BY ALL""")
 def settled_tallies(spark: SparkSession, d: str) -> DataFrame:

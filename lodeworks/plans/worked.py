@@ -170,6 +170,36 @@ def mail_parsed(spark: SparkSession, d: str) -> DataFrame:
     return m.select("sha256", "subject", "message_id", "sent_at", F.array_join(F.transform("addresses", box), " ").alias("boxes"), F.array_join("references", " ").alias("refs"), F.array_join("warnings", " ").alias("warnings"))
 
 
+_BROKEN = [
+    ("folded", b"From: a@b.c\nSubject: one\nbroken line\nTo: d@e.f\n\nbody", "one broken line", "d@e.f", "body", "header_repaired missing_message_id missing_date"),
+    ("no blank line", b"From: a@b.c\nSubject: two\nThe body begins here\nand ends", "two", "", "The body begins here\nand ends", "header_repaired missing_message_id missing_date"),
+    ("eight bits", "From: a@b.c\nSubject: ".encode() + RUSSIAN.encode("koi8-r") + b"\n\nx", RUSSIAN, "", "x", "header_detected missing_message_id missing_date"),
+    ("eight bits of utf-8", f"From: a@b.c\nSubject: {RUSSIAN}\n\nx".encode(), RUSSIAN, "", "x", "missing_message_id missing_date"),
+    ("extended name", b"From: a@b.c\nContent-Type: application/pdf\nContent-Disposition: attachment; filename*=koi8-r''%F4.pdf\n\nx", "", "", "", "missing_message_id missing_date"),
+]
+
+
+@query(_values([(k, *r) for k, _, *r in _BROKEN], "sha256, subject, recipient, body, warnings"))
+def mail_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Header lines that are no fields, and headers in bytes that nobody declared."""
+    m = containers.messages(spark.createDataFrame([(k, raw) for k, raw, *_ in _BROKEN], "sha256 string, content binary"))
+    to = F.coalesce(F.element_at(F.col("headers"), "to"), F.lit(""))
+    return m.select("sha256", "subject", to.alias("recipient"), "body", F.array_join("warnings", " ").alias("warnings"))
+
+
+@query(_values([("folded name", "т.pdf".upper().replace("PDF", "pdf")), ("nul", "NUL_BYTES"), ("text", "words")], "what, got"))
+def plain_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Names of attachments in a declared charset, and plain text, which holds no NUL."""
+    m = containers.read_message(_BROKEN[-1][1])
+    def read(raw: bytes) -> str:
+        try:
+            return containers.plain_text(raw)[0]
+        except containers.Declined as e:
+            return str(e)
+
+    return spark.createDataFrame([("folded name", m.members[0].filename), ("nul", read(b"a\0b")), ("text", read(b"words"))], "what string, got string")
+
+
 _W = 'xmlns:w="urn:w"'
 _OFFICE = [
     ("docx", _zip({"word/document.xml": f"<w:document {_W}><w:body><w:p><w:t>Hello</w:t></w:p><w:tbl><w:tr><w:tc><w:p><w:t>a</w:t></w:p></w:tc><w:tc><w:p><w:t>b</w:t></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"}), "Hello\na\tb"),
@@ -217,6 +247,15 @@ def pages_laid_out(spark: SparkSession, d: str) -> DataFrame:
     return layout.lay_out(spark.createDataFrame(rows, "doc_id int, page int, text string, left double, top double, right double, bottom double"))
 
 
+@query(r"""SELECT sha256(trim(regexp_replace(text, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g'))) AS raw_sha256, bool_or(conv_id % 2 = 0) AS known FROM conversations GROUP BY 1""")
+def embeddings_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Only passages without a vector are sent: those known before keep the vector they had."""
+    p = table(spark, d, "conversations").select("conv_id", text.passage_hash(F.col("text")).alias("raw_sha256"), F.col("text").alias("chunk_text"))
+    old = p.filter("conv_id % 2 = 0").select(F.lit("m").alias("embed_model"), "raw_sha256", F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>").alias("embedding")).distinct()
+    out = models.embed_new(p, old, lambda ts: models.hashed_embedding(ts, 2), name="m", dim=2)
+    return out.select("raw_sha256", (F.col("embedding") == F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>")).alias("known"))
+
+
 # -- scalar functions ------------------------------------------------------------------
 
 
@@ -423,6 +462,21 @@ def question_answered(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "doc string, text string, related string, warnings string")
 
 
+@query("""WITH p AS (SELECT * FROM (VALUES (1, 3, '1-URGENT'), (2, 5, '5-LOW'), (3, 3, '5-LOW')) t(nth, k, prio))
+SELECT nth, o_orderkey FROM orders JOIN p ON o_custkey % 7 = k AND o_orderpriority = prio WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 3 NOT IN (0, 2)""")
+def parameter_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of parameters as rows, a set that asks for some, an empty one that asks for all, and one that excludes."""
+    p = mailbox.asked(spark, "k long, prio string", [3, 5, 3], ["1-URGENT", "5-LOW", "5-LOW"])
+    o = table(spark, d, "orders").filter(mailbox.optional(F.col("o_orderstatus"), ("F", "O")) & mailbox.optional(F.col("o_clerk") if "o_clerk" in table(spark, d, "orders").columns else F.lit(""), ()) & mailbox.excluded(F.col("o_orderkey") % 3, (0, 2)))
+    return o.join(F.broadcast(p), (F.col("o_custkey") % 7 == F.col("k")) & (F.col("o_orderpriority") == F.col("prio"))).select("nth", "o_orderkey")
+
+
+@query("SELECT o_custkey AS doc_id, min(o_orderpriority) AS path FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def first_paths(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("path"), (F.col("o_orderstatus") != "P").alias("available"))
+    return mailbox.display_paths(o)
+
+
 # -- evaluation ------------------------------------------------------------------------
 
 

@@ -72,6 +72,14 @@ def decode_text(raw: bytes, declared: str | None = None) -> tuple[str, str]:
     return raw.decode("utf-8", "replace"), "replaced"
 
 
+def plain_text(raw: bytes, declared: str | None = None) -> tuple[str, str]:
+    """(text, note) of a plain-text file; one with NUL bytes is no text."""
+    text, note = decode_text(raw, declared)
+    if "\0" in text:
+        raise Declined("NUL_BYTES")
+    return text, note
+
+
 def russian_share(text: str) -> float:
     """The part of letters beyond ASCII that stand in lower-case-led Cyrillic words."""
     words = re.findall(r"[^\W\d_]+", text)
@@ -80,13 +88,46 @@ def russian_share(text: str) -> float:
     return good / every if every else 0.0
 
 
+FIELD = re.compile(rb"[!-9;-~]+[ \t]*:")
+
+
+def repaired(raw: bytes) -> bytes:
+    """A message whose header lines are all fields or their continuations.
+
+    A line that is neither belongs to the field before it if more fields follow;
+    otherwise the body begins there, and the blank line that should stand before it is put in.
+    """
+    lines = raw.split(b"\n")
+    end = next((n for n, x in enumerate(lines) if not x.strip()), len(lines))
+    sound = [bool(FIELD.match(x)) or (n == 0 and x.startswith(b"From ")) for n, x in enumerate(lines[:end])]
+    last = max((n for n, ok in enumerate(sound) if ok), default=-1)
+    out = []
+    for n, x in enumerate(lines[:end]):
+        if sound[n] or (x[:1] in (b" ", b"\t") and n > 0):
+            out.append(x)
+        elif n < last and out:
+            out.append(b" " + x)
+        else:
+            return b"\n".join([*out, b"", *lines[n:]])
+    return b"\n".join(out + lines[end:])
+
+
 def read_message(raw: bytes) -> Message:
     """The body (plain text first, else the first HTML), headers with names in lower case, and attachments."""
-    parsed = email.message_from_bytes(raw, policy=email.policy.compat32)
+    fixed = repaired(raw)
+    parsed = email.message_from_bytes(fixed, policy=email.policy.compat32)
     headers: dict[str, str] = {}
-    for k, v in parsed.items():
-        headers.setdefault(k.lower(), _words(str(v)))
-    out = Message("", headers)
+    out = Message("", headers, warnings=["header_repaired"] if fixed != raw else [])
+    for k, v in parsed.raw_items():
+        v = re.sub(r"\r?\n[ \t]+", " ", v)
+        if (eight := v.encode("ascii", "surrogateescape")).isascii():
+            headers.setdefault(k.lower(), _words(v))
+        else:
+            # Bytes beyond ASCII that no encoded word declares.
+            text, note = decode_text(eight)
+            headers.setdefault(k.lower(), _words(text))
+            if note:
+                out.warnings.append(f"header_{note.split(':')[0]}")
     html_body, plain = None, []
     n = 0
     for part in _own_parts(parsed):

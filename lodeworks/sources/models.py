@@ -56,6 +56,14 @@ def embed(passages: DataFrame, model: Callable[[list[str]], Sequence[Sequence[fl
     return t.mapInPandas(run, f"k {kind}, embedding array<float>").withColumnRenamed("k", key)
 
 
+def embed_new(passages: DataFrame, known: DataFrame, model: Callable[[list[str]], Sequence[Sequence[float]]], *, name: str, dim: int) -> DataFrame:
+    """(embed_model, raw_sha256, embedding) of ``known`` and of the passages (raw_sha256, chunk_text) that it lacks for this model: only these are sent."""
+    have = known.filter(F.col("embed_model") == name).select("raw_sha256")
+    new = passages.dropDuplicates(["raw_sha256"]).join(have, "raw_sha256", "left_anti")
+    found = embed(new, model, key="raw_sha256", text="chunk_text", dim=dim).select(F.lit(name).alias("embed_model"), "raw_sha256", "embedding")
+    return known.select("embed_model", "raw_sha256", "embedding").unionByName(found)
+
+
 def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
     """A deterministic stand-in for a model: signed hashes of words, of unit length."""
     out = []
