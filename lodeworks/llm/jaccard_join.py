@@ -45,7 +45,7 @@ BROADCAST_MEMBERS = 500_000
 TOLERANCE = 1e-5
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Words whose hashes a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 
 
 class _Words(dict):
