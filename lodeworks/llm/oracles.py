@@ -115,4 +115,10 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
   NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < n_words * 0.3)) AS kept FROM b
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_line_quality": OP8, "op10_url_filter": OP10}
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_line_quality": OP8, "op10_url_filter": OP10, "op13_exact_dedup": OP13}
