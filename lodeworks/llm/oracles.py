@@ -115,10 +115,30 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
   NOT base_failed AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < n_words * 0.3)) AS kept FROM b
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_UNITS = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {0}) AS BIGINT))"
+_ROUND = """
+d{0} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (SELECT v.vec_id, v.p, b.e,
+    list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM v JOIN b{0} b ON v.p = b.p) GROUP BY ALL),"""
+_REFIT = """
+m{0} AS (SELECT p, e, i, CAST(floor(CAST(sum(c) AS DOUBLE) / count(*)) AS BIGINT) AS c
+  FROM (SELECT d.p, d.e, unnest(v.x) AS c, unnest(range(len(v.x))) AS i FROM d{0} d JOIN v USING (vec_id, p)) GROUP BY p, e, i),
+n{0} AS (SELECT p, e, list(c ORDER BY i) AS x FROM m{0} GROUP BY p, e),
+b{1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{0} b LEFT JOIN n{0} n USING (p, e)),"""
+OP12 = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, label, {_UNITS.format(1024)} AS x FROM embeddings WHERE {_FINITE}),
+v AS MATERIALIZED (SELECT vec_id, p, x[p * n + 1:(p + 1) * n] AS x FROM (SELECT *, len(x) // 4 AS n, unnest([0, 1, 2, 3]) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k) JOIN v USING (vec_id) WHERE e < 256),
+{"".join(_ROUND.format(r) + _REFIT.format(r, r + 1) for r in range(4))}{_ROUND.format(4)}
+c AS (SELECT vec_id, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(dist) AS BIGINT) AS error FROM d4 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h
+"""
+
 OP13 = f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_line_quality": OP8, "op10_url_filter": OP10, "op13_exact_dedup": OP13}
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_line_quality": OP8, "op10_url_filter": OP10, "op12_vector_codes": OP12, "op13_exact_dedup": OP13}
