@@ -117,6 +117,15 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
 
 _FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _UNITS = "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {0}) AS BIGINT))"
+OP11 = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_UNITS.format(256)} AS x FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM k a JOIN k b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, id AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
 _ROUND = """
 d{0} AS MATERIALIZED (SELECT vec_id, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (SELECT v.vec_id, v.p, b.e,
     list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM v JOIN b{0} b ON v.p = b.p) GROUP BY ALL),"""
@@ -141,4 +150,4 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_line_quality": OP8, "op10_url_filter": OP10, "op12_vector_codes": OP12, "op13_exact_dedup": OP13}
+ORACLES: dict[str, str] = {"op3_decontaminate": OP3, "op4_jaccard_join": OP4, "op5_mix_sources": OP5, "op7_chat_format": OP7, "op8_line_quality": OP8, "op10_url_filter": OP10, "op11_hard_negatives": OP11, "op12_vector_codes": OP12, "op13_exact_dedup": OP13}

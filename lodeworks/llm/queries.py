@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.llm import chat_format, chunk_recipes, decontaminate, jaccard_join, maxent_lm, mixing, pii, quality_lines, secrets, toxicity, url_filter, vector_codes
+from lodeworks.llm import chat_format, chunk_recipes, decontaminate, hard_negatives, jaccard_join, maxent_lm, mixing, pii, quality_lines, secrets, toxicity, url_filter, vector_codes
 from lodeworks.llm.common import stored, text_of
 
 
@@ -92,6 +92,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), scale=256, every=100, positives=5, negatives=5, percent=80)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"), scale=1024, parts=4, entries=256, rounds=4)
 
@@ -104,6 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_lm_score, op3_decontaminate, op4_jaccard_join, op5_mix_sources, op6_toxicity,
-        op7_chat_format, op8_line_quality, op9_secret_scan, op10_url_filter, op12_vector_codes, op13_exact_dedup,
+        op7_chat_format, op8_line_quality, op9_secret_scan, op10_url_filter, op11_hard_negatives, op12_vector_codes, op13_exact_dedup,
     )
 }

@@ -17,7 +17,7 @@ null ids come after all others and their rows are coded like any; rows that repe
 stand each (for the first codebook in order of id, then of components); fewer rows than
 entries give a smaller codebook; a null label is a label of its own; an empty table gives
 an empty one; other columns are not read. Vectors of different lengths, of a length that
-the parts do not divide, or with components beyond 2^27 units are an error.
+the parts do not divide, or so great that sums of squares pass 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -57,10 +57,13 @@ def prepared(vectors: DataFrame, scale: int, key: str, vector: str, label: str)
 
 
 def width(rows: DataFrame, parts: int = 1) -> int:
-    """The length that all vectors have (0 without any)."""
-    r = rows.agg(F.min(F.size("_x")).alias("a"), F.max(F.size("_x")).alias("b")).first()
+    """The length that all vectors have (0 without any). Sums of products of two vectors, and of squared differences, then fit 64 bits."""
+    most = F.greatest(F.array_max("_x"), -F.array_min("_x"))
+    r = rows.agg(F.min(F.size("_x")).alias("a"), F.max(F.size("_x")).alias("b"), F.max(most).alias("most")).first()
     if r["a"] != r["b"] or (r["a"] or 0) % parts:
         raise ValueError(f"vectors of {r['a']} to {r['b']} components can't be cut into {parts} equal parts")
+    if (r["a"] or 0) * (2 * (r["most"] or 0)) ** 2 >= 1 << 63:
+        raise ValueError(f"{r['a']} components of up to {r['most']} units are beyond exact sums of 64 bits")
     return r["a"] or 0
 
 
