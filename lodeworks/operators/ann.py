@@ -1,10 +1,16 @@
-"""Approximate nearest neighbours of vectors by an inverted file of cells.
-
-Centres are fitted by spherical k-means on a bounded sample; every vector is filed
-under its nearest centre. A query asks the cells whose centres are nearest to it, and
-only their vectors are measured. How many it asks is fitted too: as many as find
-``RECALL`` of the exact neighbours of vectors of the sample. Vectors that lie in
-groups need few cells; for vectors without any structure no index saves much.
+"""Approximate nearest neighbours: cells in folders of their own, product codes, exact distances for a short list.
+
+Centres are fitted by spherical k-means on a bounded sample; every vector is filed in the
+folder of its nearest centre, once as a code of some bytes and once whole. A search opens
+the folders of the cells that its queries ask. There it first looks codes up: a code names,
+for each part of the vector's distance to its centre, the nearest of 256 entries, so
+that a score is a sum of table values. Only the best by that estimate are measured exactly.
+How many cells a query asks, and how long its short list is, are fitted too, so that a
+part ``RECALL`` of the exact neighbours of vectors of the sample is found. Vectors that lie
+in groups need few cells; for vectors without any structure no index saves much.
+
+Null vectors and those without length are not filed; an empty table gives an index
+without cells, in which nothing is found.
 """
 
 from __future__ import annotations
@@ -19,13 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodeworks.operators.graph import stored
-from lodeworks.operators.retrieval import _blocks, nearest_rows, ranked, unit
+from lodeworks.operators.retrieval import _blocks, ranked, unit
+from lodeworks.operators.tables import shared_dir, stored, version
 
-#: Vectors that the centres are fitted on, and the most centres (driver and workers hold both).
+#: Vectors that centres and codes are fitted on, and the most centres (driver and workers hold both).
 SAMPLE, MAX_CELLS = 50_000, 8192
 #: The part of the exact neighbours to be found, how many each vector has, and on how many vectors of the sample that is fitted.
-RECALL, NEIGHBOURS, TRIED = 0.93, 50, 256
+RECALL, NEIGHBOURS, TRIED = 0.94, 50, 256
+#: Components of a part of a code, and entries of its codebook.
+PART, ENTRIES = 4, 256
+#: Rows of a cell that are looked up at once.
+ROWS = 4096
+#: The short lists are broadcast up to so many rows.
+BROADCAST = 500_000
 
 
 def centres(x: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
@@ -47,37 +59,113 @@ def centres(x: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
-def cells_for(x: np.ndarray, c: np.ndarray, k: int) -> int:
-    """How many cells a query must ask to find ``RECALL`` of its ``k`` neighbours, by rows of ``x`` spread over it."""
+def codebook(x: np.ndarray, rounds: int = 6) -> np.ndarray:
+    """(parts, entries, components) for rows ``x``; a last part that is shorter is filled with nothing."""
+    rng = np.random.default_rng(12)
+    cut = _parts(x)
+    books = []
+    for p in range(cut.shape[1]):
+        v = cut[:, p]
+        book = v[np.sort(rng.permutation(len(v))[:ENTRIES])].copy()
+        for _ in range(rounds):
+            own = _entry(v, book)
+            total, size = np.zeros_like(book), np.bincount(own, minlength=len(book))
+            np.add.at(total, own, v)
+            book = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], book)
+        books.append(book)
+    return np.array(books)
+
+
+def _parts(x: np.ndarray) -> np.ndarray:
+    """(rows, parts, components)."""
+    n = -(-x.shape[1] // PART)
+    return np.pad(x, ((0, 0), (0, n * PART - x.shape[1]))).reshape(len(x), n, PART)
+
+
+def _entry(v: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return ((book**2).sum(1) - 2 * v @ book.T).argmin(1)
+
+
+def coded(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+    cut = _parts(x)
+    return np.stack([_entry(cut[:, p], book[p]) for p in range(len(book))], axis=1).astype(np.uint8)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Centres, the codes' codebook (of what is left of a vector without its centre), cells a query asks, and length of its short list."""
+
+    centre: np.ndarray
+    book: np.ndarray
+    asked: int = 0
+    short: int = 0
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centre.T).argmax(1)
+
+    def nearest_cells(self, q: np.ndarray) -> np.ndarray:
+        return np.argsort(-(q @ self.centre.T), axis=1)[:, : self.asked] if len(self.centre) else np.zeros((len(q), 0), int)
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """(queries, parts, entries): what an entry adds to the product of a query with a vector."""
+        return np.einsum("qpd,ped->qpe", _parts(q), self.book)
+
+    def estimate(self, table: np.ndarray, to_centre: float | np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Estimated products of one query (its tables, its product with the rows' centres) with rows of codes."""
+        return table.ravel()[code + np.arange(code.shape[1], dtype=np.int32) * self.book.shape[1]].sum(1) + to_centre
+
+
+def fitted(x: np.ndarray, cells: int, k: int, rows: int) -> Model:
+    """A model of the sample ``x`` of ``rows`` vectors: as many cells, and as long a short list, as find ``RECALL`` of the neighbours of some of its vectors."""
+    c = centres(x, cells)
     if not len(x) or not len(c):
-        return 0
+        return Model(c, np.zeros((0, ENTRIES, PART)))
+    own = (x @ c.T).argmax(1)
+    model = Model(c, codebook((x - c[own])[np.linspace(0, len(x) - 1, min(len(x), 20_000)).astype(int)]))
     q = x[np.linspace(0, len(x) - 1, min(TRIED, len(x))).astype(int)]
-    near = np.argpartition(-(q @ x.T), min(k, len(x)) - 1, axis=1)[:, :k]
+    score = q @ x.T
+    near = np.argpartition(-score, min(k, len(x)) - 1, axis=1)[:, :k]
     place = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)
-    at = np.take_along_axis(place, (x @ c.T).argmax(1)[near], axis=1)
+    at = np.take_along_axis(place, own[near], axis=1)
+    # Half of what may be lost is lost to cells, half to the short list.
     found = np.cumsum(np.bincount(at.ravel(), minlength=len(c))) / at.size
-    return int(np.searchsorted(found, RECALL)) + 1
+    asked = int(np.searchsorted(found, (1 + RECALL) / 2)) + 1
+    code, tables = coded(x - c[own], model.book).astype(np.int32), model.tables(q)
+    ranks = []
+    for i in range(len(q)):
+        guess = model.estimate(tables[i], (c @ q[i])[own], code)
+        inside = near[i][at[i] < asked]
+        ahead = np.sort(guess[place[i][own] < asked])
+        ranks.append(len(ahead) - np.searchsorted(ahead, guess[inside]))
+    need = np.sort(np.concatenate(ranks))
+    short = int(need[min(len(need) - 1, int(len(need) * (1 + RECALL) / 2))]) if len(need) else k
+    # In the whole table as many more rows stand between as there are rows to one of the sample.
+    return Model(model.centre, model.book, min(len(c), asked), max(2 * k, int(np.ceil(short * max(1.0, rows / len(x))))))
 
 
 @dataclass(frozen=True)
 class Cells:
-    """Stored vectors (cell, key, vector), the cells' centres, and how many cells a query asks."""
+    """Stored codes (cell, k, code) and vectors (cell, k, v), each cell in folders of its own, and the model."""
 
+    codes: DataFrame
     rows: DataFrame
-    centre: np.ndarray
+    model: Model
     key: str
-    asked: int
+
+    @property
+    def asked(self) -> int:
+        return self.model.asked
 
     @staticmethod
     def build(vectors: DataFrame, *, key: str, vector: str = "embedding") -> Cells:
         n = vectors.count()
         share = min(1.0, SAMPLE / max(1, n))
         chosen = vectors.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else vectors
-        x = np.array([r[0] for r in chosen.select(F.col(vector).cast("array<double>")).filter(F.col(vector).isNotNull()).toLocalIterator()])
-        x = unit(x) if len(x) else np.zeros((0, 1))
+        x = _matrix(chosen.select(F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL"))
+        x = unit(x) if len(x) else x
         x = x[~np.isnan(x).any(1)]
-        c = centres(x, min(MAX_CELLS, max(1, int(2 * n**0.5))))
-        sent = vectors.sparkSession.sparkContext.broadcast(c)
+        model = fitted(x, min(MAX_CELLS, max(1, int(2 * n**0.5))), NEIGHBOURS, n)
+        sent = vectors.sparkSession.sparkContext.broadcast(model)
         t = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,44 +173,75 @@ class Cells:
                 if b.num_rows:
                     v = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
                     real = ~np.isnan(v).any(1)
-                    cell = (v[real] @ sent.value.T).argmax(1)
-                    keep = pa.array(real)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0).filter(keep), b.column(1).filter(keep)], ["cell", "k", "v"])
-
-        filed = t.mapInArrow(run, f"cell int, k {t.schema['k'].dataType.simpleString()}, v array<double>")
-        return Cells(stored(filed.sortWithinPartitions("cell"), "cells"), c, key, min(len(c), cells_for(x, c, NEIGHBOURS)))
-
-    def nearest(self, queries: DataFrame, *, query: str, vector: str = "embedding", k: int = 50) -> DataFrame:
-        """(query, key, distance, dense_rank) of the best ``k`` in the cells that each query asks."""
-        kind, own = queries.schema[query].dataType, self.rows.schema["k"].dataType.simpleString()
+                    keep, v = pa.array(real), v[real]
+                    cell = sent.value.cells(v)
+                    code = coded(v - sent.value.centre[cell], sent.value.book)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column(0).filter(keep), pa.array([r.tobytes() for r in code], pa.binary()), b.column(1).filter(keep)], ["cell", "k", "code", "v"])
+
+        at = f"{shared_dir(vectors.sparkSession)}/lodeworks/cells-{version(vectors, key, vector)}"
+        filed = stored(t.mapInArrow(run, f"cell int, k {t.schema['k'].dataType.simpleString()}, code binary, v array<double>"), "filed")
+        out = []
+        for name, c in (("codes", "code"), ("rows", "v")):
+            filed.select("cell", "k", c).repartitionByRange("cell", "k").sortWithinPartitions("cell", "k").write.mode("overwrite").partitionBy("cell").parquet(f"{at}/{name}")
+            out.append(vectors.sparkSession.read.schema(filed.select("k", c, "cell").schema).parquet(f"{at}/{name}"))
+        return Cells(*out, model, key)
+
+    def shortlist(self, queries: DataFrame, *, query: str, vector: str = "embedding") -> DataFrame:
+        """(q, k, cell, nth): the best of each query by their codes, from the cells that it asks and no others."""
+        kind, own = queries.schema[query].dataType, self.codes.schema["k"].dataType.simpleString()
         found = []
         for ids, q in _blocks(queries, query, vector):
-            asked = np.argsort(-(q @ self.centre.T), axis=1)[:, : self.asked]
-            sent = self.rows.sparkSession.sparkContext.broadcast((pa.array(ids, to_arrow_type(kind)), q, asked))
+            asked = self.model.nearest_cells(q)
+            sent = self.codes.sparkSession.sparkContext.broadcast((pa.array(ids, to_arrow_type(kind)), q, asked, self.model))
 
             def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-                names, q, asked = sent.value
-                for b in batches:
-                    cell = b.column(0).to_numpy()
+                names, q, asked, model = sent.value
+                tables = model.tables(q) if len(model.book) else None
+                best: list[tuple[np.ndarray, list, np.ndarray]] = [(np.zeros(0), [], np.zeros(0, np.int32))] * len(q)
+                for b in (x.slice(at, ROWS) for x in batches for at in range(0, x.num_rows, ROWS)):
+                    cell = b.column(2).to_numpy()
+                    code = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.int32)
                     for c in np.unique(cell):
-                        rows, who = np.flatnonzero(cell == c), np.flatnonzero((asked == c).any(1))
-                        if len(who):
-                            v = b.column(2).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-                            i, j, d = nearest_rows(unit(v), q[who], k)
-                            yield pa.RecordBatch.from_arrays([names.take(pa.array(who[i])), b.column(1).take(pa.array(rows[j])), pa.array(d)], ["q", "k", "d"])
-
-            found.append(self.rows.mapInArrow(run, f"q {kind.simpleString()}, k {own}, d double"))
+                        rows = np.flatnonzero(cell == c)
+                        keys = np.array(b.column(0).take(pa.array(rows)).to_pylist(), object)
+                        for i in np.flatnonzero((asked == c).any(1)):
+                            guess = np.r_[best[i][0], model.estimate(tables[i], float(q[i] @ model.centre[c]), code[rows])]
+                            top = np.argpartition(-guess, min(model.short, len(guess)) - 1)[: model.short]
+                            best[i] = guess[top], np.r_[best[i][1], keys][top], np.r_[best[i][2], np.full(len(rows), c, np.int32)][top]
+                for i, (guess, keys, cell) in enumerate(best):
+                    if len(guess):
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(guess), i))), pa.array(list(keys), b_kind), pa.array(cell), pa.array(guess)], ["q", "k", "cell", "guess"])
+
+            b_kind = to_arrow_type(self.codes.schema["k"].dataType)
+            open_ = sorted({int(c) for c in asked.ravel()})
+            found.append(self.codes.filter(F.col("cell").isin(open_)).select("k", "code", "cell").mapInArrow(run, f"q {kind.simpleString()}, k {own}, cell int, guess double"))
         if not found:
-            found = [queries.limit(0).select(F.col(query).alias("q"), F.lit(None).cast(own).alias("k"), F.lit(None).cast("double").alias("d"))]
-        d = reduce(DataFrame.union, found).select(F.col("q").alias(query), F.col("k").alias(self.key), F.col("d").alias("distance"))
+            found = [queries.limit(0).select(F.col(query).alias("q"), F.lit(None).cast(own).alias("k"), F.lit(None).cast("int").alias("cell"), F.lit(None).cast("double").alias("guess"))]
+        return ranked(reduce(DataFrame.union, found), [F.col("guess").desc(), F.col("k").asc()], max(1, self.model.short), by="q", name="nth").select("q", "k", "cell", "nth")
+
+    def nearest(self, queries: DataFrame, *, query: str, vector: str = "embedding", k: int = NEIGHBOURS) -> DataFrame:
+        """(query, key, distance, dense_rank) of the best ``k`` of each query's short list, measured exactly."""
+        short = stored(self.shortlist(queries, query=query, vector=vector).select("q", "k", "cell"), "shortlist")
+        few = short.limit(BROADCAST + 1).count() <= BROADCAST
+        rows = self.rows.filter(F.col("cell").isin([r[0] for r in short.select("cell").distinct().collect()]))
+        pairs = rows.join(F.broadcast(short) if few else short, ["cell", "k"]).join(queries.select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("_w")), "q")
+        size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x))
+        dot = F.aggregate(F.zip_with("v", "_w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+        d = pairs.select(F.col("q").alias(query), F.col("k").alias(self.key), F.round(F.greatest(F.lit(0.0), 1 - dot / (size("v") * size("_w"))), 9).alias("distance"))
         return ranked(d, [F.col("distance").asc(), F.col(self.key).asc()], k, by=query, name="dense_rank")
 
-    def measured(self, queries: DataFrame, *, query: str, vector: str = "embedding") -> float:
-        """The part of all pairs of queries and vectors that a search measures."""
-        size = {r["cell"]: r["n"] for r in self.rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        pairs = every = 0
+    def measured(self, queries: DataFrame, *, query: str, vector: str = "embedding") -> tuple[float, float]:
+        """The parts of all pairs of queries and vectors whose codes are looked up, and that are measured."""
+        size = {r["cell"]: r["n"] for r in self.codes.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        looked = exact = every = 0
         for _, q in _blocks(queries, query, vector):
-            asked = np.argsort(-(q @ self.centre.T), axis=1)[:, : self.asked]
-            pairs += sum(size.get(int(c), 0) for row in asked for c in row)
-            every += len(q) * sum(size.values())
-        return pairs / every if every else 0.0
+            for row in self.model.nearest_cells(q):
+                n = sum(size.get(int(c), 0) for c in row)
+                looked, exact, every = looked + n, exact + min(n, self.model.short), every + sum(size.values())
+        return (looked / every, exact / every) if every else (0.0, 0.0)
+
+
+def _matrix(vectors: DataFrame) -> np.ndarray:
+    """The rows of a bounded frame of one array column."""
+    t = vectors.toArrow().column(0).combine_chunks()
+    return t.flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1) if len(t) else np.zeros((0, 1))

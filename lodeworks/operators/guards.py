@@ -13,7 +13,7 @@ from email.utils import parseaddr
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lodeworks.operators.graph import shared_dir
+from lodeworks.operators.tables import shared_dir
 
 
 def mailbox_address(value: str) -> str:

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lodeworks.functions.text import content_key, cosine_distance, terms
-from lodeworks.operators.graph import stored
-from lodeworks.vocabulary import BM25_B, BM25_K1, BUDGET_BYTES, DENSE_K, FUSED_K, LEXICAL_K, POOL_DENSE_ONLY, POOL_PER_QUERY, RRF_K, SNIPPET_BYTES, TOP_K
+from lodeworks.functions.text import content_key, cosine_distance
+from lodeworks.vocabulary import BUDGET_BYTES, DENSE_K, FUSED_K, LEXICAL_K, POOL_DENSE_ONLY, POOL_PER_QUERY, RRF_K, SNIPPET_BYTES, TOP_K
 
 
 #: What is asked is broadcast up to this many rows (some 50 bytes each); queries and vectors are measured in blocks of so many.
@@ -32,60 +31,6 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-# -- index ----------------------------------------------------------------------------
-
-
-def postings(passages: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(term, key, tf, dl): term counts with the passage's length; empty passages have no row."""
-    t = passages.select(F.col(key).alias(key), terms(F.col(text)).alias("_t")).withColumn("dl", F.size("_t"))
-    return t.select(key, "dl", F.explode("_t").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(passages: DataFrame, *, text: str) -> DataFrame:
-    """One row: n passages and their mean length."""
-    return passages.agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col(text)))).alias("avgdl"))
-
-
-@dataclass(frozen=True)
-class Index:
-    """Stored postings (term, key, tf, dl) in order of term, numbers of passages by term (term, df), and totals (n, avgdl)."""
-
-    post: DataFrame
-    df: DataFrame
-    stats: DataFrame
-    key: str
-
-    @staticmethod
-    def build(passages: DataFrame, *, key: str, text: str) -> Index:
-        """Cuts the texts into terms once; every search reads the tables."""
-        post = stored(postings(passages, key=key, text=text).sortWithinPartitions("term"), "postings")
-        df = stored(post.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term"), "terms")
-        words, n = post.agg(F.sum("tf")).first()[0] or 0, passages.count()
-        stats = passages.sparkSession.createDataFrame([(n, words / n if n else None)], "n long, avgdl double")
-        return Index(post, df, stats, key)
-
-    def scores(self, queries: DataFrame, *, query: str = "query_id", text: str = "query") -> DataFrame:
-        return bm25(self.post, self.stats, queries, key=self.key, query=query, text=text, df=self.df)
-
-
-def bm25(post: DataFrame, stats: DataFrame, queries: DataFrame, *, key: str, query: str = "query_id", text: str = "query", df: DataFrame | None = None) -> DataFrame:
-    """(query, key, score) of the passages that hold a term of the query; each different term counts once.
-
-    What is asked meets the postings on the term, so only the lists of asked terms go
-    further; up to ``BROADCAST_ROWS`` asked terms they are not even shuffled.
-    """
-    asked = queries.select(query, F.explode(F.array_distinct(terms(F.col(text)))).alias("term"))
-    if df is None:
-        df = post.join(_small(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    # Totals are one row.
-    told = df.join(_small(asked), "term").crossJoin(F.broadcast(stats))
-    told = told.select("term", query, F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("_idf"), "avgdl")
-    hit = post.join(_small(told), "term")
-    tf = F.col("tf").cast("double")
-    part = F.col("_idf") * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl")))
-    return hit.groupBy(query, key).agg(F.sum(part).alias("score"))
-
-
 def ranked(scores: DataFrame, order: Sequence[Column], k: int, *, by: str | None = None, name: str = "rank") -> DataFrame:
     """The best ``k`` rows (of each ``by``), numbered from 1. One ranking takes the top before numbering it."""
     if by is None:

@@ -13,21 +13,22 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import retrieval as R
 from lodeworks.operators.mailbox import page_bytes
-from lodeworks.vocabulary import BUDGET_BYTES, DENSE_K, FUSED_K, TOP_K
+from lodeworks.operators.terms import TermIndex
+from lodeworks.vocabulary import BUDGET_BYTES, DENSE_K, FUSED_K, LEXICAL_K, TOP_K
 
 
 @dataclass
 class Tables:
     """``placements``: placement_id, chunk_id, doc_id. ``chunks``: chunk_id, chunk_text, embedding. ``documents``: doc_id, text, status. ``containment``: container_id, contained_id.
 
-    ``index``: the stored index of the chunks by chunk_id; a search without it builds one for itself.
+    ``index``: the stored index of the chunks by chunk_id; without it one is built, and found again while the chunks' files stay.
     """
 
     placements: DataFrame
     chunks: DataFrame
     documents: DataFrame
     containment: DataFrame
-    index: R.Index | None = None
+    index: TermIndex | None = None
 
 
 @dataclass
@@ -51,11 +52,11 @@ def search(
     asked, warning = R.decompose(question, planner)
     warnings = [warning] if warning else []
     placed = t.placements.join(t.chunks.select("chunk_id", "chunk_text", "embedding"), "chunk_id")
-    index = t.index or R.Index.build(t.chunks.select("chunk_id", "chunk_text"), key="chunk_id", text="chunk_text")
+    index = t.index or TermIndex.build(t.chunks.select("chunk_id", "chunk_text"), key="chunk_id", text="chunk_text")
     # All sub-queries in one plan.
     one = spark.createDataFrame([(n, q, list(map(float, v))) for n, (q, v) in enumerate(zip(asked, embed(asked), strict=True))], "query_id int, query string, embedding array<double>")
     dense = R.dense_many(placed, one, key="placement_id", query="query_id")
-    scores = index.scores(one).join(t.placements, "chunk_id").withColumn("score", F.round("score", 9))
+    scores = index.best(one, LEXICAL_K, digits=9).join(t.placements, "chunk_id")
     fused = R.fuse(dense, R.lexical_leg(scores, key="placement_id", by="query_id"), key="placement_id", by=["query_id"])
     # Texts are fetched for the few that are left.
     rows = placed.select("placement_id", "doc_id", "chunk_text").join(F.broadcast(fused), "placement_id").orderBy("query_id", "fused_rank").collect()

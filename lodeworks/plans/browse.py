@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeworks.functions import text
@@ -177,6 +177,29 @@ def closure_retained(spark: SparkSession, d: str) -> DataFrame:
     return graph.closure(spark.createDataFrame([("n3",)], "node string"), e, stop=stop)
 
 
+@query(f"""WITH RECURSIVE {_TREE}, g AS (SELECT * FROM e WHERE NOT (src LIKE 'n%' AND CAST(substr(dst, 2) AS BIGINT) % 4 = 1)
+  UNION SELECT 'n3', 'c' || c_custkey FROM customer WHERE c_custkey % 16 = 1 UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_linenumber > 1),
+r AS (SELECT unnest(['n3', 'n7', 'r2']) AS n UNION SELECT dst FROM r JOIN g ON src = n) SELECT n AS node FROM r""")
+def closure_changed(spark: SparkSession, d: str) -> DataFrame:
+    """What regions, nations, customers, orders and parts hold, kept while every fourth customer moves away, some to another nation, first lines go and sources change."""
+    tree, lines = _tree(spark, d), table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"), "l_linenumber")
+    one = lambda *names: spark.createDataFrame([(x,) for x in names], "node string")
+    held = graph.HeldClosure.of(one("r1", "n3", "r2"), tree.union(lines.select("src", "dst")))
+    moved = tree.filter(F.startswith("src", F.lit("n")) & (F.substr("dst", F.lit(2)).cast("long") % 4 == 1))
+    to = table(spark, d, "customer").filter("c_custkey % 16 = 1").select(F.lit("n3").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst"))
+    gone = lines.filter("l_linenumber = 1").select("src", "dst").join(lines.filter("l_linenumber > 1").select("src", "dst"), ["src", "dst"], "left_anti")
+    return held.changed(added=to, removed=moved.union(gone), seeded=one("n7"), unseeded=one("r1")).reached
+
+
+@query("""SELECT event_id AS node FROM (SELECT event_id, max(CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS told FROM events) WHERE told = 1""")
+def chains_reached(spark: SparkSession, d: str) -> DataFrame:
+    """Every user's events as one chain of replies: what follows an event whose id is divisible by 50."""
+    e = table(spark, d, "events")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    edges = e.select(before.alias("src"), F.col("event_id").alias("dst")).filter("src IS NOT NULL")
+    return graph.closure(e.filter("event_id % 50 = 0").select(F.col("event_id").alias("node")), edges)
+
+
 @query(f"""WITH RECURSIVE {_HELD}, b AS (SELECT 'o1' AS n UNION SELECT dst FROM b JOIN e ON src = n),
 k AS (SELECT src AS n FROM e WHERE src <> 'o1' UNION SELECT dst FROM k JOIN e ON src = n) SELECT n AS doc_id FROM b WHERE n NOT IN (SELECT n FROM k)""")
 def forget_plan(spark: SparkSession, d: str) -> DataFrame:

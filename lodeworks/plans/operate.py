@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import text
 from lodeworks.operators import jobs as J
 from lodeworks.operators import store
-from lodeworks.operators.graph import shared_dir
+from lodeworks.operators.tables import shared_dir
 from lodeworks.plans.registry import ORACLES, query, table
 from lodeworks.streaming import ingest
 from lodeworks.vocabulary import DECLINE_REASONS, RETRYABLE_REASONS, TERMINAL_REASONS

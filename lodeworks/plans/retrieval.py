@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import chunking, text
-from lodeworks.operators import ann, evaluate, mailbox, retrieval
+from lodeworks.operators import ann, evaluate, retrieval
+from lodeworks.operators.spans import SpanIndex
+from lodeworks.operators.terms import TermIndex
 from lodeworks.plans.registry import query, table
+from lodeworks.vocabulary import LEXICAL_K
 
 WS = r"[\s\x{0B}\x{85}\p{Z}]"
 NORM = rf"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
@@ -28,22 +31,15 @@ dn AS (SELECT q, vec_id, round(greatest(0.0, 1 - list_cosine_similarity(x.embedd
 dr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, vec_id) AS dense_rank FROM dn)"""
 
 
-_BUILT: dict[tuple[str, str, str], object] = {}
-
-
-def _built(spark: SparkSession, d: str, name: str, build):  # noqa: ANN001, ANN202
-    """What was built once for these tables in this session, as an ingest does, and is read by every search."""
-    at = (spark.sparkContext.applicationId, d, name)
-    if at not in _BUILT:
-        _BUILT[at] = build()
-    return _BUILT[at]
-
-
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    index = _built(spark, d, "terms", lambda: retrieval.Index.build(docs, key="doc_id", text="text"))
+    """The best 50 documents of every benchmark item, from the index of the documents' files."""
     asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
-    return index.scores(asked, query="item_id").withColumn("score", F.round("score", 6))
+    return terms_of(spark, d).best(asked, LEXICAL_K, query="item_id")
+
+
+def terms_of(spark: SparkSession, d: str) -> TermIndex:
+    """Built as an ingest does; later searches find it until the documents' files change."""
+    return TermIndex.build(table(spark, d, "documents").select("doc_id", "text"), key="doc_id", text="text")
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -91,11 +87,20 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 def ann_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the approximate index against the exact search, by query."""
     v = table(spark, d, "embeddings")
-    cells = _built(spark, d, "cells", lambda: ann.Cells.build(v, key="vec_id"))
-    near = cells.nearest(_queries(spark, d), query="q")
+    near = ann.Cells.build(v, key="vec_id").nearest(_queries(spark, d), query="q")
     return evaluate.overlap(_dense(spark, d), near, by="q", key="vec_id")
 
 
+@query(f"""WITH {_DENSE} SELECT count(DISTINCT q) AS queries, count(*) AS neighbours, TRUE AS reached FROM dr WHERE dense_rank <= 50""")
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many exact neighbours there are, and whether the approximate index finds nine of ten of them with their exact distances."""
+    exact = _dense(spark, d).select("q", "vec_id", "distance")
+    near = ann.Cells.build(table(spark, d, "embeddings"), key="vec_id").nearest(_queries(spark, d), query="q").select("q", "vec_id", F.col("distance").alias("found"))
+    t = exact.join(near, ["q", "vec_id"], "left")
+    same = F.coalesce(F.abs(F.col("found") - F.col("distance")) < 1e-6, F.lit(False))
+    return t.agg(F.countDistinct("q").alias("queries"), F.count("*").alias("neighbours"), (F.count_if(same) >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query(f"""WITH {_DENSE},
 hit AS (SELECT q, dense_rank, (x.label = ql) AS rel FROM dr JOIN embeddings x USING (vec_id) JOIN qv USING (q) WHERE dense_rank <= 10),
 n AS (SELECT q, count(*) AS n FROM qv JOIN embeddings x ON x.label = ql GROUP BY q),
@@ -144,8 +149,13 @@ def delivered_recall(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT item_id AS needle_id, {NORM} AS n FROM benchmark)
 SELECT needle_id, doc_id, CAST(strpos(t, n) AS INTEGER) AS position, substr(t, greatest(1, strpos(t, n) - 240), 480) AS context FROM t, n WHERE n <> '' AND strpos(t, n) > 0""")
 def corpus_span_search(spark: SparkSession, d: str) -> DataFrame:
+    """From the index of the documents' files, which is built once."""
     needles = table(spark, d, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
-    return mailbox.needles_in(table(spark, d, "documents"), needles, text=F.col("text"), key=["doc_id"])
+    return spans_of(spark, d).find(needles)
+
+
+def spans_of(spark: SparkSession, d: str) -> SpanIndex:
+    return SpanIndex.build(table(spark, d, "documents").select("doc_id", "text"), key="doc_id", text="text")
 
 
 @query(rf"""SELECT min(doc_id) AS doc_id, count(*) AS copies, CASE WHEN k = '' THEN '' ELSE sha256(k) END AS hash FROM (SELECT doc_id, {NORM} AS k FROM documents) GROUP BY k""")

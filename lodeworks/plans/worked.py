@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodeworks.functions import chunking, metadata, text
 from lodeworks.operators import admission, evaluate, graph, guards, layout, mailbox, retrieval, service, store
 from lodeworks.operators import jobs as J
-from lodeworks.operators.graph import shared_dir
+from lodeworks.operators.tables import shared_dir, stored
 from lodeworks.operators.retrieval import Candidate
 from lodeworks.plans.registry import query, table
 from lodeworks.sources import cases, containers, files, models, names
@@ -597,7 +597,7 @@ def files_admitted(spark: SparkSession, d: str) -> DataFrame:
     rows = []
     for name, part in (("first", list(here)), ("again", list(here)), ("less", ["a.eml", "c.txt"])):
         t = spark.createDataFrame([(p, p.split("/")[-1], here[p]) for p in part], "relative_path string, filename string, content binary").withColumn("sha256", F.sha2("content", 256))
-        docs, jobs, seen = (graph.stored(x, "admitted") for x in admission.admit(docs, jobs, seen, t, root_id="r", now=NOW, complete=True))
+        docs, jobs, seen = (stored(x, "admitted") for x in admission.admit(docs, jobs, seen, t, root_id="r", now=NOW, complete=True))
         told = docs.join(jobs.select("doc_id", "subject"), "doc_id", "left").orderBy("source_filename").collect()
         rows.append((name, ", ".join(f"{r['source_filename']} {r['status']} {r['subject'] or '-'}" for r in told), jobs.count(), seen.filter("available").count()))
     return spark.createDataFrame(rows, "scan string, documents string, known long, available long")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import html_text
-from lodeworks.operators.graph import stored
+from lodeworks.operators.tables import stored
 from lodeworks.sources.names import decode_names
 from lodeworks.vocabulary import MAX_DEPTH
 
