@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +85,18 @@ class Scratch:
                 _open[-1].extend(self.kept)
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for tasks that give freed memory back to the system at their end: workers wait for later stages, and would hold it meanwhile."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import Scratch, Spread, stored, text_of, within, without
+from lodeworks.llm.common import Scratch, Spread, stored, text_of, trimmed, within, without
 
 SHINGLE, HASHES, ROWS, STEP = 5, 128, 4, 16
 #: Nodes in a block where signatures are compared, and where texts are; bytes of texts in a block.
@@ -44,6 +44,8 @@ BLOCK_SIGS, BLOCK_TEXTS, BLOCK_BYTES = 1024, 256, 1 << 20
 BROADCAST_MEMBERS = 500_000
 TOLERANCE = 1e-5
 _MULT, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Rows whose shingle sets stand at once.
+SKETCHED = 1024
 #: Words whose hashes a worker remembers.
 CACHE_WORDS = 200_000
 
@@ -179,14 +181,15 @@ def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
-        for b in batches:
+        # Batches hold as many rows whatever their texts; sets of a part of them stand at once.
+        for b in (x.slice(at, SKETCHED) for x in batches for at in range(0, x.num_rows, SKETCHED)):
             sets = [shingles(x.as_py(), words) for x in b.column(1)]
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             found = iter(minhash([s for s in sets if len(s)]))
             sigs = [next(found).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["_key", "_id", "node", "sig"])
 
-    return t.mapInArrow(run, f"_key {kind}, _id long, node binary, sig binary")
+    return t.mapInArrow(trimmed(run), f"_key {kind}, _id long, node binary, sig binary")
 
 
 def dealt(members: DataFrame, group: str, payload: list[str], block: int) -> DataFrame:
@@ -230,7 +233,7 @@ def by_units(units: DataFrame, answer: Callable[[pa.Table], pa.RecordBatch], sch
         if held is not None:
             yield answer(held)
 
-    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(run, schema)
+    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(trimmed(run), schema)
 
 
 def _runs(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
