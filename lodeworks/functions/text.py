@@ -58,27 +58,27 @@ def snippet(c: Column, limit: int = SNIPPET_BYTES) -> Column:
     return F.when(F.octet_length(plain) <= limit, plain).otherwise(F.concat(cut, F.lit("…")))
 
 
-# Fixed values of mail bodies: what introduces a quoted mail, what stands above a signature, and how long a generated link is.
-WROTE_BEFORE, WROTE_AFTER, WROTE_CHARS = "on ", "wrote:", (5, 120)
-ORIGINAL, ORIGINAL_DASHES = "original message", "--"
-RULE_CHARS = 5
-FROM, SENT = "from:", "sent:"
+# Fixed values of mail bodies: the first and last word of a line that tells who wrote, and how long it is; a title between dashes;
+# a rule of underscores; a mail's own first two headers; what stands above a signature; and how long a generated link is.
+WHO_WROTE, WHO_WROTE_CHARS = ("on", "wrote:"), (14, 129)
+TITLE, DASHES, RULE = "original message", "--", "_____"
+HEADERS = ("from:", "sent:")
 SIGNATURE = "--"
 LINK_CHARS = 120
 
 
 def _introduces(line: Column, after: Column) -> Column:
-    """Whether a line begins a quoted mail: somebody wrote, a title or rule above it, or its own first two headers."""
-    plain = F.lower(F.btrim(line, F.lit(" \t")))
-    said = F.length(plain) - len(WROTE_BEFORE) - len(WROTE_AFTER)
-    wrote = F.startswith(plain, F.lit(WROTE_BEFORE)) & F.endswith(plain, F.lit(WROTE_AFTER)) & said.between(*WROTE_CHARS)
-    wrote = wrote & ~F.rlike(F.substr(plain, F.length(plain) - len(WROTE_AFTER), F.lit(1)), F.lit("[0-9A-Za-z_]"))
-    bare = F.ltrim(F.ltrim(plain, F.lit("-")))
-    titled = F.startswith(plain, F.lit(ORIGINAL_DASHES)) & F.startswith(bare, F.lit(ORIGINAL)) & F.startswith(F.ltrim(F.substr(bare, F.lit(len(ORIGINAL) + 1))), F.lit(ORIGINAL_DASHES))
-    ruled = (F.length(plain) >= RULE_CHARS) & (F.ltrim(plain, F.lit("_")) == "")
-    filled = lambda c, mark: F.startswith(F.lower(c), F.lit(mark)) & (F.length(F.btrim(c, F.lit(" \t"))) > len(mark) + 1)
-    headed = filled(F.ltrim(line, F.lit(" \t")), FROM) & filled(F.coalesce(after, F.lit("")), SENT)
-    return wrote | titled | ruled | headed
+    """Whether a quoted mail begins at a line, which is told by its words, or stands there whole with its headers."""
+    words = lambda c: F.split(F.lower(F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t"))), "[ \t]+")
+    own, next_ = words(line), words(after)
+    text = F.array_join(own, " ")
+    header = lambda w, name: (F.get(w, 0) == name) & (F.size(w) > 1)
+    return (
+        (header(own, HEADERS[0]) & header(next_, HEADERS[1]))
+        | ((F.get(own, 0) == WHO_WROTE[0]) & (F.element_at(own, -1) == WHO_WROTE[1]) & F.length(text).between(*WHO_WROTE_CHARS))
+        | (F.startswith(text, F.lit(RULE)) & (F.btrim(text, F.lit(RULE[0])) == ""))
+        | (F.startswith(text, F.lit(DASHES)) & F.endswith(text, F.lit(DASHES)) & (F.btrim(text, F.lit(DASHES[0] + " ")) == TITLE))
+    )
 
 
 def _upto(lines: Column, ends: Column) -> Column:

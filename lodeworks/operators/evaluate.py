@@ -106,14 +106,6 @@ def summary(per_case: DataFrame, empty: DataFrame | None = None, overlaps: DataF
     return t.withColumn("passed", ok)
 
 
-def distribution(df: DataFrame, value: str, *, by: tuple[str, ...] = ()) -> DataFrame:
-    """n, min, max, mean and nearest-rank percentiles."""
-    pick = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{value}`)")
-    c = F.col(value)
-    aggs = [F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99")]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-
-
 def overlap(exact: DataFrame, approximate: DataFrame, *, by: str, key: str) -> DataFrame:
     """(by, overlap): the part of the exact neighbours that the approximate search found."""
     both = exact.select(by, key).distinct().join(approximate.select(by, key).distinct().withColumn("_f", F.lit(1)), [by, key], "left")

@@ -10,11 +10,13 @@ import base64
 import hashlib
 import itertools
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import around, collapsed, sender_domain
@@ -109,6 +111,30 @@ def page(messages: DataFrame, *, newest: bool = True, after: tuple[datetime | No
     return rows.orderBy(*page_order(newest)).limit(limit + 1)
 
 
+def numbered(messages: DataFrame, *, by: str, size: int = PAGE_DEFAULT) -> DataFrame:
+    """``messages`` with their place and page in their mailbox, newest first, and their place as a conversation is read."""
+    newest = messages.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*page_order())).cast("long"))
+    both = newest.withColumn("reading", F.row_number().over(W.partitionBy(by).orderBy(*reading_order())).cast("long"))
+    return both.withColumn("page", F.floor((F.col("place") - 1) / size) + 1)
+
+
+def text_pages(documents: DataFrame, *, key: str, text: str, most: int) -> DataFrame:
+    """(key, page, part): every text in parts of at most ``most`` bytes, as ``page_bytes`` cuts them; an empty or null text has one empty part."""
+    t = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n in range(b.num_rows):
+                whole, at, parts = b.column(1)[n].as_py(), 0, []
+                while at is not None:
+                    part, at = page_bytes(whole, most, at)
+                    parts.append(part)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([n] * len(parts))), pa.array(range(1, len(parts) + 1), pa.int32()), pa.array(parts)], ["k", "page", "part"])
+
+    out = t.mapInArrow(run, f"k {t.schema['k'].dataType.simpleString()}, page int, part string")
+    return out.withColumnRenamed("k", key)
+
+
 def recipients(addresses: DataFrame, cap: int = 20) -> DataFrame:
     """(doc_id, recipients, omitted): different addresses in the order to, cc, bcc, and how many the cap left out."""
     own = addresses.filter(F.col("valid") & F.col("kind").isin("to", "cc", "bcc"))

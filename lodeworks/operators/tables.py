@@ -55,3 +55,14 @@ def version(df: DataFrame, *of: object) -> str:
         s = fs.getFileStatus(at)
         told.append(f"{path} {s.getLen()} {s.getModificationTime()}")
     return hashlib.sha256("\n".join(told).encode()).hexdigest()[:24]
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in one, none where it is not there."""
+    fs, at = _file_system(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import terms
-from lodeworks.operators.tables import exists, shared_dir, stored, version
+from lodeworks.operators.tables import discard, exists, shared_dir, stored, version
 from lodeworks.vocabulary import BM25_B, BM25_K1
 
 #: Passages of a slot; postings of a folder; the most folders.
@@ -46,8 +46,14 @@ def _folder(term: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
-def _length_class(text: Column) -> Column:
-    return F.floor(F.log2(F.octet_length(text) + F.lit(1)) * 2).cast("int")
+def _length_class(length: Column) -> Column:
+    return F.floor(F.log2(length + F.lit(1)) * 2).cast("int")
+
+
+def slot_of(shape: Column, sizes: dict[int, int], slot: int) -> Column:
+    """A slot among those of passages of the class ``shape``; ``sizes`` tells how many passages each class has."""
+    parts = F.create_map(*[F.lit(x) for c, m in sizes.items() for x in (c, -(-m // slot))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    return F.shiftleft(shape.cast("long"), 40) + F.pmod(F.xxhash64("key"), F.try_element_at(parts, shape))
 
 
 @dataclass(frozen=True)
@@ -79,13 +85,16 @@ class TermIndex:
         if path is None and exists(spark, f"{at}/totals/_SUCCESS"):
             return TermIndex.open(spark, at)
         t = passages.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        shape = _length_class(F.coalesce("text", F.lit("")))
+        shape = _length_class(F.octet_length(F.coalesce("text", F.lit(""))))
         sizes = {r["c"]: r["n"] for r in t.groupBy(shape.alias("c")).agg(F.count("*").alias("n")).collect()}
-        n = sum(sizes.values())
-        parts = F.create_map(*[F.lit(x) for c, m in sizes.items() for x in (c, -(-m // slot))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-        own = F.shiftleft(shape.cast("long"), 40) + F.pmod(F.xxhash64("key"), F.try_element_at(parts, shape))
-        cut = t.filter("key IS NOT NULL AND text IS NOT NULL").select("key", own.alias("slot"), terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+        cut = t.filter("key IS NOT NULL AND text IS NOT NULL").select("key", slot_of(shape, sizes, slot).alias("slot"), terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
         one = cut.select("key", "slot", "dl", F.explode("t").alias("term")).groupBy("term", "slot", "key", "dl").agg(F.count("*").cast("int").alias("tf"))
+        return TermIndex.write(one, sum(sizes.values()), at, key=key, folder=folder)
+
+    @staticmethod
+    def write(one: DataFrame, n: int, at: str, *, key: str, folder: int = FOLDER) -> TermIndex:
+        """An index of ``n`` passages from their postings (term, slot, key, dl, tf)."""
+        spark = one.sparkSession
         block = one.groupBy("term", "slot").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("p"))
         block = stored(block.select("term", "slot", F.size("p").alias("n"), F.array_max("p.tf").alias("tf_most"), F.array_min("p.dl").alias("dl_least"), F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls")), "blocks")
         size = block.agg(F.sum("n").alias("n"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")).first()
@@ -95,15 +104,16 @@ class TermIndex:
         filed.repartitionByRange("folder", "term", "slot").sortWithinPartitions("folder", "term", "slot").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/blocks")
         word = filed.groupBy("folder", "term").agg(F.sum("n").alias("df"))
         word.repartitionByRange("folder", "term").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/words")
-        schema = F.struct(F.lit(n).cast("long").alias("n"), F.lit(size["total"] or 0).cast("long").alias("total"), F.lit(folders).alias("folders"), F.lit(key).alias("key"))
-        spark.range(1).select(schema.alias("x")).select("x.*").coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")
-        return TermIndex.open(spark, at, passages.schema[key].dataType.simpleString())
+        kind = one.schema["key"].dataType.simpleString()
+        told = F.struct(F.lit(n).cast("long").alias("n"), F.lit(size["total"] or 0).cast("long").alias("total"), F.lit(folders).alias("folders"), F.lit(key).alias("key"), F.lit(kind).alias("kind"))
+        spark.range(1).select(told.alias("x")).select("x.*").coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")
+        discard(block)
+        return TermIndex.open(spark, at)
 
     @staticmethod
-    def open(spark: SparkSession, path: str, kind: str | None = None) -> TermIndex:
+    def open(spark: SparkSession, path: str) -> TermIndex:
         r = spark.read.parquet(f"{path}/totals").first()
-        kind = kind or spark.read.parquet(f"{path}/blocks").schema["keys"].dataType.elementType.simpleString()
-        blocks = spark.read.schema(f"term string, slot long, n int, tf_most int, dl_least int, keys array<{kind}>, tfs array<int>, dls array<int>, folder int").parquet(f"{path}/blocks")
+        blocks = spark.read.schema(f"term string, slot long, n int, tf_most int, dl_least int, keys array<{r['kind']}>, tfs array<int>, dls array<int>, folder int").parquet(f"{path}/blocks")
         words = spark.read.schema("term string, df long, folder int").parquet(f"{path}/words")
         return TermIndex(blocks, words, r["n"], r["total"], r["folders"], r["key"])
 
@@ -111,6 +121,17 @@ class TermIndex:
 
     def _told(self, queries: DataFrame, query: str, text: str) -> tuple[DataFrame, Asked | None, int]:
         """(_q, folder, term, df, idf) of what is asked and indexed, folders and terms to name in the plan if all that fits in it, and how many postings these have."""
+        asked, few = self._asked(queries, query, text)
+        idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        told = self._narrow(self.words, few).join(self._small(asked, few), ["folder", "term"]).select("_q", "folder", "term", "df", idf.alias("idf"))
+        if few is None:
+            told = stored(told, "told")
+            return told, None, told.agg(F.sum("df")).first()[0] or 0
+        got = told.toArrow()
+        return queries.sparkSession.createDataFrame(got) if got.num_rows else told.limit(0), few, pc.sum(got["df"]).as_py() or 0
+
+    def _asked(self, queries: DataFrame, query: str, text: str) -> tuple[DataFrame, Asked | None]:
+        """(_q, folder, term), and what to name in the plan if it is few enough."""
         spark = queries.sparkSession
         asked = queries.select(F.col(query).alias("_q"), F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).withColumn("folder", _folder(F.col("term"), self.folders))
         rows = asked.limit(ASKED + 1).toArrow()
@@ -120,13 +141,7 @@ class TermIndex:
             asked = spark.createDataFrame(rows)
         else:
             asked = stored(asked, "asked")
-        idf = F.log(1 + (F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        told = self._narrow(self.words, few).join(self._small(asked, few), ["folder", "term"]).select("_q", "folder", "term", "df", idf.alias("idf"))
-        if few is None:
-            told = stored(told, "told")
-            return told, None, told.agg(F.sum("df")).first()[0] or 0
-        got = told.toArrow()
-        return spark.createDataFrame(got) if got.num_rows else told.limit(0), few, pc.sum(got["df"]).as_py() or 0
+        return asked, few
 
     @staticmethod
     def _narrow(df: DataFrame, few: Asked | None) -> DataFrame:

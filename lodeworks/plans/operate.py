@@ -230,9 +230,12 @@ def scan_incomplete(spark: SparkSession, d: str) -> DataFrame:
     return J.observed(k, k.filter("doc_id % 3 <> 0"), complete=False)
 
 
-@query("""WITH o AS (SELECT o_custkey % 50 AS root_id, o_orderpriority AS path, o_orderkey AS doc_id, o_orderdate AS t FROM orders),
+UPSERTED = """WITH o AS (SELECT o_custkey % 50 AS root_id, o_orderpriority AS path, o_orderkey AS doc_id, o_orderdate AS t FROM orders),
 a AS (SELECT root_id, path, arg_max(doc_id, (t, doc_id)) AS doc_id, max(t) AS t FROM o WHERE doc_id % 3 = 0 GROUP BY ALL), b AS (SELECT root_id, path, arg_max(doc_id, (t, doc_id)) AS doc_id FROM o WHERE doc_id % 3 = 1 AND root_id < 30 GROUP BY ALL)
-SELECT root_id, path, coalesce(b.doc_id, a.doc_id) AS doc_id, a.t AS first_seen FROM a FULL JOIN b USING (root_id, path)""")
+SELECT root_id, path, coalesce(b.doc_id, a.doc_id) AS doc_id, a.t AS first_seen FROM a FULL JOIN b USING (root_id, path)"""
+
+
+@query(UPSERTED)
 def upsert_last_writer(spark: SparkSession, d: str) -> DataFrame:
     """Member routes over those stored before; when a route was first seen stays."""
     t = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("root_id"), F.col("o_orderpriority").alias("path"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderdate").alias("first_seen"))

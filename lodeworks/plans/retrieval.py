@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import chunking, text
-from lodeworks.operators import ann, evaluate, retrieval
+from lodeworks.operators import ann, evaluate, ranks, retrieval
 from lodeworks.operators.spans import SpanIndex
 from lodeworks.operators.terms import TermIndex
 from lodeworks.plans.registry import query, table
@@ -119,7 +119,24 @@ def case_scores(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_returnflag, count(*) AS n, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(avg(l_extendedprice), 4) AS mean,
   quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1""")
 def percentiles_nearest_rank(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.distribution(table(spark, d, "lineitem"), "l_extendedprice", by=("l_returnflag",)).withColumn("mean", F.round("mean", 4))
+    return ranks.distribution(table(spark, d, "lineitem"), "l_extendedprice", by=("l_returnflag",)).withColumn("mean", F.round("mean", 4))
+
+
+@query("""SELECT event_type AS stage, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95,
+  quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1""")
+def stage_latencies(spark: SparkSession, d: str) -> DataFrame:
+    """How long each stage took, events standing for timed stages."""
+    out = ranks.distribution(table(spark, d, "events").withColumnRenamed("event_type", "stage"), "value", by=("stage",))
+    return out.withColumn("mean", F.round("mean", 4))
+
+
+@query("""SELECT l_returnflag, 0.5::DOUBLE AS p, quantile_disc(l_extendedprice, 0.5) AS value FROM lineitem GROUP BY 1 UNION ALL
+SELECT NULL, 0.99::DOUBLE, quantile_disc(l_extendedprice, 0.99) FROM lineitem""")
+def percentiles_narrowed(spark: SparkSession, d: str) -> DataFrame:
+    """Medians of groups, and a percentile of all rows, by narrowing bounds."""
+    li = table(spark, d, "lineitem")
+    every = ranks.percentiles(li, "l_extendedprice", [0.99]).select(F.lit(None).cast("string").alias("l_returnflag"), "p", "value")
+    return ranks.percentiles(li, "l_extendedprice", [0.5], by=["l_returnflag"]).unionByName(every)
 
 
 @query("""WITH a AS (SELECT doc_id, quality = 1 AS p FROM labels WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, toxic = 0 AS p FROM labels WHERE doc_id % 7 <> 0)
@@ -232,12 +249,12 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", text.strip_html("html").alias("text"))
 
 
-@query(r"""WITH r AS (SELECT conv_id, turn, text || chr(10) || 'On Mon, 3 Feb 2025 at 10:00, Someone wrote:' || chr(10) || '> ' || text AS t FROM conversations)
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), ' ' || chr(9) || chr(10)) AS body FROM conversations""")
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), ' ' || chr(9) || chr(10)) AS body FROM conversations""")
 def email_compact(spark: SparkSession, d: str) -> DataFrame:
-    """Replies with a quoted chain, compacted back to the author's own words."""
-    quoted = F.concat("text", F.lit("\nOn Mon, 3 Feb 2025 at 10:00, Someone wrote:\n> "), F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", text.compact(quoted).alias("body"))
+    """Replies with a quoted mail below one of five marks, compacted back to the author's own words."""
+    marks = ("On Mon, 3 Feb 2025 at 10:00, Someone wrote:", "-----Original Message-----", "_" * 20, "From: Someone\nSent: Monday", "-- ")
+    mark = F.element_at(F.array(*map(F.lit, marks)), (F.col("conv_id") % 5 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.compact(F.concat("text", F.lit("\n"), mark, F.lit("\n> "), F.col("text"))).alias("body"))
 
 
 @query("""SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, lower(regexp_extract(split_part(split_part(url, '?', 1), '#', 1), '(\\.[A-Za-z0-9_+-]{1,10})$', 1)) AS ext FROM pages""".replace("\\\\", "\\"))

@@ -16,14 +16,15 @@ import struct
 import tarfile
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from email.utils import getaddresses, parsedate_to_datetime
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodeworks.functions.text import html_text
 from lodeworks.operators.tables import stored
@@ -429,3 +430,24 @@ def messages(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["sha256", "subject", "message_id", "sent_at", "list_id", "headers", "body", "addresses", "references", "warnings"])
 
     return files.select("sha256", "content").mapInPandas(run, MAIL_SCHEMA)
+
+
+def _per_row(names: tuple[str, ...], read: Callable) -> Callable[..., Column]:
+    """A column function that reads bytes, with a second argument, a batch of rows at a time; what is declined gives nulls and the reason."""
+
+    def run(content: pd.Series, told: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw, x in zip(content, told, strict=True):
+            try:
+                rows.append((*read(bytes(raw), x), None) if raw is not None else (None,) * len(names))
+            except Declined as e:
+                rows.append((None,) * (len(names) - 1) + (str(e),))
+        return pd.DataFrame(rows, columns=names)
+
+    return F.pandas_udf(run, T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
+#: (text, note, reason) of plain-text bytes and a declared charset (or null).
+decoded = _per_row(("text", "note", "reason"), plain_text)
+#: (text, reason) of an office file's bytes and its kind.
+office_texts = _per_row(("text", "reason"), lambda raw, kind: (office_text(raw, kind),))

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.operators import evaluate, graph, jobs, mailbox, retrieval
+from lodeworks.operators import evaluate, graph, jobs, mailbox, ranks, retrieval
 from lodeworks.operators.retrieval import Candidate
 
 
@@ -117,7 +117,7 @@ def test_metrics(spark):
     want = spark.createDataFrame([("a", "1", 3), ("a", "x", 1)], "case_id string, doc_id string, grade int")
     got = {r["case_id"]: r for r in evaluate.scores(cases, runs, want, 2).collect()}
     assert got["a"]["recall"] == 0.5 and got["a"]["rr"] == 1 and 0 < got["a"]["ndcg"] < 1 and got["b"]["recall"] == 1
-    d = evaluate.distribution(spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40, 50)], "v double"), "v").first()
+    d = ranks.distribution(spark.createDataFrame([(float(x),) for x in (10, 20, 30, 40, 50)], "v double"), "v").first()
     assert (d["n"], d["min"], d["max"], d["mean"], d["p50"], d["p95"]) == (5, 10, 50, 30, 30, 50)
     with pytest.raises(ValueError):
         evaluate.resolved(spark.createDataFrame([("s",)], "sha string"), spark.createDataFrame([("t", "d")], "sha string, doc_id string"))
