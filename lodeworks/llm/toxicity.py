@@ -3,8 +3,7 @@
 Two pairs of models, one for each class: over pairs of words, so that an expression
 counts as a whole, and over the bytes of a word between word marks, so that a word
 never seen is judged by its parts. N-grams are counted by class in labelled training
-texts; pairs that stand there once are left out, which tell nothing that their words
-do not. Each class has an interpolated Kneser-Ney model (token counts at the highest
+texts, those that stand there once too, on which discounts and contexts rest. Each class has an interpolated Kneser-Ney model (token counts at the highest
 order, numbers of left contexts below) which backs off half to its own lower order
 and half to a model of the pooled counts of both classes, so that a rare expression
 weighs little unless one class really prefers it.
@@ -30,11 +29,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +44,8 @@ MAX_ROWS, MAX_CHARS, ORDER, TOP = 20_000, 200_000_000, 6, 5
 WORD_BITS = 31
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 FEATURES = 6
+#: N-grams that are fetched at a time.
+SLICE = 500_000
 #: Texts a worker has in hand, and words whose evidence and hash it remembers.
 TEXTS, CACHE_WORDS = 256, 200_000
 
@@ -77,7 +77,7 @@ def paired(hashes: np.ndarray) -> np.ndarray:
 
 
 def ngram_counts(train: DataFrame) -> DataFrame:
-    """(words, key, c0, c1): how often an n-gram of spelling, or a pair of words seen twice or more, stands in ordinary and in toxic training texts."""
+    """(words, key, c0, c1): how often an n-gram of spelling or a pair of words stands in ordinary and in toxic training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(at, 4 * TEXTS) for x in batches for at in range(0, x.num_rows, 4 * TEXTS)):
@@ -97,7 +97,21 @@ def ngram_counts(train: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), words)), *(pa.array(x) for x in (k, none if c else m, m if c else none))], ["words", "key", "c0", "c1"])
 
     part = train.select("_text", "_toxic").mapInArrow(run, "words long, key long, c0 long, c1 long")
-    return part.groupBy("words", "key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).filter("words = 0 OR c0 + c1 > 1")
+    return part.groupBy("words", "key").agg(F.sum("c0").cast("int").alias("c0"), F.sum("c1").cast("int").alias("c1"))
+
+
+def collected(found: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and their counts (ordinary, toxic), fetched ``SLICE`` n-grams at a time; their number is bounded by the characters that are fitted on."""
+    own = found.filter(F.col("words") == words)
+    slices = max(1, -(-own.count() // SLICE))
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int32)]
+    for i in range(slices):
+        t = own.filter(F.pmod(F.xxhash64("key"), F.lit(slices)) == i).select("key", "c0", "c1").toArrow()
+        keys.append(t.column("key").to_numpy())
+        counts.append(np.column_stack([t.column(f"c{c}").to_numpy() for c in range(2)]))
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    return key[order], count[order]
 
 
 @dataclass
@@ -123,7 +137,8 @@ class Order:
 class Grams:
     """The class-conditional models of n-grams of symbols of ``bits`` bits.
 
-    ``told``: the ratios of all counted n-grams, so that only others go through the back-off.
+    ``told``: the ratios of all counted n-grams, so that only others go through the back-off,
+    to which none of them has a count of the highest order; those counts are not kept.
     """
 
     orders: list[Order]
@@ -134,8 +149,10 @@ class Grams:
     @staticmethod
     def of(keys: np.ndarray, c: np.ndarray, bits: int, order: int) -> Grams:
         """``keys`` sorted, ``c`` (ordinary, toxic) counts of the highest order."""
-        orders = [Order.of(keys, np.column_stack([c, c.sum(1)]).astype(np.int32), bits)]
-        have = np.column_stack([c > 0, c.sum(1) > 0])
+        n = np.empty((len(keys), 3), np.int32)
+        n[:, :2], n[:, 2] = c, c.sum(1)
+        orders = [Order.of(keys, n, bits)]
+        have = np.column_stack([c > 0, c.any(1)])
         for k in range(order - 1, 0, -1):
             keys, at = np.unique(keys & ((1 << bits * k) - 1), return_inverse=True)
             # In how many contexts one symbol longer each n-gram stands, by class.
@@ -144,7 +161,8 @@ class Grams:
             orders.append(Order.of(keys, n, bits))
         model = Grams(orders[::-1], bits, 1 / max(256, len(keys) + 1), np.zeros(0))
         top = model.orders[-1].keys
-        model.told = np.concatenate([model.ratios(top[i : i + 50_000]) for i in range(0, len(top), 50_000)] or [model.told]).astype(np.float32)
+        model.told = np.concatenate([model.ratios(top[i : i + 50_000]).astype(np.float32) for i in range(0, len(top), 50_000)] or [model.told.astype(np.float32)])
+        model.orders[-1] = replace(model.orders[-1], n=np.zeros((0, 3), np.int32))
         return model
 
     def ratios(self, keys: np.ndarray) -> np.ndarray:
@@ -152,10 +170,9 @@ class Grams:
         p = np.full((len(keys), 3), self.even)
         for k, o in enumerate(self.orders, 1):
             g = keys & ((1 << self.bits * k) - 1)
-            n = np.vstack([o.n, np.zeros((1, 3), np.int64)])[_find(o.keys, g)]
+            n = _rows(o.n, _find(o.keys, g)) if len(o.n) else np.zeros((len(keys), 3))
             at = _find(o.contexts, g >> self.bits)
-            total = np.vstack([o.totals, np.zeros((1, 3))])[at]
-            follow = np.vstack([o.follows, np.zeros((1, 3))])[at]
+            total, follow = _rows(o.totals, at), _rows(o.follows, at)
             each = np.maximum(total, 1)
             mix = lambda lower, n=n, total=total, follow=follow, each=each, d=o.discount: np.where(total > 0, np.maximum(n - d, 0) / each + np.minimum(1, d * follow / each) * lower, lower)
             pooled = mix(p)[:, 2]
@@ -227,6 +244,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.features(texts, known) @ self.curve, -35, 35)))
 
 
+def _rows(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows of ``a`` at places that ``_find`` gave, zeros where nothing was found."""
+    return np.where((at < len(a))[:, None], a[np.minimum(at, len(a) - 1)], 0)
+
+
 def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Places of ``x`` in sorted ``keys``, or their number."""
     at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
@@ -263,12 +285,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, label_key: str, label:
     chars = t.agg(F.sum(F.length("_text"))).first()[0] or 0
     if chars > max_chars:
         t = t.filter(chance < int(min(1.0, max_rows / max(1, total)) * max_chars / chars * (1 << 20)))
-    found = ngram_counts(t.filter("_fold != 1")).toArrow()
-    parts = []
+    found, parts = stored(ngram_counts(t.filter("_fold != 1")), "ngrams"), []
     for words, (bits, order) in enumerate(((8, ORDER), (WORD_BITS, 2))):
-        own = found.filter(pc.equal(found.column("words"), words)).sort_by("key")
-        counts = np.column_stack([own.column(f"c{c}").to_numpy() for c in range(2)])
-        parts.append(Grams.of(own.column("key").to_numpy(), counts, bits, order))
+        keys, counts = collected(found, words)
+        parts.append(Grams.of(keys, counts, bits, order))
+        both = (counts.sum(0) > 0).all()
+        del keys, counts
     rate = t.agg(F.avg("_toxic").alias("r")).first()["r"]
     model = Model(*parts, 0.5 if rate is None else float(rate), np.zeros(FEATURES))
     sent = spark.sparkContext.broadcast(model)
@@ -281,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, label_key: str, label:
 
     held = t.filter("_fold = 1").select("_text", "_toxic").mapInArrow(run, "x array<double>, y int").toArrow()
     y = held.column("y").to_numpy().astype(float)
-    if len(y) and 0 < y.sum() < len(y) and (counts.sum(0) > 0).all():
+    if len(y) and 0 < y.sum() < len(y) and both:
         model.curve = logistic(np.array(held.column("x").to_pylist()), y)
     else:
         r = min(max(model.rate, 1e-6), 1 - 1e-6)

@@ -75,4 +75,30 @@ def test_an_expression_of_common_words(spark):
 def test_bounds_of_the_sample(spark):
     d = spark.createDataFrame([(n, "some words " * 20, n % 2) for n in range(400)], "doc_id long, text string, toxic int")
     got = m.fit(d.drop("toxic"), d.select("doc_id", "toxic"), key="doc_id", label_key="doc_id", label="toxic", text="text", folds=5, max_rows=1000, max_chars=4000)
-    assert 0 < Counter(dict(zip(got.pairs.orders[-1].keys.tolist(), got.pairs.orders[-1].n[:, 2].tolist(), strict=True))).total() < 400 * 40 / 4
+    assert 0 < got.pairs.orders[-1].totals[:, 2].sum() < 400 * 40 / 4
+
+
+def test_counts_to_evidence(spark, monkeypatch):
+    """From texts to the ratios of pairs and spellings, by plain counting, with pairs that stand once."""
+    monkeypatch.setattr(m, "SLICE", 40)
+    rng = random.Random(3)
+    texts = [(" ".join(rng.choices(["aa", "b", "cé", "dd", "e1"], k=rng.randint(0, 9))), rng.randrange(2)) for _ in range(60)] + [("only once here", 1), ("once only there", 0)]
+    found = m.ngram_counts(spark.createDataFrame(texts, "_text string, _toxic int").repartition(3))
+    pairs, spelling = Counter(), Counter()
+    for text, toxic in texts:
+        ws = m.words_of(text)
+        for a, b in zip([None, *ws], ws, strict=False):
+            pairs[(m.hash_of(a) if a else 0, m.hash_of(b)), toxic] += 1
+        for w in ws:
+            marked = b"\x01" * (m.ORDER - 1) + w + b"\x02"
+            for i in range(len(w) + 1):
+                spelling[tuple(marked[i : i + m.ORDER]), toxic] += 1
+    for words, (bits, order, counted) in enumerate(((8, m.ORDER, spelling), (m.WORD_BITS, 2, pairs))):
+        grams = {g: (counted[g, 0], counted[g, 1]) for g, _ in counted}
+        keys, counts = m.collected(found, words)
+        pack = lambda g, bits=bits, order=order: sum(x << bits * (order - 1 - i) for i, x in enumerate(g))
+        assert dict(zip(keys.tolist(), map(tuple, counts.tolist()), strict=True)) == {pack(g): n for g, n in grams.items()} and any(sum(n) == 1 for n in grams.values())
+        model = m.Grams.of(keys, counts, bits, order)
+        unseen = [(*g[:-1], h[-1]) for g, h in zip(grams, list(grams)[1:], strict=False)]
+        want = [plain(grams, order, model.even)(g) for g in [*grams, *unseen]]
+        assert model.evidence(np.array([pack(g) for g in [*grams, *unseen]])) == pytest.approx([math.log(p[1]) - math.log(p[0]) for p in want], rel=1e-5)
