@@ -1,10 +1,10 @@
 """Secret scans through layers of encoding.
 
 A text is the first layer. A worklist holds layers; each is scanned for secrets,
-and every part of it that decodes (percent escapes, backslash and HTML character
-escapes, base64 on one line or wrapped over lines of one length, and gzip, zlib,
-bzip2 or xz data of any depth inside base64) makes a new layer, until no new one
-comes. Each layer carries the span of the original text behind every one of its
+and every part of it that decodes (percent escapes, backslash escapes in hexadecimal or
+octal digits, HTML character escapes, base64 on one line or wrapped over lines of one
+length, of text in UTF-8 or UTF-16, and gzip, zlib, bzip2 or xz data of any depth or raw
+deflate data inside base64) makes a new layer, until no new one comes. Each layer carries the span of the original text behind every one of its
 characters: by character for escapes, by the whole encoded part for base64 and
 compressed data. All that lies below an encoded part has the part's span, so a part
 gives a set of kinds, which is worked out once and told at every place where the part
@@ -50,7 +50,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 #: What every assign match holds in lower case; a cheap test before the full pattern.
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 
-ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|lt|gt|apos);")
+ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|(?:\\[0-3][0-7]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};|&(?:quot|amp|lt|gt|apos);")
 #: A base64 word: 16 characters or more, of which some are capitals or digits.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MIXED = re.compile(r"[A-Z0-9]")
@@ -94,8 +94,8 @@ class Layer:
 
 def meant(s: str) -> str | None:
     """What a run of character escapes stands for; null if it decodes to nothing else."""
-    if s[0] == "%":
-        raw = bytes.fromhex(s.replace("%", ""))
+    if s[0] == "%" or s[1].isdigit() and s[0] == "\\":
+        raw = bytes.fromhex(s.replace("%", "")) if s[0] == "%" else bytes(int(x, 8) for x in s.split("\\")[1:])
         try:
             new = raw.decode()
         except UnicodeDecodeError:
@@ -201,18 +201,44 @@ def content(raw: bytes) -> Iterator[bytes]:
             return iter(())
 
 
+def inflated(raw: bytes) -> Iterator[bytes]:
+    """Raw deflate data in pieces; it has no mark, so what does not start as such gives nothing."""
+    d = zlib.decompressobj(-15)
+    while raw and not d.eof:
+        try:
+            out = d.decompress(raw, PIECE)
+        except zlib.error:
+            return
+        if not out:
+            return
+        yield out
+        raw = d.unconsumed_tail
+
+
+def _encoding(start: bytes) -> str:
+    """By a mark, or by where the zeros of a text of mostly Latin letters stand; else UTF-8."""
+    if start[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16-le" if start[0] == 255 else "utf-16-be"
+    head = start[:512]
+    even, odd, half = head[::2].count(0), head[1::2].count(0), len(head) // 2
+    if half >= 4 and max(even, odd) > 0.4 * half and min(even, odd) < 0.1 * half:
+        return "utf-16-be" if even > odd else "utf-16-le"
+    return "utf-8"
+
+
 def readable(pieces: Iterator[bytes]) -> Iterator[str]:
-    """Pieces of UTF-8 text of which nearly all is printable, each after the end of the one before; stops where it is not."""
-    decoder, tail = codecs.getincrementaldecoder("utf-8")(), ""
-    piece = next(pieces, b"")
+    """Pieces of text in UTF-8 or UTF-16 of which nearly all is printable, each after the end of the one before; stops where it is not."""
+    piece, tail = next(pieces, b""), ""
+    decoder = codecs.getincrementaldecoder(_encoding(piece))()
     while piece:
         after = next(pieces, b"")
         try:
             text = decoder.decode(piece, final=not after)
         except UnicodeDecodeError:
             return
-        if sum(1 for c in piece if c in PRINTABLE or c >= 128) < 0.95 * len(piece):
+        if sum(1 for c in text if c >= "\x80" or ord(c) in PRINTABLE) < 0.95 * len(text):
             return
+        text = text.removeprefix("\ufeff")
         yield tail + text
         tail, piece = text[-OVERLAP:], after
 
@@ -226,7 +252,14 @@ def decoded(s: str) -> Iterator[str]:
         raw = binascii.a2b_base64(body + "=" * (-len(body) % 4))
     except (binascii.Error, ValueError):
         return iter(())
-    return readable(content(raw))
+    told = readable(content(raw))
+    first = next(told, None)
+    if first is not None:
+        return itertools.chain([first], told)
+    pieces = inflated(raw)
+    start = next(pieces, b"")
+    after = next(pieces, b"")
+    return readable(itertools.chain([start, after], pieces) if after else content(start))
 
 
 def _words(text: str) -> Iterator[tuple[int, int, str]]:

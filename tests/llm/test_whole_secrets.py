@@ -113,3 +113,21 @@ def test_random_nests_against_recursion():
             parts.append(base64.b64encode(b).decode() if rng.random() < 0.7 else rng.choice(keys))
         text = " word ".join(parts + parts[:1])
         assert secrets.worklist(text) == brute(text), text
+
+
+def test_other_encodings_and_unmarked_data(monkeypatch):
+    """Text in UTF-16 with and without mark, raw deflate data, octal escapes, and these inside each other."""
+    b64 = lambda raw: base64.b64encode(raw).decode()
+    flat = lambda raw: (c := zlib.compressobj(9, zlib.DEFLATED, -15)).compress(raw) + c.flush()
+    wraps = [b64(KEY.encode(x)) for x in ("utf-16", "utf-16-le", "utf-16-be")] + [b64(b"\xfe\xff" + KEY.encode("utf-16-be")), b64(flat(KEY.encode())), b64(flat(KEY.encode("utf-16"))), b64(flat(gzip.compress(KEY.encode()))), b64(gzip.compress(b64(flat(KEY.encode())).encode()))]
+    for w in wraps:
+        assert secrets.worklist(f"x {w} y") == [(0, 2, 2 + len(w))]
+    octal = "".join(f"\\{b:03o}" for b in b"pass") + 'word = "abcdef0123456789"'
+    assert secrets.worklist(f"x {octal} y") == [(0, 2, 1 + len(octal))]
+    w = b64(octal.encode("utf-16-le"))
+    assert secrets.worklist(w) == [(0, 0, len(w))]
+    monkeypatch.setattr(secrets, "PIECE", 500)
+    w = b64(flat(b"plain words and nothing else in here. " * 100 + KEY.encode()))
+    assert secrets.worklist(w) == [(0, 0, len(w))]
+    rng = random.Random(1)
+    assert not any(secrets.worklist(b64(rng.randbytes(rng.randrange(12, 60)))) for _ in range(2000))
