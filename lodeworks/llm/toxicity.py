@@ -34,10 +34,11 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.common import Scratch, stored
+from lodeworks.llm.common import Scratch, discard, stored
 
 MAX_ROWS, MAX_CHARS, ORDER, TOP = 20_000, 200_000_000, 6, 5
 #: Bits of a word's hash in a pair.
@@ -128,9 +129,9 @@ class Order:
     @staticmethod
     def of(keys: np.ndarray, n: np.ndarray, bits: int) -> Order:
         contexts, first = np.unique(keys >> bits, return_index=True)
-        add = lambda x: np.add.reduceat(x, first, axis=0) if len(first) else np.zeros((0, 3))
+        add = lambda x: np.add.reduceat(x, first, axis=0, dtype=np.int32) if len(first) else np.zeros((0, 3), np.int32)
         one, two = (n == 1).sum(0), (n == 2).sum(0)
-        return Order(keys, n, contexts, add(n), add((n > 0).astype(np.int64)), (one + 1) / (one + 2 * two + 2))
+        return Order(keys, n, contexts, add(n), add(n > 0), (one + 1) / (one + 2 * two + 2))
 
 
 @dataclass
@@ -165,6 +166,18 @@ class Grams:
         model.orders[-1] = replace(model.orders[-1], n=np.zeros((0, 3), np.int32))
         return model
 
+    def __getstate__(self) -> dict:
+        """Travels with the highest order's n-grams as places of their last symbols, context by context, which is half of their size."""
+        top = self.orders[-1]
+        last = np.searchsorted(self.orders[0].keys, top.keys & ((1 << self.bits) - 1)).astype(np.uint32)
+        return self.__dict__ | {"orders": [*self.orders[:-1], replace(top, keys=last)]}
+
+    def __setstate__(self, state: dict) -> None:
+        *lower, top = state["orders"]
+        # A context is followed by as many n-grams as follow it in either class.
+        keys = np.repeat(top.contexts, top.follows[:, 2]) << state["bits"] | lower[0].keys[top.keys]
+        self.__dict__.update(state | {"orders": [*lower, replace(top, keys=keys)]})
+
     def ratios(self, keys: np.ndarray) -> np.ndarray:
         """Logarithm of the toxic over the ordinary probability of each n-gram's last symbol."""
         p = np.full((len(keys), 3), self.even)
@@ -197,8 +210,6 @@ class Grams:
 class Model:
     spelling: Grams
     pairs: Grams
-    rate: float
-    curve: np.ndarray
 
     def of_words(self, words: list[bytes]) -> np.ndarray:
         """Toxic less ordinary log-likelihood of each word's spelling."""
@@ -240,8 +251,14 @@ class Model:
             out[i, 1:] = s / n, s / np.sqrt(n), np.partition(e, max(0, n - TOP))[-TOP:].sum() / TOP, p / np.sqrt(n), np.log1p(n) / 10
         return out
 
-    def score(self, texts: list[str | None], known: dict[bytes, tuple[float, int]]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.features(texts, known) @ self.curve, -35, 35)))
+
+@dataclass
+class Fitted:
+    """The model as it was sent to the executors, once for fitting the curve and scoring, and the curve."""
+
+    model: Model
+    sent: Broadcast
+    curve: np.ndarray
 
 
 def _rows(a: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -269,7 +286,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w / scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, key: str, label_key: str, label: str, text: str, folds: int, max_rows: int, max_chars: int) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, key: str, label_key: str, label: str, text: str, folds: int, max_rows: int, max_chars: int) -> Fitted:
     """Learns from labelled rows of folds other than 0; fold 1 fits the curve, the others the counts."""
     spark = docs.sparkSession
     known = labels.select(F.col(label_key).alias("_id"), F.col(label).alias("_label")).filter("_id IS NOT NULL AND _label IS NOT NULL")
@@ -291,8 +308,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, label_key: str, label:
         parts.append(Grams.of(keys, counts, bits, order))
         both = (counts.sum(0) > 0).all()
         del keys, counts
+    discard(found)
     rate = t.agg(F.avg("_toxic").alias("r")).first()["r"]
-    model = Model(*parts, 0.5 if rate is None else float(rate), np.zeros(FEATURES))
+    model = Model(*parts)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,11 +322,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str, label_key: str, label:
     held = t.filter("_fold = 1").select("_text", "_toxic").mapInArrow(run, "x array<double>, y int").toArrow()
     y = held.column("y").to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y) and both:
-        model.curve = logistic(np.array(held.column("x").to_pylist()), y)
+        curve = logistic(np.array(held.column("x").to_pylist()), y)
     else:
-        r = min(max(model.rate, 1e-6), 1 - 1e-6)
-        model.curve = np.array([np.log(r / (1 - r))] + [0.0] * (FEATURES - 1))
-    return model
+        r = min(max(0.5 if rate is None else float(rate), 1e-6), 1 - 1e-6)
+        curve = np.array([np.log(r / (1 - r))] + [0.0] * (FEATURES - 1))
+    return Fitted(model, sent, curve)
 
 
 def score(
@@ -316,15 +334,15 @@ def score(
 ) -> DataFrame:
     """One row per document: key, held_out, score and predicted."""
     with Scratch():
-        model = fit(docs, labels, key=key, label_key=label_key, label=label, text=text, folds=folds, max_rows=max_rows, max_chars=max_chars)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+        fitted = fit(docs, labels, key=key, label_key=label_key, label=label, text=text, folds=folds, max_rows=max_rows, max_chars=max_chars)
+    sent, curve = fitted.sent, fitted.curve
     t = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     kind = t.schema["_key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[float, int]] = {}
         for b in batches:
-            x = sent.value.score(b.column(1).to_pylist(), known)
+            x = 1 / (1 + np.exp(-np.clip(sent.value.features(b.column(1).to_pylist(), known) @ curve, -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.float64())], ["k", "score"])
 
     out = t.mapInArrow(run, f"k {kind}, score double")

@@ -1,6 +1,7 @@
 """Kneser-Ney probabilities against plain Python, expressions of several words, bounds and other column names."""
 
 import math
+import pickle
 import random
 from collections import Counter
 
@@ -51,7 +52,9 @@ def test_kneser_ney(bits, order):
     model = m.Grams.of(keys, np.array([by[k] for k in keys.tolist()]), bits, order)
     asked = [*grams, *(tuple(rng.choice((3, 5, 9, 200, 7)) for _ in range(order)) for _ in range(40))]
     want = plain(grams, order, model.even)
-    got = model.evidence(np.array([pack(g) for g in asked]))
+    sent = pickle.loads(pickle.dumps(model))
+    assert (sent.orders[-1].keys == keys).all() and sent.evidence(keys).tolist() == model.evidence(keys).tolist()
+    got = sent.evidence(np.array([pack(g) for g in asked]))
     assert got == pytest.approx([math.log(p[1]) - math.log(p[0]) for p in map(want, asked)])
 
 
@@ -74,7 +77,7 @@ def test_an_expression_of_common_words(spark):
 
 def test_bounds_of_the_sample(spark):
     d = spark.createDataFrame([(n, "some words " * 20, n % 2) for n in range(400)], "doc_id long, text string, toxic int")
-    got = m.fit(d.drop("toxic"), d.select("doc_id", "toxic"), key="doc_id", label_key="doc_id", label="toxic", text="text", folds=5, max_rows=1000, max_chars=4000)
+    got = m.fit(d.drop("toxic"), d.select("doc_id", "toxic"), key="doc_id", label_key="doc_id", label="toxic", text="text", folds=5, max_rows=1000, max_chars=4000).model
     assert 0 < got.pairs.orders[-1].totals[:, 2].sum() < 400 * 40 / 4
 
 
