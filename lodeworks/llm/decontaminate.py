@@ -18,7 +18,8 @@ proximity matches (at least ``near`` of a window's words in place).
 Words are compared by 64 bits of hash. Null text has no words; items without words
 match nothing; items of the same words are searched for once and all reported; a
 null item id counts as an item and is left out of id lists; empty tables give no
-hits; repeated document rows are answered alike; other columns are neither read nor
+hits; repeated document rows are answered alike; a very long text is searched whole,
+8 bytes of posting for each of its words together; other columns are neither read nor
 returned.
 """
 

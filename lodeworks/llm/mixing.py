@@ -17,8 +17,9 @@ totals, so that a source with a third of all rows is shared by many tasks.
 
 Defined results: null text has size 0; null source is a source of its own, last
 in order; an empty table gives an empty result; sources without words get target
-0; repeated rows stand beside each other and are counted each; other columns are
-neither read nor returned.
+0; repeated rows stand beside each other and are counted each; a very long text is
+counted whole, and no more than three times its words are taken of it; other columns
+are neither read nor returned.
 """
 
 from __future__ import annotations

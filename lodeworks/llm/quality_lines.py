@@ -14,7 +14,8 @@ Base rules reject documents under ``min_words`` words or with over
 
 Defined results: null text is the empty text; null host is a host of its own; an
 empty table gives an empty result; repeated rows stand each and count once as
-documents; other columns are neither read nor returned by ``judge``.
+documents; a very long text is judged whole, its words and lines in one task; other
+columns are neither read nor returned by ``judge``.
 """
 
 from __future__ import annotations

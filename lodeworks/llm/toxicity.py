@@ -19,7 +19,7 @@ all, chosen by a hash of the id; all rows are scored, on their whole texts.
 
 Defined results: null and empty texts get the score of no evidence; documents with
 several labels count as toxic if any says so; null labels and null ids are no
-labels; with no labels of a class the score is the training rate (0.5 without
+labels; very long texts are scored whole; with no labels of a class the score is the training rate (0.5 without
 any); an empty table gives an empty result; repeated rows are scored alike; other
 columns are neither read nor returned.
 """

@@ -5,8 +5,8 @@ every match must hold. Each rule is filed under the one of its tokens that the
 fewest URLs hold. The tokens of a URL fetch candidate rules; only those run.
 
 Defined results: a null URL, or one without ``://``, has empty host and path and
-can match no rule; an empty table gives an empty result; repeated rows give
-repeated rows; other columns of the input are neither read nor returned.
+can match no rule; a very long URL is judged whole; an empty table gives an empty
+result; repeated rows give repeated rows; other columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -273,3 +273,10 @@ def test_redaction_and_overlaps(spark):
     assert got[0][0] == "mail [EMAIL], call [PHONE]; ip [IP] card [CARD] end"
     assert got[1] == ("nothing here", "") and got[2][1] == "ip:14:21" and got[3] == ("", "")
     assert pii.fit({}).prior and hashlib.sha256(b"").hexdigest()
+
+
+def test_a_very_long_url(spark):
+    long = "http://a.net/fr/" + "x/" * 300_000
+    t = spark.createDataFrame([(1, long), (2, "http://" + "a" * 100_000 + ".com/" + "?q" * 1000)], "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(t, URL_RULES).collect()}
+    assert (got[1]["rule"], got[1]["verdict"], got[1]["path"]) == ("net/fr/", "block", long[12:]) and (got[2]["rule"], got[2]["path"]) == ("com/", "/")
