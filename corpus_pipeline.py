@@ -3,7 +3,7 @@
 Defined for every stage: a null text is an empty one to the rules and stays null
 where its document stays; rows may share an id or have none (their text tells them
 apart); rows that repeat a document wholly are copies of each other, of which the
-join keeps one; an empty table gives an empty one; other columns, whatever their
+join keeps one; very long texts go through whole; an empty table gives an empty one; other columns, whatever their
 names, go through as they are, and ``n_chars`` follows the text where it is there.
 """
 

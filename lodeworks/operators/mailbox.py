@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.functions.text import around, collapsed, sender_domain
+from lodeworks.operators.tables import stored
 from lodeworks.vocabulary import PAGE_DEFAULT, PAGE_MAX
 
 
@@ -112,12 +113,26 @@ def page(messages: DataFrame, *, newest: bool = True, after: tuple[datetime | No
 
 
 def numbered(messages: DataFrame, *, by: str, size: int = PAGE_DEFAULT) -> DataFrame:
-    """``messages`` with their place and page in their mailbox, newest first, and their place as a conversation is read."""
-    newest = messages.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(*page_order())).cast("long"))
-    both = newest.withColumn("reading", F.row_number().over(W.partitionBy(by).orderBy(*reading_order())).cast("long"))
+    """``messages`` with their place and page in their mailbox, newest first, and their place as a conversation is read.
+
+    A null mailbox is one of its own; messages that tie wholly have places one after the other.
+    """
+    both = _placed(_placed(messages, by, page_order(), "place"), by, reading_order(), "reading")
     return both.withColumn("page", F.floor((F.col("place") - 1) / size) + 1)
 
 
+def _placed(rows: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """Places from 1 in each ``by``, in tasks that hold ranges of the order: a large group is in several, whose sizes are added up."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = stored(rows.repartitionByRange(parts, F.col(by), *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    size = t.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    size = size.select(F.col(by).alias("_by"), F.col("_range").alias("_of"), before.alias("_before"))
+    own = t.withColumn("_nth", F.row_number().over(W.partitionBy(by, "_range").orderBy(*order)))
+    out = own.join(size, own[by].eqNullSafe(size["_by"]) & (own["_range"] == size["_of"]))
+    return out.select(*rows.columns, (F.col("_before") + F.col("_nth")).alias(name))
+
+
 def text_pages(documents: DataFrame, *, key: str, text: str, most: int) -> DataFrame:
     """(key, page, part): every text in parts of at most ``most`` bytes, as ``page_bytes`` cuts them; an empty or null text has one empty part."""
     t = documents.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))

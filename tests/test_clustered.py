@@ -54,3 +54,20 @@ def test_nothing_and_found_again(spark, tmp_path):
     read = lambda: spark.read.parquet(f"file://{tmp_path}/m")
     assert PageStore.build(read()).path == PageStore.build(read()).path != PageStore.build(read().filter(F.col("doc_id") > 3)).path
     assert clustered.PageStore.build(read()).page(limit=100) == m.orderBy(*mailbox.page_order()).collect()
+
+
+def test_places_in_mailboxes(spark, monkeypatch):
+    """One mailbox with most rows, one without a name, ties."""
+    rng = random.Random(8)
+    rows = [(i % 190, rng.choice([None, datetime(2025, 1, 1 + rng.randrange(3))]), rng.choice(["big"] * 8 + ["small", None])) for i in range(200)]
+    m = spark.createDataFrame(rows, "doc_id long, sent_at timestamp, box string")
+    got = sorted(map(tuple, mailbox.numbered(m, by="box", size=7).select("box", "place", "page", "sent_at", "doc_id", "reading").collect()), key=str)
+    want = []
+    for box in {b for *_, b in rows}:
+        own = [(t, i) for i, t, b in rows if b == box]
+        newest = sorted(own, key=lambda r: (r[0] is not None, 0 if r[0] is None else r[0].timestamp(), r[1]), reverse=True)
+        want += [(box, n, (n - 1) // 7 + 1, t, i) for n, (t, i) in enumerate(newest, 1)]
+    assert sorted((r[:5] for r in got), key=str) == sorted(want, key=str)
+    for box in {b for *_, b in rows}:
+        order = [(r[3], r[4]) for r in sorted((r for r in got if r[0] == box), key=lambda r: r[5])]
+        assert order == sorted(order, key=lambda r: (r[0] is None, 0 if r[0] is None else r[0].timestamp(), r[1])) and sorted(r[5] for r in got if r[0] == box) == list(range(1, len(order) + 1))
