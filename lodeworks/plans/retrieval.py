@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions import chunking, text
 from lodeworks.operators import ann, evaluate, ranks, retrieval
+from lodeworks.operators.segments import SegmentedIndex
 from lodeworks.operators.spans import SpanIndex
+from lodeworks.operators.tables import shared_dir
 from lodeworks.operators.terms import TermIndex
 from lodeworks.plans.registry import query, table
 from lodeworks.vocabulary import LEXICAL_K
@@ -57,6 +61,22 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return out.select("item_id", "doc_id", "score", F.col("lex_rank").cast("long").alias("lex_rank"))
 
 
+@query(f"WITH {_BM25} SELECT item_id, doc_id, score, lex_rank FROM lx WHERE lex_rank <= 50")
+def bm25_segmented(spark: SparkSession, d: str) -> DataFrame:
+    """As ``bm25_topk``, from an index that came about by batches: a third of the documents first with another text, then all others, then the third as it is, and some that go again."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    third = docs.filter("doc_id % 3 = 0")
+    index = SegmentedIndex(spark, f"{shared_dir(spark)}/lodeworks/segments-{uuid.uuid4().hex}", "doc_id")
+    index.add(third.withColumn("text", F.concat(F.lit("another "), F.substr("text", F.lit(1), F.lit(200)))))
+    index.add(docs.filter("doc_id % 3 <> 0").unionByName(third.select((-F.col("doc_id") - 1).alias("doc_id"), "text")))
+    index.add(third)
+    index.delete(third.select((-F.col("doc_id") - 1).alias("doc_id")))
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    scores = index.scores(asked, query="item_id").withColumn("score", F.round("score", 6))
+    out = retrieval.lexical_leg(scores, key="doc_id", by="item_id")
+    return out.select("item_id", "doc_id", "score", F.col("lex_rank").cast("long").alias("lex_rank"))
+
+
 @query(f"WITH {_DENSE} SELECT q, vec_id, round(distance, 6) AS distance, dense_rank FROM dr WHERE dense_rank <= 50")
 def dense_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _dense(spark, d).select("q", "vec_id", F.round("distance", 6).alias("distance"), F.col("dense_rank").cast("long").alias("dense_rank"))
