@@ -90,7 +90,7 @@ def batches(passages: Iterable[str]) -> Iterator[list[str]]:
     """Groups within both bounds; characters a token are learnt from ``send`` of each group's true tokens."""
     ratio, group, used = 1.3, [], 0.0
     for p in passages:
-        cost = len(p) / ratio
+        cost = len(p or "") / ratio
         if group and (len(group) >= BATCH_CHUNKS or used + cost > BATCH_TOKENS):
             told = yield group
             if told:

@@ -24,11 +24,12 @@ from lodeworks.streaming import ingest, scans
 
 @query(r"""SELECT sha256(trim(regexp_replace(text, '[\s\x{0B}\x{85}\p{Z}]+', ' ', 'g'))) AS raw_sha256, bool_or(conv_id % 2 = 0) AS known FROM conversations GROUP BY 1""")
 def embeddings_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Only passages without a vector are sent: those known before keep the vector they had."""
+    """Only passages without a vector are sent: those known before keep the vector they had, one longer than any that the model makes."""
     p = table(spark, d, "conversations").select("conv_id", text.passage_hash(F.col("text")).alias("raw_sha256"), F.col("text").alias("chunk_text"))
-    old = p.filter("conv_id % 2 = 0").select(F.lit("m").alias("embed_model"), "raw_sha256", F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>").alias("embedding")).distinct()
+    kept = F.array(F.lit(2.0), F.lit(2.0)).cast("array<float>")
+    old = p.filter("conv_id % 2 = 0").select(F.lit("m").alias("embed_model"), "raw_sha256").distinct().withColumn("embedding", kept)
     out = models.embed_new(p, old, lambda ts: models.hashed_embedding(ts, 2), name="m", dim=2)
-    return out.select("raw_sha256", (F.col("embedding") == F.array(F.lit(0.0), F.lit(0.0)).cast("array<float>")).alias("known"))
+    return out.select("raw_sha256", (F.col("embedding") == kept).alias("known"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey >= 8192 AND l_suppkey >= 200 AND l_quantity * 10 >= 200 AND l_suppkey * l_quantity * 10 >= 40000 AS viable FROM (SELECT *, l_partkey * 40 AS l_partkey FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey * 20 AS l_suppkey, l_quantity FROM lineitem)) t(l_orderkey, l_linenumber, p, l_suppkey, l_quantity, l_partkey)")

@@ -58,8 +58,9 @@ def embed(passages: DataFrame, model: Callable[[list[str]], Sequence[Sequence[fl
 
 def embed_new(passages: DataFrame, known: DataFrame, model: Callable[[list[str]], Sequence[Sequence[float]]], *, name: str, dim: int) -> DataFrame:
     """(embed_model, raw_sha256, embedding) of ``known`` and of the passages (raw_sha256, chunk_text) that it lacks for this model: only these are sent."""
-    have = known.filter(F.col("embed_model") == name).select("raw_sha256")
-    new = passages.dropDuplicates(["raw_sha256"]).join(have, "raw_sha256", "left_anti")
+    have = known.filter(F.col("embed_model") == name).select(F.col("raw_sha256").alias("_have"))
+    # A passage without text has no hash, and is known where another such is.
+    new = passages.dropDuplicates(["raw_sha256"]).join(have, F.col("raw_sha256").eqNullSafe(F.col("_have")), "left_anti")
     found = embed(new, model, key="raw_sha256", text="chunk_text", dim=dim).select(F.lit(name).alias("embed_model"), "raw_sha256", "embedding")
     return known.select("embed_model", "raw_sha256", "embedding").unionByName(found)
 
@@ -69,7 +70,7 @@ def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
     out = []
     for t in texts:
         v = [0.0] * dim
-        for w in t.lower().split():
+        for w in (t or "").lower().split():
             h = zlib.crc32(w.encode())
             v[h % dim] += 1.0 if h & 0x10000 else -1.0
         size = sum(x * x for x in v) ** 0.5 or 1.0
