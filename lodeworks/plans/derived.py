@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 from datetime import datetime
 
@@ -121,11 +122,51 @@ def _contents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", name.alias("filename"), F.concat(pick(*heads), F.encode(F.concat(said, F.lit("\n\n")), "UTF-8")).alias("content"))
 
 
-@query(f"SELECT o_orderkey, {_KINDS} AS doc_type, o_orderkey % 8 IN (4, 7) AS declined FROM orders")
+#: How a file of each kind is named, and what it is taken for.
+_TYPES = [
+    (".pdf", "pdf", "", False), (".eml", "email", "", False), (".docx", "office", "docx", False), (".zip", "archive", "", False), (".jar", "unsupported", "", True), (".tgz", "archive", "", False), (".txt", "text", "", False), (".log.3", "unsupported", "", True),
+    (".doc", "legacy-office", "", True), ("", "image", "", False), (".nul.txt", "unsupported", "", True), (".rtf", "office", "rtf", False), (".xlsx", "office", "xlsx", False), (".pptx", "office", "pptx", False), (".odt", "office", "odt", False),
+]
+_TYPED = lambda n: f"{[t[n] for t in _TYPES]}[o_orderkey % {len(_TYPES)} + 1]"
+
+
+@F.pandas_udf(T.BinaryType())
+def _tarred(texts: pd.Series) -> pd.Series:
+    """A packed tar of one member for each text, nothing for those that are missing."""
+
+    def one(x: str | None) -> bytes | None:
+        if x is None:
+            return None
+        raw, said = io.BytesIO(), x.encode()
+        with tarfile.open(fileobj=raw, mode="w:gz") as t:
+            member = tarfile.TarInfo("a")
+            member.size = len(said)
+            t.addfile(member, io.BytesIO(said))
+        return raw.getvalue()
+
+    return texts.map(one)
+
+
+@query(f"SELECT 'f' || o_orderkey || {_TYPED(0)} AS filename, {_TYPED(1)} AS doc_type, {_TYPED(2)} AS subtype, {_TYPED(3)} AS declined FROM orders")
 def content_types(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds by leading bytes first, by headers of mail, and by name."""
-    t = _contents(spark, d).select("o_orderkey", files.classify(F.col("content"), F.col("filename")).alias("r"))
-    return t.select("o_orderkey", "r.doc_type", "r.declined")
+    """Kinds by leading bytes first, by headers of mail, by the members of archives, and by name, of a file of one of fifteen kinds for each order."""
+    k, said = F.col("o_orderkey"), F.concat(F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority")
+    pick = lambda *c: F.element_at(F.array(*c), (k % len(_TYPES) + 1).cast("int"))
+    member = lambda name, text=said: F.struct(F.lit(name).alias("name"), text.alias("content"))
+    # A name of the first member of each kind that is a zip; text documents name their type there.
+    first = {2: "word/document.xml", 3: "a.txt", 4: "a.txt", 12: "xl/workbook.xml", 13: "ppt/slides/slide1.xml"}
+    of = pick(*[F.lit(first.get(n, "content.xml")) for n in range(len(_TYPES))])
+    odt = F.array(member("mimetype", F.lit("application/vnd.oasis.opendocument.text")), member("content.xml"))
+    members = F.when(of != "content.xml", F.array(F.struct(of.alias("name"), said.alias("content")))).when(k % len(_TYPES) == 14, odt).otherwise(F.array().cast("array<struct<name:string,content:string>>"))
+    t = table(spark, d, "orders").select("o_orderkey", said.alias("said"), _zipped(members).alias("z"), _tarred(F.when(k % len(_TYPES) == 5, said)).alias("tgz"))
+    after = lambda x: F.concat(F.unhex(F.lit(x.hex())), F.encode(F.concat("said", F.lit("\n\n")), "UTF-8"))
+    z = F.col("z")
+    content = pick(
+        after(b"%PDF-1.7\n"), after(b"From: a@b.c\nMessage-ID: <1@b.c>\nSubject: "), z, z, z, F.col("tgz"), after(b"words "), after(b"x = "), after(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), after(b"\x89PNG\r\n\x1a\n"), after(b"a\0b "),
+        after(b"{\\rtf1 "), z, z, z,
+    )
+    name = F.concat(F.lit("f"), k.cast("string"), pick(*[F.lit(x[0]) for x in _TYPES]))
+    return t.select(name.alias("filename"), files.classify(content, name).alias("r")).select("filename", "r.*")
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority || chr(10) || o_orderstatus || chr(9) || o_custkey WHEN 1 THEN '# Slide 1' || chr(10) || o_orderpriority || chr(10) || chr(10) || 'Notes:' || chr(10) || 'n' || o_custkey
