@@ -279,7 +279,9 @@ def neighbours(containment: DataFrame, documents: DataFrame, matched: DataFrame)
     e, m = containment, _small(matched.select(F.col("doc_id").alias("anchor_id")).distinct())
     up = e.join(m, e.contained_id == m.anchor_id).select(F.col("container_id").alias("doc_id"), "anchor_id", F.lit(1).alias("r"))
     down = e.join(m, e.container_id == m.anchor_id).select(F.col("contained_id").alias("doc_id"), "anchor_id", F.lit(2).alias("r"))
-    side = e.join(up.select(F.col("doc_id").alias("container_id"), "anchor_id").distinct(), "container_id")
+    # Of the matched documents of one container only the least can be a sibling's anchor, so each container comes once.
+    least = _small(up.groupBy(F.col("doc_id").alias("container_id")).agg(F.min("anchor_id").alias("anchor_id")))
+    side = e.join(least, "container_id")
     side = side.select(F.col("contained_id").alias("doc_id"), "anchor_id", F.lit(3).alias("r"))
     every = up.unionByName(down).unionByName(side).join(m.withColumnRenamed("anchor_id", "doc_id"), "doc_id", "left_anti")
     best = every.groupBy("doc_id").agg(F.min(F.struct("r", "anchor_id")).alias("b"))
