@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeworks.vocabulary import BATCH_CHUNKS, BATCH_TOKENS, BOUNDARY_PART, CHUNK_CHARS, OVERLAP_CHARS
 
 
+#: Characters of passages that a worker hands on at once.
+HELD_CHARS = 1 << 20
+
+
 def _starts(raw: bytes, at: int) -> int:
     """The next byte from ``at`` on that begins a character."""
     while at < len(raw) and raw[at] & 0xC0 == 0x80:
@@ -72,17 +77,31 @@ def split(text: str | None) -> Iterator[tuple[int, int, int, str]]:
         start = back if back > start else end
 
 
+def passages(batches: Iterator[pa.RecordBatch], own: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Passages of batches of keys and texts, handed on by their characters and not by the rows of a batch, so that a worker holds few of them."""
+    names, types = ["k", "chunk_index", "start_byte", "end_byte", "chunk_text"], [own, pa.int32(), pa.int32(), pa.int32(), pa.string()]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), types, strict=True)], names)
+    rows, held = [], 0
+    for b in batches:
+        for n in range(b.num_rows):
+            k = b.column(0)[n].as_py()
+            for c in split(b.column(1)[n].as_py()):
+                rows.append((k, *c))
+                held += len(c[3])
+                if held >= HELD_CHARS:
+                    yield made(rows)
+                    rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
 def chunk(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chunk_index, start_byte, end_byte, chunk_text) of every document."""
     t = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     kind = t.schema["k"].dataType.simpleString()
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(k, *c) for k, x in zip(p["k"], p["t"], strict=True) for c in split(x)]
-            yield pd.DataFrame(rows, columns=["k", "chunk_index", "start_byte", "end_byte", "chunk_text"])
-
-    out = t.mapInPandas(run, f"k {kind}, chunk_index int, start_byte int, end_byte int, chunk_text string")
+    own = to_arrow_type(t.schema["k"].dataType)
+    out = t.mapInArrow(lambda batches: passages(batches, own), f"k {kind}, chunk_index int, start_byte int, end_byte int, chunk_text string")
     return out.withColumnRenamed("k", key)
 
 
