@@ -87,8 +87,8 @@ class Bucketed:
             new = both.select(*[F.coalesce(first[f"_{c}"], new[c]).alias(c) if c in keep else new[c] for c in new.columns])
         run = uuid.uuid4().hex
         both = out.unionByName(new).withColumn("bucket", self._bucket())
-        # One task for each bucket, one file for each task and run.
-        both.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{run}")
+        # The rows of a bucket come together, and those of large buckets are dealt to as many tasks as their size asks for.
+        both.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{run}")
         made = {int(n.removeprefix("bucket=")): f"{run}/{n}" for n in folders(spark, f"{self.path}/data/{run}")}
         manifest = {b: f for b, f in self.current(spark).items() if b not in touched} | made
         version = (self._manifests(spark) or [0])[-1] + 1
