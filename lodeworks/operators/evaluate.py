@@ -20,20 +20,26 @@ def first_places(runs: DataFrame) -> DataFrame:
     return best.withColumn("place", F.row_number().over(W.partitionBy("case_id").orderBy("rank", "doc_id")))
 
 
-def scores(cases: DataFrame, runs: DataFrame, expected: DataFrame, k: int) -> DataFrame:
-    """(case_id, n_expected, recall, rr, ndcg) of every case."""
+def scores(cases: DataFrame, runs: DataFrame, expected: DataFrame, k: int, *, by: str = "case_id") -> DataFrame:
+    """(case_id, n_expected, recall, rr, ndcg) of every case.
+
+    Where many cases expect the same, ``by`` names a column of ``cases`` that ``expected`` has in
+    place of case_id: what a group expects stands there once, not for each of its cases.
+    """
     found = first_places(runs)
-    e = expected.groupBy("case_id", "doc_id").agg(F.max("grade").alias("grade"))
-    hit = found.join(e, ["case_id", "doc_id"])
+    cases = cases.select(*dict.fromkeys(["case_id", by])).distinct()
+    e = expected.groupBy(by, "doc_id").agg(F.max("grade").alias("grade"))
+    hit = (found if by == "case_id" else found.join(cases, "case_id")).join(e, [by, "doc_id"])
     inside = F.lit(True) if k <= 0 else F.col("place") <= k
     gain = lambda g, i: (F.pow(F.lit(2.0), g) - 1) / F.log2(i + 1.0)
     got = hit.groupBy("case_id").agg(
         F.count_if(inside).alias("_in"), F.min("place").alias("_first"), F.sum(F.when(inside, gain(F.col("grade"), F.col("place"))).otherwise(0.0)).alias("_dcg")
     )
-    ideal = e.withColumn("_i", F.row_number().over(W.partitionBy("case_id").orderBy(F.col("grade").desc(), "doc_id")))
-    best = F.lit(True) if k <= 0 else F.col("_i") <= k
-    ideal = ideal.groupBy("case_id").agg(F.count("*").alias("_n"), F.sum(F.when(best, gain(F.col("grade"), F.col("_i"))).otherwise(0.0)).alias("_ideal"))
-    t = cases.select("case_id").distinct().join(ideal, "case_id", "left").join(got, "case_id", "left")
+    ideal = e.withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy(F.col("grade").desc(), "doc_id")))
+    # Cut to k before all else, so that no group is sorted whole where k bounds what counts.
+    ideal = (ideal if k <= 0 else ideal.filter(F.col("_i") <= k)).groupBy(by).agg(F.sum(gain(F.col("grade"), F.col("_i"))).alias("_ideal"))
+    ideal = e.groupBy(by).agg(F.count("*").alias("_n")).join(ideal, by)
+    t = cases.join(ideal, by, "left").join(got, "case_id", "left")
     zero = lambda c, z=0.0: F.coalesce(F.col(c), F.lit(z))
     return t.select(
         "case_id", zero("_n", 0).cast("long").alias("n_expected"),

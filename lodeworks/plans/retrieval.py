@@ -131,8 +131,8 @@ def case_scores(spark: SparkSession, d: str) -> DataFrame:
     """Recall, reciprocal rank and gain at 10, vectors of a query's label being what it expects."""
     q, v = _queries(spark, d), table(spark, d, "embeddings")
     runs = _dense(spark, d, 10).select(F.col("q").alias("case_id"), F.col("vec_id").alias("doc_id"), F.col("dense_rank").alias("rank"))
-    expected = q.join(v.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("ql")), "ql").select(F.col("q").alias("case_id"), "doc_id", F.lit(1).alias("grade"))
-    out = evaluate.scores(q.select(F.col("q").alias("case_id")), runs, expected, 10)
+    expected = v.filter("label IS NOT NULL").select(F.col("label").alias("ql"), F.col("vec_id").alias("doc_id"), F.lit(1).alias("grade"))
+    out = evaluate.scores(q.select(F.col("q").alias("case_id"), "ql"), runs, expected, 10, by="ql")
     return out.select("case_id", "n_expected", *[F.round(c, 9).alias(c) for c in ("recall", "rr", "ndcg")])
 
 
