@@ -51,10 +51,12 @@ def scores(cases: DataFrame, runs: DataFrame, expected: DataFrame, k: int, *, by
 
 def delivery(runs: DataFrame, expected: DataFrame) -> DataFrame:
     """(case_id, delivered, supplementary, together): parts of the expected documents whose text came as a match, as a relation, or either."""
-    own = runs.filter("own_text").select("case_id", "doc_id").distinct().withColumn("_own", F.lit(True))
-    rel = runs.select("case_id", F.explode("related").alias("doc_id")).distinct().withColumn("_rel", F.lit(True))
-    t = expected.select("case_id", "doc_id").distinct().join(own, ["case_id", "doc_id"], "left").join(rel, ["case_id", "doc_id"], "left")
-    own_, rel_ = F.coalesce("_own", F.lit(False)), F.coalesce("_rel", F.lit(False))
+    told = lambda t, *of: t.select("case_id", "doc_id", *[F.lit(c in of).alias(c) for c in ("_e", "_own", "_rel")])
+    came = told(runs.filter("own_text"), "_own").unionByName(told(runs.select("case_id", F.explode("related").alias("doc_id")), "_rel"))
+    # A document of a case comes to one place once, whatever is told of it. What has no name is not what was expected.
+    every = told(expected, "_e").unionByName(came.filter("case_id IS NOT NULL AND doc_id IS NOT NULL"))
+    t = every.groupBy("case_id", "doc_id").agg(*[F.bool_or(c).alias(c) for c in ("_e", "_own", "_rel")]).filter("_e")
+    own_, rel_ = F.col("_own"), F.col("_rel")
     share = lambda c: F.count_if(c) / F.count("*")
     return t.groupBy("case_id").agg(share(own_).alias("delivered"), share(rel_).alias("supplementary"), share(own_ | rel_).alias("together"))
 
