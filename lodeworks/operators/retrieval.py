@@ -79,28 +79,66 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(size > 0, size, np.nan)
 
 
-def nearest_rows(v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in ``q`` and ``v`` and the distances of each query's ``k`` nearest rows, with all ties of the last."""
-    d = np.round(np.maximum(0.0, 1 - q @ v.T), 9)
-    last = np.partition(np.where(np.isnan(d), np.inf, d), min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1 : min(k, d.shape[1])]
-    at = np.nonzero(d <= last)
-    return at[0], at[1], d[at]
+class Nearest:
+    """The ``k`` nearest rows to each of ``q`` among those met so far; ties by key. Holds ``k`` rows for each query, whatever comes."""
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.k = q, k
+        self.last, self.last_key = np.full(len(q), np.inf), np.full(len(q), None, object)
+        self.at, self.d, self.keys = np.zeros(0, int), np.zeros(0), None
+
+    def meet(self, v: np.ndarray, keys: np.ndarray) -> None:
+        """Rows of unit length and their keys, none of them null."""
+        d = np.round(np.maximum(0.0, 1 - self.q @ v.T), 9)
+        if d.shape[1] > self.k:
+            # Of one block no more than k rows and the ties of the last can be among the nearest.
+            own = np.partition(np.where(np.isnan(d), np.inf, d), self.k - 1, axis=1)[:, self.k - 1]
+        else:
+            own = self.last
+        at, j = np.nonzero(d <= np.minimum(self.last, own)[:, None])
+        found = d[at, j]
+        tied = np.flatnonzero(found == self.last[at])
+        if len(tied):
+            good = np.ones(len(at), bool)
+            good[tied] = np.array(keys[j[tied]] < self.last_key[at[tied]], bool)
+            at, j, found = at[good], j[good], found[good]
+        if not len(at):
+            return
+        at, found, keys = np.r_[self.at, at], np.r_[self.d, found], keys[j] if self.keys is None else np.r_[self.keys, keys[j]]
+        order = np.lexsort((np.unique(keys, return_inverse=True)[1], found, at))
+        at = at[order]
+        start = np.searchsorted(at, np.arange(len(self.q)))
+        keep = np.arange(len(at)) - start[at] < self.k
+        self.at, self.d, self.keys = at[keep], found[order][keep], keys[order][keep]
+        full = np.flatnonzero(np.bincount(self.at, minlength=len(self.q)) == self.k)
+        end = np.searchsorted(self.at, full, "right") - 1
+        self.last[full], self.last_key[full] = self.d[end], self.keys[end]
 
 
 def _block(vectors: DataFrame, ids: list, q: np.ndarray, key: str, query: str, vector: str, k: int, kind: T.DataType) -> DataFrame:
     sent = vectors.sparkSession.sparkContext.broadcast((pa.array(ids, to_arrow_type(kind)), q))
     t = vectors.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    own = t.schema["k"].dataType.simpleString()
+    own = t.schema["k"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One task hands on k rows of each query; rows without a key, which numpy cannot order, are kept apart.
         names, q = sent.value
+        best, nameless, own_type = Nearest(q, k), Nearest(q, k), to_arrow_type(own)
         for b in (x.slice(at, ROW_BLOCK) for x in batches for at in range(0, x.num_rows, ROW_BLOCK)):
             if b.num_rows and len(names):
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                i, j, d = nearest_rows(unit(v), q, k)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(d)], ["q", "k", "d"])
-
-    out = t.mapInArrow(run, f"q {kind.simpleString()}, k {own}, d double")
+                v = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+                known = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+                if known.any():
+                    best.meet(v[known], b.column(0).drop_null().to_numpy(zero_copy_only=False))
+                if not known.all():
+                    nameless.meet(v[~known], np.zeros((~known).sum(), int))
+        for part, keys in ((best, best.keys), (nameless, None)):
+            for at in range(0, len(part.at), 100_000):
+                n = slice(at, at + 100_000)
+                key = pa.nulls(len(part.at[n]), own_type) if keys is None else pa.array(keys[n], own_type)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(part.at[n])), key, pa.array(part.d[n])], ["q", "k", "d"])
+
+    out = t.mapInArrow(run, f"q {kind.simpleString()}, k {own.simpleString()}, d double")
     return out.select(F.col("q").alias(query), F.col("k").alias(key), F.col("d").alias("distance"))
 
 
