@@ -15,8 +15,11 @@ empty index.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -32,6 +35,8 @@ SLOT, FOLDER, FOLDERS = 128, 500_000, 4096
 ASKED, NAMED, BROADCAST = 20_000, 200, 500_000
 #: Up to so many postings of asked terms, all are scored without looking for a bound first.
 UNBOUNDED = 50_000_000
+#: Passages whose terms a worker counts at once.
+COUNTED = 1024
 #: Slots of a question that are scored for the first bound.
 FIRST = 4
 
@@ -56,6 +61,52 @@ def slot_of(shape: Column, sizes: dict[int, int], slot: int) -> Column:
     return F.shiftleft(shape.cast("long"), 40) + F.pmod(F.xxhash64("key"), F.try_element_at(parts, shape))
 
 
+def counted(passages: DataFrame) -> DataFrame:
+    """(term, slot, key, dl, tf): each different term of each row of ``passages`` (key, slot, t) and how often it stands there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, COUNTED) for x in batches for at in range(0, x.num_rows, COUNTED)):
+            words = b.column(2)
+            row = np.asarray(pc.list_parent_indices(words), np.int64)
+            if not len(row):
+                continue
+            coded = pc.list_flatten(words).dictionary_encode()
+            pair, tf = np.unique(row * len(coded.dictionary) + coded.indices.to_numpy(), return_counts=True)
+            row, word = np.divmod(pair, len(coded.dictionary))
+            at = pa.array(row)
+            dl = pc.list_value_length(words).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word)), b.column(1).take(at), b.column(0).take(at), dl.take(at), pa.array(tf, pa.int32())], ["term", "slot", "key", "dl", "tf"])
+
+    kind = passages.schema["key"].dataType.simpleString()
+    return passages.select("key", "slot", "t").mapInArrow(run, f"term string, slot long, key {kind}, dl int, tf int")
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of postings (folder, term, slot, key, tf, dl) that come in the order of folder, term and slot; a block may begin in one batch and end in another."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+        if not t.num_rows:
+            continue
+        coded, slot = t.column("term").combine_chunks().dictionary_encode().indices.to_numpy(), t.column("slot").to_numpy()
+        starts = np.flatnonzero(np.r_[True, (coded[1:] != coded[:-1]) | (slot[1:] != slot[:-1])])
+        # The last block goes on with the next batch.
+        held = t.slice(int(starts[-1])).combine_chunks().to_batches()[0]
+        if len(starts) > 1:
+            yield _blocks_of(t.slice(0, int(starts[-1])), starts[:-1])
+    if held is not None:
+        yield _blocks_of(pa.Table.from_batches([held]), np.zeros(1, int))
+
+
+def _blocks_of(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    tf, dl, at = t.column("tf").to_numpy(), t.column("dl").to_numpy(), pa.array(starts)
+    ends = np.r_[starts, t.num_rows].astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), t.column(c).combine_chunks()) for c in ("key", "tf", "dl")]
+    first = [t.column(c).combine_chunks().take(at) for c in ("folder", "term", "slot")]
+    told = [pa.array(x, pa.int32()) for x in (np.diff(ends), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts))]
+    return pa.RecordBatch.from_arrays([*first, *told, *lists], ["folder", "term", "slot", "n", "tf_most", "dl_least", "keys", "tfs", "dls"])
+
+
 @dataclass(frozen=True)
 class Asked:
     folders: list[int]
@@ -87,27 +138,31 @@ class TermIndex:
         t = passages.select(F.col(key).alias("key"), F.col(text).alias("text"))
         shape = _length_class(F.octet_length(F.coalesce("text", F.lit(""))))
         sizes = {r["c"]: r["n"] for r in t.groupBy(shape.alias("c")).agg(F.count("*").alias("n")).collect()}
-        cut = t.filter("key IS NOT NULL AND text IS NOT NULL").select("key", slot_of(shape, sizes, slot).alias("slot"), terms(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-        one = cut.select("key", "slot", "dl", F.explode("t").alias("term")).groupBy("term", "slot", "key", "dl").agg(F.count("*").cast("int").alias("tf"))
+        named = t.filter("key IS NOT NULL AND text IS NOT NULL")
+        one = counted(named.select("key", slot_of(shape, sizes, slot).alias("slot"), terms(F.col("text")).alias("t")))
+        if not named.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            # Rows of one key and length count as one passage.
+            one = one.groupBy("term", "slot", "key", "dl").agg(F.sum("tf").cast("int").alias("tf"))
         return TermIndex.write(one, sum(sizes.values()), at, key=key, folder=folder)
 
     @staticmethod
     def write(one: DataFrame, n: int, at: str, *, key: str, folder: int = FOLDER) -> TermIndex:
         """An index of ``n`` passages from their postings (term, slot, key, dl, tf)."""
         spark = one.sparkSession
-        block = one.groupBy("term", "slot").agg(F.sort_array(F.collect_list(F.struct("key", "tf", "dl"))).alias("p"))
-        block = stored(block.select("term", "slot", F.size("p").alias("n"), F.array_max("p.tf").alias("tf_most"), F.array_min("p.dl").alias("dl_least"), F.col("p.key").alias("keys"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls")), "blocks")
-        size = block.agg(F.sum("n").alias("n"), F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total")).first()
-        folders = max(1, min(FOLDERS, -(-(size["n"] or 0) // folder)))
-        filed = block.withColumn("folder", _folder(F.col("term"), folders))
-        # The blocks of a common term are dealt to several tasks, by ranges of slots.
-        filed.repartitionByRange("folder", "term", "slot").sortWithinPartitions("folder", "term", "slot").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/blocks")
-        word = filed.groupBy("folder", "term").agg(F.sum("n").alias("df"))
-        word.repartitionByRange("folder", "term").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/words")
         kind = one.schema["key"].dataType.simpleString()
+        one = stored(one.select("term", "slot", "key", "tf", "dl"), "postings")
+        size = one.agg(F.count("*").alias("n"), F.sum("tf").alias("total")).first()
+        folders = max(1, min(FOLDERS, -(-size["n"] // folder)))
+        # Postings move once. Those of a common term are dealt to several tasks, by ranges of slots; a block stays in one.
+        filed = one.withColumn("folder", _folder(F.col("term"), folders)).repartitionByRange("folder", "term", "slot").sortWithinPartitions("folder", "term", "slot", "key", "tf", "dl")
+        told = f"folder int, term string, slot long, n int, tf_most int, dl_least int, keys array<{kind}>, tfs array<int>, dls array<int>"
+        # Order within the tasks holds; the writer is not told of it and would sort the blocks by folder alone.
+        filed.select("folder", "term", "slot", "key", "tf", "dl").mapInArrow(in_blocks, told).write.mode("overwrite").partitionBy("folder").parquet(f"{at}/blocks")
+        word = spark.read.schema("term string, n int, folder int").parquet(f"{at}/blocks").groupBy("folder", "term").agg(F.sum("n").alias("df"))
+        word.repartitionByRange("folder", "term").sortWithinPartitions("folder", "term").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/words")
         told = F.struct(F.lit(n).cast("long").alias("n"), F.lit(size["total"] or 0).cast("long").alias("total"), F.lit(folders).alias("folders"), F.lit(key).alias("key"), F.lit(kind).alias("kind"))
         spark.range(1).select(told.alias("x")).select("x.*").coalesce(1).write.mode("overwrite").parquet(f"{at}/totals")
-        discard(block)
+        discard(one)
         return TermIndex.open(spark, at)
 
     @staticmethod
