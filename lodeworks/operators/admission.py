@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions.text import component_id
 from lodeworks.operators.jobs import observed, publish
+from lodeworks.operators.tables import stored
 from lodeworks.sources.files import classify
 
 
@@ -27,8 +28,9 @@ def new_documents(documents: DataFrame, files: DataFrame, now: datetime) -> Data
     ``files``: sha256, relative_path, filename, content. ``documents``: raw_sha256.
     """
     first = F.row_number().over(W.partitionBy("sha256").orderBy("relative_path"))
-    t = files.withColumn("_n", first).filter("_n = 1").join(documents.select(F.col("raw_sha256").alias("sha256")), "sha256", "left_anti")
-    t = t.withColumn("_r", classify(F.col("content"), F.col("filename")))
+    # Told where the file is read, so that contents do not move.
+    t = files.select("sha256", "relative_path", "filename", classify(F.col("content"), F.col("filename")).alias("_r"))
+    t = t.withColumn("_n", first).filter("_n = 1").join(documents.select(F.col("raw_sha256").alias("sha256")), "sha256", "left_anti")
     declined = F.col("_r.declined")
     return t.select(
         component_id(F.lit("content"), F.col("sha256")).alias("doc_id"), F.col("sha256").alias("raw_sha256"), F.col("filename").alias("source_filename"),
@@ -39,7 +41,9 @@ def new_documents(documents: DataFrame, files: DataFrame, now: datetime) -> Data
 
 def admit(documents: DataFrame, jobs: DataFrame, occurrences: DataFrame, files: DataFrame, *, root_id: str, now: datetime, complete: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, jobs, occurrences) after a scan. Running it again on the same files changes nothing but the observation."""
-    docs = documents.unionByName(new_documents(documents, files, now), allowMissingColumns=True)
+    # Three tables follow from the new documents, which are found once.
+    fresh = stored(new_documents(documents, files, now), "new-documents")
+    docs = documents.unionByName(fresh, allowMissingColumns=True)
     due = docs.filter("status = 'PENDING'").withColumn("subject", stage_of(F.col("doc_type"))).filter("subject IS NOT NULL")
     work = due.select(
         F.sha2(F.concat_ws("\n", "doc_id", "subject", "raw_sha256"), 256).alias("job_id"), "doc_id", "subject", F.col("raw_sha256").alias("revision"),

@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends here, and lost executors cost a reread."""
     path = f"{shared_dir(df.sparkSession)}/lodeworks/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
