@@ -16,13 +16,14 @@ from lodeworks.vocabulary import MAX_DEPTH, MAX_ROUTES
 DEEP, MERGED = 12, 6
 
 
-def closure(seeds: DataFrame, edges: DataFrame, *, stop: DataFrame | None = None) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, *, stop: DataFrame | None = None, kept: bool = False) -> DataFrame:
     """Nodes reached from ``seeds`` (node, and other columns that are carried along) over ``edges`` (src, dst).
 
     Breadth first; each round joins only the nodes found in the round before, and
     ends when it finds none. Nodes in ``stop`` (node) are neither reached nor passed. A graph
     that is still not through after ``DEEP`` rounds has long chains; where nothing is carried
-    along, these are folded (see ``folded``).
+    along, these are folded (see ``folded``). ``kept``: the edges are a stored table of different
+    rows already, which is read as it is and stays.
     """
     keys = seeds.columns
     barred = stop.select("node").distinct() if stop is not None else None
@@ -31,7 +32,8 @@ def closure(seeds: DataFrame, edges: DataFrame, *, stop: DataFrame | None = None
         return df.join(barred, "node", "left_anti") if barred is not None else df
 
     # Read anew in every round, so its own lineage ends here.
-    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    edges = edges if kept else stored(edges.select("src", "dst").distinct(), "edges")
+    own = [] if kept else [edges]
     tables = [stored(open_(seeds.distinct()), "closure")]
     reached = frontier = tables[0]
     n = 0
@@ -39,7 +41,7 @@ def closure(seeds: DataFrame, edges: DataFrame, *, stop: DataFrame | None = None
         if (n := n + 1) > DEEP and keys == ["node"]:
             passed = edges if barred is None else edges.join(barred.withColumnRenamed("node", "dst"), "dst", "left_anti")
             out = folded(reached, passed)
-            discard(edges, *tables)
+            discard(*own, *tables)
             return out
         step = frontier.withColumnRenamed("node", "src").join(edges, "src").select(*[F.col("dst").alias("node") if k == "node" else F.col(k) for k in keys]).distinct()
         frontier = stored(open_(step).join(reached, keys, "left_anti"), "frontier")
@@ -54,7 +56,7 @@ def closure(seeds: DataFrame, edges: DataFrame, *, stop: DataFrame | None = None
     out = stored(reached, "closure") if len(tables) > 2 else reached
     if out is not reached:
         discard(*tables)
-    discard(edges)
+    discard(*own)
     return out
 
 
@@ -116,7 +118,7 @@ class HeldClosure:
     @staticmethod
     def of(seeds: DataFrame, edges: DataFrame) -> HeldClosure:
         seeds, edges = stored(seeds.select("node").distinct(), "seeds"), stored(edges.select("src", "dst").distinct(), "held-edges")
-        return HeldClosure(seeds, edges, stored(closure(seeds, edges), "held"))
+        return HeldClosure(seeds, edges, stored(closure(seeds, edges, kept=True), "held"))
 
     def changed(self, *, added: DataFrame | None = None, removed: DataFrame | None = None, seeded: DataFrame | None = None, unseeded: DataFrame | None = None) -> HeldClosure:
         """After a batch of edges and seeds that went and came; what is in both stays.
@@ -127,24 +129,25 @@ class HeldClosure:
         followed. Only suspects and new nodes are searched, however large the rest is.
         """
         none_e, none_n = self.edges.limit(0), self.seeds.limit(0)
-        added, removed = (none_e if x is None else x.select("src", "dst").distinct() for x in (added, removed))
+        added, removed = (stored(none_e if x is None else x.select("src", "dst").distinct(), "change") for x in (added, removed))
         seeded, unseeded = (none_n if x is None else x.select("node").distinct() for x in (seeded, unseeded))
-        edges = stored(self.edges.join(removed, ["src", "dst"], "left_anti").union(added).distinct(), "held-edges")
+        edges = stored(self.edges.join(removed.union(added), ["src", "dst"], "left_anti").union(added), "held-edges")
         seeds = stored(self.seeds.join(unseeded, "node", "left_anti").union(seeded).distinct(), "seeds")
-        lost = self.edges.join(removed, ["src", "dst"], "left_semi").join(edges, ["src", "dst"], "left_anti")
+        lost = self.edges.join(removed.join(added, ["src", "dst"], "left_anti"), ["src", "dst"], "left_semi")
         touched = lost.join(self.reached.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
         touched = touched.union(self.seeds.join(seeds, "node", "left_anti")).distinct()
-        suspects = stored(closure(touched, self.edges), "suspects")
+        suspects = stored(closure(touched, self.edges, kept=True), "suspects")
         sure = stored(self.reached.join(suspects, "node", "left_anti"), "sure")
         kept_edges = edges.join(suspects.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
         back = kept_edges.join(sure.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).union(suspects.join(seeds, "node", "left_semi")).distinct()
         again = stored(closure(back, kept_edges), "again")
         held = stored(sure.union(again).distinct(), "held")
-        fresh = edges.join(self.edges, ["src", "dst"], "left_anti").join(held.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+        known = self.edges.join(added, ["src", "dst"], "left_semi")
+        fresh = added.join(known, ["src", "dst"], "left_anti").join(held.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
         fresh = fresh.union(seeds).join(held, "node", "left_anti").distinct()
-        new = stored(closure(fresh, edges, stop=held), "new")
+        new = stored(closure(fresh, edges, stop=held, kept=True), "new")
         out = HeldClosure(seeds, edges, stored(held.union(new).distinct(), "held"))
-        discard(suspects, sure, again, held, new)
+        discard(added, removed, suspects, sure, again, held, new)
         return out
 
 
