@@ -41,8 +41,8 @@ SLOT, BLOCK, FOLDER, FOLDERS, PART = 64, 16, 100_000, 1024, 4096
 RAREST = 6
 #: Bits of a character in a gram; characters of a text that are looked at together, and about how many grams a worker holds.
 CHAR, PIECE, HELD = 21, 1 << 20, 1 << 22
-#: Candidates are broadcast up to so many rows, and named in the plan up to so many parts.
-BROADCAST, NAMED = 500_000, 1000
+#: Candidates are broadcast up to so many bytes (a place takes about 64 and each of its needles 4), and named in the plan up to so many parts.
+BROADCAST, NAMED = 1 << 27, 1000
 
 
 def _grams(t: Column) -> Column:
@@ -224,15 +224,14 @@ class SpanIndex:
             raise ValueError(f"at most {MAX_NEEDLES} needles in one request")
         n = needles.select("needle_id", F.trim(collapsed(F.col("needle"))).alias("_n")).filter("_n != ''")
         n = _numbered(n.withColumn("_f", F.lower("_n") if fold else _ascii_lower(F.col("_n"))))
-        found = stored(self._places(n), "places")
-        few = found.limit(BROADCAST + 1).count() <= BROADCAST
+        found = stored(self._places(n).groupBy("place").agg(F.collect_list("_q").alias("_qs")), "places")
+        few = found.agg(F.coalesce(F.sum(F.size("_qs") * 4 + 64), F.lit(0))).first()[0] <= BROADCAST
         texts = self.texts
         parts = [r[0] for r in found.select(F.floor(F.col("place") / self.per_part).cast("int").alias("part")).distinct().limit(NAMED + 1).collect()]
         if len(parts) <= NAMED:
             texts = texts.filter(F.col("part").isin(parts))
-        # A text moves once at most, with the numbers of its needles; their texts are the request's.
-        asked = found.groupBy("place").agg(F.collect_list("_q").alias("_qs"))
-        t = texts.join(F.broadcast(asked) if few else asked, "place").select("key", "t", F.explode("_qs").alias("_q")).join(F.broadcast(n), "_q")
+        # A text moves once at most, and only where the numbers of all texts' needles are too many to go to the texts; the needles' own texts are the request's.
+        t = texts.join(F.broadcast(found) if few else found, "place").select("key", "t", F.explode("_qs").alias("_q")).join(F.broadcast(n), "_q")
         hay, pin = (F.lower("t"), F.lower("_n")) if fold else (F.col("t"), F.col("_n"))
         # Most candidates are none, which contains() tells by bytes; locate() counts characters.
         t = t.filter(F.contains(hay, pin)).withColumn("position", F.expr("locate(lower(_n), lower(t))" if fold else "locate(_n, t)"))
@@ -240,5 +239,5 @@ class SpanIndex:
 
 
 def _numbered(needles: DataFrame) -> DataFrame:
-    """``needles`` with a number ``_q`` of each row."""
-    return stored(needles.withColumn("_q", F.monotonically_increasing_id()), "needles")
+    """``needles``, a request's, with a number ``_q`` of each row."""
+    return stored(needles.coalesce(1).withColumn("_q", F.monotonically_increasing_id().cast("int")), "needles")
