@@ -89,7 +89,10 @@ class Nearest:
 
     def meet(self, v: np.ndarray, keys: np.ndarray) -> None:
         """Rows of unit length and their keys, none of them null."""
-        d = np.round(np.maximum(0.0, 1 - self.q @ v.T), 9)
+        self.take(np.round(np.maximum(0.0, 1 - self.q @ v.T), 9), keys)
+
+    def take(self, d: np.ndarray, keys: np.ndarray) -> None:
+        """Distances of rows from each of ``q``, not-a-number where there is none, and the rows' keys."""
         if d.shape[1] > self.k:
             # Of one block no more than k rows and the ties of the last can be among the nearest.
             own = np.partition(np.where(np.isnan(d), np.inf, d), self.k - 1, axis=1)[:, self.k - 1]

@@ -72,8 +72,7 @@ def bm25_segmented(spark: SparkSession, d: str) -> DataFrame:
     index.add(third)
     index.delete(third.select((-F.col("doc_id") - 1).alias("doc_id")))
     asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
-    scores = index.scores(asked, query="item_id").withColumn("score", F.round("score", 6))
-    out = retrieval.lexical_leg(scores, key="doc_id", by="item_id")
+    out = retrieval.lexical_leg(index.best(asked, LEXICAL_K, query="item_id"), key="doc_id", by="item_id")
     return out.select("item_id", "doc_id", "score", F.col("lex_rank").cast("long").alias("lex_rank"))
 
 
