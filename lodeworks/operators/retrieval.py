@@ -105,9 +105,12 @@ class Nearest:
             good = np.ones(len(at), bool)
             good[tied] = np.array(keys[j[tied]] < self.last_key[at[tied]], bool)
             at, j, found = at[good], j[good], found[good]
-        if not len(at):
-            return
-        at, found, keys = np.r_[self.at, at], np.r_[self.d, found], keys[j] if self.keys is None else np.r_[self.keys, keys[j]]
+        if len(at):
+            self.add(at, found, keys[j])
+
+    def add(self, at: np.ndarray, found: np.ndarray, keys: np.ndarray) -> None:
+        """Single distances from the queries at places ``at``."""
+        at, found, keys = np.r_[self.at, at], np.r_[self.d, found], keys if self.keys is None else np.r_[self.keys, keys]
         order = np.lexsort((np.unique(keys, return_inverse=True)[1], found, at))
         at = at[order]
         start = np.searchsorted(at, np.arange(len(self.q)))
